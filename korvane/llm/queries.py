@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvane.llm import bpe, media, packing, simhash, toxicity, vafile
+from korvane.llm import bpe, lines, media, packing, simhash, toxicity, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.features(media.store(_table(spark, sf_dir, "documents")))
 
 
+def op9_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.dedup_lines(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), digest=True)
 
@@ -54,9 +59,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_media": op8_media,
+    "op9_lines": op9_lines,
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {
+    "op9_lines": lines.ORACLE,
     "op4_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
