@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvane.llm import bpe, lines, media, packing, simhash, toxicity, vafile
+from korvane.llm import bpe, lines, media, packing, simhash, suffixes, toxicity, vafile
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vafile.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeats(_table(spark, sf_dir, "documents"))
+    kept = F.lower(F.hex(F.when(F.col("kept").isNull(), F.col("sha")).otherwise(F.unhex(F.sha2("kept", 256)))))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", kept.alias("kept_sha256"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     scored = toxicity.score(docs, toxicity.learn(docs, _table(spark, sf_dir, "labels")))
@@ -37,7 +43,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), radius=2)
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.hex("fp")).alias("fingerprint"), "component_id")
 
 
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,6 +62,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_topk": op4_topk,
+    "op5_suffixes": op5_suffixes,
     "op6_toxicity": op6_toxicity,
     "op7_simhash": op7_simhash,
     "op8_media": op8_media,

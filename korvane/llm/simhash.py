@@ -1,17 +1,20 @@
 """SimHash near-duplicates by bit-sliced comparison.
 
-Fingerprints of whole texts are compared only inside buckets: 64 bits are cut into ``cut`` parts, and two
-fingerprints within ``radius`` bits share all but ``radius`` of the parts, so each choice of the shared
-parts is one bucket key, and no link is lost. Inside a bucket the fingerprints lie as 64 vertical bit planes; a
-plane at a time updates the distances of 64 lanes a word in carry-save counters, and a block is abandoned
-once all its lanes are beyond the radius. Equal fingerprints are one vertex. A large bucket is cut into chunks and
-compared chunk pair by chunk pair in many tasks. Each block returns a spanning forest of its links, never all
-pairs; components are joined by alternating large-star and small-star steps over written tables.
+Fingerprints of whole texts are compared only inside buckets. With ``cut`` (64 bits, a small radius) the bits are cut into
+parts, and two fingerprints within ``radius`` bits share all but ``radius`` of the parts: each choice of shared
+parts is one bucket key, and no link is lost. With ``band`` (wide fingerprints, a large radius) each run of ``band``
+bits is a key; at 256 bits, a radius of 45 and bands of 12, texts that share 0.8 of their shingles differ in
+39 bits on average and share one of the 21 bands with probability 0.96, unrelated texts differ in 128.
+Inside a bucket the fingerprints lie as vertical bit planes; a plane at a time updates the distances of 64 lanes a word in
+carry-save counters, and a block is abandoned once all its lanes are beyond the radius. Equal fingerprints are
+one vertex. A large bucket is cut into chunks and compared chunk pair by chunk pair in many tasks. Each block returns
+a spanning forest of its links, never all pairs; components are joined by alternating large-star and
+small-star steps over written tables.
 
 Defined results: null and empty texts, and texts without words, have fingerprint zero and link like any other;
 one row comes back for each row, repeated rows and repeated ids included; an empty table gives no rows; rows without
-doc_id get their own component only through a fingerprint that a numbered document has, else null; other
-columns are ignored.
+doc_id get the component of their fingerprint, null if no numbered document has one; other columns are
+ignored by ``near_duplicates`` and kept by ``keep_one``.
 """
 
 from __future__ import annotations
@@ -26,52 +29,90 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from korvane.llm.common import Stages, batches, partitions, prepare, text_bytes, uint64s, whole_text
+from korvane.llm.common import Stages, batches, partitions, prepare, text_bytes, whole_text
 
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
-PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
+PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.BinaryType())])
+KEYS = T.StructType([T.StructField("t", T.LongType()), T.StructField("key", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("v", T.LongType())])
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
-    """Bits set in over half of the hashes of the word shingles, repeats included."""
+def _mixed(h: np.ndarray, word: int) -> np.ndarray:
+    """The hashes themselves for word 0, other functions of them for further words."""
+    if not word:
+        return h
+    h = h + np.uint64(0x9E3779B97F4A7C15 * word & (1 << 64) - 1)
+    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return h ^ (h >> np.uint64(31))
+
+
+def fingerprint(text: bytes, shingle: int = 3, words: int = 1, seed: int = 42) -> bytes:
+    """Bits set in over half of the hashes of the word shingles, repeats included; 8 bytes a word, high bits first."""
     ws = text.lower().split()
     if not ws:
-        return 0
+        return bytes(8 * words)
     n = max(1, len(ws) - shingle + 1)
-    size = np.fromiter(map(len, ws), np.int64, len(ws))
-    first = np.concatenate([[0], np.cumsum(size + 1)[:-1]])
-    last = first[-n:] * 0 + (first + size)[len(ws) - n :] if len(ws) >= shingle else (first + size)[-1:]
+    last = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
+    starts, ends = [0, *(last[: n - 1] + 1).tolist()], last[len(ws) - n :].tolist()
     joined, digest = b" ".join(ws), xxhash.xxh64_intdigest
-    counts, step = np.zeros(64, np.int64), 1 << 15
-    starts, ends = first[:n].tolist(), last.tolist()
+    counts, step = np.zeros((words, 64), np.int64), 1 << 14
     for i in range(0, n, step):
         h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[i : i + step], ends[i : i + step], strict=True)), np.uint64, min(step, n - i))
-        counts += np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+        for w in range(words):
+            counts[w] += np.unpackbits(_mixed(h, w).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * counts > n).tobytes()
 
 
-def _prints(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches(it):
-        fp = np.array([fingerprint(t) for t in text_bytes(b.column(1))], np.uint64)
-        yield pa.RecordBatch.from_arrays([b.column(0), uint64s(fp)], names=PRINTS.names)
+def _prints(shingle: int, words: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            fp = [fingerprint(t, shingle, words) for t in text_bytes(b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary())], names=PRINTS.names)
+
+    return run
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and the 64 bits of its fingerprint as a long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, words: int = 1) -> DataFrame:
+    """doc_id and its fingerprint, 8 bytes a word."""
     prepare(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(_prints, PRINTS)
+    return docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(_prints(shingle, words), PRINTS)
+
+
+def _numbers(column: pa.Array, words: int) -> np.ndarray:
+    """Fingerprints as rows of unsigned words."""
+    return np.frombuffer(b"".join(column.to_pylist()), ">u8").astype(np.uint64).reshape(-1, words)
+
+
+def _keyed(words: int, radius: int, cut: int, band: int):
+    """Bucket keys of each fingerprint."""
+    edge = [64 * i // cut for i in range(cut + 1)] if cut else []
+    masks = [sum(((1 << edge[i + 1] - edge[i]) - 1) << edge[i] for i in c) for c in itertools.combinations(range(cut), cut - radius)] if cut else []
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            fp = _numbers(b.column(1), words)
+            if band:
+                bits = np.unpackbits(fp.astype(">u8").view(np.uint8).reshape(len(fp), -1), axis=1)
+                bits = bits[:, : bits.shape[1] // band * band].reshape(len(fp), -1, band)
+                keys = list((bits.astype(np.int64) << np.arange(band)).sum(axis=2).T)
+            else:
+                keys = [(fp[:, 0] & np.uint64(m)).view(np.int64) for m in masks]
+            for t, key in enumerate(keys):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t)), pa.array(np.ascontiguousarray(key)), b.column(1), b.column(0)], names=KEYS.names)
+
+    return run
 
 
 def planes(fp: np.ndarray) -> np.ndarray:
-    """Vertical bit planes: bit i of word w of plane p is bit p of fingerprint 64 * w + i."""
-    bits = np.zeros((-(-len(fp) // 64) * 64, 64), np.uint8)
-    bits[: len(fp)] = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    """Vertical bit planes of rows of words: bit i of lane word j of plane p is bit p of fingerprint 64 * j + i."""
+    bits = np.zeros((-(-len(fp) // 64) * 64, 64 * fp.shape[1]), np.uint8)
+    bits[: len(fp)] = np.unpackbits(np.ascontiguousarray(fp).astype("<u8").view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
     return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
 
 
 def near(fp: np.ndarray, lanes: np.ndarray, live: np.ndarray, radius: int) -> np.ndarray:
-    """For each fingerprint (row) the lanes within the radius, as bits. ``lanes``: planes x rows or 1 x words; ``live``: lanes to look at.
+    """For each fingerprint (row) the lanes within the radius, as bits. ``lanes``: planes x (rows or 1) x lane words; ``live``: lanes to look at.
 
     Carry-save counters: ``c[j]`` holds bit j of each lane's distance; ``far`` marks lanes past the radius. Rows
     with no lane left are dropped every eight planes.
@@ -83,13 +124,14 @@ def near(fp: np.ndarray, lanes: np.ndarray, live: np.ndarray, radius: int) -> np
     far = np.broadcast_to(~live, shape).copy()
     c = [np.zeros(shape, np.uint64) for _ in range(need)]
     shared = lanes.shape[1] == 1
-    for p in range(64):
+    for p in range(lanes.shape[0]):
         plane = lanes[p] if shared else lanes[p][rows]
-        carry = plane ^ (((fp[rows] >> np.uint64(p)) & ONE) * ALL)[:, None]
+        carry = plane ^ (((fp[rows, p // 64] >> np.uint64(p % 64)) & ONE) * ALL)[:, None]
         for j in range(need):
             c[j], carry = c[j] ^ carry, c[j] & carry
-        far |= carry | _above(c, radius)
+        far |= carry
         if p % 8 == 7:
+            far |= _above(c, radius)
             alive = (~far).any(axis=1)
             if not alive.all():
                 if not alive.any():
@@ -148,7 +190,7 @@ def small_blocks(fp: np.ndarray, start: np.ndarray, size: np.ndarray, radius: in
     at = np.arange(len(block)) - np.repeat(np.cumsum(size) - size, size)
     index = start[block] + at
     place = word[block] * 64 + lane[block] + at
-    laid = np.zeros((w + 1) * 64, np.uint64)
+    laid = np.zeros(((w + 1) * 64, fp.shape[1]), np.uint64)
     laid[place] = fp[index]
     lanes = planes(laid)[:, word[block]][:, :, None]
     before = ((ONE << at.astype(np.uint64)) - ONE) << lane[block].astype(np.uint64)  # earlier lanes of the same block
@@ -177,9 +219,9 @@ def _spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return a[keep], b[keep]
 
 
-def _compare(radius: int):
+def _compare(radius: int, words: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        held: list[tuple] = []
         rows = 0
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
@@ -199,31 +241,27 @@ def _compare(radius: int):
                 a, b = forest(fp[s : s + n], radius)
                 pairs.append((a + s, b + s))
             if pairs:
-                a, b = _spanning(np.concatenate([p[0] for p in pairs]), np.concatenate([p[1] for p in pairs]))
+                a, b = (v[np.concatenate([p[i] for p in pairs])] for i in range(2))
+                a, b = _spanning(a, b)
                 for i in range(0, len(a), 50_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(v[a[i : i + 50_000]]), pa.array(v[b[i : i + 50_000]])], names=LINKS.names)
+                    yield pa.RecordBatch.from_arrays([pa.array(a[i : i + 50_000]), pa.array(b[i : i + 50_000])], names=LINKS.names)
 
-        for batch in batches(it):
-            held.append(tuple(batch.column(i).to_numpy(zero_copy_only=False) for i in range(2)) + (batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64), batch.column(3).to_numpy(zero_copy_only=False)))
-            rows += batch.num_rows
-            if rows >= 50_000:
+        for b in batches(it):
+            k1, k2, v = (b.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3))
+            held.append((k1, k2, _numbers(b.column(2), words), v))
+            rows += b.num_rows
+            if rows >= 30_000:
                 yield from flush(False)
         yield from flush(True)
 
     return run
 
 
-def links(vertices: DataFrame, radius: int = 2, cut: int = 4, chunk: int = 8192) -> DataFrame:
-    """Spanning links (a, b) between vertices (v, fp) with distinct fp. ``cut`` parts of the 64 bits, more for larger corpora."""
-    if not 0 < radius < cut:
-        raise ValueError("cut must be over the radius, and the radius over 0")
-    edge = [64 * i // cut for i in range(cut + 1)]
-    choices = list(itertools.combinations(range(cut), cut - radius))
-    # the shared parts are masked out of the fingerprint, so a key is a long whatever the cut
-    masks = [sum(((1 << edge[i + 1] - edge[i]) - 1) << edge[i] for i in c) for c in choices]
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keys = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)))).alias("k")
-    rows = vertices.select("v", "fp", keys).select("v", "fp", F.col("k.t").alias("t"), F.col("k.key").alias("key"))
+def links(vertices: DataFrame, radius: int = 2, words: int = 1, cut: int = 4, band: int = 0, chunk: int = 8192) -> DataFrame:
+    """Spanning links (a, b) between vertices (v, fp) with distinct fp. ``cut`` parts, more for larger corpora; or keys of ``band`` bits."""
+    if not band and not (0 < radius < cut and words == 1):
+        raise ValueError("cut must be over the radius, the radius over 0, and the fingerprint one word")
+    rows = vertices.select("v", "fp").mapInArrow(_keyed(words, radius, 0 if band else cut, band), KEYS)
     shared = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
     inside = rows.join(shared, ["t", "key"])
     # a bucket of c > 1 chunks: member chunk i takes part in the pairs (i, j), one task's block each
@@ -232,10 +270,10 @@ def links(vertices: DataFrame, radius: int = 2, cut: int = 4, chunk: int = 8192)
     pairs = F.when(chunks == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.least(own, j).cast("long") * (1 << 31) + F.greatest(own, j))
     )
-    blocks = inside.select(F.xxhash64("t", "key").alias("k1"), F.explode(pairs).alias("k2"), "fp", "v", "t", "key")
-    blocks = blocks.select(F.xxhash64("k1", "k2", "t").alias("k1"), F.xxhash64("key", "t", "k2").alias("k2"), "fp", "v")
+    blocks = inside.select("t", "key", F.explode(pairs).alias("pair"), "fp", "v")
+    blocks = blocks.select(F.xxhash64("t", "key", "pair").alias("k1"), F.xxhash64("key", "pair", "t").alias("k2"), "fp", "v")
     dealt = blocks.repartition(partitions(vertices.sparkSession), "k1", "k2").sortWithinPartitions("k1", "k2")
-    return dealt.mapInArrow(_compare(radius), LINKS)
+    return dealt.mapInArrow(_compare(radius, words), LINKS)
 
 
 def components(edges: DataFrame, stages: Stages) -> DataFrame:
@@ -258,12 +296,22 @@ def components(edges: DataFrame, stages: Stages) -> DataFrame:
             return e.select("v", F.col("u").alias("component"))
 
 
-def near_duplicates(docs: DataFrame, radius: int = 2, cut: int = 4, chunk: int = 8192) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, words: int = 1, cut: int = 4, band: int = 0, chunk: int = 8192) -> DataFrame:
     """doc_id, fp and component_id: the smallest doc_id reachable over fingerprints ``radius`` bits apart or less."""
     spark = prepare(docs.sparkSession)
     stages = Stages(spark, "simhash")
-    prints = stages.write(fingerprints(docs))
+    prints = stages.write(fingerprints(docs, shingle, words))
     vertices = stages.write(prints.groupBy("fp").agg(F.min("doc_id").alias("v")).where("v is not null"))
-    found = components(links(vertices, radius, cut, chunk), stages)
+    found = components(links(vertices, radius, words, cut, band, chunk), stages)
     named = vertices.join(found, "v", "left").select("fp", F.coalesce("component", "v").alias("component_id"))
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """``docs`` with one document of each group of similar texts, that of the smallest doc_id: 256 bits over 5-word shingles, 0.8 of them shared.
+
+    Rows that repeat a doc_id stay or go together; rows without doc_id, and those alone in their group, stay.
+    """
+    found = near_duplicates(docs.where("doc_id is not null"), radius=45, shingle=5, words=4, band=12)
+    gone = found.where("component_id < doc_id").select("doc_id").distinct()
+    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
