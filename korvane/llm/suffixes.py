@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -42,7 +43,8 @@ BLOCK, POSITION = 1 << 19, (1 << 20) - 1
 LAST = (1 << 63) - 1
 
 _SLICE = T.StructType([T.StructField("h", T.LongType()), T.StructField("s", T.IntegerType()), T.StructField("c", T.IntegerType()), T.StructField("a", T.IntegerType())])
-ANCHORS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("n_bytes", T.LongType()), T.StructField("sha", T.BinaryType()), T.StructField("slices", T.ArrayType(_SLICE))])
+PARCEL = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("known", T.BooleanType()), *(T.StructField(n, T.BinaryType()) for n in ("docs", "own", "h", "s", "ca", "marks"))])
+REPEATED = T.StructType([T.StructField("did", T.LongType()), T.StructField("tie", T.LongType()), *_SLICE.fields])
 SLICES = T.StructType([T.StructField("h", T.LongType()), T.StructField("did", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("s", T.IntegerType()), T.StructField("c", T.IntegerType()), T.StructField("a", T.IntegerType()), T.StructField("text", T.BinaryType())])
 SPANS = T.StructType([T.StructField("did", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("rest", T.BinaryType())])
 STRINGS = T.StructType([T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("did", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("start", T.IntegerType())])
@@ -115,20 +117,102 @@ def _blocks(texts: list[bytes]) -> Iterator[tuple[int, int, list[bytes]]]:
         yield len(texts) - len(held), 0, held
 
 
-def _find_anchors(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+#: Slices that a task gathers before it sends parcels.
+FLUSH = 1 << 20
+
+
+def _pack(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.ascontiguousarray(x).tobytes(), 1)
+
+
+def _open(x: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.decompress(x), kind)
+
+
+def _parcels(buckets: int):
+    """Slices by bucket of their anchor, packed. Of anchors that a task sees twice only a mark goes to the bucket; their slices are known and travel with any."""
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        docs: list[np.ndarray] = []
+        rows = n_docs = flushes = 0
+
+        def row(bucket: int, known: bool, pick: np.ndarray, marks: np.ndarray, cols: list[np.ndarray], names: np.ndarray) -> pa.RecordBatch:
+            own, h, s, ca = (c[pick] for c in cols)
+            used, own = np.unique(own, return_inverse=True)
+            parts = [_pack(names[used]), _pack(own.astype(np.uint32)), h.tobytes(), _pack(s), _pack(ca), marks.tobytes()]
+            return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([known]), *(pa.array([x], pa.binary()) for x in parts)], names=PARCEL.names)
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal held, docs, rows, n_docs, flushes
+            if not rows:
+                return
+            cols = [np.concatenate([x[i] for x in held]) for i in range(4)]
+            names, h = np.concatenate(docs), cols[1].view(np.uint64)
+            _, first, inverse, count = np.unique(h, return_index=True, return_inverse=True, return_counts=True)
+            twice = count[inverse] > 1
+            yield row(flushes % buckets, True, np.flatnonzero(twice), np.zeros(0, np.int64), cols, names)
+            single, marks = np.flatnonzero(~twice), cols[1][first[count > 1]]
+            of, of_mark = h[single] % np.uint64(buckets), marks.view(np.uint64) % np.uint64(buckets)
+            single, marks = single[np.argsort(of, kind="stable")], marks[np.argsort(of_mark, kind="stable")]
+            cut, cut_marks = (np.concatenate([[0], np.cumsum(np.bincount(x.astype(np.int64), minlength=buckets))]) for x in (of, of_mark))
+            for i in range(buckets):
+                p, m = single[cut[i] : cut[i + 1]], marks[cut_marks[i] : cut_marks[i + 1]]
+                if len(p) or len(m):
+                    yield row(i, False, p, m, cols, names)
+            held, docs, rows, n_docs, flushes = [], [], 0, 0, flushes + 1
+
+        for b in batches(it):
+            texts = text_bytes(b.column(2))
+            for base, off, block in _blocks(texts):
+                h, own, s, c, a = anchors(block)
+                held.append((own + (base + n_docs), h, (s + off).astype(np.int32), np.stack([c, a], axis=1).astype(np.uint8)))
+                rows += len(h)
+            docs.append(np.stack([b.column(i).to_numpy(zero_copy_only=False) for i in range(2)], axis=1))
+            n_docs += len(texts)
+            if rows >= FLUSH:
+                yield from flush()
+        yield from flush()
+
+    return run
+
+
+def _repeated(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The slices whose anchor is in two parcels of its bucket, or marked; known ones pass."""
+
+    def out(parcel: tuple, keep: np.ndarray | None) -> Iterator[pa.RecordBatch]:
+        docs, own, h, s, ca = (_open(parcel[0], np.int64).reshape(-1, 2), _open(parcel[1], np.uint32), np.frombuffer(parcel[2], np.int64), _open(parcel[3], np.int32), _open(parcel[4], np.uint8).reshape(-1, 2))
+        if keep is not None:
+            own, h, s, ca = own[keep], h[keep], s[keep], ca[keep]
+        for i in range(0, len(h), 20_000):
+            j = slice(i, i + 20_000)
+            yield pa.RecordBatch.from_arrays([pa.array(docs[own[j], 0]), pa.array(docs[own[j], 1]), pa.array(h[j]), pa.array(s[j]), pa.array(ca[j, 0].astype(np.int32)), pa.array(ca[j, 1].astype(np.int32))], names=REPEATED.names)
+
+    held: list[tuple] = []
+    now = None
+
+    def close() -> Iterator[pa.RecordBatch]:
+        nonlocal held
+        if held:
+            every = [np.frombuffer(p[2], np.int64) for p in held]
+            marks = np.concatenate([np.frombuffer(p[5], np.int64) for p in held])
+            seen, count = np.unique(np.concatenate([*every, marks, marks]), return_counts=True)
+            twice = seen[count > 1]
+            for p, h in zip(held, every, strict=True):
+                at = np.minimum(np.searchsorted(twice, h), max(0, len(twice) - 1))
+                yield from out(p, twice[at] == h if len(twice) else np.zeros(len(h), bool))
+        held = []
+
     for b in batches(it):
-        texts = text_bytes(b.column(2))
-        parts = []
-        for base, off, block in _blocks(texts):
-            h, own, s, c, a = anchors(block)
-            parts.append((h, own + base, s + off, c, a))
-        h, own, s, c, a = (np.concatenate([p[i] for p in parts]) for i in range(5))
-        order = np.argsort(own, kind="stable")
-        offsets = np.concatenate([[0], np.cumsum(np.bincount(own, minlength=len(texts)))])
-        fields = [pa.array(h[order].astype(np.int64)), *(pa.array(x[order].astype(np.int32)) for x in (s, c, a))]
-        slices = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.StructArray.from_arrays(fields, names=["h", "s", "c", "a"]))
-        sha = pa.array([hashlib.sha256(t).digest() for t in texts], pa.binary())
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([len(t) for t in texts], pa.int64()), sha, slices], names=ANCHORS.names)
+        for bucket, known, *parcel in zip(*(b.column(i).to_pylist() for i in range(8)), strict=True):
+            if bucket != now:
+                yield from close()
+                now = bucket
+            if known:
+                yield from out(tuple(parcel), None)
+            else:
+                held.append(tuple(parcel))
+    yield from close()
 
 
 def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -364,15 +448,17 @@ def repeats(docs: DataFrame, most: int = 20_000) -> DataFrame:
     spark = prepare(docs.sparkSession)
     stages = Stages(spark, "suffixes")
     text = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).withColumn("tie", F.xxhash64("text"))
-    found = stages.write(text.select("doc_id", "tie", "text").mapInArrow(_find_anchors, ANCHORS))
     did = F.coalesce("doc_id", F.lit(LAST)).alias("did")
+    found = stages.write(text.select("doc_id", "tie", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2("text", 256)).alias("sha")))
     several = found.groupBy("sha").agg(F.min(did).alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = stages.write(found.select(did, "tie", "sha", "n_bytes").join(several, "sha").where(f"did > first and n_bytes >= {LENGTH}").select("did", "tie").distinct())
-    every = found.select(did, "tie", F.inline("slices"))
-    twice = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
-    mine = every.join(twice, "h").groupBy("did", "tie").agg(F.collect_list(F.struct("h", "s", "c", "a")).alias("slices")).join(copies, ["did", "tie"], "left_anti")
+    n = partitions(spark)
+    parcels = text.select(did, "tie", "text").mapInArrow(_parcels(n), PARCEL).repartition(n, "bucket").sortWithinPartitions("bucket")
+    twice = stages.write(parcels.mapInArrow(_repeated, REPEATED).join(copies, ["did", "tie"], "left_anti"))
+    mine = twice.groupBy("did", "tie").agg(F.collect_list(F.struct("h", "s", "c", "a")).alias("slices"))
     some = stages.write(text.select(did, "tie", "text").join(mine, ["did", "tie"]).select("did", "tie", "text", "slices"))
-    dealt = some.mapInArrow(_slices, SLICES).repartition(partitions(spark), "h").sortWithinPartitions("h", "did", "tie", "s")
+    stages.drop(twice)
+    dealt = some.mapInArrow(_slices, SLICES).repartition(n, "h").sortWithinPartitions("h", "did", "tie", "s")
     spans = stages.write(dealt.mapInArrow(_buckets(most), SPANS))
     # buckets too large for one task: their strings by digest
     strings = spans.where("rest is not null").select("did", "tie", F.col("start").alias("s"), F.col("stop").alias("c"), "rest").mapInArrow(_strings, STRINGS)
