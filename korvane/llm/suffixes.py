@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -216,6 +217,8 @@ def _repeated(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices with their text. One equal to an earlier slice that this task has sent is settled here: it goes without text, under any key."""
+    sent: dict[bytes, list[int]] = {}
     for b in batches(it):
         texts = text_bytes(b.column(2))
         lists = b.column(3)
@@ -225,6 +228,13 @@ def _slices(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h, s, c, a = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
         did, tie = (b.column(i).to_numpy(zero_copy_only=False)[own] for i in range(2))
         text = [texts[o][x : x + y] for o, x, y in zip(own.tolist(), s.tolist(), (c + (LENGTH - 1)).tolist(), strict=True)]
+        key = h.copy()
+        for i, (t, *at) in enumerate(zip(text, did.tolist(), tie.tolist(), s.tolist(), strict=True)):
+            if sent.setdefault(t, at) < at:
+                text[i], key[i] = None, xxhash.xxh64_intdigest(b"%d,%d,%d" % tuple(at)) >> 1
+        if len(sent) > 100_000:
+            sent.clear()
+        h = key
         for i in range(0, len(h), 8192):
             j = slice(i, i + 8192)
             yield pa.RecordBatch.from_arrays([*(pa.array(x[j]) for x in (h, did, tie, s, c, a)), pa.array(text[j], pa.binary())], names=SLICES.names)
@@ -388,6 +398,9 @@ def _buckets(most: int, block: int = 12_000):
         for b in batches(it):
             cols = [b.column(i).to_pylist() for i in range(7)]
             for h, did, tie, s, c, a, text in zip(*cols, strict=True):
+                if text is None:
+                    done.append((did, tie, s, s + c + LENGTH - 1, None))
+                    continue
                 if h != now:
                     close()
                     now = h
