@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvane.llm import bpe, lines, media, packing, simhash, suffixes, toxicity, vafile
+from korvane.llm import bpe, licenses, lines, media, packing, simhash, suffixes, toxicity, vafile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,10 +20,19 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = warc.audit(warc.replicas(_table(spark, sf_dir, "pages")), [F.col("page_id").asc_nulls_last(), F.col("a")])
+    return found.select("page_id", "offset", "length", "kind")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json")).drop("ids")
 
 
+def op3_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def op4_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings")
     return vafile.search(vectors, vectors.where("vec_id % 100 = 0"), k=10)
@@ -60,7 +69,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_packing": op2_packing,
+    "op3_licenses": op3_licenses,
     "op4_topk": op4_topk,
     "op5_suffixes": op5_suffixes,
     "op6_toxicity": op6_toxicity,
@@ -70,6 +81,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_bpe": op10_bpe,
 }
 ORACLES: dict[str, str] = {
+    "op1_warc": warc.ORACLE,
     "op9_lines": lines.ORACLE,
     "op4_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
