@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from korvane.functions import scalars
+from korvane.operators import relational, retrieval
+from korvane.plans.sql import oracle, query
+from korvane.streaming import limits
+
+_TEXTS = relational.SQL | scalars.SQL
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: query(v) for k, v in _TEXTS.items()} | retrieval.QUERIES | limits.QUERIES
+ORACLES: dict[str, str] = {k: oracle(v) for k, v in _TEXTS.items()} | retrieval.ORACLES
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(QUERIES.values()))(spark, sf_dir)
+    """Hybrid retrieval: keyword and vector legs, fused."""
+    return retrieval.QUERIES["w05_hybrid"](spark, sf_dir)
