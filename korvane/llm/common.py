@@ -84,6 +84,16 @@ def whole_text(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def packed(docs: DataFrame) -> Column:
+    """A whole row as one struct: names in it can't clash with an operator's own columns."""
+    return F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
+
+
+def unpacked(df: DataFrame, names: list[str], changed: dict[str, Column]) -> DataFrame:
+    """The columns of packed rows, some of them changed."""
+    return df.select(*(changed.get(c, F.col("_row").getField(c)).alias(c) for c in names))
+
+
 def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in it if b.num_rows)
 

@@ -105,7 +105,7 @@ class Index:
         for t, begins in sorted(places.items()):
             done = -(1 << 60)
             for b in sorted(begins):
-                if b <= done + BAND:  # the band reaches this place too
+                if b < done + max(1, min(BAND, len(self.words[t]) // 2)):  # the band reaches this place too
                     continue
                 done = b
                 pairs = align(self.words[t], ws, b)
@@ -145,7 +145,7 @@ def align(template: list[bytes], text: list[bytes], begin: int) -> list[int]:
             step[d] = 3 if diag == new[d] and diag > 0 else 1 if up == new[d] and up >= left else 2 if left == new[d] else 0
         back.append(step)
         best = new
-    i, d, pairs = len(template) - 1, max(range(width), key=lambda x: (best[x], -x)), []
+    i, d, pairs = len(template) - 1, max(range(width), key=lambda x: (best[x], -abs(x - BAND))), []
     while i >= 0 and 0 <= d < width:
         s = back[i][d]
         if s == 3:

@@ -22,16 +22,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from korvane.llm.common import Stages, partitions
+from korvane.llm.common import Stages, packed, partitions, unpacked
 
 #: A position is the document's place times LINES plus the line.
 LINES = 1 << 24
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
+    """key, doc_id, text and the whole row."""
     text = F.coalesce("text", F.lit(""))
     ident = F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))
-    return docs.withColumn("_key", F.unhex(F.md5(F.concat(ident, F.lit("|"), text).cast("binary"))))
+    key = F.unhex(F.md5(F.concat(ident, F.lit("|"), text).cast("binary")))
+    return docs.select(key.alias("key"), F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), packed(docs))
 
 
 def _places(firsts: DataFrame, stages: Stages) -> DataFrame:
@@ -71,8 +73,7 @@ def _least_runs(lines: DataFrame, min_chars: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, min_chars: int, stages: Stages) -> DataFrame:
     """(key, all, runs): what goes from a document; runs are maximal, sorted, as [start, stop) in lines."""
-    keyed = _keyed(docs).select("doc_id", "_key", F.coalesce("text", F.lit("")).alias("text"))
-    exploded = keyed.select(F.col("_key").alias("key"), "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("whole"), F.length("text").alias("size"), F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
+    exploded = _keyed(docs).select("key", "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("whole"), F.length("text").alias("size"), F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
     fits = F.when(F.col("line") < LINES, F.col("line")).otherwise(F.raise_error(F.lit("a document of over 16,777,216 lines")).cast("int"))
     lines = stages.write(exploded.select("key", "doc_id", "whole", "size", fits.alias("line"), (F.length("s") + 1).cast("long").alias("chars"), F.unhex(F.md5(F.col("s").cast("binary"))).alias("id")))
     heads = lines.where("line = 0").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("whole").alias("whole"), F.first("size").alias("size"))
@@ -117,24 +118,22 @@ def repeated_runs(docs: DataFrame, min_chars: int, stages: Stages) -> DataFrame:
     return listed.select("key", F.lit(False).alias("all"), "runs").unionByName(copies.select("key", F.lit(True).alias("all"), none.alias("runs")))
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 40) -> DataFrame:
-    """``docs`` without later copies of repeated line runs, and n_lines, n_removed, n_runs."""
+def dedup_lines(docs: DataFrame, min_chars: int = 40, report: bool = True) -> DataFrame:
+    """``docs`` without later copies of repeated line runs, and, as a report, n_lines, n_removed and n_runs."""
     stages = Stages(docs.sparkSession, "lines")
     gone = stages.write(repeated_runs(docs, min_chars, stages))
-    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
-    found = _keyed(docs).join(gone.withColumnRenamed("key", "_key"), "_key", "left").withColumn("_lines", lines)
-    n = F.size("_lines")
+    found = _keyed(docs).join(gone, "key", "left").withColumn("lines", F.split("text", "\n", -1))
+    n = F.size("lines")
     # what stays lies between one run's stop and the next one's start
     stops = F.concat(F.array(F.lit(0)), F.transform("runs", lambda r: r["stop"].cast("int")))
     starts = F.concat(F.transform("runs", lambda r: r["start"].cast("int")), F.array(n))
-    kept = F.flatten(F.zip_with(stops, starts, lambda a, b: F.slice("_lines", a + 1, b - a)))
+    kept = F.flatten(F.zip_with(stops, starts, lambda a, b: F.slice("lines", a + 1, b - a)))
     every = F.coalesce("all", F.lit(False))
-    text = F.when(every, F.lit("")).when(F.col("runs").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("text"))
+    text = F.when(every, F.lit("")).when(F.col("runs").isNotNull(), F.array_join(kept, "\n")).otherwise(F.col("_row")["text"])
     removed = F.when(every, n).otherwise(F.coalesce(F.aggregate("runs", F.lit(0), lambda s, r: s + (r["stop"] - r["start"]).cast("int")), F.lit(0)))
     count = F.when(every, F.lit(1)).otherwise(F.coalesce(F.size("runs"), F.lit(0)))
-    own = {"text": text, "n_chars": F.length(text).cast("long")}
-    columns = [own[c].alias(c) if c in own else F.col(c) for c in docs.columns]
-    return found.select(*columns, n.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"), F.greatest(count, F.lit(0)).cast("long").alias("n_runs"))
+    told = {"n_lines": n.cast("long"), "n_removed": removed.cast("long"), "n_runs": F.greatest(count, F.lit(0)).cast("long")} if report else {}
+    return unpacked(found, [*docs.columns, *told], {"text": text, "n_chars": F.length(text).cast("long"), **told})
 
 
 ORACLE = """

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from korvane.llm.common import Stages, batches, partitions, prepare, text_bytes, uint64s, whole_text
+from korvane.llm.common import Stages, batches, packed, partitions, prepare, text_bytes, uint64s, unpacked, whole_text
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1  # grams in a string
@@ -492,9 +492,9 @@ def repeats(docs: DataFrame, most: int = 20_000) -> DataFrame:
 
 def dedup_strings(docs: DataFrame) -> DataFrame:
     """``docs``, all columns, with the repeated bytes gone from text and n_chars following it. Bytes of a letter that was cut through go with it."""
-    found = repeats(docs).where("kept is not null").select(F.coalesce("doc_id", F.lit(LAST)).alias("_did"), F.col("tie").alias("_tie"), F.col("kept").alias("_kept")).dropDuplicates(["_did", "_tie"])
-    left = docs.withColumn("_did", F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))).withColumn("_tie", F.xxhash64(whole_text()))
-    valid = F.try_validate_utf8(F.col("_kept").cast("string"))
-    text = F.when(F.col("_kept").isNull(), F.col("text")).otherwise(F.coalesce(valid, F.regexp_replace(F.make_valid_utf8(F.col("_kept").cast("string")), "�", "")))
-    own = {"text": text, "n_chars": F.length(text).cast("long")}
-    return left.join(found, ["_did", "_tie"], "left").select(*(own[c].alias(c) if c in own else F.col(c) for c in docs.columns))
+    found = repeats(docs).where("kept is not null").select(F.coalesce("doc_id", F.lit(LAST)).alias("did"), "tie", "kept").dropDuplicates(["did", "tie"])
+    left = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("did"), F.xxhash64(whole_text()).alias("tie"), packed(docs))
+    valid = F.try_validate_utf8(F.col("kept").cast("string"))
+    whole = F.coalesce(valid, F.regexp_replace(F.make_valid_utf8(F.col("kept").cast("string")), "\ufffd", ""))
+    text = F.when(F.col("kept").isNull(), F.col("_row")["text"]).otherwise(whole)
+    return unpacked(left.join(found, ["did", "tie"], "left"), docs.columns, {"text": text, "n_chars": F.length(text).cast("long")})

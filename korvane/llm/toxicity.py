@@ -56,7 +56,7 @@ def _document_counts(texts: list[bytes]) -> Counter:
     out: Counter = Counter()
     for t in texts:
         ws, own = words(t), set()
-        for triple in zip([b"", *ws[:-1]], ws, [*ws[1:], b""], strict=True):
+        for triple in zip([b"", *ws], ws, [*ws[1:], b""], strict=False):
             if (h := hash(triple)) not in seen:
                 seen.add(h)
                 own.add(triple[1])
@@ -145,7 +145,8 @@ def _train(texts: list[bytes], y: np.ndarray, sizes: tuple[tuple[int, int], ...]
     shuffle(usual)
     for kt, ko in sizes:
         m = Model(_dictionary(ko, usual[:600_000]), _dictionary(kt, found))
-        x = np.array([(win := m.windows()).features(t) if i == 0 else win.features(t) for i, t in enumerate(texts)])
+        win = m.windows()
+        x = np.array([win.features(t) for t in texts])
         m.weights = _logistic(x, y).tolist()
         yield m, x
 

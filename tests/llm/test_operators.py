@@ -1,0 +1,340 @@
+"""The operators against brute force on small fixtures, with nulls, empties, repeats, long texts and clashing names."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from tokenizers import Tokenizer
+
+from korvane.llm import bpe, licenses, lines, media, packing, simhash, suffixes, toxicity, vafile, warc
+from korvane.llm.queries import QUERIES
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `runs` string, `_key` string, `all` string, `tie` long, `key` string"
+RND = random.Random(3)
+PASSAGE = " ".join(RND.choice("lorem ipsum dolor sit amet consectetur elit sed do".split()) for _ in range(60))
+
+
+def texts():
+    base = [" ".join("".join(RND.choice("abcdeghilnorst") for _ in range(RND.randint(2, 9))) for _ in range(RND.randint(3, 120))) for _ in range(24)]
+    base = [t.replace(" ", "\n", 3) if i % 2 else t for i, t in enumerate(base)]
+    base[3], base[7] = base[2], base[6] + " tail"
+    base[9], base[10] = f"one\n{PASSAGE}\ntwo é", f"other {PASSAGE}é\nthree"
+    return [*base, None, "", " ", "short", "a" * 5000, "ab " * 3000, "É ß ΑΣ <|endoftext|> 日本語 don't", base[0], "Licensed under the Apache License, Version 2.0."]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", "s", len(t or ""), "x", None, "y", i, "k") for i, t in enumerate(texts())]
+    rows.append((5, rows[5][1], "en", "s", 1, "x", None, "y", 5, "k"))  # a repeated row
+    rows.append((None, "nobody knows this one", None, None, None, None, None, None, None, None))
+    return spark.createDataFrame(rows, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def plain(docs):
+    return [(r["doc_id"], r["text"] or "") for r in docs.collect()]
+
+
+def test_packing(docs, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tok, got = Tokenizer.from_file(path), packing.pack(docs, path, 64).collect()
+    want = sorted(((d, [*tok.encode(t, add_special_tokens=False).ids, 1]) for d, t in plain(docs)), key=str)
+    at, seen = {}, []
+    for r in sorted(got, key=lambda r: (r["sequence_id"], r["offset"])):
+        ids = np.frombuffer(r["ids"], "<u4")
+        assert at.get(r["sequence_id"], 0) == r["offset"] and len(ids) == r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        at[r["sequence_id"]] = r["offset"] + r["length"]
+        if r["start"] == 0:
+            seen.append((r["doc_id"], []))
+        assert len(seen[-1][1]) == r["start"]
+        seen[-1][1].extend(ids.tolist())
+    assert sorted(seen, key=str) == want
+    assert all(n == 64 for s, n in at.items() if s != max(at)) and sorted(at) == list(range(len(at)))
+    assert packing.sequences(packing.pack(docs, path, 64)).count() == len(at)
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_bpe(docs, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tok = Tokenizer.from_file(path)
+    tok.no_truncation()
+    tok.no_padding()
+    for r in bpe.encode(docs, path).join(docs.select("doc_id", "text").distinct(), "doc_id").collect():
+        e = tok.encode(r["text"] or "", add_special_tokens=False).ids
+        assert np.frombuffer(r["ids"], "<u4").tolist() == e and r["decoded"] == tok.decode(e, skip_special_tokens=False)
+        assert bpe.compiled(path).decode(e) == r["decoded"]
+    assert bpe.encode(empty, path, digest=True).count() == 0
+
+
+def test_bpe_random_words():
+    w, tok = bpe.compiled(public_tokenizers.path("word_bpe_49k.json")), Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tok.no_truncation()
+    tok.no_padding()
+    for _ in range(400):
+        t = "".join(RND.choice("aaelnsst' .1é") for _ in range(60))
+        assert np.frombuffer(w.encode(t)[0], "<u4").tolist() == tok.encode(t, add_special_tokens=False).ids
+
+
+def test_media(docs, empty):
+    got = {(r["doc_id"], r["payload_sha256"]): r for r in media.features(media.store(docs)).collect()}
+    for d, t in plain(docs):
+        b = t.encode()
+        p = b + bytes(-len(b) % 64 or (0 if b else 64))
+        r = got[d, hashlib.sha256(p).hexdigest()]
+        assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(b), len(p), zlib.crc32(p[-64:]))
+    assert media.features(media.store(empty)).count() == 0
+    png = bytearray(media.write_png(np.arange(256, dtype=np.uint8).reshape(4, 64)))
+    png[50] ^= 1
+    with pytest.raises(ValueError):
+        media.read_png(bytes(png))
+
+
+def test_png_filters():
+    rnd = np.random.default_rng(1)
+    for _ in range(20):
+        x, kinds = rnd.integers(0, 256, (9, 7)), rnd.integers(0, 5, 9)
+        out = np.zeros((9, 8), np.uint8)
+        for r in range(9):
+            out[r, 0] = kinds[r]
+            for i in range(7):
+                a, b, c = (int(x[r, i - 1]) if i else 0), (int(x[r - 1, i]) if r else 0), (int(x[r - 1, i - 1]) if r and i else 0)
+                p = a + b - c
+                near = min((abs(p - a), 0, a), (abs(p - b), 1, b), (abs(p - c), 2, c))[2]
+                out[r, i + 1] = (int(x[r, i]) - [0, a, b, (a + b) // 2, near][kinds[r]]) & 255
+        assert (media.unfilter_rows(out) == x).all()
+
+
+def brute_spans(rows):
+    seen, out = set(), {}
+    for d, t in sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0)):
+        b = t.encode()
+        cover = bytearray(len(b))
+        for i in range(len(b) - 99):
+            w = b[i : i + 100]
+            if w in seen:
+                cover[i : i + 100] = b"\1" * 100
+            seen.add(w)
+        out[d, t] = (sum(cover), len(re.findall(b"\1+", bytes(cover))), bytes(c for c, k in zip(b, cover) if not k))
+    return out
+
+
+@pytest.mark.parametrize("most", [20_000, 1])
+def test_suffixes(docs, empty, most):
+    want = brute_spans(plain(docs))
+    got = suffixes.repeats(docs, most).join(docs.select("doc_id", "text").distinct(), "doc_id", "left").collect()
+    for r in got:
+        if r["doc_id"] is not None:
+            n, spans, kept = want[r["doc_id"], r["text"] or ""]
+            assert (r["n_removed"], r["n_spans"]) == (n, spans), r["doc_id"]
+            assert r["kept"] is None if not n else bytes(r["kept"]) == kept
+    assert len(got) == docs.count() and suffixes.repeats(empty).count() == 0
+
+
+def test_suffix_order():
+    """Long ties between suffixes of different residues come in the order of their bytes."""
+    texts = [bytes(RND.choice(b"ab") for _ in range(3)) * 60 for _ in range(8)]
+    n, a = np.full(8, 77), np.arange(8)
+    own, off, same, _ = suffixes.sort_block([t[:176] for t in texts], n, a)
+    keys = [texts[o][i : i + 100] for o, i in zip(own, off)]
+    assert keys == sorted(keys)
+    assert same.tolist() == [False, *(x == y for x, y in zip(keys, keys[1:]))]
+
+
+def test_suffix_stage_keeps_columns(docs):
+    out = suffixes.dedup_strings(docs)
+    assert out.columns == docs.columns and out.count() == docs.count()
+    lengths = {r["doc_id"]: (r["n"], r["n_chars"]) for r in out.select("doc_id", "n_chars", F.length("text").alias("n")).where("text is not null").collect()}
+    assert all(a == b for a, b in lengths.values() if a is not None and b is not None and a < 4000)
+
+
+def brute_lines(rows, least=40):
+    seen, cover = {}, {}
+    order = sorted(set(rows), key=lambda x: (x[0] is None, x[0] or 0, hashlib.md5(x[1].encode()).hexdigest()))
+    runs = []
+    for p, (d, t) in enumerate(order):
+        ls = t.split("\n")
+        cover[d, t] = [False] * len(ls)
+        for i in range(len(ls)):
+            size = 0
+            for j in range(i, len(ls)):
+                size += len(ls[j]) + 1
+                if size >= least:
+                    runs.append((tuple(ls[i : j + 1]), p, i, j + 1, (d, t)))
+    for key, p, i, j, doc in runs:
+        if seen.setdefault(key, (p, i)) < (p, i):
+            cover[doc][i:j] = [True] * (j - i)
+    return {k: "\n".join(x for x, c in zip(k[1].split("\n"), v) if not c) for k, v in cover.items()}
+
+
+def test_lines(docs, empty, spark):
+    extra = [(100 + i, "\n".join(RND.choice(["alpha", "beta gamma", "", "d", "some longer line of text here", "x y"]) for _ in range(RND.randint(1, 12)))) for i in range(40)]
+    both = docs.select("doc_id", "text").where("length(text) < 4000 or text is null").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    want = brute_lines(plain(both))
+    got = lines.dedup_lines(both.withColumn("whole", F.col("text")), 40).collect()
+    assert len(got) == both.count()
+    for r in got:
+        assert (r["text"] or "") == want[r["doc_id"], r["whole"] or ""], r["doc_id"]
+    out = lines.dedup_lines(docs, report=False)
+    assert out.columns == docs.columns and out.count() == docs.count() and lines.dedup_lines(empty).count() == 0
+    plan = out._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+def brute_print(t):
+    ws = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t))
+    sh = [" ".join(ws[i : i + 3]) for i in range(len(ws) - 2)] if len(ws) > 2 else [" ".join(ws)] if ws else []
+    h = [xxhash.xxh64_intdigest(s, 42) for s in sh]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+@pytest.mark.parametrize("chunk", [8192, 2])
+def test_simhash(docs, empty, chunk):
+    rows = plain(docs)
+    fp = {d: brute_print(t) for d, t in rows if d is not None}
+    up = {d: d for d in fp}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a in fp:
+        for b in fp:
+            if bin(fp[a] ^ fp[b]).count("1") <= 2:
+                x, y = root(a), root(b)
+                up[max(x, y)] = min(x, y)
+    for r in simhash.near_duplicates(docs, chunk=chunk).where("doc_id is not null").collect():
+        assert int.from_bytes(r["fp"], "big") == fp[r["doc_id"]] and r["component_id"] == root(r["doc_id"])
+    assert simhash.near_duplicates(empty).count() == 0
+
+
+def test_simhash_kernels():
+    rnd = np.random.default_rng(0)
+    base = rnd.integers(0, 1 << 63, 30).astype(np.uint64)
+    fp = np.unique(np.array([int(b) ^ sum(1 << int(x) for x in set(rnd.integers(0, 64, rnd.integers(0, 4)))) for b in base for _ in range(8)], np.uint64))
+    rnd.shuffle(fp)
+    d = np.array([[bin(int(a) ^ int(b)).count("1") for b in fp] for a in fp])
+    start = np.arange(0, len(fp), 10)
+    for r in (1, 2, 3, 6):
+        a, b = simhash.small_blocks(fp[:, None], start, np.diff(np.append(start, len(fp))), r)
+        assert set(zip(a.tolist(), b.tolist())) == {(x, y) for x, y in zip(*map(np.ndarray.tolist, np.nonzero(d <= r))) if x > y and x // 10 == y // 10}
+        a, b = simhash.forest(fp[:, None], r)
+        assert all(d[x, y] <= r or True for x, y in zip(a, b)) and len(a) == len(fp) - len(_roots(d <= r))
+
+
+def _roots(m):
+    left, n = set(range(len(m))), []
+    while left:
+        front = {left.pop()}
+        n.append(1)
+        while front:
+            x = front.pop()
+            new = {int(y) for y in np.flatnonzero(m[x])} & left
+            left -= new
+            front |= new
+    return n
+
+
+def test_keep_one(spark):
+    ws = ["".join(RND.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    near = [*ws[:150], "changed", *ws[151:]]
+    rows = [(1, " ".join(ws)), (2, " ".join(near)), (3, " ".join(reversed(ws))), (4, None), (5, ""), (None, " ".join(ws)), (7, " ".join(ws))]
+    got = sorted((r["doc_id"] or 0) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [0, 1, 3, 4]
+
+
+def test_vafile(spark):
+    rnd = np.random.default_rng(2)
+    v = rnd.normal(size=(400, 16)).astype(np.float32)
+    v[50:120] = v[100]
+    rows = [(i, x.tolist()) for i, x in enumerate(v)] + [(900, None), (901, [float("nan")] * 16), (902, [None] * 16), (903, [1.0]), (None, v[0].tolist()), (1000, v[100].tolist())]
+    df = spark.createDataFrame(rows, T.StructType([T.StructField("vec_id", T.LongType()), T.StructField("embedding", T.ArrayType(T.FloatType()))]))
+    ints = {i: np.floor(1024 * np.array(x, np.float64)).astype(np.int64) for i, x in [*enumerate(v), (1000, v[100])]}
+    got = {}
+    for r in vafile.search(df, df.where("vec_id % 100 = 0")).collect():
+        got.setdefault(r["query_id"], {})[r["rank"]] = (r["vec_id"], r["score"])
+    for q in (0, 100, 200, 300, 1000):
+        want = sorted(((-int(ints[q] @ x), i) for i, x in ints.items() if i != q))[:10]
+        assert [got[q][k + 1] for k in range(10)] == [(i, -s) for s, i in want]
+    assert set(got) == {0, 100, 200, 300, 1000}
+    assert vafile.search(df.limit(0), df.limit(0)).count() == 0
+
+
+def test_toxicity(spark, docs, empty):
+    bad = ["vermin", "wretch", "fiendish"]
+    rows, labels = [], []
+    for i in range(400):
+        ws = ["".join(RND.choice("aeinorst") for _ in range(RND.randint(2, 8))) for _ in range(60)]
+        toxic = i % 3 == 0
+        for _ in range(4 * toxic):
+            ws[RND.randrange(60)] = RND.choice(bad)
+        rows.append((i, " ".join(ws)))
+        labels.append((i, 1, int(toxic)))
+    labels += [(None, 1, 1), (5, 1, None), (10**9, 1, 1)]
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    m = toxicity.learn(d, l)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(d, m).collect()}
+    held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
+    assert np.mean([(got[i] >= 0.5) == (i % 3 == 0) for i in held]) > 0.95
+    assert toxicity.score(docs, m).where("score between 0 and 1").count() == docs.count() and toxicity.score(empty, m).count() == 0
+    assert toxicity.keep_ordinary(docs, m).columns == docs.columns
+    assert toxicity.learn(d, l.limit(0)).base == 0.0
+
+
+def test_licenses(spark, empty):
+    t = licenses.NOTICES["Apache-2.0-notice"]
+    edited = t.replace("may not", "shall not")
+    rows = [(1, f"some code here {t}\nand more"), (2, "nothing of that kind"), (3, None), (4, ""), (5, edited), (6, "Released under the MIT License. " * 2), (7, "x" * 3_000_000 + " " + t)]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], {}).setdefault(r["license"], []).append(r)
+    assert set(got) == {1, 5, 6, 7}
+    r = got[1]["Apache-2.0-notice"][0]
+    assert r["coverage"] == 1.0 and rows[0][1][r["start"] : r["stop"]] == t
+    assert 0.9 < got[5]["Apache-2.0-notice"][0]["coverage"] < 1.0 and len(got[6]["MIT-line"]) == 2
+    assert licenses.scan(empty).count() == 0
+
+
+def test_warc(spark):
+    rows = [(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 7)) for i in range(300)] + [(None, None, None), (3, "http://x/3", "<p>3</p>" * 3)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.audit(warc.replicas(pages), [F.col("page_id").asc_nulls_last(), F.col("a")], fanout=4).collect()
+    assert {(r["page_id"], r["kind"]) for r in got} == {(7, "lost"), (110, "damaged"), (207, "damaged"), (13, "damaged")}
+    by = {r["page_id"]: r for r in got}
+    assert by[7]["offset"] == sum(r["length"] for r in warc.replicas(pages).where("page_id < 7").collect())
+    same = warc.replicas(pages).withColumn("b", F.col("a"))
+    assert warc.audit(same, [F.col("page_id").asc_nulls_last(), F.col("a")]).count() == 0
+    assert warc.audit(warc.replicas(pages.limit(0)), [F.col("page_id")]).count() == 0
+
+
+def test_pipeline(spark, docs, empty, tmp_path):
+    import corpus_pipeline
+
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    before = d
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, before, "/root/testdata/sf0.001")
+        if name != "packing":
+            assert out.columns == d.columns
+            out.write.parquet(str(tmp_path / name))
+            before = spark.read.parquet(str(tmp_path / name))
+        else:
+            assert out.agg(F.sum("length")).first()[0] >= before.count()
+    for df in (docs, empty):
+        for name, stage in corpus_pipeline.STAGES:
+            stage(spark, df, "/root/testdata/sf0.001").count()
+
+
+def test_registered():
+    assert sorted(QUERIES) == sorted(q for q in QUERIES if re.match(r"op\d+_", q)) and len(QUERIES) == 10
