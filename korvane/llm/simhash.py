@@ -3,8 +3,10 @@
 Fingerprints of whole texts are compared only inside buckets. With ``cut`` (64 bits, a small radius) the bits are cut into
 parts, and two fingerprints within ``radius`` bits share all but ``radius`` of the parts: each choice of shared
 parts is one bucket key, and no link is lost. With ``band`` (wide fingerprints, a large radius) each run of ``band``
-bits is a key; at 256 bits, a radius of 45 and bands of 12, texts that share 0.8 of their shingles differ in
-39 bits on average and share one of the 21 bands with probability 0.96, unrelated texts differ in 128.
+bits is a key, and the first ``MEASURED`` words are compared. At 1024 bits, bands of 18 and a radius of 45 in 256 bits, texts
+that share 0.8 of their shingles differ in 39 of these on average, unrelated ones in 128, and they share one of the
+56 bands with probability 0.95; a bucket then holds about one unrelated text for each 262,144 documents. A corpus of
+very many more documents wants wider bands and more words.
 Inside a bucket the fingerprints lie as vertical bit planes; a plane at a time updates the distances of 64 lanes a word in
 carry-save counters, and a block is abandoned once all its lanes are beyond the radius. Equal fingerprints are
 one vertex. A large bucket is cut into chunks and compared chunk pair by chunk pair in many tasks. Each block returns
@@ -31,6 +33,8 @@ from pyspark.sql import types as T
 
 from korvane.llm.common import Stages, batches, partitions, prepare, text_bytes, whole_text
 
+#: Words of a wide fingerprint whose bits are compared; all of them give bucket keys.
+MEASURED = 4
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.BinaryType())])
 KEYS = T.StructType([T.StructField("t", T.LongType()), T.StructField("key", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("v", T.LongType())])
@@ -47,6 +51,14 @@ def _mixed(h: np.ndarray, word: int) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _bit_counts(h: np.ndarray) -> np.ndarray:
+    """How many of the words have each bit, high bits first; counted in bytes, 255 rows at a time."""
+    bits = np.unpackbits(h.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    whole = len(bits) // 255 * 255
+    out = bits[whole:].sum(axis=0, dtype=np.uint8).astype(np.int64)
+    return out + bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
+
+
 def fingerprint(text: bytes, shingle: int = 3, words: int = 1, seed: int = 42) -> bytes:
     """Bits set in over half of the hashes of the word shingles, repeats included; 8 bytes a word, high bits first."""
     ws = text.lower().split()
@@ -60,7 +72,7 @@ def fingerprint(text: bytes, shingle: int = 3, words: int = 1, seed: int = 42) -
     for i in range(0, n, step):
         h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[i : i + step], ends[i : i + step], strict=True)), np.uint64, min(step, n - i))
         for w in range(words):
-            counts[w] += np.unpackbits(_mixed(h, w).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            counts[w] += _bit_counts(_mixed(h, w))
     return np.packbits(2 * counts > n).tobytes()
 
 
@@ -98,8 +110,9 @@ def _keyed(words: int, radius: int, cut: int, band: int):
                 keys = list((bits.astype(np.int64) << np.arange(band)).sum(axis=2).T)
             else:
                 keys = [(fp[:, 0] & np.uint64(m)).view(np.int64) for m in masks]
+            shown = pa.array([x[: 8 * MEASURED] for x in b.column(1).to_pylist()], pa.binary())
             for t, key in enumerate(keys):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t)), pa.array(np.ascontiguousarray(key)), b.column(1), b.column(0)], names=KEYS.names)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(fp), t)), pa.array(np.ascontiguousarray(key)), shown, b.column(0)], names=KEYS.names)
 
     return run
 
@@ -262,10 +275,10 @@ def links(vertices: DataFrame, radius: int = 2, words: int = 1, cut: int = 4, ba
     if not band and not (0 < radius < cut and words == 1):
         raise ValueError("cut must be over the radius, the radius over 0, and the fingerprint one word")
     rows = vertices.select("v", "fp").mapInArrow(_keyed(words, radius, 0 if band else cut, band), KEYS)
-    shared = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1")
-    inside = rows.join(shared, ["t", "key"])
+    large = rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > chunk)
     # a bucket of c > 1 chunks: member chunk i takes part in the pairs (i, j), one task's block each
-    chunks = F.ceil(F.col("n") / chunk).cast("int")
+    inside = rows.join(large, ["t", "key"], "left")
+    chunks = F.ceil(F.coalesce("n", F.lit(1)) / chunk).cast("int")
     own = F.pmod(F.xxhash64("v"), chunks).cast("int")
     pairs = F.when(chunks == 1, F.array(F.lit(0).cast("long"))).otherwise(
         F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.least(own, j).cast("long") * (1 << 31) + F.greatest(own, j))
@@ -273,7 +286,7 @@ def links(vertices: DataFrame, radius: int = 2, words: int = 1, cut: int = 4, ba
     blocks = inside.select("t", "key", F.explode(pairs).alias("pair"), "fp", "v")
     blocks = blocks.select(F.xxhash64("t", "key", "pair").alias("k1"), F.xxhash64("key", "pair", "t").alias("k2"), "fp", "v")
     dealt = blocks.repartition(partitions(vertices.sparkSession), "k1", "k2").sortWithinPartitions("k1", "k2")
-    return dealt.mapInArrow(_compare(radius, words), LINKS)
+    return dealt.mapInArrow(_compare(radius, min(words, MEASURED)), LINKS)
 
 
 def components(edges: DataFrame, stages: Stages) -> DataFrame:
@@ -308,10 +321,10 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, words: i
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of similar texts, that of the smallest doc_id: 256 bits over 5-word shingles, 0.8 of them shared.
+    """``docs`` with one document of each group of similar texts, that of the smallest doc_id: 1024 bits over 5-word shingles, 0.8 of them shared.
 
     Rows that repeat a doc_id stay or go together; rows without doc_id, and those alone in their group, stay.
     """
-    found = near_duplicates(docs.where("doc_id is not null"), radius=45, shingle=5, words=4, band=12)
+    found = near_duplicates(docs.where("doc_id is not null"), radius=45, shingle=5, words=16, band=18)
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
