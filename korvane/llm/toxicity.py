@@ -50,8 +50,8 @@ def _fragments(word: bytes) -> list[bytes]:
     return [w[:i] for i in range(len(EDGE) + 3, min(len(w), len(EDGE) + 14) + 1)]
 
 
-def _document_counts(texts: list[bytes]) -> Counter:
-    """Documents a fragment occurs in, by words in triples that no document before had."""
+def _document_counts(texts: list[bytes], only: set[bytes] | None = None) -> Counter:
+    """Documents a fragment occurs in, by words in triples that no document before had; of ``only`` these fragments."""
     seen: set[int] = set()
     out: Counter = Counter()
     for t in texts:
@@ -60,7 +60,7 @@ def _document_counts(texts: list[bytes]) -> Counter:
             if (h := hash(triple)) not in seen:
                 seen.add(h)
                 own.add(triple[1])
-        out.update({f for w in own for f in _fragments(w)})
+        out.update({f for w in own for f in _fragments(w) if only is None or f in only})
     return out
 
 
@@ -131,13 +131,14 @@ class Model:
 
 def _train(texts: list[bytes], y: np.ndarray, sizes: tuple[tuple[int, int], ...]) -> Iterator[tuple[Model, np.ndarray]]:
     toxic, plain = [t for t, v in zip(texts, y, strict=True) if v], [t for t, v in zip(texts, y, strict=True) if not v]
-    a, b, na, nb = _document_counts(toxic), _document_counts(plain), len(toxic), len(plain)
+    a, na, nb = {f: n for f, n in _document_counts(toxic).items() if n >= 3}, len(toxic), len(plain)
+    b = _document_counts(plain, set(a))
 
     def ratio(f: bytes) -> float:
         p, q = a[f], b[f]
         return 2 * (p * math.log(p * (na + nb) / ((p + q) * na)) + (q * math.log(q * (na + nb) / ((p + q) * nb)) if q else 0))
 
-    marked = {f: r for f in a if a[f] >= 3 and a[f] / na > 2 * (b[f] + 1) / nb and (r := ratio(f)) >= 20}
+    marked = {f: r for f in a if a[f] / na > 2 * (b[f] + 1) / nb and (r := ratio(f)) >= 20}
     shuffle = random.Random(1).shuffle
     found = [max(c, key=lambda f: (marked[f], len(f))) for t in toxic for w in sorted(set(words(t))) if (c := [f for f in _fragments(w) if f in marked])]
     usual = [EDGE + w + EDGE for t in plain for w in sorted(set(words(t)))]
