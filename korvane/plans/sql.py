@@ -8,12 +8,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
-SPARK = {"epoch": "unix_timestamp", "json": "get_json_object", "split": "split", "at": "element_at", "explode": "explode", "rx": "regexp_like", "sort": "array_sort", "list": "collect_list", "size": "size", "day": "to_date", "distinct": "array_distinct", "both": "array_intersect", "rxall": "regexp_extract_all", "join": "array_join", "range": "sequence", "has": "array_contains", "monthday": "day"}
-DUCK = {"epoch": "epoch", "json": "json_extract_string", "split": "string_split", "at": "list_extract", "explode": "unnest", "rx": "regexp_matches", "sort": "list_sort", "list": "list", "size": "len", "day": "date", "distinct": "list_distinct", "both": "list_intersect", "rxall": "regexp_extract_all", "join": "array_to_string", "range": "generate_series", "has": "list_contains", "monthday": "day"}
+SPARK = {"epoch": "unix_timestamp", "json": "get_json_object", "split": "split", "at": "element_at", "explode": "explode", "rx": "regexp_like", "sort": "array_sort", "list": "collect_list", "size": "size", "day": "to_date", "distinct": "array_distinct", "both": "array_intersect", "rxall": "regexp_extract_all", "join": "array_join", "range": "sequence", "has": "array_contains", "monthday": "day"} | {"filter": "filter", "map": "transform", "lx": "x ->", "g": "", "b": "\\\\b", "sha": "sha2", "bits": ", 256", "bround": "bround", "array": "array", "cat": "concat", "unaccent": "translate", "folds": ", 'àâäáãåçéèêëíìîïñóòôöõúùûüýÿ', 'aaaaaaceeeeiiiinooooouuuuyy'"}
+DUCK = {"epoch": "epoch", "json": "json_extract_string", "split": "string_split", "at": "list_extract", "explode": "unnest", "rx": "regexp_matches", "sort": "list_sort", "list": "list", "size": "len", "day": "date", "distinct": "list_distinct", "both": "list_intersect", "rxall": "regexp_extract_all", "join": "array_to_string", "range": "generate_series", "has": "list_contains", "monthday": "day"} | {"filter": "list_filter", "map": "list_transform", "lx": "lambda x:", "g": ", 'g'", "b": "\\b", "sha": "sha256", "bits": "", "bround": "round_even", "array": "list_value", "cat": "list_concat", "unaccent": "strip_accents", "folds": ""}
 
 
 #: Counters that Spark gives as int and the other engine as bigint.
-LONGS = {"place", "last_fiscal", "threshold", "ordinal"}
+LONGS = {"place", "last_fiscal", "threshold", "ordinal", "amount"}
 
 
 def _filtered(text: str) -> str:
