@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-K1, B, FUSE, LEG = 1.2, 0.75, 60, 40
+K1, B, FUSE, LEG, RERANK = 1.2, 0.75, 60, 40, 20
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,6 +75,62 @@ def diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("slot", F.row_number().over(w)).where("slot <= 10").select("item_id", "doc_id", "slot")
 
 
+def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, doc_id, score): fused scores spread over 0.40 to 0.95 within a question; 1.0 where all are equal."""
+    w = Window.partitionBy("item_id")
+    low, span = F.min("score").over(w), F.max("score").over(w) - F.min("score").over(w)
+    return hybrid(spark, sf_dir).select("item_id", "doc_id", quantised(F.when(span == 0, 1.0).otherwise(0.40 + 0.55 * (F.col("score") - low) / span)).alias("score"))
+
+
+def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, doc_id, slot): the first RERANK places fused anew with a second ranking, which counts more; later places keep their order. Document ids stand in for the injected model."""
+    second = Window.partitionBy("item_id").orderBy(F.desc(F.col("doc_id") * 37 % 101), "doc_id")
+    head = bm25(spark, sf_dir).where(F.col("place") <= RERANK).withColumn("again", F.row_number().over(second))
+    head = head.select("item_id", "doc_id", "place", (F.floor((1.0 / (FUSE + F.col("place")) + 1.0 / (10 + F.col("again"))) * 1e9 + 0.5) / 1e9).alias("fresh"))
+    slot = Window.partitionBy("item_id").orderBy(F.desc("fresh"), "place")
+    tail = bm25(spark, sf_dir).where(F.col("place") > RERANK).select("item_id", "doc_id", F.col("place").alias("slot"))
+    return head.select("item_id", "doc_id", F.row_number().over(slot).alias("slot")).union(tail)
+
+
+def _scores(spark: SparkSession, sf_dir: str, vectors: DataFrame) -> DataFrame:
+    """Scores of each question's own vector against ``vectors``; questions are a stated set."""
+    v = vectors.select(F.col("vec_id").alias("doc_id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
+    own = _read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("q"))
+    mine = _read(spark, sf_dir, "benchmark").select("item_id").join(own, F.col("item_id") == F.col("vec_id")).select("item_id", "q")
+    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
+    return v.crossJoin(mine).select("item_id", "doc_id", "label", quantised(dot).alias("score"))
+
+
+def filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, doc_id, score, place): the filter comes before the choice of the nearest."""
+    return _best(_scores(spark, sf_dir, _read(spark, sf_dir, "embeddings").where("label = 3")).drop("label"))
+
+
+def best_children(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, label, score, slot): the best child of each parent, and the five best parents of each question."""
+    best = _scores(spark, sf_dir, _read(spark, sf_dir, "embeddings")).groupBy("item_id", "label").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "label")
+    return best.withColumn("slot", F.row_number().over(w)).where("slot <= 5")
+
+
+def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, label, score, margin, decision): the nearest of at most 8 exemplars a label; abstains under a score or margin."""
+    eight = Window.partitionBy("label").orderBy("vec_id")
+    few = _read(spark, sf_dir, "embeddings").withColumn("r", F.row_number().over(eight)).where("r <= 8")
+    by_label = _scores(spark, sf_dir, few).groupBy("item_id", "label").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "label")
+    ranked = by_label.withColumn("r", F.row_number().over(w)).withColumn("margin", quantised(F.col("score") - F.lead("score").over(w)))
+    decision = F.when((F.col("score") < 0.3) | (F.col("margin") < 0.02), "clarify").otherwise("route")
+    return ranked.where("r = 1").select("item_id", "label", "score", "margin", decision.alias("decision"))
+
+
+def target_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(item_id, target_rank): one more than the vectors strictly nearer than the target, the vector of the next id."""
+    s = _scores(spark, sf_dir, _read(spark, sf_dir, "embeddings"))
+    goal = s.where("doc_id = item_id + 1").select("item_id", F.col("score").alias("goal"))
+    return s.join(goal, "item_id").groupBy("item_id").agg((F.count(F.when(F.col("score") > F.col("goal"), 1)) + 1).alias("target_rank"))
+
+
 _KEYWORD = """
 d AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]', ' ', 'g'), ' '), lambda t: length(t) > 1) AS ts FROM documents),
 ask AS (SELECT item_id, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]', ' ', 'g'), ' '), lambda t: length(t) > 1)[1:6])) AS token FROM benchmark),
@@ -101,3 +157,22 @@ SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY s
 e AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id % 50 ORDER BY place) AS turn, min(place) OVER (PARTITION BY item_id, doc_id % 50) AS lead_place FROM kw)
 SELECT item_id, doc_id, slot FROM (SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY turn, lead_place) AS INTEGER) AS slot FROM e) WHERE slot <= 10""",
 }
+
+_ALL = """
+s AS (SELECT b.item_id, e.vec_id AS doc_id, e.label, floor(list_sum(list_transform(list_zip(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(m.embedding, lambda x: CAST(x AS DOUBLE))), lambda p: p[1] * p[2])) * 1e6 + 0.5) / 1e6 AS score FROM benchmark b JOIN embeddings m ON m.vec_id = b.item_id CROSS JOIN embeddings e)"""
+_PLACED = "CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, {}) AS INTEGER)"
+QUERIES |= {"w06_normalised": normalised, "w07_reranked": reranked, "t02_filtered_knn": filtered_knn, "w10_best_children": best_children, "n10_exemplars": exemplars, "z19_target_rank": target_rank}
+ORACLES |= {
+    "w06_normalised": f"WITH h AS ({ORACLES['w05_hybrid']}) SELECT item_id, doc_id, floor((CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE 0.40::DOUBLE + 0.55::DOUBLE * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END) * 1e6 + 0.5) / 1e6 AS score FROM h WINDOW w AS (PARTITION BY item_id)",
+    "w07_reranked": f"""WITH {_KEYWORD},
+a AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id * 37 % 101 DESC, doc_id) AS again FROM kw WHERE place <= {RERANK}),
+f AS (SELECT item_id, doc_id, place, floor((1.0::DOUBLE / (60 + place) + 1.0::DOUBLE / (10 + again)) * 1e9 + 0.5) / 1e9 AS fresh FROM a)
+SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY fresh DESC, place) AS INTEGER) AS slot FROM f UNION ALL SELECT item_id, doc_id, place FROM kw WHERE place > {RERANK}""",
+    "t02_filtered_knn": f"WITH {_ALL} SELECT * FROM (SELECT item_id, doc_id, score, {_PLACED.format('doc_id')} AS place FROM s WHERE label = 3) WHERE place <= {LEG}",
+    "w10_best_children": f"WITH {_ALL}, c AS (SELECT item_id, label, max(score) AS score FROM s GROUP BY ALL) SELECT * FROM (SELECT *, {_PLACED.format('label')} AS slot FROM c) WHERE slot <= 5",
+    "n10_exemplars": f"""WITH {_ALL}, e8 AS (SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= 8),
+c AS (SELECT item_id, label, max(score) AS score FROM s WHERE doc_id IN (SELECT vec_id FROM e8) GROUP BY ALL),
+r AS (SELECT *, {_PLACED.format('label')} AS r, floor((score - lead(score) OVER (PARTITION BY item_id ORDER BY score DESC, label)) * 1e6 + 0.5) / 1e6 AS margin FROM c)
+SELECT item_id, label, score, margin, CASE WHEN score < 0.3 OR margin < 0.02 THEN 'clarify' ELSE 'route' END AS decision FROM r WHERE r = 1""",
+    "z19_target_rank": f"WITH {_ALL}, g AS (SELECT item_id, score AS goal FROM s WHERE doc_id = item_id + 1) SELECT item_id, 1 + count(*) FILTER (WHERE score > goal) AS target_rank FROM s JOIN g USING (item_id) GROUP BY item_id",
+}

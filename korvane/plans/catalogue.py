@@ -6,13 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from korvane.functions import scalars, texts
+from korvane.functions import fuzzy, scalars, texts
 from korvane.operators import assembly, relational, retrieval
 from korvane.plans.sql import oracle, query
-from korvane.streaming import limits
+from korvane.streaming import limits, matches
 
 _TEXTS = relational.SQL | assembly.SQL | scalars.SQL | texts.SQL
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: query(v) for k, v in _TEXTS.items()} | retrieval.QUERIES | limits.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {k: query(v) for k, v in _TEXTS.items()} | retrieval.QUERIES | limits.QUERIES | fuzzy.QUERIES | matches.QUERIES
 ORACLES: dict[str, str] = {k: oracle(v) for k, v in _TEXTS.items()} | retrieval.ORACLES
 
 
