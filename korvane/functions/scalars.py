@@ -20,7 +20,7 @@ SQL: dict[str, str] = {
     "e16_scores_valid": "SELECT o_orderkey, o_totalprice >= 0 AND o_totalprice <= 300000 AS valid FROM {orders}",
     "e17_last_vote": "SELECT user_id, event_type FROM (SELECT user_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM {events}) t WHERE r = 1",
     "e21_stratified": ctes(Q) + "SELECT mode, id FROM (SELECT mode, id, row_number() OVER (PARTITION BY mode ORDER BY md5(CAST(id AS STRING) || ':7'), id) AS r FROM q) t WHERE r <= 10",
-    "e23_calibration": ctes(Q) + f"SELECT id, {r6('1e0 * sum(CASE WHEN confidence >= 50 THEN 1 ELSE 0 END) OVER w / row_number() OVER w')} AS precision_so_far FROM q WHERE confidence IS NOT NULL WINDOW w AS (ORDER BY confidence DESC, id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
+    "e23_calibration": ctes(Q) + f", cuts AS (SELECT confidence, count(*) AS n, count_if(topic IS NOT NULL) AS good FROM q WHERE confidence IS NOT NULL GROUP BY confidence) SELECT confidence, CAST(sum(n) OVER w AS BIGINT) AS covered, {r6('1e0 * sum(good) OVER w / sum(n) OVER w')} AS precision_so_far FROM cuts WINDOW w AS (ORDER BY confidence DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)",
     "r07_sessions": "SELECT user_id, CAST(session AS BIGINT) AS session, count(*) AS turns, min(event_id) AS first_event FROM (SELECT user_id, event_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS session FROM (SELECT user_id, event_id, CASE WHEN CAST(floor(@epoch(ts)) AS BIGINT) - CAST(floor(@epoch(lag(ts) OVER (PARTITION BY user_id ORDER BY event_id))) AS BIGINT) <= 3600 THEN 0 ELSE 1 END AS fresh FROM {events}) a) b GROUP BY user_id, session",
     "z01_own_scores": "SELECT o_custkey, o_orderkey, o_totalprice FROM {orders} WHERE o_orderpriority = '1-URGENT' AND o_orderstatus = 'F'",
     "z06_home_faculty": ctes(PEOPLE) + "SELECT org_id, id, title FROM people WHERE category = 'faculty' AND title <> 'Lecturer'",

@@ -89,7 +89,7 @@ SQL: dict[str, str] = {
     "u04_survival_guard": ctes(VERSIONS) + "SELECT p.natural_key FROM prev p ANTI JOIN fresh f ON f.natural_key = p.natural_key ANTI JOIN fresh g ON g.h = p.h",
     "u05_keyed_union": ctes(VERSIONS) + "SELECT natural_key, h FROM prev UNION ALL SELECT f.natural_key, f.h FROM fresh f ANTI JOIN prev p ON p.natural_key = f.natural_key",
     "u06_content_dedup": "SELECT page_id, url FROM (SELECT page_id, url, row_number() OVER (PARTITION BY sha1(html) ORDER BY length(url), url, page_id) AS r FROM {pages}) t WHERE r = 1",
-    "u08_stale_duplicates": ctes(DOCS) + ", titled AS (SELECT id, source, md5(text) AS h, substr(text, 1, 24) AS title FROM docs) SELECT a.id AS a, b.id AS b FROM titled a JOIN titled b ON a.title = b.title AND a.source < b.source AND a.h <> b.h",
+    "u08_stale_duplicates": ctes(DOCS) + ", titled AS (SELECT id, source, md5(text) AS h, substr(text, 1, 24) AS title FROM docs WHERE text IS NOT NULL), g AS (SELECT title, source, h, count(*) AS n FROM titled GROUP BY title, source, h), t AS (SELECT title, sum(n) AS n FROM g GROUP BY title HAVING count(*) > 1), s AS (SELECT title, source, sum(n) AS n FROM g GROUP BY title, source), k AS (SELECT title, h, sum(n) AS n FROM g GROUP BY title, h) SELECT x.id FROM titled x JOIN t ON t.title = x.title JOIN s ON s.title = x.title AND s.source = x.source JOIN k ON k.title = x.title AND k.h = x.h JOIN g ON g.title = x.title AND g.source = x.source AND g.h = x.h WHERE t.n - s.n - k.n + g.n > 0",
     "u09_coverage_diff": ctes(VERSIONS) + "SELECT coalesce(p.natural_key, f.natural_key) AS natural_key, CASE WHEN f.natural_key IS NULL THEN 'missing' WHEN p.natural_key IS NULL THEN 'new' WHEN p.h <> f.h THEN 'changed' ELSE 'same' END AS verdict FROM prev p FULL OUTER JOIN fresh f ON f.natural_key = p.natural_key",
     "u11_idempotent": ctes(POSTS) + "SELECT min(post_id) AS post_id, dedup_key FROM (SELECT post_id, 'source:auto:' || sha1(status || '|' || CAST(l_linenumber AS STRING)) AS dedup_key FROM delivery) t GROUP BY dedup_key",
     # hierarchy
