@@ -3,10 +3,12 @@
 Fingerprints of whole texts are compared only inside buckets. With ``cut`` (64 bits, a small radius) the bits are cut into
 parts, and two fingerprints within ``radius`` bits share all but ``radius`` of the parts: each choice of shared
 parts is one bucket key, and no link is lost. With ``band`` (wide fingerprints, a large radius) each run of ``band``
-bits is a key, and the first ``MEASURED`` words are compared. At 1024 bits, bands of 18 and a radius of 45 in 256 bits, texts
-that share 0.8 of their shingles differ in 39 of these on average, unrelated ones in 128, and they share one of the
-56 bands with probability 0.95; a bucket then holds about one unrelated text for each 262,144 documents. A corpus of
-very many more documents wants wider bands and more words.
+bits is a key, and the first ``MEASURED`` words are compared.
+``keep_one`` takes fingerprints over distinct shingles and these only pick candidates: at 1024 bits, bands of 16 and a radius of
+62 in 256 bits, texts of many shingles with a Jaccard similarity of 0.8 differ in 39 of these on average, unrelated ones in 128, and
+they share one of the 64 bands with probability 0.99. Texts linked so, directly or through others, are then compared by their
+whole shingle sets, and only links of a similarity of 0.8 and more count. A bucket holds about one unrelated text for each 65,536
+documents; a corpus of very many more documents wants wider bands and more words.
 Inside a bucket the fingerprints lie as vertical bit planes; a plane at a time updates the distances of 64 lanes a word in
 carry-save counters, and a block is abandoned once all its lanes are beyond the radius. Equal fingerprints are
 one vertex. A large bucket is cut into chunks and compared chunk pair by chunk pair in many tasks. Each block returns
@@ -35,9 +37,14 @@ from korvane.llm.common import Stages, batches, partitions, prepare, text_bytes,
 
 #: Words of a wide fingerprint whose bits are compared; all of them give bucket keys.
 MEASURED = 4
+#: Rows found without links in a large block before the others without links are sought together.
+LONERS = 8
+#: The least Jaccard similarity of 5-word shingles that makes two texts copies, as a fraction.
+SHARE, WHOLE = 4, 5
 ONE, ALL = np.uint64(1), np.uint64(0xFFFFFFFFFFFFFFFF)
 PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.BinaryType())])
 KEYS = T.StructType([T.StructField("t", T.LongType()), T.StructField("key", T.LongType()), T.StructField("fp", T.BinaryType()), T.StructField("v", T.LongType())])
+SETS = T.StructType([*PRINTS.fields, T.StructField("kind", T.BinaryType())])
 LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
@@ -59,21 +66,30 @@ def _bit_counts(h: np.ndarray) -> np.ndarray:
     return out + bits[:whole].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
 
 
-def fingerprint(text: bytes, shingle: int = 3, words: int = 1, seed: int = 42) -> bytes:
-    """Bits set in over half of the hashes of the word shingles, repeats included; 8 bytes a word, high bits first."""
+def _hashes(text: bytes, shingle: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the word shingles in order; a text of fewer words is one shingle, one without words has none."""
     ws = text.lower().split()
     if not ws:
-        return bytes(8 * words)
+        return np.zeros(0, np.uint64)
     n = max(1, len(ws) - shingle + 1)
     last = np.cumsum(np.fromiter(map(len, ws), np.int64, len(ws)) + 1) - 1
     starts, ends = [0, *(last[: n - 1] + 1).tolist()], last[len(ws) - n :].tolist()
     joined, digest = b" ".join(ws), xxhash.xxh64_intdigest
+    return np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts, ends, strict=True)), np.uint64, n)
+
+
+def _majority(h: np.ndarray, words: int) -> bytes:
+    """Bits set in over half of the hashes; 8 bytes a word, high bits first."""
     counts, step = np.zeros((words, 64), np.int64), 1 << 14
-    for i in range(0, n, step):
-        h = np.fromiter((digest(joined[a:b], seed) for a, b in zip(starts[i : i + step], ends[i : i + step], strict=True)), np.uint64, min(step, n - i))
+    for i in range(0, len(h), step):
         for w in range(words):
-            counts[w] += _bit_counts(_mixed(h, w))
-    return np.packbits(2 * counts > n).tobytes()
+            counts[w] += _bit_counts(_mixed(h[i : i + step], w))
+    return np.packbits(2 * counts > len(h)).tobytes()
+
+
+def fingerprint(text: bytes, shingle: int = 3, words: int = 1, seed: int = 42) -> bytes:
+    """Bits set in over half of the hashes of the word shingles, repeats included; 8 bytes a word, high bits first."""
+    return _majority(_hashes(text, shingle, seed), words)
 
 
 def _prints(shingle: int, words: int):
@@ -174,12 +190,21 @@ def forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     left = np.zeros(words * 64, np.uint8)
     left[:n] = 1
     left = np.packbits(left, bitorder="little").view("<u8")
-    a, b = [], []
+    a, b, alone = [], [], 0
     while left.any():
+        if alone == LONERS:  # mostly unrelated rows: those without any link go at once
+            index = np.flatnonzero(np.unpackbits(left.view(np.uint8), bitorder="little"))
+            for i in range(0, len(index), 256):
+                rows = index[i : i + 256]
+                hit = near(fp[rows], lanes, left[None, :], radius)
+                lone = rows[np.bitwise_count(hit).sum(axis=1) == 1]
+                np.bitwise_and.at(left, lone // 64, ~(ONE << (lone % 64).astype(np.uint64)))
+            alone += 1
+            continue
         w = int(np.flatnonzero(left)[0])
         root = 64 * w + (int(left[w]) & -int(left[w])).bit_length() - 1
         left[w] &= ~(ONE << np.uint64(root % 64))
-        front = np.array([root])
+        front, before = np.array([root]), len(a)
         while len(front):
             nxt = np.zeros(words, np.uint64)
             for i in range(0, len(front), 256):
@@ -188,6 +213,7 @@ def forest(fp: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
             front = np.flatnonzero(np.unpackbits(nxt.view(np.uint8), bitorder="little"))
             a += [root] * len(front)
             b += front.tolist()
+        alone += alone < LONERS and len(a) == before
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
@@ -320,11 +346,93 @@ def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, words: i
     return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
 
 
+def _set_prints(shingle: int, words: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches(it):
+            sets = [np.unique(_hashes(t, shingle)) for t in text_bytes(b.column(1))]
+            fp, kind = [_majority(h, words) for h in sets], [xxhash.xxh128_digest(h.tobytes()) for h in sets]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array(kind, pa.binary())], names=SETS.names)
+
+    return run
+
+
+def agreeing(sets: list[np.ndarray]) -> tuple[list[int], list[int]]:
+    """A spanning forest, as index pairs, of the sets whose Jaccard similarity is SHARE / WHOLE or more; exact."""
+    size = np.array([len(x) for x in sets])
+    kinds, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    edge = np.append(0, np.cumsum(size))
+    own = [flat[edge[i] : edge[i + 1]] for i in range(len(sets))]
+    mark, left = np.zeros(len(kinds), np.uint8), np.arange(len(sets))
+    a, b = [], []
+    while len(left):
+        root = int(left[0])
+        left, flat, stack = left[1:], flat[size[root] :], [root]
+        while stack and len(left):
+            x = stack.pop()
+            mark[own[x]] = 1
+            shared = np.diff(np.append(0, np.cumsum(mark[flat], dtype=np.int64))[np.append(0, np.cumsum(size[left]))])
+            mark[own[x]] = 0
+            hit = (SHARE + WHOLE) * shared >= SHARE * (size[left] + size[x])
+            if hit.any():
+                new = left[hit].tolist()
+                a, b, stack = a + [root] * len(new), b + new, stack + new
+                left, flat = left[~hit], flat[np.repeat(~hit, size[left])]
+    return a, b
+
+
+def _confirm(shingle: int):
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, v, sets = None, [], []
+
+        def settled() -> Iterator[pa.RecordBatch]:
+            if len(v) > 1:
+                a, b = agreeing(sets)
+                yield pa.RecordBatch.from_arrays([pa.array([v[i] for i in x], pa.int64()) for x in (a, b)], names=LINKS.names)
+
+        for batch in batches(it):
+            for c, p, x, t in zip(*(batch.column(i).to_pylist() for i in range(3)), text_bytes(batch.column(3)), strict=True):
+                if (c, p) != group:
+                    yield from settled()
+                    group, v, sets = (c, p), [], []
+                v.append(x)
+                sets.append(np.unique(_hashes(t, shingle)))
+        yield from settled()
+
+    return run
+
+
+def confirmed(docs: DataFrame, found: DataFrame, stages: Stages, shingle: int, chunk: int = 1024, size: int = 1 << 24) -> DataFrame:
+    """Spanning links (a, b) of exact similarity among the texts of each candidate component; a large one is compared chunk pair by chunk pair."""
+    members = found.select("v", "component").union(found.select(F.col("component").alias("v"), "component").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("v"), whole_text().alias("text"))
+    held = stages.write(texts.join(members, "v").select("component", "v", "text"))
+    sizes = held.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / chunk), F.ceil(F.sum(F.octet_length("text")) / size), F.lit(1)).cast("int").alias("chunks"))
+    own, chunks = F.pmod(F.xxhash64("v"), F.col("chunks")).cast("int"), F.col("chunks")
+    pairs = F.when(chunks == 1, F.array(F.lit(0).cast("long"))).otherwise(
+        F.transform(F.sequence(F.lit(0), chunks - 1), lambda j: F.least(own, j).cast("long") * (1 << 31) + F.greatest(own, j))
+    )
+    blocks = held.join(sizes, "component").select("component", F.explode(pairs).alias("pair"), "v", "text")
+    dealt = blocks.repartition(partitions(docs.sparkSession), "component", "pair").sortWithinPartitions("component", "pair")
+    return dealt.mapInArrow(_confirm(shingle), LINKS)
+
+
+def copies(docs: DataFrame, shingle: int = 5, words: int = 16, radius: int = 62, band: int = 16) -> DataFrame:
+    """doc_id and component_id, the smallest doc_id reachable over texts whose shingle sets have a Jaccard similarity of SHARE / WHOLE or more."""
+    spark = prepare(docs.sparkSession)
+    stages = Stages(spark, "copies")
+    prints = stages.write(docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).mapInArrow(_set_prints(shingle, words), SETS))
+    vertices = stages.write(prints.groupBy("kind").agg(F.min("doc_id").alias("v"), F.min("fp").alias("fp")).where("v is not null"))
+    likely = components(links(vertices, radius, words, 0, band), stages)
+    found = components(confirmed(docs, likely, stages, shingle), stages)
+    named = vertices.join(found, "v", "left").select("kind", F.coalesce("component", "v").alias("component_id"))
+    return prints.join(named, "kind", "left").select("doc_id", "component_id")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` with one document of each group of similar texts, that of the smallest doc_id: 1024 bits over 5-word shingles, 0.8 of them shared.
+    """``docs`` with one document of each group of similar texts, that of the smallest doc_id: at least 0.8 of all their 5-word shingles shared.
 
     Rows that repeat a doc_id stay or go together; rows without doc_id, and those alone in their group, stay.
     """
-    found = near_duplicates(docs.where("doc_id is not null"), radius=45, shingle=5, words=16, band=18)
+    found = copies(docs.where("doc_id is not null"))
     gone = found.where("component_id < doc_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

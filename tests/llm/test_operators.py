@@ -14,6 +14,7 @@ from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
 from korvane.llm import bpe, licenses, lines, media, packing, simhash, suffixes, toxicity, vafile, warc
+from korvane.llm.common import Stages
 from korvane.llm.queries import QUERIES
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `runs` string, `_key` string, `all` string, `tie` long, `key` string"
@@ -254,6 +255,54 @@ def test_keep_one(spark):
     assert got == [0, 1, 3, 4]
 
 
+def _jaccard(a, b, k=5):
+    a, b = ({tuple(x[i : i + k]) for i in range(max(1, len(x) - k + 1))} for x in (a.split(), b.split()))
+    return len(a & b) / len(a | b)
+
+
+def test_keep_one_is_exact(spark):
+    """Links from 0.8 of exact similarity, none below it, and none by equal fingerprints of one repeated shingle."""
+    rnd = random.Random(11)
+    ws = lambda n: ["".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    rows, low, high = [], set(), set()
+    for i in range(120):
+        base = ws(304)
+        cut = 30 if i % 2 else 45  # of 300 shingles, this many of the last differ
+        other = [*base[:-cut], *ws(cut)]
+        j = _jaccard(" ".join(base), " ".join(other))
+        rows += [(2 * i, " ".join(base)), (2 * i + 1, " ".join(other))]
+        (high if j >= 0.8 else low).add(2 * i + 1)
+    filler = " ".join(["again"] * 400)
+    rows += [(1000, f"{' '.join(ws(100))} {filler}"), (1001, f"{' '.join(ws(100))} {filler}")]
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert len(high) == len(low) == 60
+    assert low <= kept and {1000, 1001} <= kept
+    assert len(high & kept) <= 2
+
+
+@pytest.mark.parametrize("chunk", [3, 1024])
+def test_confirmed(spark, chunk):
+    """Large candidate components, cut into chunks, are compared whole."""
+    rnd = random.Random(5)
+    base = [str(rnd.randrange(10**6)) for _ in range(60)]
+    texts = [" ".join([*base[:k], *(f"x{i}" for _ in range(60 - k))]) for i, k in enumerate([60, 58, 57, 55, 40, 39, 60, 20, 54, 59])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = spark.createDataFrame([(i, 0) for i in range(1, len(texts))], "v long, component long")
+    pairs = simhash.confirmed(docs, found, Stages(spark, "confirmed"), 5, chunk).collect()
+    m = np.array([[_jaccard(a, b) >= 0.8 for b in texts] for a in texts])
+    g = np.eye(len(texts), dtype=bool)
+    for r in pairs:
+        g[r["a"], r["b"]] = g[r["b"], r["a"]] = True
+    assert len(_roots(g)) == len(_roots(m)) and len(_roots(g | m)) == len(_roots(m))
+
+
+def test_forest_of_loners():
+    rnd = np.random.default_rng(7)
+    fp = rnd.integers(0, 1 << 63, (300, 4)).astype(np.uint64)
+    fp[200], fp[290], fp[291] = fp[20], fp[100], fp[100]
+    assert set(zip(*map(np.ndarray.tolist, simhash.forest(fp, 62)))) == {(20, 200), (100, 290), (100, 291)}
+
+
 def test_vafile(spark):
     rnd = np.random.default_rng(2)
     v = rnd.normal(size=(400, 16)).astype(np.float32)
