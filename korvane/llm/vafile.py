@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from korvane.llm.common import Stages, batches, prepare
+from korvane.llm.common import Stages, batches, partitions, prepare
 
 BLOCK, CELLS, QUERIES, FIRST = 1024, 256, 1024, 4
 FILE = T.StructType([T.StructField("part", T.LongType()), T.StructField("block", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("cells", T.BinaryType()), T.StructField("marks", T.BinaryType()), T.StructField("exact", T.BinaryType())])
@@ -78,7 +78,9 @@ def _build(dims: int, copies: int):
 
 def build(vectors: DataFrame, dims: int, k: int, scale: int = 1024) -> DataFrame:
     """The file: blocks of ids, cells, marks (least value and step by component) and exact integers."""
-    return valid(vectors, dims, scale).mapInArrow(_build(dims, k + 1), FILE)
+    rows = valid(vectors, dims, scale)
+    # repeats of a row meet in one partition, where they count once; bounds then count each row once
+    return rows.repartition(partitions(rows.sparkSession), "vec_id", "v").mapInArrow(_build(dims, k + 1), FILE)
 
 
 def _scan(queries: np.ndarray, query_ids: np.ndarray, dims: int, k: int):
@@ -166,5 +168,5 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 102
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("query_id", F.col("score").alias("kth"))
     rest = open_.where(F.col("turn") > FIRST * k).join(kth, "query_id").where(F.col("upper") >= F.col("kth")).drop("kth")
-    every = first.unionByName(exact(rest)).distinct()
+    every = first.unionByName(exact(rest))
     return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

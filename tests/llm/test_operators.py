@@ -320,6 +320,18 @@ def test_vafile(spark):
     assert vafile.search(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_vafile_repeated_rows(spark):
+    """Rows that occur again in other partitions take no places."""
+    rnd = np.random.default_rng(4)
+    v = rnd.normal(size=(200, 16)).astype(np.float32)
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
+    thrice = df.repartition(2).unionByName(df.repartition(3)).unionByName(df.repartition(2))
+    ints = np.floor(1024 * v.astype(np.float64)).astype(np.int64)
+    got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vafile.search(thrice, df.where("vec_id % 50 = 0")).collect()}
+    want = {q: sorted((-int(ints[q] @ x), i) for i, x in enumerate(ints) if i != q)[:10] for q in (0, 50, 100, 150)}
+    assert got == {(q, n + 1): (i, -s) for q, w in want.items() for n, (s, i) in enumerate(w)}
+
+
 def test_toxicity(spark, docs, empty):
     bad = ["vermin", "wretch", "fiendish"]
     rows, labels = [], []
