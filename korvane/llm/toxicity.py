@@ -1,25 +1,35 @@
 """Compression-distance classification of toxic text.
 
-Two zstandard dictionaries are trained, one on fragments of toxic text and one on ordinary text. Each word with
-its boundaries is a window; its distance is how many bytes shorter the toxic dictionary makes it. Thresholds on
-these distances give counts and densities a document, and a calibrated logistic curve over them gives the score.
-Fragments that toxic documents share are word beginnings that the log-likelihood ratio marks; copies count once,
-by their word triples. Sizes of the dictionaries are chosen on a part of the labelled rows.
+Two pairs of zstandard dictionaries are trained on labelled texts, in each pair one on toxic and one on ordinary
+text. A window's distance is how many bytes shorter the toxic dictionary makes it than the ordinary one.
 
-Learning takes a bounded sample (``rows``: at most that many labelled documents, a quarter of them toxic at
-most, in hash order); scoring covers every whole text. Windows are the same at every size of corpus.
+* Passage windows are :data:`SPAN` words in a row; their dictionaries are trained on all windows of whole texts.
+* Word windows are one word with its boundaries, spelled out so that lengths tell its beginning apart. Here the toxic
+  dictionary is trained on the parts of words (beginnings and whole words) that occur in more toxic than ordinary
+  texts, by a likelihood-ratio test whose cut-off grows with the number of parts tested; the ordinary one on the words
+  of ordinary texts. Parts that the trainer leaves out are appended, so that rare kinds (a language with few texts) are
+  held like common ones, and so are common ordinary words that resemble a part. The toxic dictionary follows the ordinary one in compression: what it saves is what it adds.
+
+Thresholds on these distances give counts and densities a document, whose weights are calibrated, with equal weight
+for both classes, on texts that the dictionaries were not trained on: halves of the sample take turns. The final
+dictionaries are trained on all of it.
+
+Learning takes a bounded sample: ``rows`` labelled documents at most, a quarter of them toxic at most, in hash order,
+none of over ``longest`` characters. Scoring covers every whole text, with the same windows at every size of corpus.
 
 Defined results: null and empty texts score what no window at all scores; an untrainable sample (no label of
-one kind) gives the constant base rate; labels that are null or of unknown documents are not used; repeated
-rows score alike; an empty table gives no rows; other columns are ignored.
+one kind) gives the constant base rate; labels that are null or of unknown documents are not used; of several texts
+with one doc_id the alphabetically last is learnt from, and all are scored; repeated rows score alike; an empty table
+gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import random
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -34,78 +44,170 @@ from korvane.llm.common import batches, prepare, text_bytes, whole_text
 
 #: Words are runs of letters: capitals A-Z are lowered, other ASCII separates, bytes from 128 are letters.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 else 32 for c in range(256))
-#: A word's boundary in a window. It is long, so that a match across it counts.
-EDGE = b"\x01\x02\x03 "
-STEPS = np.arange(1, 8)
-SIZES = ((512, 4096), (1024, 4096), (1536, 4096), (2048, 4096), (1536, 2048))
-CACHE = 250_000
+#: Bytes that spell a letter in a word window. They follow from all letters up to it, so windows match in beginnings only.
+SPELL = 3
+#: A word's beginning in a window.
+HEAD = bytes(range(1, 13))
+#: Letters (bytes) of a word that word windows tell apart; a longer word counts by its beginning.
+LONGEST = 11
+#: Words of a passage window.
+SPAN = 12
+#: Bytes of the dictionaries: ordinary words, toxic words, passages.
+USUAL, MARKED, PASSAGES = 2048 * SPELL, 4096, 16384
+#: Common ordinary words that the toxic dictionary would shorten: at most so many are appended to the ordinary one.
+CLOSE = 400
+#: Bytes saved by which word windows are told apart.
+DEPTHS = np.array([3, 5, 6, 8, 10, 12])
+CACHE = 300_000
 
 
 def words(text: bytes) -> list[bytes]:
     return text.translate(LETTERS).split()
 
 
-def _fragments(word: bytes) -> list[bytes]:
-    w = EDGE + word + EDGE
-    return [w[:i] for i in range(len(EDGE) + 3, min(len(w), len(EDGE) + 14) + 1)]
+def passages(ws: list[bytes]) -> list[bytes]:
+    return [b" ".join(ws[i : i + SPAN]) for i in range(0, len(ws), SPAN)]
+
+
+def window(word: bytes, whole: bool = True) -> bytes:
+    """A word or, if not ``whole``, a beginning of one, spelled out."""
+    at, out = 0, [HEAD]
+    for letter in word[:LONGEST] + b" " * (whole and len(word) < LONGEST):
+        at = zlib.crc32(b"%c" % letter, at)
+        out.append((at & 0xFFFFFF).to_bytes(SPELL, "little"))
+    return b"".join(out)
+
 
+def _parts(word: bytes) -> list[tuple[bytes, bool]]:
+    """Beginnings of three bytes and more, and the whole word."""
+    return [(word[:i], False) for i in range(3, min(len(word), LONGEST) + 1)] + [(word, True)] * (len(word) < LONGEST)
 
-def _document_counts(texts: list[bytes], only: set[bytes] | None = None) -> Counter:
-    """Documents a fragment occurs in, by words in triples that no document before had; of ``only`` these fragments."""
+
+def _occurrences(texts: list[list[bytes]]) -> Iterator[tuple[int, set[bytes]]]:
+    """Each text's number and words; a word counts where no text before had it between the same neighbours."""
     seen: set[int] = set()
-    out: Counter = Counter()
-    for t in texts:
-        ws, own = words(t), set()
+    for i, ws in enumerate(texts):
+        own = set()
         for triple in zip([b"", *ws], ws, [*ws[1:], b""], strict=False):
             if (h := hash(triple)) not in seen:
                 seen.add(h)
                 own.add(triple[1])
-        out.update({f for w in own for f in _fragments(w) if only is None or f in only})
+        yield i, own
+
+
+def telling_parts(toxic: list[list[bytes]], plain: list[list[bytes]]) -> list[tuple[bytes, bool]]:
+    """The parts that mark toxic texts: always the most significant one, on the words that none before it explains."""
+    na, nb = len(toxic), len(plain)
+
+    def ratio(x: int, y: int) -> float:
+        if x < 3 or x * nb <= 2 * (y + 1) * na:
+            return 0.0
+        return 2 * (x * math.log(x * (na + nb) / ((x + y) * na)) + (y * math.log(y * (na + nb) / ((x + y) * nb)) if y else 0))
+
+    every: Counter = Counter()
+    for _, own in _occurrences(toxic):
+        every.update({p for w in own for p in _parts(w)})
+    cut = 2 * math.log(max(2, len(every)))
+    often, known = {p for p, n in every.items() if n >= 3 and ratio(n, 0) >= cut}, {}
+    holders: dict[tuple[bytes, bool], dict[bytes, tuple[set[int], set[int]]]] = defaultdict(dict)  # part -> word -> its texts
+    for kind, texts in enumerate((toxic, plain)):
+        for i, own in _occurrences(texts):
+            for w in own:
+                if w not in known:
+                    known[w] = (set(), set()) if (parts := [p for p in _parts(w) if p in often]) else None
+                    for p in parts:
+                        holders[p][w] = known[w]
+                if known[w]:
+                    known[w][kind].add(i)
+
+    def worth(p: tuple[bytes, bool]) -> float:
+        x, y = (len(set().union(*(sets[kind] for sets in holders[p].values()))) for kind in (0, 1))
+        return ratio(x, y)
+
+    queue = [(-r, -len(p[0]), p) for p in holders if (r := worth(p)) >= cut]
+    heapq.heapify(queue)
+    out = []
+    while queue:
+        r, n, p = heapq.heappop(queue)
+        if (now := worth(p)) < -r - 1e-9:  # words went to other parts meanwhile
+            if now >= cut:
+                heapq.heappush(queue, (-now, n, p))
+            continue
+        out.append(p)
+        for w in list(holders[p]):
+            for q in _parts(w):
+                holders[q].pop(w, None)
     return out
 
 
-def _dictionary(size: int, pieces: list[bytes]) -> bytes:
+def _dictionary(size: int, pieces: list[bytes], k: int = 32) -> bytes:
+    """A dictionary trained on pieces in random order, a few a sample."""
+    pieces = sorted(pieces)
+    random.Random(1).shuffle(pieces)
     samples = [b"".join(pieces[i : i + 6]) for i in range(0, len(pieces), 6)]
     try:
-        return zstandard.train_dictionary(size, samples, k=32, d=6, level=3).as_bytes()
+        return zstandard.train_dictionary(size, samples, k=k, d=6, level=3).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: they are the dictionary
-        return b"".join(dict.fromkeys(pieces))[-size:] or EDGE
+        return b"".join(dict.fromkeys(pieces))[-size:] or HEAD
 
 
-def _compressor(raw: bytes) -> zstandard.ZstdCompressor:
-    params = zstandard.ZstdCompressionParameters.from_level(9, source_size=64, dict_size=len(raw), min_match=3, write_content_size=False, write_checksum=False, write_dict_id=False)
-    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params)
+def _compressor(raw: bytes, strategy: int) -> Callable[[bytes], bytes]:
+    params = zstandard.ZstdCompressionParameters(
+        window_log=15, chain_log=13, hash_log=13, search_log=6, min_match=4, target_length=256, strategy=strategy,
+        write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
+    )
+    return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress
 
 
-class Windows(dict):
-    """Word -> bytes that the toxic dictionary saves, 0 to 7. Bounded."""
+class Words(dict):
+    """Word -> bytes that the toxic dictionary, put behind the ordinary one, saves. Bounded."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.a, self.b = _compressor(ordinary).compress, _compressor(toxic).compress
+        self.a, self.b = (_compressor(raw + HEAD, zstandard.STRATEGY_BTULTRA2) for raw in (ordinary, ordinary + toxic + HEAD))
 
     def __missing__(self, word: bytes) -> int:
-        w = EDGE + word + EDGE
-        saved = min(7, max(0, len(self.a(w)) - len(self.b(w))))
+        w = window(word)
+        saved = min(int(DEPTHS[-1]), max(0, len(self.a(w)) - len(self.b(w))))
         if len(self) >= CACHE:
             self.clear()
-        if len(word) < 64:
-            self[word] = saved
+        self[word] = saved
         return saved
 
+
+@dataclass
+class Dictionaries:
+    """What distances need: the dictionaries of ordinary and toxic words and passages."""
+
+    words: tuple[bytes, bytes] = (HEAD, HEAD)
+    passages: tuple[bytes, bytes] = (HEAD, HEAD)
+
+
+class Windows:
+    """Distances of a text's windows, summed up as features."""
+
+    def __init__(self, d: Dictionaries):
+        self.word = Words(*d.words)
+        self.a, self.b = (_compressor(raw, zstandard.STRATEGY_FAST) for raw in d.passages)
+
     def features(self, text: bytes) -> np.ndarray:
-        ws = words(text)
-        exact = np.bincount(np.fromiter(map(self.__getitem__, ws), np.int64, len(ws)), minlength=8)[1:]
-        least = exact[::-1].cumsum()[::-1]
+        ws, word = words(text), self.word
+        saved = np.bincount(np.fromiter([word[w[:LONGEST]] for w in ws], np.int64, len(ws)), minlength=DEPTHS[-1] + 1)
+        least = saved[::-1].cumsum()[::-1][DEPTHS]
         density = 200.0 / (len(ws) + 10)
-        return np.concatenate([[1.0], np.log1p(density * least), np.log1p(density * exact), least >= 1, least >= 2])
+        a, b = self.a, self.b
+        gain = np.array([len(a(p)) - len(b(p)) for p in passages(ws)] or [0], float)
+        wide = [np.clip(gain.mean() / 8, -1, 1), np.clip(gain.max() / 16, -1, 1), (gain >= 4).mean()]
+        return np.concatenate([[1.0], np.log1p(density * least), least >= 1, least >= 2, wide])
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 2.0) -> np.ndarray:
+    """Weights of a logistic curve; both classes weigh the same."""
+    each = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (1 - y).sum()))
     w, r = np.zeros(x.shape[1]), np.eye(x.shape[1]) * ridge
     r[0, 0] = 1e-6
-    for _ in range(30):
+    for _ in range(40):
         p = _curve(x @ w)
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + r, x.T @ (p - y) + r @ w)
+        w -= np.linalg.solve((x * (each * p * (1 - p))[:, None]).T @ x + r, x.T @ (each * (p - y)) + r @ w)
     return w
 
 
@@ -115,74 +217,68 @@ def _curve(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """What scoring needs: two dictionaries and the calibrated weights."""
+    """Dictionaries and calibrated weights; without weights every text scores ``base``."""
 
-    ordinary: bytes = EDGE
-    toxic: bytes = EDGE
+    dictionaries: Dictionaries = field(default_factory=Dictionaries)
     weights: list[float] = field(default_factory=list)
     base: float = 0.0
 
     def windows(self) -> Windows:
-        return Windows(self.ordinary, self.toxic)
+        return Windows(self.dictionaries)
 
     def score(self, text: bytes, windows: Windows) -> float:
         return float(_curve(windows.features(text) @ np.array(self.weights))) if self.weights else self.base
 
 
-def _train(texts: list[bytes], y: np.ndarray, sizes: tuple[tuple[int, int], ...]) -> Iterator[tuple[Model, np.ndarray]]:
-    toxic, plain = [t for t, v in zip(texts, y, strict=True) if v], [t for t, v in zip(texts, y, strict=True) if not v]
-    a, na, nb = {f: n for f, n in _document_counts(toxic).items() if n >= 3}, len(toxic), len(plain)
-    b = _document_counts(plain, set(a))
-
-    def ratio(f: bytes) -> float:
-        p, q = a[f], b[f]
-        return 2 * (p * math.log(p * (na + nb) / ((p + q) * na)) + (q * math.log(q * (na + nb) / ((p + q) * nb)) if q else 0))
-
-    marked = {f: r for f in a if a[f] / na > 2 * (b[f] + 1) / nb and (r := ratio(f)) >= 20}
-    shuffle = random.Random(1).shuffle
-    found = [max(c, key=lambda f: (marked[f], len(f))) for t in toxic for w in sorted(set(words(t))) if (c := [f for f in _fragments(w) if f in marked])]
-    usual = [EDGE + w + EDGE for t in plain for w in sorted(set(words(t)))]
-    shuffle(found)
-    shuffle(usual)
-    for kt, ko in sizes:
-        m = Model(_dictionary(ko, usual[:600_000]), _dictionary(kt, found))
-        win = m.windows()
-        x = np.array([win.features(t) for t in texts])
-        m.weights = _logistic(x, y).tolist()
-        yield m, x
-
-
-def fit(texts: list[bytes], labels: list[int], folds: list[int]) -> Model:
-    """Chooses dictionary sizes on one fold of the labelled rows, then learns from all of them."""
+def train(texts: list[bytes], y: np.ndarray) -> Dictionaries:
+    """Both pairs of dictionaries."""
+    split = [words(t) for t in texts]
+    toxic, plain = [w for w, v in zip(split, y, strict=True) if v], [w for w, v in zip(split, y, strict=True) if not v]
+    parts = telling_parts(toxic, plain)
+    pieces = [window(*p) for p in parts]
+    at = {p: i for i, p in reversed(list(enumerate(parts)))}
+    found = [pieces[min(held)] for ws in toxic for w in set(ws) if (held := [at[p] for p in _parts(w) if p in at])]
+    marked = _dictionary(MARKED, found)
+    marked += b"".join(p for p in reversed(pieces) if p not in marked)
+    often = Counter(w for ws in plain for w in set(ws))
+    usual = _dictionary(USUAL, [window(w) for ws in plain for w in set(ws)], 64)
+    saved = Words(usual, marked)
+    close = [w for w, n in often.most_common() if n >= 3 and saved[w[:LONGEST]] >= DEPTHS[0] and not any(p in at for p in _parts(w))]
+    usual += b"".join(window(w) for w in reversed(close[:CLOSE]))
+    wide = tuple(_dictionary(PASSAGES, [p + b" " for ws in kind for p in set(passages(ws))], 48) for kind in (plain, toxic))
+    return Dictionaries((usual, marked), wide)
+
+
+def fit(texts: list[bytes], labels: list[int]) -> Model:
+    """Calibrates on halves in turn, then trains the dictionaries on all texts."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
         return Model(base=float(y.mean()) if len(y) else 0.0)
-    check = np.array(folds) == min(folds)
-    best = SIZES[0]
-    if 0 < y[check].sum() < check.sum() and 0 < y[~check].sum() < (~check).sum():
-        inner, outer = [t for t, c in zip(texts, check, strict=True) if not c], [t for t, c in zip(texts, check, strict=True) if c]
-        losses = []
-        for m, _ in _train(inner, y[~check], SIZES):
-            win = m.windows()
-            p = np.clip([m.score(t, win) for t in outer], 1e-6, 1 - 1e-6)
-            losses.append(-(y[check] * np.log(p) + (1 - y[check]) * np.log(1 - p)).mean())
-        best = SIZES[int(np.argmin(losses))]
-    return next(_train(texts, y, (best,)))[0]
+    half = np.zeros(len(y), bool)
+    for v in (0, 1):
+        half[np.flatnonzero(y == v)[::2]] = True
+    x = np.zeros((len(y), len(Windows(Dictionaries()).features(b""))))
+    for learnt in (half, ~half):
+        win = Windows(train([t for t, k in zip(texts, learnt, strict=True) if k], y[learnt]))
+        for i in np.flatnonzero(~learnt):
+            x[i] = win.features(texts[i])
+    return Model(train(texts, y), _logistic(x, y).tolist())
 
 
 def fold_of(column: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(5))
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000) -> Model:
-    """Fits on at most ``rows`` labelled documents of the folds 1 to 4, taken in hash order."""
+def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000, longest: int = 200_000) -> Model:
+    """Fits on at most ``rows`` labelled documents of the folds 1 to 4 and of ``longest`` characters, in hash order."""
     mine = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = [mine.where(F.col("toxic") == v).orderBy(*order).limit(n) for v, n in ((1, rows // 4), (0, rows - rows // 4))]
     few = picked[0].unionByName(picked[1])
-    got = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).join(F.broadcast(few), "doc_id").select("doc_id", "text", "toxic").collect()  # ``rows`` at most, and their repeats
-    got = sorted({r["doc_id"]: r for r in sorted(got, key=lambda r: r["text"])}.values(), key=lambda r: r["doc_id"])
-    return fit([r["text"].encode() for r in got], [int(r["toxic"]) for r in got], [zlib.crc32(str(r["doc_id"]).encode()) % 5 for r in got])
+    texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).where(F.length("text") <= longest)
+    got = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic")).collect()  # ``rows`` at most
+    got.sort(key=lambda r: r["doc_id"])
+    return fit([r["text"].encode() for r in got], [int(r["toxic"]) for r in got])
 
 
 SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])

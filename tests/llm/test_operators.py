@@ -332,25 +332,48 @@ def test_vafile_repeated_rows(spark):
     assert got == {(q, n + 1): (i, -s) for q, w in want.items() for n, (s, i) in enumerate(w)}
 
 
-def test_toxicity(spark, docs, empty):
-    bad = ["vermin", "wretch", "fiendish"]
-    rows, labels = [], []
-    for i in range(400):
-        ws = ["".join(RND.choice("aeinorst") for _ in range(RND.randint(2, 8))) for _ in range(60)]
+def labelled(n=400):
+    """Texts in two made-up languages; toxic ones hold words that begin with a marker of their language."""
+    rnd, rows, labels = random.Random(8), [], []
+    for i in range(n):
+        rare = i % 8 == 5
+        ws = ["".join(rnd.choice("aeinorst" if not rare else "äuklmw") for _ in range(rnd.randint(2, 8))) for _ in range(60)]
         toxic = i % 3 == 0
         for _ in range(4 * toxic):
-            ws[RND.randrange(60)] = RND.choice(bad)
+            ws[rnd.randrange(60)] = rnd.choice(["vermin", "wretch", "fiendish"]) if not rare else "zgeb" + rnd.choice(["ä", "kul", "mi", "wüm"])
         rows.append((i, " ".join(ws)))
         labels.append((i, 1, int(toxic)))
+    return rows, labels
+
+
+def test_toxicity(spark, docs, empty):
+    rows, labels = labelled()
     labels += [(None, 1, 1), (5, 1, None), (10**9, 1, 1)]
     d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
     m = toxicity.learn(d, l)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(d, m).collect()}
     held = [i for i in range(400) if zlib.crc32(str(i).encode()) % 5 == 0]
-    assert np.mean([(got[i] >= 0.5) == (i % 3 == 0) for i in held]) > 0.95
+    assert np.mean([(got[i] >= 0.5) == (i % 3 == 0) for i in held]) > 0.97
+    assert all(got[i] >= 0.5 for i in held if i % 3 == 0 and i % 8 == 5)  # the rare language too
+    w = m.windows()
+    assert all(abs(got[i] - m.score(t.encode(), w)) < 1e-12 for i, t in rows)  # scores by hand, text by text
     assert toxicity.score(docs, m).where("score between 0 and 1").count() == docs.count() and toxicity.score(empty, m).count() == 0
     assert toxicity.keep_ordinary(docs, m).columns == docs.columns
     assert toxicity.learn(d, l.limit(0)).base == 0.0
+    assert toxicity.learn(d, l, longest=10).base == 0.0  # no text is short enough to learn from
+
+
+def test_toxicity_lengths_by_hand():
+    """Distances are differences of zstd's own lengths; a marker's beginning is saved, an ordinary word is not."""
+    rows, labels = labelled()
+    t, y = [r[1].encode() for r in rows], np.array([r[2] for r in labels], float)
+    d = toxicity.train(t, y)
+    w = toxicity.Words(*d.words)
+    assert min(w[x.encode()[: toxicity.LONGEST]] for x in ("vermin", "wretch", "fiendish", "zgebä", "zgebkul")) >= toxicity.DEPTHS[2]
+    plain = [w[x[: toxicity.LONGEST]] for s, v in zip(t, y, strict=True) if not v for x in toxicity.words(s)]
+    assert np.mean(np.array(plain) >= toxicity.DEPTHS[2]) < 0.01
+    parts = [p for p, _ in toxicity.telling_parts([toxicity.words(s) for s, v in zip(t, y, strict=True) if v], [toxicity.words(s) for s, v in zip(t, y, strict=True) if not v])]
+    assert all(any(x.startswith(p) for p in parts) for x in (b"vermin", b"wretch", b"fiendish", b"zgebmi"))
 
 
 def test_licenses(spark, empty):
