@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import gc
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,21 +45,35 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def _forget(spark: SparkSession, path: str) -> None:
+    """At the end of the driver, when nobody reads the table any more."""
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        _delete(spark, path)
+
+
 class Stages:
     """Tables written between the steps of one operator, in the shared folder.
 
     A written table cuts the lineage: after the loss of an executor the next step rereads it and does not
-    run the steps before it again. ``drop`` deletes tables that no later step reads.
+    run the steps before it again. ``drop`` deletes tables that no later step reads; the rest go when the driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.path, self.n = spark, f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}", 0
+        atexit.register(_forget, spark, self.path)
+
+    def write(self, *parts: DataFrame) -> DataFrame:
+        """One table of all parts, written one after another."""
+        return self.gather(iter(parts))
 
-    def write(self, df: DataFrame) -> DataFrame:
+    def gather(self, parts: Iterator[DataFrame]) -> DataFrame:
+        """One table of all parts; each is written before the next is asked for, so the plan and the driver hold one at a time."""
         self.n += 1
-        path = f"{self.path}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
-        out = self.spark.read.schema(df.schema).parquet(path)
+        path, schema = f"{self.path}/{self.n}", None
+        for df in parts:
+            df.write.mode("append").option("compression", "zstd").parquet(path)
+            schema = df.schema
+        out = self.spark.read.schema(schema).parquet(path)
         out._stage_path = path
         del df
         gc.collect()  # lets Spark's cleaner delete the shuffle files behind the table
@@ -96,8 +110,3 @@ def unpacked(df: DataFrame, names: list[str], changed: dict[str, Column]) -> Dat
 
 def batches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     return (b for b in it if b.num_rows)
-
-
-def uint64s(values: np.ndarray) -> pa.Array:
-    """Unsigned 64-bit words as Spark longs, bit for bit."""
-    return pa.array(np.ascontiguousarray(values).view(np.int64))

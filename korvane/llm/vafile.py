@@ -6,13 +6,14 @@ marks only: cell edges bound each score from both sides, and a vector stays whil
 best lower bound. Exact vectors are then read in order of the upper bound: a first few for each query,
 then, with the kth exact score known, what could still reach it; after that the kth result is certain.
 
-Queries go out in blocks of fixed size, so nothing that is broadcast grows with the data. Of identical vectors in a
-partition only the k + 1 of smallest id enter the file: no others can be among any query's k, ties going to the
-smaller id; this is exact.
+Queries go out in blocks of fixed size, one block's scan at a time, so nothing that is broadcast or held by the driver
+grows with the data. Of identical vectors in a partition only the k + 1 of smallest id enter the file: no others can be
+among any query's k, ties going to the smaller id; this is exact. Repeated rows enter it once, with their number.
 
 Defined results: null vectors, vectors with null or non-finite components or of another length than most, and rows
-without vec_id take no part; identical repeated rows count once, and rows with the query's own vec_id are not its
-candidates; fewer than k candidates give fewer rows; an empty table gives none; other columns are ignored.
+without vec_id take no part; each of several identical rows is a candidate and may take a rank of its own; rows with the
+query's own vec_id are not its candidates; of several queries with one vec_id the least vector is asked; fewer than k
+candidates give fewer rows; an empty table gives none; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,12 +27,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from korvane.llm.common import Stages, batches, partitions, prepare
+from korvane.llm.common import Stages, batches, prepare
 
 BLOCK, CELLS, QUERIES, FIRST = 1024, 256, 1024, 4
-FILE = T.StructType([T.StructField("part", T.LongType()), T.StructField("block", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("cells", T.BinaryType()), T.StructField("marks", T.BinaryType()), T.StructField("exact", T.BinaryType())])
+FILE = T.StructType([T.StructField("part", T.LongType()), T.StructField("block", T.LongType()), T.StructField("ids", T.BinaryType()), T.StructField("cells", T.BinaryType()), T.StructField("marks", T.BinaryType()), T.StructField("times", T.BinaryType()), T.StructField("exact", T.BinaryType())])
 BOUNDS = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("part", T.LongType()), T.StructField("block", T.LongType()), T.StructField("at", T.LongType()), T.StructField("lower", T.DoubleType()), T.StructField("upper", T.DoubleType())])
-FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType())])
+FOUND = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()), T.StructField("score", T.LongType()), T.StructField("times", T.LongType())])
 
 
 def _matrix(column: pa.Array, dims: int) -> np.ndarray:
@@ -48,19 +49,16 @@ def valid(vectors: DataFrame, dims: int, scale: int) -> DataFrame:
 
 def _build(dims: int, copies: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = [(b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1), dims)) for b in batches(it)]
+        got = [(b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1), dims), b.column(2).to_numpy(zero_copy_only=False)) for b in batches(it)]
         if not got:
             return
-        ids, v = (np.concatenate([g[i] for g in got]) for i in range(2))
+        ids, v, times = (np.concatenate([g[i] for g in got]) for i in range(3))
         order = np.lexsort((ids, *v.T[:8]))
-        ids, v = ids[order], np.ascontiguousarray(v[order])
+        ids, v, times = ids[order], np.ascontiguousarray(v[order]), times[order]
         rows = v.view(np.dtype((np.void, v.itemsize * dims))).ravel()
         _, kind = np.unique(rows, return_inverse=True)
         order = np.lexsort((ids, kind))
-        kind, own = kind[order], ids[order]
-        head = np.concatenate([[True], kind[1:] != kind[:-1]])
-        fresh = head | np.concatenate([[True], own[1:] != own[:-1]])  # repeats of a row count once
-        order, kind = order[fresh], kind[fresh]
+        kind = kind[order]
         head = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
         rank = np.arange(len(kind)) - np.repeat(head, np.diff(np.append(head, len(kind))))
         order = np.sort(order[rank < copies])
@@ -71,7 +69,7 @@ def _build(dims: int, copies: int):
             low, high = x.min(axis=0), x.max(axis=0)
             step = np.maximum(1, -(-(high - low + 1) // CELLS))
             cells = ((x - low) // step).astype(np.uint8)
-            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in (ids[pick], cells, np.stack([low, step]), x))], names=FILE.names)
+            yield pa.RecordBatch.from_arrays([pa.array([part], pa.int64()), pa.array([n], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in (ids[pick], cells, np.stack([low, step]), times[pick], x))], names=FILE.names)
 
     return run
 
@@ -79,12 +77,14 @@ def _build(dims: int, copies: int):
 def build(vectors: DataFrame, dims: int, k: int, scale: int = 1024) -> DataFrame:
     """The file: blocks of ids, cells, marks (least value and step by component) and exact integers."""
     rows = valid(vectors, dims, scale)
-    # repeats of a row meet in one partition, where they count once; bounds then count each row once
-    return rows.repartition(partitions(rows.sparkSession), "vec_id", "v").mapInArrow(_build(dims, k + 1), FILE)
+    # repeats of a row are counted, so bounds count each row once
+    return rows.groupBy("vec_id", "v").agg(F.count("*").alias("times")).mapInArrow(_build(dims, k + 1), FILE)
 
 
 def _scan(queries: np.ndarray, query_ids: np.ndarray, dims: int, k: int):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not len(query_ids):
+            return
         q = queries.T.astype(np.float64)
         plus, minus = np.maximum(q, 0), np.minimum(q, 0)
         best = np.full((0, q.shape[1]), -np.inf)
@@ -121,13 +121,14 @@ def _score(dims: int):
 
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches(it):
-            out: list[list] = [[], [], []]
-            for exact, wanted in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                x = np.frombuffer(exact, np.int64).reshape(-1, dims)
+            out: list[list] = [[], [], [], []]
+            for exact, times, wanted in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                x, n = np.frombuffer(exact, np.int64).reshape(-1, dims), np.frombuffer(times, np.int64)
                 for w in wanted:
                     out[0].append(w["query_id"])
                     out[1].append(w["vec_id"])
                     out[2].append(int(x[w["at"]] @ np.array(w["q"], np.int64)))
+                    out[3].append(int(n[w["at"]]))
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=schema)
 
     return run
@@ -142,31 +143,32 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 102
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     file = stages.write(build(vectors, dims, k, scale))
-    asked = stages.write(valid(queries, dims, scale).withColumnRenamed("vec_id", "query_id").dropDuplicates(["query_id"]))
-    blocks = asked.count() // QUERIES + 1
-    dealt = stages.write(asked.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
-    bounds = None
-    for i in range(blocks):  # a block of queries at a time goes to every task; its size doesn't grow with the table
-        rows = dealt.where(F.col("deal") == i).collect()
-        if rows:
-            ids, q = np.array([r["query_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.int64)
-            found = file.select("part", "block", "ids", "cells", "marks").mapInArrow(_scan(q, ids, dims, k), BOUNDS)
-            bounds = found if bounds is None else bounds.unionByName(found)
-    if bounds is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    bounds = stages.write(bounds)
+    every = valid(queries, dims, scale).groupBy("vec_id").agg(F.min("v").alias("v")).withColumnRenamed("vec_id", "query_id")
+    every = stages.write(every)
+    blocks = every.count() // QUERIES + 1
+    asked = stages.write(every.withColumn("deal", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
+
+    def scans() -> Iterator[DataFrame]:  # a block of queries at a time goes to every task; its size doesn't grow with the table
+        for i in range(blocks):
+            rows = asked.where(F.col("deal") == i).collect()
+            ids, q = np.array([r["query_id"] for r in rows], np.int64), np.array([r["v"] for r in rows], np.int64).reshape(-1, dims)
+            yield file.select("part", "block", "ids", "cells", "marks").mapInArrow(_scan(q, ids, dims, k), BOUNDS).withColumn("deal", F.lit(i).cast("long"))
+
+    bounds = stages.gather(scans())
     by_lower = Window.partitionBy("query_id").orderBy(F.desc("lower"))
     floor = bounds.select("query_id", "lower").withColumn("n", F.row_number().over(by_lower)).where(F.col("n") <= k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("lower")).otherwise(F.lit(float("-inf"))).alias("floor"))
-    open_ = bounds.join(floor, "query_id").where("upper >= floor").drop("lower", "floor")
-    open_ = stages.write(open_.withColumn("turn", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id"))))
+    open_ = stages.write(bounds.join(floor, "query_id").where("upper >= floor").drop("lower", "floor"))
+    by_upper = Window.partitionBy("query_id").orderBy(F.desc("upper"), "vec_id", "part", "block", "at")
+    promising = stages.write(open_.withColumn("turn", F.row_number().over(by_upper)).where(F.col("turn") <= FIRST * k).drop("turn"))
 
-    def exact(c: DataFrame) -> DataFrame:
-        wanted = c.join(asked.withColumnRenamed("v", "q"), "query_id").groupBy("part", "block").agg(F.collect_list(F.struct("query_id", "vec_id", "at", "q")).alias("wanted"))
-        return file.join(wanted, ["part", "block"]).select("exact", "wanted").mapInArrow(_score(dims), FOUND)
+    def exact(c: DataFrame) -> DataFrame:  # a block of vectors with a block of queries: neither side of a group grows with the table
+        wanted = c.join(asked.select("query_id", F.col("v").alias("q")), "query_id").groupBy("part", "block", "deal").agg(F.collect_list(F.struct("query_id", "vec_id", "at", "q")).alias("wanted"))
+        return file.join(wanted, ["part", "block"]).select("exact", "times", "wanted").mapInArrow(_score(dims), FOUND)
 
-    first = stages.write(exact(open_.where(F.col("turn") <= FIRST * k)))
+    first = stages.write(exact(promising))
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     kth = first.withColumn("n", F.row_number().over(best)).where(F.col("n") == k).select("query_id", F.col("score").alias("kth"))
-    rest = open_.where(F.col("turn") > FIRST * k).join(kth, "query_id").where(F.col("upper") >= F.col("kth")).drop("kth")
-    every = first.unionByName(exact(rest))
-    return every.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rest = open_.join(kth, "query_id").where(F.col("upper") >= F.col("kth")).drop("kth")
+    rest = rest.join(promising, ["query_id", "part", "block", "at"], "left_anti")
+    found = first.unionByName(exact(rest)).withColumn("copy", F.explode(F.sequence(F.lit(1), F.least("times", F.lit(k)))))
+    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
