@@ -336,14 +336,16 @@ def components(edges: DataFrame, stages: Stages) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, shingle: int = 3, words: int = 1, cut: int = 4, band: int = 0, chunk: int = 8192) -> DataFrame:
-    """doc_id, fp and component_id: the smallest doc_id reachable over fingerprints ``radius`` bits apart or less."""
+    """doc_id, fp and component_id: the smallest doc_id reachable over fingerprints ``radius`` bits apart or less (null where none of them has a doc_id)."""
     spark = prepare(docs.sparkSession)
     stages = Stages(spark, "simhash")
     prints = stages.write(fingerprints(docs, shingle, words))
-    vertices = stages.write(prints.groupBy("fp").agg(F.min("doc_id").alias("v")).where("v is not null"))
+    # fingerprints are linked under numbers of their own: those of rows without doc_id join others too
+    vertices = stages.write(prints.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("v", F.monotonically_increasing_id()))
     found = components(links(vertices, radius, words, cut, band, chunk), stages)
-    named = vertices.join(found, "v", "left").select("fp", F.coalesce("component", "v").alias("component_id"))
-    return prints.join(named, "fp", "left").select("doc_id", "fp", "component_id")
+    named = vertices.join(found, "v", "left").select("fp", "least", F.coalesce("component", "v").alias("c"))
+    names = named.groupBy("c").agg(F.min("least").alias("component_id"))
+    return prints.join(named.join(names, "c").select("fp", "component_id"), "fp", "left").select("doc_id", "fp", "component_id")
 
 
 def _set_prints(shingle: int, words: int):
