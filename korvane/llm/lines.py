@@ -24,9 +24,6 @@ from pyspark.sql import functions as F
 
 from korvane.llm.common import Stages, packed, partitions, unpacked
 
-#: A position is the document's place times LINES plus the line.
-LINES = 1 << 24
-
 
 def _keyed(docs: DataFrame) -> DataFrame:
     """key, doc_id, text and the whole row."""
@@ -37,16 +34,16 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _places(firsts: DataFrame, stages: Stages) -> DataFrame:
-    """key -> place of the document in the order of doc_id: range partitions, sorted each, after the totals of those before."""
+    """key -> place of the document's first line in the order of doc_id: range partitions, sorted each, after the totals of those before."""
     n = partitions(firsts.sparkSession)
     order = [F.col("doc_id").asc_nulls_last(), F.col("key").asc()]
     ranged = stages.write(firsts.repartitionByRange(n, *order).withColumn("pid", F.spark_partition_id()))
-    totals, at, before = ranged.groupBy("pid").count().orderBy("pid").collect(), 0, []  # a row a partition
+    totals, at, before = ranged.groupBy("pid").agg(F.sum("n").alias("count")).orderBy("pid").collect(), 0, []  # a row a partition
     for r in totals:
         before.append((r["pid"], at))
         at += r["count"]
     base = F.broadcast(firsts.sparkSession.createDataFrame(before, "pid int, base long"))
-    own = F.row_number().over(Window.partitionBy("pid").orderBy(*order)) - 1
+    own = F.coalesce(F.sum("n").over(Window.partitionBy("pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return ranged.withColumn("own", own).join(base, "pid").select("key", (F.col("base") + F.col("own")).alias("place"))
 
 
@@ -73,20 +70,20 @@ def _least_runs(lines: DataFrame, min_chars: int) -> DataFrame:
 
 def repeated_runs(docs: DataFrame, min_chars: int, stages: Stages) -> DataFrame:
     """(key, all, runs): what goes from a document; runs are maximal, sorted, as [start, stop) in lines."""
-    exploded = _keyed(docs).select("key", "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("whole"), F.length("text").alias("size"), F.posexplode(F.split("text", "\n", -1)).alias("line", "s"))
-    fits = F.when(F.col("line") < LINES, F.col("line")).otherwise(F.raise_error(F.lit("a document of over 16,777,216 lines")).cast("int"))
-    lines = stages.write(exploded.select("key", "doc_id", "whole", "size", fits.alias("line"), (F.length("s") + 1).cast("long").alias("chars"), F.unhex(F.md5(F.col("s").cast("binary"))).alias("id")))
-    heads = lines.where("line = 0").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("whole").alias("whole"), F.first("size").alias("size"))
+    parted = _keyed(docs).select("key", "doc_id", "text", F.split("text", "\n", -1).alias("parts"))
+    exploded = parted.select("key", "doc_id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("whole"), F.length("text").alias("size"), F.size("parts").alias("n"), F.posexplode("parts").alias("line", "s"))
+    lines = stages.write(exploded.select("key", "doc_id", "whole", "size", "n", "line", (F.length("s") + 1).cast("long").alias("chars"), F.unhex(F.md5(F.col("s").cast("binary"))).alias("id")))
+    heads = lines.where("line = 0").groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("whole").alias("whole"), F.first("size").alias("size"), F.first("n").alias("n"))
     heads = stages.write(heads)
     first_of = heads.groupBy("whole").agg(F.min("doc_id").alias("f"), F.min(F.when(F.col("doc_id").isNull(), F.col("key"))).alias("k"))
     judged = heads.join(first_of, "whole").withColumn("is_first", F.when(F.col("f").isNotNull(), F.col("doc_id").eqNullSafe(F.col("f"))).otherwise(F.col("key") == F.col("k")))
-    judged = stages.write(judged.select("key", "doc_id", "size", "is_first"))
+    judged = stages.write(judged.select("key", "doc_id", "size", "n", "is_first"))
     copies = judged.where(~F.col("is_first") & (F.col("size") + 1 >= min_chars)).select("key")
-    firsts = judged.where("is_first").select("key", "doc_id")
+    firsts = judged.where("is_first").select("key", "doc_id", "n")
     places = stages.write(_places(firsts, stages))
     placed = stages.write(lines.join(places, "key").select("key", "place", "line", "chars", "id"))
     stages.drop(lines)
-    position = F.col("place") * LINES + F.col("line")
+    position = F.col("place") + F.col("line")  # lines of all documents, numbered in order
     least = stages.write(_least_runs(placed, min_chars))
     most = least.agg(F.max("m")).collect()[0][0] or 1
 
