@@ -10,8 +10,8 @@ slice of text. A task sorts one block of whole buckets at a time. Equal slices o
 rest are sorted by their first 31 bytes; longer ties are resolved by ranks of the difference-cover sample
 {1, 5, 11, 24, 25, 27} modulo 31, computed once a block: two suffixes are compared at the first shift that
 brings both into the sample. Neighbours with a common prefix of LENGTH bytes are one class; all but its first
-member are covered. A bucket with more distinct slices than ``most`` is not sorted in one task: its suffixes are dealt out
-over all tasks by 128-bit digests of their LENGTH bytes.
+member are covered. A bucket with more distinct slices than ``most`` is not sorted in one task: it is split by
+the longest prefix there is, all LENGTH bytes of a string, and its parts are dealt out and settled like any bucket.
 
 Defined results: null and empty texts and texts under LENGTH bytes lose nothing; exact copies of a whole text of at
 least LENGTH bytes lose all of it; rows that agree in doc_id and text are one document and are treated alike; of
@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from korvane.llm.common import Stages, batches, packed, partitions, prepare, text_bytes, uint64s, unpacked, whole_text
+from korvane.llm.common import Stages, batches, packed, partitions, prepare, text_bytes, unpacked, whole_text
 
 LENGTH, GRAM = 100, 24
 SPAN = LENGTH - GRAM + 1  # grams in a string
@@ -48,7 +48,6 @@ PARCEL = T.StructType([T.StructField("bucket", T.LongType()), T.StructField("kno
 REPEATED = T.StructType([T.StructField("did", T.LongType()), T.StructField("tie", T.LongType()), *_SLICE.fields])
 SLICES = T.StructType([T.StructField("h", T.LongType()), T.StructField("did", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("s", T.IntegerType()), T.StructField("c", T.IntegerType()), T.StructField("a", T.IntegerType()), T.StructField("text", T.BinaryType())])
 SPANS = T.StructType([T.StructField("did", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType()), T.StructField("rest", T.BinaryType())])
-STRINGS = T.StructType([T.StructField("d1", T.LongType()), T.StructField("d2", T.LongType()), T.StructField("did", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("start", T.IntegerType())])
 CUT = T.StructType([T.StructField("did", T.LongType()), T.StructField("tie", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
 
 
@@ -431,12 +430,20 @@ def _buckets(most: int, block: int = 12_000):
 
 
 def _strings(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Digests of the strings of overfull buckets."""
+    """The strings of overfull buckets as slices of one string each, in buckets by their own bytes. One equal to an earlier string that this task has sent is settled here."""
+    sent: dict[bytes, list[int]] = {}
     for b in batches(it):
         for did, tie, s, c, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
-            data = np.frombuffer(text, np.uint8)
-            d1, d2 = gram_hashes(data, LENGTH)[:c], gram_hashes(data, LENGTH, 0xD6E8FEB86659FD93)[:c]
-            yield pa.RecordBatch.from_arrays([uint64s(d1), uint64s(d2), pa.array(np.full(c, did)), pa.array(np.full(c, tie)), pa.array((s + np.arange(c)).astype(np.int32))], names=STRINGS.names)
+            keys = gram_hashes(np.frombuffer(text, np.uint8), LENGTH)[:c].view(np.int64).tolist()
+            strings: list[bytes | None] = [text[i : i + LENGTH] for i in range(c)]
+            for i, t in enumerate(strings):
+                if sent.setdefault(t, [did, tie, s + i]) < [did, tie, s + i]:
+                    strings[i], keys[i] = None, xxhash.xxh64_intdigest(b"%d,%d,%d" % (did, tie, s + i)) >> 1
+            if len(sent) > 200_000:
+                sent.clear()
+            same = [pa.array([x] * c, k) for x, k in ((did, pa.int64()), (tie, pa.int64()), (1, pa.int32()), (0, pa.int32()))]
+            at = pa.array((s + np.arange(c)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), same[0], same[1], at, same[2], same[3], pa.array(strings, pa.binary())], names=SLICES.names)
 
 
 def _cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -473,10 +480,9 @@ def repeats(docs: DataFrame, most: int = 20_000) -> DataFrame:
     stages.drop(twice)
     dealt = some.mapInArrow(_slices, SLICES).repartition(n, "h").sortWithinPartitions("h", "did", "tie", "s")
     spans = stages.write(dealt.mapInArrow(_buckets(most), SPANS))
-    # buckets too large for one task: their strings by digest
-    strings = spans.where("rest is not null").select("did", "tie", F.col("start").alias("s"), F.col("stop").alias("c"), "rest").mapInArrow(_strings, STRINGS)
-    first = strings.groupBy("d1", "d2").agg(F.min(F.struct("did", "tie", "start")).alias("f"), F.count("*").alias("n")).where("n > 1")
-    more = strings.join(first, ["d1", "d2"]).where("struct(did, tie, start) > f").select("did", "tie", "start", (F.col("start") + LENGTH).alias("stop"))
+    # buckets too large for one task, split by whole strings: equal strings meet, and their bytes are compared
+    large = spans.where("rest is not null").select("did", "tie", F.col("start").alias("s"), F.col("stop").alias("c"), "rest").mapInArrow(_strings, SLICES)
+    more = large.repartition(n, "h").sortWithinPartitions("h", "did", "tie", "s").mapInArrow(_buckets(most), SPANS).select("did", "tie", "start", "stop")
     listed = spans.where("rest is null").select("did", "tie", "start", "stop").unionByName(more).groupBy("did", "tie").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     cut = stages.write(some.dropDuplicates(["did", "tie"]).select("did", "tie", "text").join(listed, ["did", "tie"]).mapInArrow(_cut, CUT))
     whole = copies.select("did", "tie", F.lit(True).alias("whole"))
