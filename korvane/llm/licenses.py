@@ -2,8 +2,7 @@
 
 Texts and templates are lowered and reduced to words of letters and digits with one space between. Hashes of
 all 16-letter grams are winnowed: the least of each 8 in a row is a fingerprint, so a stretch of 23 letters in common
-has one in common. Fingerprints of the templates form the inverted index (their number is bounded by the
-templates, and checked); a text's fingerprints found there propose a template at a place, and each place is settled by
+has one in common. Fingerprints of :data:`TEMPLATES` templates at a time form the inverted index, which is what bounds it; a text's fingerprints found there propose a template at a place, and each place is settled by
 a banded alignment of words, which reports how much of the template is matched, and where.
 
 Defined results: null and empty texts, and texts that match no template, give no rows; each row of a repeated
@@ -12,6 +11,7 @@ document is scanned and reports for itself; an empty table gives no rows; other
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 from collections import defaultdict
@@ -25,23 +25,11 @@ from pyspark.sql import types as T
 
 from korvane.llm.common import batches, prepare, text_bytes, whole_text
 from korvane.llm.suffixes import POSITION, gram_hashes
+from korvane.llm.templates import NOTICES
 
 GRAM, WINDOW, BAND = 16, 8, 6
-MOST_TEMPLATES = 5000
-#: Notices of public licenses, as authors put them into their works.
-NOTICES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
-    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version",
-    "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction",
-    "MIT-line": "Released under the MIT License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-}
+#: Templates of one index; more are scanned for in several turns.
+TEMPLATES = 5000
 KEPT = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 97 <= c <= 122 or 48 <= c <= 57 else 32 for c in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
 FOUND = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("license", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("matched_words", T.LongType()), T.StructField("template_words", T.LongType()), T.StructField("coverage", T.DoubleType())])
@@ -72,8 +60,6 @@ class Index:
     """Fingerprint -> (template, place)."""
 
     def __init__(self, templates: dict[str, str]):
-        if len(templates) > MOST_TEMPLATES:
-            raise ValueError(f"over {MOST_TEMPLATES} templates")
         self.names = sorted(templates)
         self.words = [templates[n].encode().translate(KEPT).split() for n in self.names]
         postings: dict[int, list[tuple[int, int]]] = defaultdict(list)
@@ -116,15 +102,21 @@ class Index:
 
 
 def _widest(found: list[tuple]) -> list[tuple]:
-    """Without a template's weaker finds that overlap its better ones."""
+    """Without a template's weaker finds that overlap its better ones; spans kept of one template never overlap, so only neighbours are asked."""
     out: list[tuple] = []
+    taken: dict[str, tuple[list[int], list[int]]] = defaultdict(lambda: ([], []))
     for f in sorted(found, key=lambda f: (-f[5], f[1], f[0])):
-        if not any(g[0] == f[0] and g[1] < f[2] and f[1] < g[2] for g in out):
+        starts, stops = taken[f[0]]
+        i = bisect.bisect_left(starts, f[2])  # spans before i begin before this one ends
+        if not i or stops[i - 1] <= f[1]:
+            j = bisect.bisect_left(starts, f[1])
+            starts.insert(j, f[1])
+            stops.insert(j, f[2])
             out.append(f)
     return sorted(out, key=lambda f: (f[1], f[0]))
 
 
-@functools.lru_cache(MOST_TEMPLATES)
+@functools.lru_cache(TEMPLATES)
 def _starts(words: tuple[bytes, ...]) -> np.ndarray:
     return np.cumsum([0, *(len(w) + 1 for w in words)])
 
@@ -163,8 +155,12 @@ def align(template: list[bytes], text: list[bytes], begin: int) -> list[int]:
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8) -> DataFrame:
     """A row for each template found in a whole text, with the share of its words matched and the span in bytes."""
     prepare(docs.sparkSession)
-    chosen = NOTICES if templates is None else templates
+    chosen = sorted((NOTICES if templates is None else templates).items())
+    turns = [_scan(docs, dict(chosen[i : i + TEMPLATES]), coverage) for i in range(0, max(1, len(chosen)), TEMPLATES)]
+    return functools.reduce(DataFrame.unionByName, turns)
 
+
+def _scan(docs: DataFrame, chosen: dict[str, str], coverage: float) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(chosen)
         for b in batches(it):
