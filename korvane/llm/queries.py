@@ -21,7 +21,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = warc.audit(warc.replicas(_table(spark, sf_dir, "pages")), [F.col("page_id").asc_nulls_last(), F.col("a")])
+    found = warc.audit(warc.replicas(_table(spark, sf_dir, "pages")), [F.col("page_id"), F.col("a")])
     return found.select("page_id", "offset", "length", "kind")
 
 

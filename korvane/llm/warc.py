@@ -1,13 +1,17 @@
 """WARC fixity audit by Merkle trees.
 
-Pages become WARC records in one ordered byte sequence; a record's offset is the sum of the lengths before it. Leaves hash
-records together with their offset range; a node hashes the hashes of ``fanout`` consecutive nodes below it. Two
-replicas of one layout are compared at the root; only children of mismatching nodes are read, level by level, down to
-the records that differ. All of it is DataFrame operations; a level is a written table, 1 / ``fanout`` of the one below.
-
-Defined results: null urls and pages count as empty; pages without page_id come last in the order; repeated pages are
-records of their own, in the order of their digests; a record that a replica lacks is a leaf without hash; an
-empty table gives no rows and equal roots; other columns are ignored.
+Pages become WARC records in one ordered byte sequence; a record's offset is the sum of the lengths before it. Two
+replicas, each with its own lengths and so its own offsets, are aligned by record key: :func:`paired` gives every
+record that either has one place. Leaves hash a record's place, length and digest; a node hashes the hashes and the
+byte range of ``fanout`` consecutive nodes below it. Ranges are counted from a node's own start, so a longer record
+does not disturb the nodes behind it. Replicas are compared at the root; only children of mismatching nodes are read,
+level by level, down to the records that differ. All of it is DataFrame operations; a level is a written table,
+1 / ``fanout`` of the one below.
+
+Defined results: null urls and pages count as empty; records with a null key come last in the order; of repeated keys
+the nth of one replica meets the nth of the other, in the order of their digests; a record that a replica lacks is a
+leaf without hash and takes no bytes; an empty table gives no rows and equal roots; other columns are passed on, and
+only those named like the report's own (place, offset, offset_b, kind) give way to it.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from korvane.llm.common import Stages, partitions
+from korvane.llm.common import Stages, packed, partitions
 
 
 def record(url: Column, html: Column) -> Column:
@@ -26,32 +30,38 @@ def record(url: Column, html: Column) -> Column:
     return F.concat(head, block, F.lit("\r\n\r\n")).cast("binary")
 
 
-def lay_out(records: DataFrame, stages: Stages, order: list[Column], length: Column) -> DataFrame:
-    """place and offset of each record: ranges of the order, sorted each, after the totals of the ranges before."""
-    spark = records.sparkSession
-    ranged = stages.write(records.repartitionByRange(partitions(spark), *order).withColumn("pid", F.spark_partition_id()).withColumn("length", length))
-    totals = ranged.groupBy("pid").agg(F.count("*").alias("n"), F.sum("length").alias("size")).orderBy("pid").collect()  # a row a partition
-    bases, n, size = [], 0, 0
-    for r in totals:
-        bases.append((r["pid"], n, size))
-        n, size = n + r["n"], size + r["size"]
-    base = F.broadcast(spark.createDataFrame(bases, "pid int, n0 long, size0 long"))
-    before = Window.partitionBy("pid").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    placed = ranged.withColumn("n1", F.count("*").over(before)).withColumn("size1", F.coalesce(F.sum("length").over(before), F.lit(0)))
-    return placed.join(base, "pid").withColumn("place", F.col("n0") + F.col("n1")).withColumn("offset", F.col("size0") + F.col("size1")).drop("pid", "n0", "n1", "size0", "size1")
+def lay_out(records: DataFrame, stages: Stages, order: list[Column], lengths: dict[str, Column]) -> DataFrame:
+    """_row, place and, for each of ``lengths``, the sum of it before the record: ranges of the order, sorted each, after the totals of the ranges before."""
+    spark, names = records.sparkSession, list(lengths)
+    keyed = records.select(packed(records), *(c.alias(f"l{i}") for i, c in enumerate(lengths.values())), F.struct(*(F.struct(c.isNull().alias("none"), c.alias("value")) for c in order)).alias("o"))
+    ranged = stages.write(keyed.repartitionByRange(partitions(spark), "o").withColumn("pid", F.spark_partition_id()))
+    sums = [F.count("*").alias("n"), *(F.sum(f"l{i}").alias(f"s{i}") for i in range(len(names)))]
+    bases, at = [], [0] * (len(names) + 1)
+    for r in ranged.groupBy("pid").agg(*sums).orderBy("pid").collect():  # a row a partition
+        bases.append((r["pid"], *at))
+        at = [x + y for x, y in zip(at, list(r)[1:], strict=True)]
+    base = F.broadcast(spark.createDataFrame(bases, ", ".join(["pid int", "b long", *(f"b{i} long" for i in range(len(names)))])))
+    before = Window.partitionBy("pid").orderBy("o").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ranged.withColumn("n", F.count("*").over(before))
+    for i in range(len(names)):
+        placed = placed.withColumn(f"s{i}", F.coalesce(F.sum(f"l{i}").over(before), F.lit(0)))
+    own = [(F.col(f"b{i}") + F.col(f"s{i}")).alias(n) for i, n in enumerate(names)]
+    return placed.join(base, "pid").select("_row", (F.col("b") + F.col("n")).alias("place"), *own)
 
 
 class Tree:
-    """Levels of (node, hash), leaves first."""
+    """Levels of (node, hash, size), leaves (place, length, digest) first."""
 
     def __init__(self, leaves: DataFrame, stages: Stages, fanout: int = 16):
-        own = F.sha2(F.concat_ws("|", F.col("place"), F.col("offset"), F.col("length"), F.coalesce("digest", F.lit("-"))), 256)
-        self.fanout, self.levels = fanout, [stages.write(leaves.select(F.col("place").alias("node"), own.alias("hash")))]
+        own = F.sha2(F.concat_ws("|", F.col("place"), F.col("length"), F.coalesce("digest", F.lit("-"))), 256)
+        self.fanout, self.levels = fanout, [stages.write(leaves.select(F.col("place").alias("node"), own.alias("hash"), F.col("length").alias("size")))]
         n = self.levels[0].count()
         while n > 1:
             children = F.array_sort(F.collect_list(F.struct("node", "hash")))  # fanout at most
             joined = F.array_join(F.transform(children, lambda c: c["hash"]), "")
-            self.levels.append(stages.write(self.levels[-1].groupBy(F.floor(F.col("node") / fanout).cast("long").alias("parent")).agg(F.sha2(joined, 256).alias("hash")).withColumnRenamed("parent", "node")))
+            above = F.floor(F.col("node") / fanout).cast("long").alias("parent")
+            grouped = self.levels[-1].groupBy(above).agg(F.sha2(F.concat_ws("|", joined, F.sum("size")), 256).alias("hash"), F.sum("size").alias("size"))
+            self.levels.append(stages.write(grouped.withColumnRenamed("parent", "node")))
             n = -(-n // fanout)
 
     def root(self) -> str:
@@ -63,29 +73,50 @@ def mismatches(a: Tree, b: Tree, stages: Stages) -> DataFrame:
     """Leaves (node) that differ between two trees of one layout, found from the root down."""
     spark = a.levels[0].sparkSession
     nothing = spark.createDataFrame([], "node long")
-    if len(a.levels) != len(b.levels):
-        raise ValueError("replicas of different layouts")
     if a.root() == b.root():
         return nothing
     bad = None
     for x, y in zip(reversed(a.levels), reversed(b.levels), strict=True):
         if bad is not None:
             x, y = (t.withColumn("parent", F.floor(F.col("node") / a.fanout).cast("long")).join(bad, F.col("parent") == F.col("up"), "left_semi").drop("parent") for t in (x, y))
-        both = x.join(y.withColumnRenamed("hash", "other"), "node", "full_outer")
+        both = x.select("node", "hash").join(y.select("node", F.col("hash").alias("other")), "node", "full_outer")
         found = stages.write(both.where(~F.col("hash").eqNullSafe(F.col("other"))).select("node"))
         bad = found.withColumnRenamed("node", "up")
     return bad.withColumnRenamed("up", "node")
 
 
+def paired(a: DataFrame, b: DataFrame, key: list[str]) -> DataFrame:
+    """key, length, length_b, a, b: the records of two replicas (key, length, digest), one row for each that either holds."""
+
+    def numbered(t: DataFrame, digest: str, length: str) -> DataFrame:
+        nth = F.row_number().over(Window.partitionBy(*key).orderBy("digest"))
+        return t.select(*key, nth.alias("nth"), F.col("digest").alias(digest), F.col("length").alias(length))
+
+    x, y = numbered(a, "a", "length").alias("x"), numbered(b, "b", "length_b").alias("y")
+    same = F.lit(True)
+    for c in [*key, "nth"]:
+        same &= F.col(f"x.{c}").eqNullSafe(F.col(f"y.{c}"))
+    both = x.join(y, same, "full_outer")
+    return both.select(*(F.coalesce(f"x.{c}", f"y.{c}").alias(c) for c in key), F.coalesce("x.length", F.lit(0)).alias("length"), F.coalesce("y.length_b", F.lit(0)).alias("length_b"), "a", "b")
+
+
 def audit(records: DataFrame, order: list[Column], fanout: int = 16) -> DataFrame:
-    """Records (all columns, with place, offset and kind) whose digests ``a`` and ``b`` in two replicas differ; kind is lost or damaged, seen from ``a``."""
+    """Records (all columns, with place, offset, offset_b and kind) whose digests ``a`` and ``b`` in two replicas differ; kind is lost, added or damaged, seen from ``a``.
+
+    ``length`` is a record's length in ``a``, ``length_b``, where there is such a column, its length in ``b``. ``order``
+    holds columns in ascending order, nulls last.
+    """
     stages = Stages(records.sparkSession, "warc")
-    placed = stages.write(lay_out(records, stages, order, F.col("length")))
-    leaves = placed.select("place", "offset", "length", "a", "b")
-    trees = [Tree(leaves.withColumn("digest", F.col(c)), stages, fanout) for c in ("a", "b")]
+    other = F.col("length_b") if "length_b" in records.columns else F.when(F.col("b").isNull(), 0).otherwise(F.col("length"))
+    placed = stages.write(lay_out(records, stages, order, {"offset": F.col("length").cast("long"), "offset_b": other.cast("long")}))
+    row = F.col("_row")
+    lengths = (row["length"], row["length_b"] if "length_b" in records.columns else F.when(row["b"].isNull(), 0).otherwise(row["length"]))
+    trees = [Tree(placed.select("place", n.cast("long").alias("length"), row[c].alias("digest")), stages, fanout) for c, n in zip(("a", "b"), lengths, strict=True)]
     bad = mismatches(*trees, stages)
-    kind = F.when(F.col("b").isNull(), "lost").when(F.col("a").isNull(), "added").otherwise("damaged")
-    return placed.join(bad, placed["place"] == bad["node"], "left_semi").withColumn("kind", kind)
+    kind = F.when(row["b"].isNull(), "lost").when(row["a"].isNull(), "added").otherwise("damaged")
+    told = ("place", "offset", "offset_b")
+    found = placed.join(bad, placed["place"] == bad["node"], "left_semi")
+    return found.select(*(row[c].alias(c) for c in records.columns if c not in (*told, "kind")), *told, kind.alias("kind"))
 
 
 def replicas(pages: DataFrame) -> DataFrame:
