@@ -231,7 +231,48 @@ def test_simhash_kernels():
         a, b = simhash.small_blocks(fp[:, None], start, np.diff(np.append(start, len(fp))), r)
         assert set(zip(a.tolist(), b.tolist())) == {(x, y) for x, y in zip(*map(np.ndarray.tolist, np.nonzero(d <= r))) if x > y and x // 10 == y // 10}
         a, b = simhash.forest(fp[:, None], r)
-        assert all(d[x, y] <= r or True for x, y in zip(a, b)) and len(a) == len(fp) - len(_roots(d <= r))
+        assert len(a) == len(fp) - len(_roots(d <= r))
+        near, joined = d <= r, np.zeros_like(d, bool)
+        joined[a, b] = joined[b, a] = True
+        assert len(_roots(joined)) == len(_roots(near)) == len(_roots(near | joined))  # same components, no link across them
+
+
+def test_simhash_bridge_without_id(spark):
+    """A fingerprint that only rows without doc_id have still joins others."""
+    rnd = random.Random(4)
+    ws = ["".join(rnd.choice("abcdefgh") for _ in range(5)) for _ in range(500)]
+    texts = []
+    for _ in range(300):
+        own = list(ws)
+        own[rnd.randrange(500)] = "other"
+        texts.append(" ".join(own))
+    fp = [int.from_bytes(simhash.fingerprint(t.encode()), "big") for t in texts]
+    near = lambda x, y: bin(x ^ y).count("1") <= 2
+    a, b, c = next((i, j, k) for i in range(300) for k in range(300) if near(fp[i], fp[k]) for j in range(300) if near(fp[k], fp[j]) and not near(fp[i], fp[j]))
+    for bridge, want in ((5, {9: 1, 1: 1, 5: 1}), (None, {9: 1, 1: 1, None: 1})):
+        d = spark.createDataFrame([(9, texts[a]), (1, texts[b]), (bridge, texts[c])], "doc_id long, text string")
+        assert {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(d).collect()} == want
+    d = spark.createDataFrame([(None, texts[a]), (None, texts[c])], "doc_id long, text string")
+    assert {r["component_id"] for r in simhash.near_duplicates(d).collect()} == {None}
+
+
+def test_near_copies_recall(spark):
+    """Pairs of texts whose 5-word shingles are 0.8 alike or more, and pairs just under it, against exact similarity."""
+    rnd = random.Random(11)
+    rows, alike = [], {}
+    for p in range(240):
+        ws = ["".join(rnd.choice("abcdefghijkl") for _ in range(6)) for _ in range(rnd.choice([30, 80, 300]))]
+        own = list(ws)
+        for _ in range(rnd.randint(1, max(1, len(ws) // 45))):
+            own[rnd.randrange(len(ws))] = "changed"
+        sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (ws, own)]
+        alike[p] = len(sets[0] & sets[1]) / len(sets[0] | sets[1])
+        rows += [(2 * p, " ".join(ws)), (2 * p + 1, " ".join(own))]
+    found = {r["doc_id"]: r["component_id"] for r in simhash.copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {p for p in alike if found[2 * p] == found[2 * p + 1]}
+    near, far = {p for p, j in alike.items() if j >= 0.8}, {p for p, j in alike.items() if j < 0.8}
+    assert len(near) > 60 and len(far) > 20
+    assert len(near & linked) >= 0.9 * len(near) and not far & linked
 
 
 def _roots(m):
@@ -321,17 +362,31 @@ def test_vafile(spark):
 
 
 def test_vafile_repeated_rows(spark):
-    """Rows that occur again in other partitions take no places."""
+    """Each of several identical rows is a candidate; they don't disturb the bounds."""
     rnd = np.random.default_rng(4)
     v = rnd.normal(size=(200, 16)).astype(np.float32)
     df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<float>")
     thrice = df.repartition(2).unionByName(df.repartition(3)).unionByName(df.repartition(2))
     ints = np.floor(1024 * v.astype(np.float64)).astype(np.int64)
     got = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in vafile.search(thrice, df.where("vec_id % 50 = 0")).collect()}
-    want = {q: sorted((-int(ints[q] @ x), i) for i, x in enumerate(ints) if i != q)[:10] for q in (0, 50, 100, 150)}
+    want = {q: sorted((-int(ints[q] @ x), i) for i, x in enumerate(ints) if i != q for _ in range(3))[:10] for q in (0, 50, 100, 150)}
     assert got == {(q, n + 1): (i, -s) for q, w in want.items() for n, (s, i) in enumerate(w)}
 
 
+def test_vafile_clashes(spark):
+    """Clashing names, two vectors under one vec_id, fewer candidates than k."""
+    rows = [(i, [float(i), 1.0], "x", 7) for i in range(6)] + [(3, [9.0, 9.0], "y", 8), (4, [4.0, 1.0], "z", 9)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, part string, times long")
+    got = [(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in vafile.search(df, df.where("vec_id in (0, 3)")).collect()]
+    at = [(i, [int(1024 * c) for c in v]) for i, v, *_ in rows]
+    asked = {0: [0, 1024], 3: [3072, 1024]}  # of the two vectors of 3 the least is asked
+    want = []
+    for q, x in asked.items():
+        best = sorted((-(x[0] * v[0] + x[1] * v[1]), i) for i, v in at if i != q)[:10]
+        want += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    assert sorted(got) == sorted(want)
+
+
 def labelled(n=400):
     """Texts in two made-up languages; toxic ones hold words that begin with a marker of their language."""
     rnd, rows, labels = random.Random(8), [], []
@@ -390,18 +445,82 @@ def test_licenses(spark, empty):
     assert licenses.scan(empty).count() == 0
 
 
+def test_license_families(spark):
+    """Members of a family are told apart, and each whole template finds itself in full."""
+    t = licenses.NOTICES
+    rows = [(i, f"header\n{t[n]}\nfooter") for i, n in enumerate(sorted(t))]
+    got = {}
+    for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(sorted(t)[r["doc_id"]], {})[r["license"]] = r["coverage"]
+    assert all(got[n][n] == 1.0 for n in t)
+    assert "BSD-3-Clause" not in got["BSD-2-Clause"] or got["BSD-2-Clause"]["BSD-3-Clause"] < 1.0
+    assert "BSD-3-Clause-endorsement" not in got["BSD-2-Clause"] and "BSD-3-Clause-endorsement" in got["BSD-3-Clause"]
+    assert {x for x, c in got["GPL-2.0-notice"].items() if c == 1.0} == {"GPL-2.0-notice"}
+
+
+def test_licenses_against_plain_search(spark):
+    """Verbatim templates at known places among random words, repeats and clashing names: the scan reports each place."""
+    rnd, t = random.Random(9), {k: v for k, v in licenses.NOTICES.items() if k in ("MIT-line", "CC0-1.0", "Zlib", "EPL-2.0")}
+    rows, want = [], []
+    for i in range(60):
+        parts, held = [], []
+        for _ in range(rnd.randint(0, 4)):
+            parts.append(" ".join("".join(rnd.choice("abcdefgh") for _ in range(6)) for _ in range(rnd.randint(8, 60))))
+            name = rnd.choice(sorted(t))
+            parts.append(t[name])
+            held.append(name)
+        text = "\n".join(parts)
+        rows.append((i, text, "x", 3))
+        at = 0
+        for name in held:
+            at = text.index(t[name], at)
+            want.append((i, name, at, at + len(t[name].rstrip("."))))
+            at += 1
+    rows.append(rows[1])
+    want += [w for w in want if w[0] == 1]
+    got = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string, license string, coverage long"), t, 1.0).collect()
+    assert sorted((r["doc_id"], r["license"], r["start"], r["stop"]) for r in got) == sorted(want)
+
+
+def test_license_spans_sweep():
+    rnd = random.Random(2)
+    found = [("a" if rnd.random() < 0.5 else "b", s, s + rnd.randint(1, 9), 1, 1, rnd.choice([0.8, 0.9, 1.0])) for s in (rnd.randrange(300) for _ in range(200))]
+    want = []
+    for f in sorted(found, key=lambda f: (-f[5], f[1], f[0])):
+        if not any(g[0] == f[0] and g[1] < f[2] and f[1] < g[2] for g in want):
+            want.append(f)
+    assert licenses._widest(found) == sorted(want, key=lambda f: (f[1], f[0]))
+
+
 def test_warc(spark):
     rows = [(i, f"http://x/{i}", f"<p>{i}</p>" * (i % 7)) for i in range(300)] + [(None, None, None), (3, "http://x/3", "<p>3</p>" * 3)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
-    got = warc.audit(warc.replicas(pages), [F.col("page_id").asc_nulls_last(), F.col("a")], fanout=4).collect()
+    got = warc.audit(warc.replicas(pages), [F.col("page_id"), F.col("a")], fanout=4).collect()
     assert {(r["page_id"], r["kind"]) for r in got} == {(7, "lost"), (110, "damaged"), (207, "damaged"), (13, "damaged")}
     by = {r["page_id"]: r for r in got}
     assert by[7]["offset"] == sum(r["length"] for r in warc.replicas(pages).where("page_id < 7").collect())
     same = warc.replicas(pages).withColumn("b", F.col("a"))
-    assert warc.audit(same, [F.col("page_id").asc_nulls_last(), F.col("a")]).count() == 0
+    assert warc.audit(same, [F.col("page_id"), F.col("a")]).count() == 0
     assert warc.audit(warc.replicas(pages.limit(0)), [F.col("page_id")]).count() == 0
 
 
+def test_warc_two_tables(spark, tmp_path):
+    """Replicas with layouts of their own: added, lost, longer and repeated records, clashing names, a very long page."""
+    rnd = random.Random(6)
+    a = [(i, f"u{i}", rnd.randint(1, 50), hashlib.md5(b"%d" % i).hexdigest()) for i in range(200)] + [(None, None, 5, "n"), (7, "u7", 9, "again"), (500, "long", 40_000_000_000, "x")]
+    b = [r for r in a if r[0] not in (20, 150)] + [(1000, "new", 8, "m"), (50, "u50", 3, "p")]
+    b = [(r[0], r[1], r[2] + 11, "changed") if r[0] == 90 else r for r in b]
+    schema = "page_id long, url string, length long, digest string"
+    rows = warc.paired(spark.createDataFrame(a, schema), spark.createDataFrame(b, schema), ["page_id", "url"])
+    rows = rows.withColumn("pid", F.lit("mine")).withColumn("n1", F.lit(1)).withColumn("place", F.lit(-1))
+    got = {(r["page_id"], r["kind"]): r for r in warc.audit(rows, [F.col("page_id"), F.col("url"), F.coalesce("a", "b")], fanout=4).collect()}
+    assert set(got) == {(20, "lost"), (150, "lost"), (1000, "added"), (50, "added"), (90, "damaged")}
+    for side, name in ((a, "offset"), (b, "offset_b")):
+        before = lambda k: sum(r[2] for r in side if r[0] is not None and r[0] < k)  # noqa: B023, E731
+        assert all(got[x][name] == before(x[0]) for x in got if x != (50, "added"))
+    assert {r["pid"] for r in got.values()} == {"mine"}
+
+
 def test_pipeline(spark, docs, empty, tmp_path):
     import corpus_pipeline
 
