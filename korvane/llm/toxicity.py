@@ -8,14 +8,15 @@ text. A window's distance is how many bytes shorter the toxic dictionary makes i
   dictionary is trained on the parts of words (beginnings and whole words) that occur in more toxic than ordinary
   texts, by a likelihood-ratio test whose cut-off grows with the number of parts tested; the ordinary one on the words
   of ordinary texts. Parts that the trainer leaves out are appended, so that rare kinds (a language with few texts) are
-  held like common ones, and so are common ordinary words that resemble a part. The toxic dictionary follows the ordinary one in compression: what it saves is what it adds.
+  held like common ones, and so are beginnings that ordinary words share with a part. The toxic dictionary follows the ordinary one in compression: what it saves is what it adds.
 
 Thresholds on these distances give counts and densities a document, whose weights are calibrated, with equal weight
 for both classes, on texts that the dictionaries were not trained on: halves of the sample take turns. The final
 dictionaries are trained on all of it.
 
 Learning takes a bounded sample: ``rows`` labelled documents at most, a quarter of them toxic at most, in hash order,
-none of over ``longest`` characters. Scoring covers every whole text, with the same windows at every size of corpus.
+none of over ``longest`` characters; a dictionary is trained on ``pieces`` windows of these at most, drawn evenly.
+Scoring covers every whole text, with the same windows at every size of corpus.
 
 Defined results: null and empty texts score what no window at all scores; an untrainable sample (no label of
 one kind) gives the constant base rate; labels that are null or of unknown documents are not used; of several texts
@@ -54,11 +55,11 @@ LONGEST = 11
 SPAN = 12
 #: Bytes of the dictionaries: ordinary words, toxic words, passages.
 USUAL, MARKED, PASSAGES = 2048 * SPELL, 4096, 16384
-#: Common ordinary words that the toxic dictionary would shorten: at most so many are appended to the ordinary one.
-CLOSE = 400
 #: Bytes saved by which word windows are told apart.
-DEPTHS = np.array([3, 5, 6, 8, 10, 12])
-CACHE = 300_000
+DEPTHS = np.array([5, 6, 8, 10, 12])
+#: Windows that a dictionary is trained on.
+PIECES = 40_000
+CACHE = 200_000
 
 
 def words(text: bytes) -> list[bytes]:
@@ -83,46 +84,71 @@ def _parts(word: bytes) -> list[tuple[bytes, bool]]:
     return [(word[:i], False) for i in range(3, min(len(word), LONGEST) + 1)] + [(word, True)] * (len(word) < LONGEST)
 
 
-def _occurrences(texts: list[list[bytes]]) -> Iterator[tuple[int, set[bytes]]]:
-    """Each text's number and words; a word counts where no text before had it between the same neighbours."""
-    seen: set[int] = set()
-    for i, ws in enumerate(texts):
-        own = set()
-        for triple in zip([b"", *ws], ws, [*ws[1:], b""], strict=False):
-            if (h := hash(triple)) not in seen:
-                seen.add(h)
-                own.add(triple[1])
-        yield i, own
+class Corpus:
+    """Labelled texts as numbers of their distinct words."""
 
+    def __init__(self, texts: list[bytes], y: np.ndarray):
+        number: dict[bytes, int] = {}
+        self.texts, self.y = texts, y
+        self.ids = [np.array([number.setdefault(w, len(number)) for w in words(t)], np.int32) for t in texts]
+        self.words = list(number)
 
-def telling_parts(toxic: list[list[bytes]], plain: list[list[bytes]]) -> list[tuple[bytes, bool]]:
-    """The parts that mark toxic texts: always the most significant one, on the words that none before it explains."""
-    na, nb = len(toxic), len(plain)
+    def pairs(self, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(text, word) of the picked texts; a word counts where no text before had it between the same neighbours."""
+        size = np.array([len(self.ids[i]) for i in pick], np.int64)
+        flat = np.concatenate([self.ids[i] for i in pick]) if len(pick) else np.zeros(0, np.int32)
+        own = np.repeat(np.arange(len(pick), dtype=np.int64), size)
+        edge = np.flatnonzero(np.diff(own)) + 1
+        before, after = np.append(-1, flat[:-1]), np.append(flat[1:], -1)
+        before[edge], after[edge - 1] = -1, -1
+        key = sum((x.astype(np.uint64) + np.uint64(2)) * np.uint64(m) for x, m in ((before, 0x9E3779B97F4A7C15), (flat, 0xC2B2AE3D27D4EB4F), (after, 0x165667B19E3779F9)))
+        first = np.unique(key, return_index=True)[1]
+        found = np.unique(own[first] * len(self.words) + flat[first])
+        return found // len(self.words), found % len(self.words)
+
+
+def telling_parts(c: Corpus, pick: np.ndarray) -> list[tuple[bytes, bool]]:
+    """The parts that mark toxic texts among the picked ones: always the most significant, on the words that none before it explains."""
+    kinds = [pick[c.y[pick] == 1], pick[c.y[pick] == 0]]
+    na, nb = map(len, kinds)
+    (ta, wa), (tb, wb) = map(c.pairs, kinds)
 
     def ratio(x: int, y: int) -> float:
         if x < 3 or x * nb <= 2 * (y + 1) * na:
             return 0.0
         return 2 * (x * math.log(x * (na + nb) / ((x + y) * na)) + (y * math.log(y * (na + nb) / ((x + y) * nb)) if y else 0))
 
-    every: Counter = Counter()
-    for _, own in _occurrences(toxic):
-        every.update({p for w in own for p in _parts(w)})
-    cut = 2 * math.log(max(2, len(every)))
-    often, known = {p for p, n in every.items() if n >= 3 and ratio(n, 0) >= cut}, {}
-    holders: dict[tuple[bytes, bool], dict[bytes, tuple[set[int], set[int]]]] = defaultdict(dict)  # part -> word -> its texts
-    for kind, texts in enumerate((toxic, plain)):
-        for i, own in _occurrences(texts):
-            for w in own:
-                if w not in known:
-                    known[w] = (set(), set()) if (parts := [p for p in _parts(w) if p in often]) else None
-                    for p in parts:
-                        holders[p][w] = known[w]
-                if known[w]:
-                    known[w][kind].add(i)
+    distinct = np.unique(wa)
+    cut = 2 * math.log(max(2, LONGEST * len(distinct)))
+    # words that a part of them which is common enough could mark, by ever longer beginnings
+    alive, often = distinct, set()
+    for n in range(3, LONGEST + 2):  # the last round is that of whole words
+        number: dict[tuple[bytes, bool], int] = {}
+        part = np.full(len(c.words), -1, np.int64)
+        for i in alive.tolist():
+            w = c.words[i]
+            if p := (w[:n], False) if n <= LONGEST and len(w) >= n else (w, True) if n > LONGEST and len(w) < LONGEST else None:
+                part[i] = number.setdefault(p, len(number))
+        held = part[wa] >= 0
+        count = np.bincount(np.unique(ta[held] * (len(number) + 1) + part[wa[held]]) % (len(number) + 1), minlength=len(number))
+        good = np.array([ratio(int(x), 0) >= cut for x in count[: len(number)]], bool)
+        often |= {p for p, i in number.items() if good[i]}
+        if n <= LONGEST:
+            alive = np.array([i for i in (alive.tolist() if n < LONGEST else distinct.tolist()) if n == LONGEST or part[i] >= 0 and good[part[i]]], np.int64)
+    holders: dict[tuple[bytes, bool], dict[int, tuple[set[int], set[int]]]] = defaultdict(dict)  # part -> word -> its texts
+    known: dict[int, tuple[set[int], set[int]] | None] = {}
+    for kind, (texts, own) in enumerate(((ta, wa), (tb, wb))):
+        for i, w in zip(texts.tolist(), own.tolist(), strict=True):
+            if w not in known:
+                held = [p for p in _parts(c.words[w]) if p in often]
+                known[w] = (set(), set()) if held else None
+                for p in held:
+                    holders[p][w] = known[w]
+            if known[w]:
+                known[w][kind].add(i)
 
     def worth(p: tuple[bytes, bool]) -> float:
-        x, y = (len(set().union(*(sets[kind] for sets in holders[p].values()))) for kind in (0, 1))
-        return ratio(x, y)
+        return ratio(*(len(set().union(*(sets[kind] for sets in holders[p].values()))) for kind in (0, 1)))
 
     queue = [(-r, -len(p[0]), p) for p in holders if (r := worth(p)) >= cut]
     heapq.heapify(queue)
@@ -135,20 +161,19 @@ def telling_parts(toxic: list[list[bytes]], plain: list[list[bytes]]) -> list[tu
             continue
         out.append(p)
         for w in list(holders[p]):
-            for q in _parts(w):
+            for q in _parts(c.words[w]):
                 holders[q].pop(w, None)
     return out
 
 
-def _dictionary(size: int, pieces: list[bytes], k: int = 32) -> bytes:
-    """A dictionary trained on pieces in random order, a few a sample."""
-    pieces = sorted(pieces)
+def _dictionary(size: int, pieces: list[bytes], most: int, k: int = 32) -> bytes:
+    """A dictionary trained on at most ``most`` of the pieces, drawn evenly, a few a sample."""
     random.Random(1).shuffle(pieces)
-    samples = [b"".join(pieces[i : i + 6]) for i in range(0, len(pieces), 6)]
+    samples = [b"".join(pieces[i : i + 6]) for i in range(0, min(len(pieces), most), 6)]
     try:
         return zstandard.train_dictionary(size, samples, k=k, d=6, level=3).as_bytes()
     except zstandard.ZstdError:  # too few samples to train on: they are the dictionary
-        return b"".join(dict.fromkeys(pieces))[-size:] or HEAD
+        return b"".join(dict.fromkeys(pieces[:most]))[-size:] or HEAD
 
 
 def _compressor(raw: bytes, strategy: int) -> Callable[[bytes], bytes]:
@@ -230,26 +255,31 @@ class Model:
         return float(_curve(windows.features(text) @ np.array(self.weights))) if self.weights else self.base
 
 
-def train(texts: list[bytes], y: np.ndarray) -> Dictionaries:
-    """Both pairs of dictionaries."""
-    split = [words(t) for t in texts]
-    toxic, plain = [w for w, v in zip(split, y, strict=True) if v], [w for w, v in zip(split, y, strict=True) if not v]
-    parts = telling_parts(toxic, plain)
-    pieces = [window(*p) for p in parts]
+def train(c: Corpus, pick: np.ndarray, pieces: int = PIECES) -> Dictionaries:
+    """Both pairs of dictionaries, from the picked texts."""
+    toxic, plain = pick[c.y[pick] == 1], pick[c.y[pick] == 0]
+    parts = telling_parts(c, pick)
+    spelled = [window(*p) for p in parts]
     at = {p: i for i, p in reversed(list(enumerate(parts)))}
-    found = [pieces[min(held)] for ws in toxic for w in set(ws) if (held := [at[p] for p in _parts(w) if p in at])]
-    marked = _dictionary(MARKED, found)
-    marked += b"".join(p for p in reversed(pieces) if p not in marked)
-    often = Counter(w for ws in plain for w in set(ws))
-    usual = _dictionary(USUAL, [window(w) for ws in plain for w in set(ws)], 64)
-    saved = Words(usual, marked)
-    close = [w for w, n in often.most_common() if n >= 3 and saved[w[:LONGEST]] >= DEPTHS[0] and not any(p in at for p in _parts(w))]
-    usual += b"".join(window(w) for w in reversed(close[:CLOSE]))
-    wide = tuple(_dictionary(PASSAGES, [p + b" " for ws in kind for p in set(passages(ws))], 48) for kind in (plain, toxic))
+    own = [min((at[p] for p in _parts(w) if p in at), default=-1) for w in c.words]  # the first part that a word has
+    found = [spelled[own[w]] for i in toxic for w in np.unique(c.ids[i]).tolist() if own[w] >= 0]
+    marked = _dictionary(MARKED, found, pieces)
+    marked += b"".join(p for p in reversed(spelled) if p not in marked)
+    once = [np.unique(c.ids[i]) for i in plain]
+    flat = np.concatenate(once) if once else np.zeros(0, np.int32)
+    drawn = np.random.default_rng(1).permutation(flat)[:pieces]
+    usual = _dictionary(USUAL, [window(c.words[w]) for w in drawn.tolist()], pieces, 64)
+    begun = {p[:i] for p, _ in parts for i in range(1, len(p) + 1)}
+    often: Counter = Counter()
+    for w, n in enumerate(np.bincount(flat, minlength=len(c.words)).tolist()):
+        if n and own[w] < 0:
+            often[next((c.words[w][:i] for i in range(LONGEST, 0, -1) if c.words[w][:i] in begun), b"")] += n
+    usual += b"".join(window(p, False) for p, n in sorted(often.items()) if p and n >= max(3, len(plain) / 500))
+    wide = tuple(_dictionary(PASSAGES, [p + b" " for i in kind for p in passages(words(c.texts[i]))], pieces, 48) for kind in (plain, toxic))
     return Dictionaries((usual, marked), wide)
 
 
-def fit(texts: list[bytes], labels: list[int]) -> Model:
+def fit(texts: list[bytes], labels: list[int], pieces: int = PIECES) -> Model:
     """Calibrates on halves in turn, then trains the dictionaries on all texts."""
     y = np.array(labels, float)
     if not len(y) or y.min() == y.max():
@@ -257,19 +287,19 @@ def fit(texts: list[bytes], labels: list[int]) -> Model:
     half = np.zeros(len(y), bool)
     for v in (0, 1):
         half[np.flatnonzero(y == v)[::2]] = True
-    x = np.zeros((len(y), len(Windows(Dictionaries()).features(b""))))
+    c, x = Corpus(texts, y), np.zeros((len(y), len(Windows(Dictionaries()).features(b""))))
     for learnt in (half, ~half):
-        win = Windows(train([t for t, k in zip(texts, learnt, strict=True) if k], y[learnt]))
+        win = Windows(train(c, np.flatnonzero(learnt), pieces))
         for i in np.flatnonzero(~learnt):
             x[i] = win.features(texts[i])
-    return Model(train(texts, y), _logistic(x, y).tolist())
+    return Model(train(c, np.arange(len(y)), pieces), _logistic(x, y).tolist())
 
 
 def fold_of(column: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(5))
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000, longest: int = 200_000) -> Model:
+def learn(docs: DataFrame, labels: DataFrame, rows: int = 3000, longest: int = 200_000, pieces: int = PIECES) -> Model:
     """Fits on at most ``rows`` labelled documents of the folds 1 to 4 and of ``longest`` characters, in hash order."""
     mine = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
@@ -278,7 +308,7 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 4000, longest: int = 2
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).where(F.length("text") <= longest)
     got = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic")).collect()  # ``rows`` at most
     got.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"].encode() for r in got], [int(r["toxic"]) for r in got])
+    return fit([r["text"].encode() for r in got], [int(r["toxic"]) for r in got], pieces)
 
 
 SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])

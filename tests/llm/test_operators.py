@@ -422,12 +422,13 @@ def test_toxicity_lengths_by_hand():
     """Distances are differences of zstd's own lengths; a marker's beginning is saved, an ordinary word is not."""
     rows, labels = labelled()
     t, y = [r[1].encode() for r in rows], np.array([r[2] for r in labels], float)
-    d = toxicity.train(t, y)
+    c = toxicity.Corpus(t, y)
+    d = toxicity.train(c, np.arange(len(y)))
     w = toxicity.Words(*d.words)
     assert min(w[x.encode()[: toxicity.LONGEST]] for x in ("vermin", "wretch", "fiendish", "zgebä", "zgebkul")) >= toxicity.DEPTHS[2]
     plain = [w[x[: toxicity.LONGEST]] for s, v in zip(t, y, strict=True) if not v for x in toxicity.words(s)]
     assert np.mean(np.array(plain) >= toxicity.DEPTHS[2]) < 0.01
-    parts = [p for p, _ in toxicity.telling_parts([toxicity.words(s) for s, v in zip(t, y, strict=True) if v], [toxicity.words(s) for s, v in zip(t, y, strict=True) if not v])]
+    parts = [p for p, _ in toxicity.telling_parts(c, np.arange(len(y)))]
     assert all(any(x.startswith(p) for p in parts) for x in (b"vermin", b"wretch", b"fiendish", b"zgebmi"))
 
 
