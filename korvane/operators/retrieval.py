@@ -1,17 +1,27 @@
-"""Hybrid retrieval over a batch of questions: BM25 and exact vector legs, reciprocal rank fusion, diversification."""
+"""Hybrid retrieval over a batch of questions: keyword and vector legs, fusion, re-ranking, diversification, expansion.
+
+Operators take DataFrames. Documents are (doc_id, text, ...), vectors (vec_id, embedding, ...), questions (item_id, text)
+or, for the vector legs, (item_id, embedding). Ranked results are (item_id, doc_id, score, place).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-K1, B, FUSE, LEG, RERANK = 1.2, 0.75, 60, 40, 20
-
-
-def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+#: Constants of the public BM25 formulas and of reciprocal rank fusion.
+K1, B, FLOOR = 1.2, 0.75, 1e-6
+OKAPI_K1, OKAPI_FLOOR = 1.5, 0.25
+FUSE, RERANK_FUSE = 60, 10
+LEG, RERANK, ANSWERS, CAP = 40, 20, 5, 4096
+#: Words that carry no content; a question of nothing else is asked with all its words.
+STOP = ("an", "and", "are", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "who", "with")
+#: Vectors and questions that meet in one task's matrix product.
+SLICE, BLOCK = 8192, 256
 
 
 def quantised(x: Column) -> Column:
@@ -22,157 +32,219 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]", " "), " "), lambda t: F.length(t) > 1)
 
 
-def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """item_id and the distinct of its first six tokens."""
-    words = F.array_distinct(F.slice(tokens(F.col("text")), 1, 6))
-    return _read(spark, sf_dir, "benchmark").select("item_id", F.explode(words).alias("token"))
-
-
-def bm25(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id, score, place): the LEG best documents of each question. Postings are cut to asked tokens before any shuffle of scores."""
-    docs = _read(spark, sf_dir, "documents").select("doc_id", tokens(F.col("text")).alias("ts")).withColumn("n", F.size("ts"))
-    asked = questions(spark, sf_dir)
-    size = docs.agg(F.count("*").alias("total"), F.avg("n").alias("mean"))
-    postings = docs.select("doc_id", "n", F.explode("ts").alias("token")).join(asked.select("token").distinct(), "token", "left_semi").groupBy("token", "doc_id", "n").agg(F.count("*").alias("tf"))
-    held = postings.groupBy("token").agg(F.count("*").alias("df"))
-    scored = asked.join(held, "token").join(postings, "token").crossJoin(F.broadcast(size))  # one row of totals
-    idf = F.greatest(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n") / F.col("mean")))
-    out = scored.groupBy("item_id", "doc_id").agg(quantised(F.sum(part)).alias("score"))
-    return _best(out)
-
-
-def _best(scored: DataFrame) -> DataFrame:
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= LEG)
-
-
-def knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id, score, place): the LEG nearest vectors by inner product of the question's own vector. Questions are a stated set; they are few."""
-    vectors = _read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    mine = _read(spark, sf_dir, "benchmark").select("item_id").join(vectors, F.col("item_id") == F.col("doc_id")).select("item_id", F.col("v").alias("q"))
-    dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return _best(vectors.crossJoin(mine).select("item_id", "doc_id", quantised(dot).alias("score")))
-
-
-def hybrid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id, score, source): both legs fused by reciprocal ranks, the five best of each question."""
-    a = knn(spark, sf_dir).select("item_id", "doc_id", F.col("place").alias("pa"))
-    b = bm25(spark, sf_dir).select("item_id", "doc_id", F.col("place").alias("pb"))
+def asked_tokens(questions: DataFrame) -> DataFrame:
+    """item_id and each distinct content token of the whole question; all tokens where no content is left."""
+    every = questions.select("item_id", F.array_distinct(tokens(F.col("text"))).alias("ts"))
+    content = F.filter("ts", lambda t: ~t.isin(*STOP))
+    return every.select("item_id", F.explode(F.when(F.size(content) > 0, content).otherwise(F.col("ts"))).alias("token"))
+
+
+def best(scored: DataFrame, k: int, descending: bool = True) -> DataFrame:
+    """The k best of each question with their place, ties to the smaller id."""
+    w = Window.partitionBy("item_id").orderBy(F.desc("score") if descending else F.asc("score"), "doc_id")
+    return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+
+
+def bm25(docs: DataFrame, questions: DataFrame, k: int = LEG, allowed: DataFrame | None = None, okapi: bool = False) -> DataFrame:
+    """The k best documents of each question by BM25, in one pass over the texts.
+
+    Every text adds a marker token, which carries the number of documents and their mean length. Only asked tokens are
+    shuffled, once, by document; scores are summed where they are and cut to k before they travel. ``allowed``
+    (doc_id) restricts what may be found; the corpus statistics stay those of all documents. ``okapi`` takes the
+    Okapi constants and lifts negative weights to a quarter of the mean one.
+    """
+    asked = asked_tokens(questions)
+    wanted = asked.select("token").union(docs.sparkSession.createDataFrame([("",)], "token string")).distinct()
+    marked = docs.select("doc_id", tokens(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("n"), F.explode(F.concat("ts", F.array(F.lit("")))).alias("token"))
+    postings = marked.join(wanted, "token", "left_semi").repartition("doc_id").groupBy("doc_id", "n", "token").agg(F.count("*").alias("tf"))
+    held = postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("length"))
+    size = held.where("token = ''").select(F.col("df").alias("total"), (F.col("length") / F.col("df")).alias("mean"))
+    raw = F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weighed = held.where("token <> ''").join(F.broadcast(size))  # one row of totals
+    if okapi:
+        weighed = weighed.withColumn("raw", raw)
+        mean = weighed.agg(F.avg("raw").alias("typical"))
+        weighed = weighed.join(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, OKAPI_FLOOR * F.col("typical")).otherwise(F.col("raw")))
+    else:
+        weighed = weighed.withColumn("idf", F.greatest(raw, F.lit(FLOOR)))
+    weights = asked.join(weighed.select("token", "idf", "mean"), "token")
+    k1 = OKAPI_K1 if okapi else K1
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - B + B * F.col("n") / F.col("mean")))
+    found = postings if allowed is None else postings.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
+    return best(found.join(weights, "token").groupBy("item_id", "doc_id").agg(quantised(F.sum(part)).alias("score")), k)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
+
+
+def _blocked(vectors: DataFrame, questions: DataFrame, each: Callable[[pa.Table, pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``each`` on every block of questions with every slice of vectors; both sides of a meeting have a bounded size."""
+    slices, blocks = vectors.count() // SLICE + 1, questions.count() // BLOCK + 1
+    v = vectors.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    q = questions.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+
+    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
+        if not (x.num_rows and y.num_rows):
+            return each(x.slice(0, 0), y.slice(0, 0), np.zeros((0, 1)), np.zeros((0, 1)))
+        return each(x, y, _matrix(x["v"]), _matrix(y["q"]))
+
+    return v.groupBy("slice", "block").cogroup(q.groupBy("slice", "block")).applyInArrow(meet, schema)
+
+
+def _prepared(vectors: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    fine = "embedding is not null"
+    v = vectors.where(fine).select(F.col("vec_id").alias("doc_id"), *[c for c in ("label",) if c in vectors.columns], F.col("embedding").cast("array<double>").alias("v"))
+    return v, questions.where(fine).select("item_id", F.col("embedding").cast("array<double>").alias("q"))
+
+
+def _scores(metric: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Questions by vectors: inner product or cosine (higher is nearer), or the L2 distance."""
+    if metric == "cosine":
+        x, y = (m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300) for m in (x, y))
+    dot = y @ x.T
+    if metric != "l2":
+        return np.floor(dot * 1e6 + 0.5) / 1e6
+    square = (y * y).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * dot
+    return np.floor(np.sqrt(np.maximum(square, 0)) * 1e6 + 0.5) / 1e6
+
+
+def nearest(vectors: DataFrame, questions: DataFrame, k: int = LEG, metric: str = "l2") -> DataFrame:
+    """The k nearest vectors of each question, exactly; a filter on ``vectors`` comes before the choice."""
+    v, q = _prepared(vectors, questions)
+
+    def each(a: pa.Table, b: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
+        ids, items = a["doc_id"].to_numpy(), b["item_id"].to_numpy()
+        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        if len(ids) and len(items):
+            s = _scores(metric, x, y)
+            picked = [np.lexsort((ids, row if metric == "l2" else -row))[:k] for row in s]
+            out = [np.repeat(items, [len(p) for p in picked]), np.concatenate([ids[p] for p in picked]), np.concatenate([row[p] for row, p in zip(s, picked, strict=True)])]
+        return pa.table({"item_id": pa.array(out[0], pa.int64()), "doc_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+
+    return best(_blocked(v, q, each, "item_id long, doc_id long, score double"), k, metric != "l2")
+
+
+def similarity(distance: Column) -> Column:
+    """The cosine of unit vectors at an L2 distance, never under 0."""
+    return F.greatest(F.lit(0.0), 1 - distance * distance / 2)
+
+
+def fused(semantic: DataFrame, keyword: DataFrame, k: int = ANSWERS) -> DataFrame:
+    """(item_id, doc_id, score, source, place): two ranked legs fused by reciprocal ranks."""
+    a, b = semantic.select("item_id", "doc_id", F.col("place").alias("pa")), keyword.select("item_id", "doc_id", F.col("place").alias("pb"))
     both = a.join(b, ["item_id", "doc_id"], "full_outer")
     score = F.coalesce(1.0 / (FUSE + F.col("pa")), F.lit(0.0)) + F.coalesce(1.0 / (FUSE + F.col("pb")), F.lit(0.0))
     source = F.when(F.col("pa").isNull(), "keyword").when(F.col("pb").isNull(), "semantic").otherwise("hybrid")
-    fused = both.select("item_id", "doc_id", (F.floor(score * 1e9 + 0.5) / 1e9).alias("score"), source.alias("source"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id")
-    return fused.withColumn("place", F.row_number().over(w)).where("place <= 5")
+    return best(both.select("item_id", "doc_id", (F.floor(score * 1e9 + 0.5) / 1e9).alias("score"), source.alias("source")), k)
 
 
-def diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id, turn): keyword results dealt round-robin over entities, best entity first."""
-    entity = Window.partitionBy("item_id", "entity").orderBy("place")
-    rows = bm25(spark, sf_dir).withColumn("entity", F.col("doc_id") % 50).withColumn("turn", F.row_number().over(entity)).withColumn("lead", F.min("place").over(Window.partitionBy("item_id", "entity")))
-    w = Window.partitionBy("item_id").orderBy("turn", "lead")
-    return rows.withColumn("slot", F.row_number().over(w)).where("slot <= 10").select("item_id", "doc_id", "slot")
+def hybrid(docs: DataFrame, vectors: DataFrame, questions: DataFrame, k: int = ANSWERS, allowed: DataFrame | None = None) -> DataFrame:
+    """Both legs, each restricted to ``allowed`` before it chooses, fused. ``questions`` hold item_id, text and embedding."""
+    near = vectors if allowed is None else vectors.join(allowed.select(F.col("doc_id").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    return fused(nearest(near, questions), bm25(docs, questions, allowed=allowed), k)
 
 
-def normalised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id, score): fused scores spread over 0.40 to 0.95 within a question; 1.0 where all are equal."""
+def normalised(ranked: DataFrame, low: float = 0.40, high: float = 0.95) -> DataFrame:
+    """(item_id, doc_id, score): scores spread over ``low`` to ``high`` within a question; 1.0 where all are equal."""
     w = Window.partitionBy("item_id")
-    low, span = F.min("score").over(w), F.max("score").over(w) - F.min("score").over(w)
-    return hybrid(spark, sf_dir).select("item_id", "doc_id", quantised(F.when(span == 0, 1.0).otherwise(0.40 + 0.55 * (F.col("score") - low) / span)).alias("score"))
+    least, span = F.min("score").over(w), F.max("score").over(w) - F.min("score").over(w)
+    return ranked.select("item_id", "doc_id", quantised(F.when(span == 0, 1.0).otherwise(low + (high - low) * (F.col("score") - least) / span)).alias("score"))
 
 
-def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id, slot): the first RERANK places fused anew with a second ranking, which counts more; later places keep their order. Document ids stand in for the injected model."""
-    second = Window.partitionBy("item_id").orderBy(F.desc(F.col("doc_id") * 37 % 101), "doc_id")
-    head = bm25(spark, sf_dir).where(F.col("place") <= RERANK).withColumn("again", F.row_number().over(second))
-    head = head.select("item_id", "doc_id", "place", (F.floor((1.0 / (FUSE + F.col("place")) + 1.0 / (10 + F.col("again"))) * 1e9 + 0.5) / 1e9).alias("fresh"))
-    slot = Window.partitionBy("item_id").orderBy(F.desc("fresh"), "place")
-    tail = bm25(spark, sf_dir).where(F.col("place") > RERANK).select("item_id", "doc_id", F.col("place").alias("slot"))
-    return head.select("item_id", "doc_id", F.row_number().over(slot).alias("slot")).union(tail)
+def reranked(ranked: DataFrame, scores: DataFrame, prior: DataFrame | None = None, head: int = RERANK) -> DataFrame:
+    """(item_id, doc_id, slot): the first ``head`` places fused anew with a second ranker's scores (item_id, doc_id, rescore), which count more, times a prior (doc_id, prior); later places keep their order. A pair without a score is ranked behind those with one."""
+    second = Window.partitionBy("item_id").orderBy(F.col("rescore").desc_nulls_last(), "doc_id")
+    front = ranked.where(F.col("place") <= head).select("item_id", "doc_id", "place").join(scores.select("item_id", "doc_id", "rescore"), ["item_id", "doc_id"], "left")
+    front = front.withColumn("again", F.row_number().over(second))
+    front = front.withColumn("prior", F.lit(1.0)) if prior is None else front.join(prior, "doc_id", "left").withColumn("prior", F.coalesce("prior", F.lit(1.0)))
+    fresh = F.floor((1.0 / (FUSE + F.col("place")) + 1.0 / (RERANK_FUSE + F.col("again"))) * F.col("prior") * 1e9 + 0.5) / 1e9
+    slot = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("fresh"), "place"))
+    tail = ranked.where(F.col("place") > head).select("item_id", "doc_id", F.col("place").alias("slot"))
+    return front.withColumn("fresh", fresh).select("item_id", "doc_id", slot.alias("slot")).union(tail)
 
 
-def _scores(spark: SparkSession, sf_dir: str, vectors: DataFrame) -> DataFrame:
-    """Scores of each question's own vector against ``vectors``; questions are a stated set."""
-    v = vectors.select(F.col("vec_id").alias("doc_id"), "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
-    own = _read(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("q"))
-    mine = _read(spark, sf_dir, "benchmark").select("item_id").join(own, F.col("item_id") == F.col("vec_id")).select("item_id", "q")
+def pair_scores(pairs: DataFrame, vectors: DataFrame, questions: DataFrame) -> DataFrame:
+    """(item_id, doc_id, rescore): the inner product of each pair; a pair without vectors has none."""
+    v, q = _prepared(vectors, questions)
     dot = F.aggregate(F.zip_with("v", "q", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    return v.crossJoin(mine).select("item_id", "doc_id", "label", quantised(dot).alias("score"))
+    return pairs.select("item_id", "doc_id").join(v.select("doc_id", "v"), "doc_id").join(q, "item_id").select("item_id", "doc_id", quantised(dot).alias("rescore"))
+
+
+def diversified(ranked: DataFrame, entities: DataFrame, k: int = 10) -> DataFrame:
+    """(item_id, doc_id, entity, slot): results dealt round-robin over entities (doc_id, entity): the best of each, best entity first, then the second of each. A result without entity is its own."""
+    rows = ranked.select("item_id", "doc_id", "place").join(entities, "doc_id", "left").withColumn("group", F.coalesce("entity", F.concat(F.lit("#"), "doc_id")))
+    own = Window.partitionBy("item_id", "group")
+    rows = rows.withColumn("turn", F.row_number().over(own.orderBy("place"))).withColumn("lead", F.min("place").over(own))
+    slot = F.row_number().over(Window.partitionBy("item_id").orderBy("turn", "lead"))
+    return rows.withColumn("slot", slot).where(F.col("slot") <= k).select("item_id", "doc_id", "entity", "slot")
+
+
+def expanded(results: DataFrame, profiles: DataFrame) -> DataFrame:
+    """(item_id, doc_id, slot, expanded): before an entity's first result comes its profile (entity, profile_id), unless the profile is among the results."""
+    first = results.where("entity is not null").groupBy("item_id", "entity").agg(F.min("slot").alias("slot"))
+    held = results.select("item_id", F.col("doc_id").alias("profile_id"))
+    added = first.join(profiles, "entity").join(held, ["item_id", "profile_id"], "left_anti").select("item_id", F.col("profile_id").alias("doc_id"), "slot", F.lit(True).alias("expanded"))
+    both = results.select("item_id", "doc_id", "slot", F.lit(False).alias("expanded")).unionByName(added)
+    w = Window.partitionBy("item_id").orderBy("slot", F.desc("expanded"), "doc_id")
+    return both.select("item_id", "doc_id", F.row_number().over(w).alias("slot"), "expanded")
+
+
+def best_children(vectors: DataFrame, questions: DataFrame, parents: DataFrame, k: int = ANSWERS, fetch: int = LEG, least: int = ANSWERS, cap: int = CAP) -> DataFrame:
+    """(item_id, parent, score, slot, fetched): the best child of each parent (doc_id, parent) among the ``fetched`` nearest children.
+
+    ``fetched`` starts at ``fetch`` and doubles until ``least`` parents are among the children, or ``cap`` is reached. The
+    children are ranked once, to the cap; the number that doubling would stop at follows from the place of the
+    ``least``-th new parent.
+    """
+    ranked = nearest(vectors, questions, cap).join(parents, "doc_id")
+    opens = ranked.groupBy("item_id", "parent").agg(F.min(F.struct("place", "score")).alias("f")).select("item_id", "parent", F.col("f.place").alias("place"), F.col("f.score").alias("score"))
+    nth = opens.withColumn("n", F.row_number().over(Window.partitionBy("item_id").orderBy("place")))
+    enough = nth.groupBy("item_id").agg(F.min(F.when(F.col("n") == least, F.col("place"))).alias("reach"), F.max("place").alias("last"))
+    doublings = F.ceil(F.log2(F.greatest(F.col("reach") / fetch, F.lit(1.0))))
+    fetched = F.when(F.col("reach").isNull(), F.lit(cap)).otherwise(F.least(F.lit(cap), (fetch * F.pow(F.lit(2.0), doublings)).cast("int")))
+    kept = nth.join(enough.select("item_id", fetched.cast("int").alias("fetched")), "item_id").where("place <= fetched")
+    w = Window.partitionBy("item_id").orderBy("score", "parent")
+    return kept.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= k).select("item_id", "parent", "score", "slot", "fetched")
+
+
+def exemplar_decision(exemplars: DataFrame, questions: DataFrame, each: int = 8, least: float = 0.3, margin: float = 0.02) -> DataFrame:
+    """(item_id, label, score, margin, decision): the label of the nearest of at most ``each`` exemplars a label; ``clarify`` under a score or a lead."""
+    few = exemplars.withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id"))).where(F.col("r") <= each)
+    labels = few.select(F.col("vec_id").alias("doc_id"), "label")
+    by_label = nearest(few, questions, CAP, "ip").join(labels, "doc_id").groupBy("item_id", "label").agg(F.max("score").alias("score"))
+    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "label")
+    ranked = by_label.withColumn("r", F.row_number().over(w)).withColumn("margin", quantised(F.col("score") - F.lead("score").over(w)))
+    decision = F.when((F.col("score") < least) | (F.col("margin") < margin), "clarify").otherwise("route")
+    return ranked.where("r = 1").select("item_id", "label", "score", "margin", decision.alias("decision"))
 
 
-def filtered_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, doc_id, score, place): the filter comes before the choice of the nearest."""
-    return _best(_scores(spark, sf_dir, _read(spark, sf_dir, "embeddings").where("label = 3")).drop("label"))
+def nearest_description(descriptions: DataFrame, questions: DataFrame, least: float = 0.60) -> DataFrame:
+    """(item_id, label, score): the label of the description nearest by cosine; no label under ``least``."""
+    top = nearest(descriptions, questions, 1, "cosine").join(descriptions.select(F.col("vec_id").alias("doc_id"), "label"), "doc_id")
+    return top.select("item_id", F.when(F.col("score") >= least, F.col("label")).alias("label"), "score")
 
 
-def best_children(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, label, score, slot): the best child of each parent, and the five best parents of each question."""
-    best = _scores(spark, sf_dir, _read(spark, sf_dir, "embeddings")).groupBy("item_id", "label").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "label")
-    return best.withColumn("slot", F.row_number().over(w)).where("slot <= 5")
+def candidate_tags(tags: DataFrame, questions: DataFrame, k: int = 10) -> DataFrame:
+    """(item_id, tag): tags (tag, vec_id, embedding) among the k nearest by cosine, and those that share a token of three letters or more with the question, joined and sorted."""
+    near = nearest(tags, questions, k, "cosine").join(tags.select(F.col("vec_id").alias("doc_id"), "tag"), "doc_id").select("item_id", "tag")
+    held = tags.select("tag", F.explode(F.array_distinct(tokens(F.col("tag")))).alias("token")).where(F.length("token") > 2)
+    shared = asked_tokens(questions).join(held, "token").select("item_id", "tag")
+    return near.union(shared).distinct().orderBy("item_id", "tag")
 
 
-def exemplars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, label, score, margin, decision): the nearest of at most 8 exemplars a label; abstains under a score or margin."""
-    eight = Window.partitionBy("label").orderBy("vec_id")
-    few = _read(spark, sf_dir, "embeddings").withColumn("r", F.row_number().over(eight)).where("r <= 8")
-    by_label = _scores(spark, sf_dir, few).groupBy("item_id", "label").agg(F.max("score").alias("score"))
-    w = Window.partitionBy("item_id").orderBy(F.desc("score"), "label")
-    ranked = by_label.withColumn("r", F.row_number().over(w)).withColumn("margin", quantised(F.col("score") - F.lead("score").over(w)))
-    decision = F.when((F.col("score") < 0.3) | (F.col("margin") < 0.02), "clarify").otherwise("route")
-    return ranked.where("r = 1").select("item_id", "label", "score", "margin", decision.alias("decision"))
+def target_rank(vectors: DataFrame, questions: DataFrame, targets: DataFrame) -> DataFrame:
+    """(item_id, target_rank): one more than the vectors strictly nearer, by inner product, than the question's target (item_id, target_id)."""
+    v, q = _prepared(vectors, questions)
+    wanted = targets.join(v.select(F.col("doc_id").alias("target_id"), F.col("v").alias("t")), "target_id").select("item_id", "t")
 
+    def each(a: pa.Table, b: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
+        nearer = np.zeros(0, np.int64)
+        if a.num_rows and b.num_rows:
+            goal = np.floor((y * _matrix(b["t"])).sum(axis=1) * 1e6 + 0.5) / 1e6
+            nearer = (_scores("ip", x, y) > goal[:, None]).sum(axis=1)
+        return pa.table({"item_id": b["item_id"], "nearer": pa.array(nearer, pa.int64())})
 
-def target_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(item_id, target_rank): one more than the vectors strictly nearer than the target, the vector of the next id."""
-    s = _scores(spark, sf_dir, _read(spark, sf_dir, "embeddings"))
-    goal = s.where("doc_id = item_id + 1").select("item_id", F.col("score").alias("goal"))
-    return s.join(goal, "item_id").groupBy("item_id").agg((F.count(F.when(F.col("score") > F.col("goal"), 1)) + 1).alias("target_rank"))
-
-
-_KEYWORD = """
-d AS (SELECT doc_id, list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]', ' ', 'g'), ' '), lambda t: length(t) > 1) AS ts FROM documents),
-ask AS (SELECT item_id, unnest(list_distinct(list_filter(string_split(regexp_replace(lower(text), '[^a-z0-9]', ' ', 'g'), ' '), lambda t: length(t) > 1)[1:6])) AS token FROM benchmark),
-sz AS (SELECT count(*) AS total, avg(len(ts)) AS mean FROM d),
-post AS (SELECT token, doc_id, n, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS token FROM d) x GROUP BY ALL),
-df AS (SELECT token, count(*) AS df FROM post GROUP BY token),
-kw0 AS (SELECT ask.item_id, post.doc_id, floor(sum(greatest(ln((total - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))) * 1e6 + 0.5) / 1e6 AS score
-  FROM ask JOIN df USING (token) JOIN post USING (token) CROSS JOIN sz GROUP BY ask.item_id, post.doc_id),
-kw AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS place FROM kw0) WHERE place <= 40)"""
-_VECTOR = """
-v AS (SELECT vec_id AS doc_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings),
-nn0 AS (SELECT b.item_id, v.doc_id, floor(list_sum(list_transform(list_zip(v.v, m.v), lambda p: p[1] * p[2])) * 1e6 + 0.5) / 1e6 AS score FROM benchmark b JOIN v m ON m.doc_id = b.item_id CROSS JOIN v),
-nn AS (SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS place FROM nn0) WHERE place <= 40)"""
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"w05_hybrid": hybrid, "t01_knn": knn, "t04_bm25": bm25, "w08_diversify": diversified}
-ORACLES: dict[str, str] = {
-    "t01_knn": f"WITH {_VECTOR} SELECT * FROM nn",
-    "t04_bm25": f"WITH {_KEYWORD} SELECT * FROM kw",
-    "w05_hybrid": f"""WITH {_KEYWORD}, {_VECTOR},
-f AS (SELECT coalesce(nn.item_id, kw.item_id) AS item_id, coalesce(nn.doc_id, kw.doc_id) AS doc_id, floor((coalesce(1.0::DOUBLE / (60 + nn.place), 0) + coalesce(1.0::DOUBLE / (60 + kw.place), 0)) * 1e9 + 0.5) / 1e9 AS score,
-  CASE WHEN nn.place IS NULL THEN 'keyword' WHEN kw.place IS NULL THEN 'semantic' ELSE 'hybrid' END AS source FROM nn FULL OUTER JOIN kw ON nn.item_id = kw.item_id AND nn.doc_id = kw.doc_id)
-SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS place FROM f) WHERE place <= 5""",
-    "w08_diversify": f"""WITH {_KEYWORD},
-e AS (SELECT *, row_number() OVER (PARTITION BY item_id, doc_id % 50 ORDER BY place) AS turn, min(place) OVER (PARTITION BY item_id, doc_id % 50) AS lead_place FROM kw)
-SELECT item_id, doc_id, slot FROM (SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY turn, lead_place) AS INTEGER) AS slot FROM e) WHERE slot <= 10""",
-}
-
-_ALL = """
-s AS (SELECT b.item_id, e.vec_id AS doc_id, e.label, floor(list_sum(list_transform(list_zip(list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(m.embedding, lambda x: CAST(x AS DOUBLE))), lambda p: p[1] * p[2])) * 1e6 + 0.5) / 1e6 AS score FROM benchmark b JOIN embeddings m ON m.vec_id = b.item_id CROSS JOIN embeddings e)"""
-_PLACED = "CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, {}) AS INTEGER)"
-QUERIES |= {"w06_normalised": normalised, "w07_reranked": reranked, "t02_filtered_knn": filtered_knn, "w10_best_children": best_children, "n10_exemplars": exemplars, "z19_target_rank": target_rank}
-ORACLES |= {
-    "w06_normalised": f"WITH h AS ({ORACLES['w05_hybrid']}) SELECT item_id, doc_id, floor((CASE WHEN max(score) OVER w = min(score) OVER w THEN 1.0 ELSE 0.40::DOUBLE + 0.55::DOUBLE * (score - min(score) OVER w) / (max(score) OVER w - min(score) OVER w) END) * 1e6 + 0.5) / 1e6 AS score FROM h WINDOW w AS (PARTITION BY item_id)",
-    "w07_reranked": f"""WITH {_KEYWORD},
-a AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY doc_id * 37 % 101 DESC, doc_id) AS again FROM kw WHERE place <= {RERANK}),
-f AS (SELECT item_id, doc_id, place, floor((1.0::DOUBLE / (60 + place) + 1.0::DOUBLE / (10 + again)) * 1e9 + 0.5) / 1e9 AS fresh FROM a)
-SELECT item_id, doc_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY fresh DESC, place) AS INTEGER) AS slot FROM f UNION ALL SELECT item_id, doc_id, place FROM kw WHERE place > {RERANK}""",
-    "t02_filtered_knn": f"WITH {_ALL} SELECT * FROM (SELECT item_id, doc_id, score, {_PLACED.format('doc_id')} AS place FROM s WHERE label = 3) WHERE place <= {LEG}",
-    "w10_best_children": f"WITH {_ALL}, c AS (SELECT item_id, label, max(score) AS score FROM s GROUP BY ALL) SELECT * FROM (SELECT *, {_PLACED.format('label')} AS slot FROM c) WHERE slot <= 5",
-    "n10_exemplars": f"""WITH {_ALL}, e8 AS (SELECT vec_id FROM (SELECT vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r FROM embeddings) WHERE r <= 8),
-c AS (SELECT item_id, label, max(score) AS score FROM s WHERE doc_id IN (SELECT vec_id FROM e8) GROUP BY ALL),
-r AS (SELECT *, {_PLACED.format('label')} AS r, floor((score - lead(score) OVER (PARTITION BY item_id ORDER BY score DESC, label)) * 1e6 + 0.5) / 1e6 AS margin FROM c)
-SELECT item_id, label, score, margin, CASE WHEN score < 0.3 OR margin < 0.02 THEN 'clarify' ELSE 'route' END AS decision FROM r WHERE r = 1""",
-    "z19_target_rank": f"WITH {_ALL}, g AS (SELECT item_id, score AS goal FROM s WHERE doc_id = item_id + 1) SELECT item_id, 1 + count(*) FILTER (WHERE score > goal) AS target_rank FROM s JOIN g USING (item_id) GROUP BY item_id",
-}
+    counts = _blocked(v, q.join(wanted, "item_id"), each, "item_id long, nearer long")
+    return counts.groupBy("item_id").agg((F.sum("nearer") + 1).alias("target_rank"))
