@@ -8,9 +8,7 @@ SQL: dict[str, str] = {
     "x03_initials": ctes(PEOPLE) + "SELECT id, upper(substr(given, 1, 1)) || upper(substr(surname, 1, 1)) AS initials FROM people",
     "x12_decay": ctes(Q) + f"SELECT id, {r6('CASE WHEN mode = ' + chr(39) + 'view' + chr(39) + ' THEN greatest(5e-1, 85e-2 * pow(5e-1, (CAST(@epoch(TIMESTAMP ' + chr(39) + '2024-01-31 00:00:00' + chr(39) + ') AS BIGINT) - CAST(floor(@epoch(ts)) AS BIGINT)) / 864e2 / 18e1)) WHEN mode = ' + chr(39) + 'signup' + chr(39) + ' THEN 12e-1 ELSE 1e0 END')} AS prior FROM q",
     "x16_keys": "SELECT doc_id, substr(sha1(text), 1, 12) AS short_key, md5(text) AS h FROM {documents}",
-    "x21_canonical_url": "SELECT page_id, regexp_replace(regexp_replace(lower(url), '#.*$', ''), '/+$', '') AS canonical FROM {pages}",
     "x25_volatile": "SELECT doc_id FROM {documents} WHERE @rx(text, '[$][0-9]|[0-9]%')",
-    "x27_containment": "SELECT b.item_id, d.doc_id FROM {benchmark} b JOIN {documents} d ON contains(d.text, b.text)",
     "d04_reminder_fire": ctes(POSTS) + "SELECT id, scheduled_for - INTERVAL 2 DAY AS fire FROM post WHERE scheduled_for IS NOT NULL",
     "d06_fiscal_year": "SELECT o_orderkey, CAST(year(o_orderdate) + CASE WHEN month(o_orderdate) >= 10 THEN 1 ELSE 0 END AS BIGINT) AS fiscal FROM {orders}",
     "d07_staleness": "SELECT c_custkey FROM {customer} LEFT JOIN (SELECT o_custkey, max(o_orderdate) AS last_seen FROM {orders} GROUP BY o_custkey) o ON o_custkey = c_custkey WHERE last_seen IS NULL OR last_seen <= TIMESTAMP '2001-12-31 00:00:00' - INTERVAL 365 DAY",

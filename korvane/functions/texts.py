@@ -1,6 +1,6 @@
 """Text functions: tokens, names, corrections, matching, page parts, typed checks and dates."""
 
-from korvane.operators.bindings import ASK, AREAS, PEOPLE, Q, SERIES
+from korvane.operators.bindings import AREAS, ASK, FEEDBACK, PEOPLE, Q, SERIES
 from korvane.operators.relational import ctes, r6
 
 STOP = "'a', 'an', 'and', 'are', 'for', 'in', 'is', 'of', 'on', 'the', 'to', 'what', 'who', 'with', 'by', 'about'"
@@ -21,11 +21,13 @@ def without_elements(column: str) -> str:
 DAY = "[0-9][0-9][0-9][0-9]-[0-9][0-9]-[0-9][0-9]"
 SITE = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
 TURNS = "turns AS (SELECT conv_id, turn, role, text, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS previous FROM {conversations})"
+PROPER = "@distinct(@rxall({}, '([A-Z][a-z]+)', 1))"
+#: Common words count a little, proper nouns in common count more.
+BONUS = f"least(1e0, 5e-2 * @size(@both(@distinct(mine), @distinct(theirs))) + 15e-2 * @size(@both({PROPER.format('text')}, {PROPER.format('previous')})))"
 NAMED = PEOPLE + ", named AS (SELECT *, lower(surname) AS skey FROM people)"
 
 SQL: dict[str, str] = {
     "p03_plan_branches": "SELECT 'default' AS plan, doc_id FROM {documents} WHERE source NOT IN ('src1', 'src2') UNION ALL SELECT 'whitelist' AS plan, doc_id FROM {documents} WHERE lang IN ('en') UNION ALL SELECT 'empty_exclusion' AS plan, doc_id FROM {documents}",
-    "p06_all_tokens": f"WITH ask AS (SELECT item_id, @explode(@distinct({CONTENT.replace('lower(text)', 'lower(substr(text, 1, 40))')})) AS token FROM {{benchmark}}), need AS (SELECT item_id, count(*) AS n FROM ask GROUP BY item_id), held AS (SELECT doc_id, @explode(@distinct({WORDS})) AS token FROM {{documents}}) SELECT a.item_id, h.doc_id FROM ask a JOIN held h ON h.token = a.token JOIN need ON need.item_id = a.item_id GROUP BY a.item_id, h.doc_id HAVING count(*) = max(need.n)",
     "p12_url_segments": "SELECT page_id, CASE WHEN @has(parts, 'people') THEN 'skip' WHEN @has(parts, 'news') OR @has(parts, 'en') THEN 'news' WHEN @has(parts, 'events') OR @has(parts, 'fr') THEN 'event' WHEN @has(parts, 'policy') OR @has(parts, 'de') THEN 'policy' ELSE 'page' END AS kind FROM (SELECT page_id, @split(regexp_extract(url, '^[a-z]+://[^/?#]+/([^?#]*)', 1), '/') AS parts FROM {pages}) t",
     "x02_tokens": f"SELECT doc_id, @join({WORDS}, '|') AS tokens FROM {{documents}}",
     "x04_folded": "SELECT doc_id, @unaccent(lower(text)@folds) AS folded FROM {documents}",
@@ -33,7 +35,8 @@ SQL: dict[str, str] = {
     "x07_match_expression": f"SELECT item_id, @join(CASE WHEN @size(content) > 0 THEN content ELSE words END, ' OR ') AS expression FROM (SELECT item_id, {CONTENT} AS content, {WORDS} AS words FROM {{benchmark}}) t",
     "x08_expansion": "SELECT doc_id, CASE WHEN @rx(lower(text), '@b(ble|ing)@b') THEN text || ' expanded form' ELSE text END AS expanded FROM {documents}",
     "x09_phrase": f"SELECT doc_id FROM (SELECT doc_id, ' ' || @join({WORDS}, ' ') || ' ' AS padded FROM {{documents}}) t WHERE contains(padded, ' of the ') OR contains(padded, ' to the ')",
-    "x13_keyword_bonus": f"WITH {TURNS} SELECT conv_id, turn, {r6('least(1e0, 5e-2 * @size(@both(@distinct(mine), @distinct(theirs))) + CASE WHEN contains(previous, substr(text, 1, 8)) THEN 1e-1 ELSE 0e0 END)')} AS bonus FROM (SELECT conv_id, turn, text, previous, {WORDS} AS mine, {WORDS.replace('text', 'previous')} AS theirs FROM turns WHERE previous IS NOT NULL) t",
+    "x13_keyword_bonus": f"WITH {TURNS} SELECT conv_id, turn, {r6(BONUS)} AS bonus "
+    f"FROM (SELECT conv_id, turn, text, previous, {WORDS} AS mine, {WORDS.replace('text', 'previous')} AS theirs FROM turns WHERE previous IS NOT NULL) t",
     "x14_context": f"WITH last2 AS (SELECT conv_id, turn, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS r FROM {{conversations}} WHERE role = 'assistant'), w AS (SELECT conv_id, r, @explode(@range(1, CAST(@size({WORDS}) AS INTEGER))) AS i, {WORDS} AS ws FROM last2 WHERE r <= 2 AND @size({WORDS}) > 0), f AS (SELECT conv_id, word, min(r * 1000000 + i) AS pos FROM (SELECT conv_id, r, i, @at(ws, CAST(i AS INTEGER)) AS word FROM w) t WHERE length(word) >= 5 GROUP BY conv_id, word) SELECT conv_id, word, CAST(place AS BIGINT) AS place FROM (SELECT conv_id, word, row_number() OVER (PARTITION BY conv_id ORDER BY pos) AS place FROM f) t WHERE place <= 5",
     "x15_sigmoid": ctes(Q) + f"SELECT id, {r6('1e0 / (1e0 + exp(-(confidence - 5e1) / 1e1))')} AS chance, {r6('ln(1e0 + confidence)')} AS logged FROM q WHERE confidence IS NOT NULL",
     "x17_clean": "SELECT doc_id, trim(regexp_replace(regexp_replace(lower(text), '[^a-z0-9%$. ]', ' '@g), ' +', ' '@g)) AS cleaned FROM {documents}",
@@ -42,10 +45,17 @@ SQL: dict[str, str] = {
     "x20_links": f"SELECT DISTINCT page_id, CASE WHEN @rx(href, '^[a-z]+://') THEN href ELSE site || href END AS target FROM (SELECT page_id, {SITE} AS site, @explode(@rxall(html, 'href=\"([^\"#]*)', 1)) AS href FROM {{pages}}) t WHERE length(href) > 0 AND (NOT @rx(href, '^[a-z]+://') OR substr(href, 1, length(site)) = site)",
     "x22_page_dates": f"SELECT page_id, coalesce(nullif(regexp_extract(html, 'published_time\" content=\"({DAY})', 1), ''), nullif(regexp_extract(html, '\"datePublished\" *: *\"({DAY})', 1), ''), nullif(regexp_extract(html, '<time datetime=\"({DAY})', 1), ''), nullif(regexp_extract(html, '({DAY})', 1), '')) AS published FROM {{pages}}",
     "x23_area_list": "SELECT p_partkey, lower(trim(area)) AS area FROM (SELECT p_partkey, @explode(@rxall(p_type || ', ' || p_name || ' (' || p_brand || ', new); ' || p_type, '((?:[^,;(]|[(][^)]*[)])+)', 1)) AS area FROM {part}) t GROUP BY p_partkey, lower(trim(area))",
-    "x26_answer_type": "SELECT doc_id, wanted, @join(held, ',') AS held FROM (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'number' ELSE 'mail' END AS wanted, CASE WHEN doc_id % 2 = 0 THEN @rxall(text, '([0-9][0-9,.]*)', 1) ELSE @rxall(text, '([A-Za-z0-9._]+[@][A-Za-z0-9.-]+)', 1) END AS held FROM {documents}) t WHERE @size(held) > 0",
+    # the question's own words say what is wanted: how many or how much a number, where to write an address
+    "x26_answer_type": "SELECT conv_id, turn, wanted, @join(held, ',') AS held FROM (SELECT conv_id, turn, wanted, CASE WHEN wanted = 'number' THEN @rxall(text, '([0-9][0-9,.]*)', 1) ELSE @rxall(text, '([A-Za-z0-9._]+[@][A-Za-z0-9.-]+)', 1) END AS held "
+    "FROM (SELECT conv_id, turn, text, CASE WHEN @rx(text, '[@]') THEN 'mail' WHEN @rx(text, '[0-9]') THEN 'number' END AS wanted FROM {conversations}) w WHERE wanted IS NOT NULL) t WHERE @size(held) > 0",
     "x28_supported": f"WITH {TURNS} SELECT conv_id, turn, {r6('1e0 * @size(@filter(mine, @lx @has(theirs, x))) / @size(mine)')} AS ratio, 1e0 * @size(@filter(mine, @lx @has(theirs, x))) / @size(mine) >= 6e-1 AS supported FROM (SELECT conv_id, turn, @distinct({CONTENT}) AS mine, {CONTENT.replace('text', 'previous')} AS theirs FROM turns WHERE previous IS NOT NULL) t WHERE @size(mine) > 0",
     "x29_typed_checks": "SELECT doc_id, @has(@map(@rxall(text, '([0-9][0-9,]*)', 1), @lx replace(x, ',', '')), CAST(n_chars % 100 AS STRING)) AS number_found, @has(@map(@rxall(text, '([A-Za-z0-9._]+[@][A-Za-z0-9.-]+[A-Za-z0-9])', 1), @lx lower(x)), 'nobody' || chr(64) || 'example.com') AS mail_found FROM {documents}",
-    "x30_failure_class": ctes(Q) + "SELECT id, CASE WHEN mode = 'error' AND k % 2 = 0 THEN 'pass' WHEN confidence IS NULL AND k % 5 = 0 THEN 'resolution_failure' WHEN confidence IS NULL THEN 'routing_failure' WHEN confidence >= 50 THEN 'pass' WHEN k % 7 = 0 THEN 'fabrication' WHEN k % 5 = 0 THEN 'resolution_failure' ELSE 'routing_failure' END AS verdict FROM q",
+    # no answer is right where nothing was asked for; a low answer that users rejected was made up; a known person left unresolved
+    "x30_failure_class": ctes(Q, FEEDBACK)
+    + ", down AS (SELECT user_id, k FROM fb WHERE rating = 'thumbs_down' GROUP BY user_id, k), known AS (SELECT s_suppkey AS k FROM {supplier}) "
+    "SELECT q.id, CASE WHEN confidence IS NULL AND topic IS NULL THEN 'pass' WHEN confidence IS NULL AND n.k IS NOT NULL THEN 'resolution_failure' WHEN confidence IS NULL THEN 'routing_failure' "
+    "WHEN confidence >= 50 AND d.k IS NULL THEN 'pass' WHEN d.k IS NOT NULL THEN 'fabrication' WHEN n.k IS NOT NULL THEN 'resolution_failure' ELSE 'routing_failure' END AS verdict "
+    "FROM q LEFT JOIN down d ON d.user_id = q.user_id AND d.k = q.k LEFT JOIN known n ON n.k = q.k",
     "x31_masked": "SELECT doc_id, regexp_replace(lower(text), '@b(of the|the|ing)@b', '[slot]'@g) AS masked FROM {documents}",
     "x32_template": ctes(PEOPLE) + "SELECT id, replace(replace('Dear ' || chr(123) || 'name' || chr(125) || ', ' || chr(123) || 'title' || chr(125) || ' ' || chr(123) || 'other' || chr(125), chr(123) || 'name' || chr(125), shown), chr(123) || 'title' || chr(125), title) AS message FROM people",
     "x33_aliases": ctes(PEOPLE, Q, ASK) + "SELECT id, metric FROM (SELECT a.id, m.metric, row_number() OVER (PARTITION BY a.id ORDER BY length(m.alias) DESC, m.alias) AS r FROM ask a JOIN (SELECT 'papers' AS alias, 'works' AS metric UNION ALL SELECT 'papers by', 'authored' UNION ALL SELECT 'who', 'person' UNION ALL SELECT 'what about', 'topic') m ON contains(' ' || a.text || ' ', ' ' || m.alias || ' ')) t WHERE r = 1",
@@ -58,7 +68,6 @@ SQL: dict[str, str] = {
     "d03_event_time": "SELECT id, CASE WHEN said = 'TBD' THEN CAST(540 AS BIGINT) ELSE 60 * (CAST(regexp_extract(said, '^([0-9]+)', 1) AS BIGINT) % CASE WHEN @rx(said, 'M$') THEN 12 ELSE 24 END + CASE WHEN @rx(said, 'PM$') THEN 12 ELSE 0 END) + CAST(regexp_extract(said, ':([0-9]+)', 1) AS BIGINT) END AS minute_of_day FROM (SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN '7:30 PM' WHEN 1 THEN '14:05' WHEN 2 THEN '12:15 AM' ELSE 'TBD' END AS said FROM {events}) t",
     "d10_auto_delete": "SELECT event_id, CAST(greatest(1, least(48, coalesce(try_cast(said AS INTEGER), 24))) AS BIGINT) AS hours FROM (SELECT event_id, CASE WHEN event_id % 5 = 0 THEN 'never' ELSE CAST(event_id % 90 - 10 AS STRING) END AS said FROM {events}) t",
     # binding and classification of questions
-    "n02_deflect_gate": "SELECT conv_id, turn, CASE WHEN @rx(said, '^ *(how (do|can|should) i|how to|where do i|what do i need)@b') THEN 'answerable' WHEN @rx(said, '@b(my) (balance|holds?|refund|transcript|gpa)@b') THEN 'personal' WHEN @rx(said, '@b(write|draft|compose|prepare)@b.*@b(my|for me)@b') THEN 'task' WHEN @rx(said, '@b(open|available|free)@b') AND @rx(said, '@b(now|today|tonight)@b') AND NOT @rx(said, '@b(events?|menu|dining)@b') THEN 'live' ELSE 'answerable' END AS gate FROM (SELECT conv_id, turn, trim(lower(text)) || CASE turn % 8 WHEN 0 THEN ' write an essay for me' WHEN 2 THEN ' what is my gpa' WHEN 4 THEN ' is it open now' ELSE '' END AS said FROM {conversations}) t",
     "n04_org_candidates": "WITH named AS (SELECT n_nationkey AS id, lower(n_name) || ' (' || upper(substr(n_name, 1, 3)) || CAST(n_nationkey AS STRING) || ')' AS name FROM {nation}) SELECT id, phrase FROM (SELECT id, name AS phrase FROM named UNION SELECT id, replace(name, ' ', '-') FROM named UNION SELECT id, trim(regexp_replace(name, '[(][^)]*[)]', ''@g)) FROM named UNION SELECT id, lower(acronym) FROM (SELECT id, @explode(@rxall(name, '[(]([A-Z0-9]+)[)]', 1)) AS acronym FROM named) t WHERE length(acronym) >= 3) u WHERE phrase <> ''",
     "n05_topic_span": ctes(PEOPLE, Q, ASK) + "SELECT id, topic FROM (SELECT id, trim(regexp_extract(text, '(?:papers by|what about) (.+)$', 1)) AS topic FROM ask) t WHERE topic <> '' AND @size(@split(topic, ' ')) <= 4 AND topic IN (SELECT lower(given) FROM people UNION SELECT lower(surname) FROM people)",
     "n06_surname_binding": ctes(NAMED, Q, ASK) + ", held AS (SELECT skey, count(*) AS n, min(id) AS person FROM named GROUP BY skey), words AS (SELECT id, @split(text, ' ') AS ws FROM ask), hits AS (SELECT w.id, h.n, h.person, row_number() OVER (PARTITION BY w.id ORDER BY w.pos) AS r FROM (SELECT id, i AS pos, @at(ws, CAST(i AS INTEGER)) AS word FROM (SELECT id, ws, @explode(@range(1, CAST(@size(ws) AS INTEGER))) AS i FROM words) t) w JOIN held h ON h.skey = w.word) SELECT id, CASE WHEN n = 1 THEN person END AS person, n >= 2 AS ambiguous FROM hits WHERE r = 1",
@@ -66,8 +75,17 @@ SQL: dict[str, str] = {
     "n08_route": ctes(PEOPLE, Q, ASK) + "SELECT id, CASE WHEN @rx(text, '^who is [a-z]+ [a-z]+$') THEN 'person' WHEN @rx(text, '^papers by ') THEN 'works' WHEN @rx(text, '^what about ') THEN 'topic' ELSE 'free_text' END AS route FROM ask",
     "n09_role_lookup": ctes(PEOPLE) + "SELECT DISTINCT id, trim(part) AS role FROM (SELECT id, @explode(@split(replace(title, ' and ', ','), ',')) AS part FROM people) t WHERE @rx(part, '^ *(Dean|Distinguished)')",
     "n15_identity_only": ctes(PEOPLE, Q, ASK) + f"SELECT a.id, @size(@filter(@split(a.text, ' '), @lx NOT @has(@split(a.person_name, ' '), x) AND x NOT IN ({STOP}))) = 0 AS identity_only FROM ask a",
-    "n18_tier_ladder": ctes(Q) + "SELECT id, CASE WHEN confidence >= 60 THEN 'primary' WHEN k % 3 = 0 AND confidence >= 30 THEN 'office' WHEN confidence >= 10 THEN 'deep' ELSE 'live' END AS tier FROM q",
-    "n19_person_scope": "SELECT conv_id, turn, held = 0 AS abstain FROM (SELECT conv_id, turn, stamped, max(stamped) OVER (PARTITION BY conv_id) AS held FROM (SELECT conv_id, turn, CASE WHEN (conv_id + turn) % 3 = 0 AND conv_id % 2 = 0 THEN 1 ELSE 0 END AS stamped FROM {conversations}) a) t WHERE held = 0 OR stamped = 1",
+    # an office answers for the topics that have one; else the ladder goes down by confidence
+    "n18_tier_ladder": ctes(Q)
+    + ", office AS (SELECT DISTINCT lower(event_type) AS topic FROM {events} WHERE event_type IN ('purchase', 'signup')) "
+    "SELECT q.id, CASE WHEN confidence >= 60 THEN 'primary' WHEN o.topic IS NOT NULL AND confidence >= 30 THEN 'office' WHEN confidence >= 10 THEN 'deep' ELSE 'live' END AS tier "
+    "FROM q LEFT JOIN office o ON o.topic = q.topic",
+    # turns that name a person of the benchmark; where a conversation has any, only these stay, and where it has none it abstains
+    "n19_person_scope": f"WITH names AS (SELECT DISTINCT @at({WORDS}, 1) AS name FROM {{benchmark}} WHERE @size({WORDS}) > 0), "
+    f"said AS (SELECT conv_id, turn, @explode(@distinct({WORDS})) AS word FROM {{conversations}}), hit AS (SELECT DISTINCT conv_id, turn FROM said WHERE word IN (SELECT name FROM names)), "
+    "scoped AS (SELECT DISTINCT conv_id FROM hit) "
+    "SELECT c.conv_id, c.turn, s.conv_id IS NULL AS abstain FROM {conversations} c LEFT JOIN scoped s ON s.conv_id = c.conv_id LEFT JOIN hit h ON h.conv_id = c.conv_id AND h.turn = c.turn "
+    "WHERE s.conv_id IS NULL OR h.turn IS NOT NULL",
     "n20_context_budget": "SELECT conv_id, turn, CASE WHEN length(text) > 2000 THEN substr(text, 1, 2000) ELSE text END AS kept FROM (SELECT conv_id, turn, text, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS so_far, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS r FROM {conversations}) t WHERE so_far <= 2000 OR r = 1",
     "n21_addendum": ctes(AREAS) + "SELECT person_id, @join(@sort(@list(tag)), '; ') || CASE WHEN max(n) > 3 THEN ' +' || CAST(max(n) - 3 AS STRING) || ' more' ELSE '' END AS line FROM (SELECT person_id, tag, row_number() OVER (PARTITION BY person_id ORDER BY tag) AS r, count(*) OVER (PARTITION BY person_id) AS n FROM (SELECT DISTINCT person_id, tag FROM tagged) a) t WHERE r <= 3 GROUP BY person_id",
     "n22_facts_preserved": f"WITH {TURNS} SELECT conv_id, turn, @size(@filter(@rxall(previous, '([0-9][0-9][0-9]+)', 1), @lx NOT contains(text, x))) = 0 AND @size(@filter(@rxall(previous, '([A-Za-z0-9._]+[@][A-Za-z0-9.-]+)', 1), @lx NOT contains(text, x))) = 0 AS preserved FROM turns WHERE previous IS NOT NULL",

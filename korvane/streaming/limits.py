@@ -39,3 +39,13 @@ def rollup_stream(events: DataFrame, window: str = "1 hour", late: str = "10 min
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {"r08_rate_limit": lambda spark, sf_dir: limited(spark.read.parquet(f"{sf_dir}/events.parquet"))}
+
+#: The same walk over each user's events as a recursive table; the state is the list of accepted times.
+ORACLES: dict[str, str] = {
+    "r08_rate_limit": f"""WITH RECURSIVE e AS (SELECT event_id, user_id, CAST(floor(epoch(ts)) AS BIGINT) AS t, row_number() OVER (PARTITION BY user_id ORDER BY floor(epoch(ts)), event_id) AS i FROM events),
+w AS (SELECT event_id, user_id, i, true AS accepted, [t] AS recent FROM e WHERE i = 1
+  UNION ALL SELECT e.event_id, e.user_id, e.i, len(list_filter(w.recent, lambda x: x > e.t - {WINDOW_S})) < {PER},
+    CASE WHEN len(list_filter(w.recent, lambda x: x > e.t - {WINDOW_S})) < {PER} THEN list_append(list_filter(w.recent, lambda x: x > e.t - {WINDOW_S}), e.t) ELSE list_filter(w.recent, lambda x: x > e.t - {WINDOW_S}) END
+    FROM w JOIN e ON e.user_id = w.user_id AND e.i = w.i + 1)
+SELECT event_id, user_id, accepted FROM w"""
+}
