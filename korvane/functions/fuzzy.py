@@ -12,16 +12,34 @@ from pyspark.sql.types import DoubleType
 CUT = 86.0
 
 
+def common_length(a: str, b: str) -> int:
+    """Length of the longest common subsequence; a column of the table is one integer, so a letter costs one addition."""
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full = open_ = (1 << len(a)) - 1
+    for y in b:
+        hit = open_ & places.get(y, 0)
+        open_ = (open_ + hit | open_ - hit) & full
+    return len(a) - open_.bit_count()
+
+
 def indel_ratio(a: str, b: str) -> float:
     """200 x the longest common subsequence over the joint length; 100 for two empty texts."""
-    if not a and not b:
+    return 200.0 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
+
+
+def token_set_ratio(a: str, b: str) -> float:
+    """The best ratio among the words in common and these with what is left of either side; 100 where one side's words are all in common, 0 without words."""
+    x, y = set(a.split()), set(b.split())
+    if not x or not y:
+        return 0.0
+    both = " ".join(sorted(x & y))
+    if both and (x <= y or y <= x):
         return 100.0
-    row = [0] * (len(b) + 1)
-    for x in a:
-        corner = 0
-        for j, y in enumerate(b, 1):
-            corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
-    return 200.0 * row[-1] / (len(a) + len(b))
+    one, two = (" ".join([both, *sorted(z)]).strip() for z in (x - y, y - x))
+    pairs = [(one, two)] + ([(both, one), (both, two)] if both else [])
+    return max(indel_ratio(p, q) for p, q in pairs)
 
 
 @F.pandas_udf(DoubleType())
@@ -29,6 +47,12 @@ def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else indel_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
+@F.pandas_udf(DoubleType())
+def token_set(a: pd.Series, b: pd.Series) -> pd.Series:
+    """:func:`token_set_ratio` of two columns."""
+    return pd.Series([None if x is None or y is None else token_set_ratio(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def _pairs(name: Column) -> Column:
     return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(name) - 1, F.lit(1))), lambda i: F.substring(name, i, 2)))
 

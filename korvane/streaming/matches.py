@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable, Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState
 
 COLUMNS = "match_id long, seq long, kind string, score long"
 LIVE, OVER = ("in_play", "paused"), "done"
@@ -65,22 +66,36 @@ def watch(reads: DataFrame) -> DataFrame:
     return rows.repartition("match_id").sortWithinPartitions("match_id", "seq").mapInPandas(_walk, COLUMNS)
 
 
-def watch_stream(reads: DataFrame) -> DataFrame:
-    """The same over a stream; states stay between batches."""
+def watch_stream(reads: DataFrame, keep: int | None = None) -> DataFrame:
+    """The same over a stream; states stay between batches, a finished match's for ``keep`` seconds after its last read, or for good.
 
-    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: object) -> Iterator[pd.DataFrame]:
+    With ``keep`` the query runs batches without data, too, to see the time pass.
+
+    A read that cannot be taken gives an ``error`` row; it stops neither its match nor the batch.
+    """
+
+    def follow(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         held = state.get if state.exists else None
         held = (held[0], int(held[1]), int(held[2])) if held else None
         out = []
         rows = pd.concat(list(frames)).sort_values("seq")
         for seq, phase, score, updated in rows[["seq", "phase", "score", "updated"]].itertuples(index=False):
-            held, kinds = step(held, phase, _number(score), int(updated))
-            out += [(key[0], seq, k, held[1]) for k in kinds]
+            try:
+                held, kinds = step(held, phase, _number(score), int(updated))
+            except (TypeError, ValueError):
+                kinds = ["error"]
+            out += [(key[0], seq, k, held[1] if held else None) for k in kinds]
         if held:
             state.update(held)
-        yield pd.DataFrame(out, columns=["match_id", "seq", "kind", "score"])
+            if keep and held[0] == OVER:
+                state.setTimeoutDuration(1000 * keep)
+        made = pd.DataFrame(out, columns=["match_id", "seq", "kind", "score"])
+        yield made.astype({"match_id": "int64", "seq": "int64", "score": "Int64"})
 
-    return reads.groupBy("match_id").applyInPandasWithState(follow, COLUMNS, "phase string, score long, updated long", "append", "NoTimeout")
+    return reads.groupBy("match_id").applyInPandasWithState(follow, COLUMNS, "phase string, score long, updated long", "append", "ProcessingTimeTimeout" if keep else "NoTimeout")
 
 
 def _query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,7 +4,7 @@ import itertools
 
 import pytest
 
-from korvane.functions.fuzzy import CUT, fuzzy_names, indel_ratio
+from korvane.functions.fuzzy import CUT, common_length, fuzzy_names, indel_ratio, token_set, token_set_ratio
 from korvane.sources import files
 from korvane.streaming.matches import step, watch, watch_stream
 
@@ -20,6 +20,23 @@ def test_fuzzy_equals_brute_force(spark):
     assert got == {(a, b) for a, b in itertools.product({n for n in names if n is not None}, repeat=2) if indel_ratio(a, b) >= CUT}
 
 
+def test_ratios(spark):
+    def table(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            corner = 0
+            for j, y in enumerate(b, 1):
+                corner, row[j] = row[j], corner + 1 if x == y else max(row[j], row[j - 1])
+        return row[-1]
+
+    words = ["", "a", "small ring", "ring small", "smalring", "éclair", "zz" * 40, "abcabcabc", "cbacbacba"]
+    assert all(common_length(a, b) == table(a, b) for a, b in itertools.product(words, repeat=2))
+    assert token_set_ratio("fuzzy was a bear", "was a bear") == 100.0 and token_set_ratio("", "a") == 0.0
+    assert token_set_ratio("ann lee", "bob ray") == indel_ratio("ann lee", "bob ray")
+    df = spark.createDataFrame([("ann marie lee", "lee ann x"), (None, "a")], "a string, b string")
+    assert [r["t"] for r in df.select(token_set("a", "b").alias("t")).collect()] == [token_set_ratio("ann marie lee", "lee ann x"), None]
+
+
 def test_match_watch(spark):
     got = sorted(tuple(r) for r in watch(spark.createDataFrame(READS, SCHEMA)).collect())
     assert got == sorted(EVENTS)
@@ -48,6 +65,23 @@ def test_files(spark, tmp_path):
     (tmp_path / "bad" / "x.json").write_text('{"k": 1}\n{"k": \n')
     with pytest.raises(Exception):
         files.read_jsonl(spark, str(tmp_path / "bad"), "k long").collect()
-    urls = spark.createDataFrame([("http://a/?x=1&y=2",), (None,)], "url string")
+    urls = spark.createDataFrame([("http://a/?x=1&y=2",), (None,), ("http://a/?x=1&y=2",)], "url string")
     files.write_sitemap(urls, str(tmp_path / "map"))
     assert [r["loc"] for r in files.read_sitemap(spark, str(tmp_path / "map")).collect()] == ["http://a/?x=1&y=2"]
+    import xml.etree.ElementTree as tree
+
+    for part in (tmp_path / "map").glob("part-*"):
+        root = tree.parse(part).getroot()
+        assert root.tag.endswith("urlset") and [x.text for x in root.iter() if x.tag.endswith("loc")] == ["http://a/?x=1&y=2"]
+    one, two = spark.createDataFrame([(1, "x")], "k long, v string"), spark.createDataFrame([("y", 1), ("z", 2)], "v string, k long")
+    files.write_export(one, two, "k", str(tmp_path / "e"))
+    assert sorted(map(tuple, files.read_jsonl(spark, str(tmp_path / "e"), "k long, v string").collect())) == [(1, "x"), (2, "z")]
+
+
+def test_stream_isolates_bad_reads(spark, tmp_path):
+    rows = [(1, 1, "in_play", "0", "1"), (1, 2, "in_play", "1", None), (1, 3, "in_play", "2", "3"), (2, 1, "in_play", "0", "1"), (2, 2, "done", "1", "2")]
+    spark.createDataFrame(rows, "match_id long, seq long, phase string, score string, updated string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    reads = spark.readStream.schema("match_id long, seq long, phase string, score string, updated string").parquet(str(tmp_path / "in"))
+    q = watch_stream(reads).writeStream.outputMode("append").format("memory").queryName("isolated").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.awaitTermination(90)
+    assert sorted(tuple(r) for r in spark.table("isolated").collect()) == [(1, 2, "error", 0), (1, 3, "goal", 2), (1, 3, "goal", 2), (2, 2, "fulltime", 1), (2, 2, "goal", 1)]
