@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from korvane.operators.lineage import cut
+
 #: Constants of the public BM25 formulas and of reciprocal rank fusion.
 K1, B, FLOOR = 1.2, 0.75, 1e-6
 OKAPI_K1, OKAPI_FLOOR = 1.5, 0.25
@@ -22,6 +24,8 @@ LEG, RERANK, ANSWERS, CAP = 40, 20, 5, 4096
 STOP = ("an", "and", "are", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "who", "with")
 #: Vectors and questions that meet in one task's matrix product.
 SLICE, BLOCK = 8192, 256
+#: Rows (of a number or a word and a number or two) up to which a table is sent to every task.
+SMALL = 500_000
 
 
 def quantised(x: Column) -> Column:
@@ -29,7 +33,8 @@ def quantised(x: Column) -> Column:
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]", " "), " "), lambda t: F.length(t) > 1)
+    """Runs of two and more ASCII letters or digits, lower-cased; none of a null text."""
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit("([a-z0-9]{2,})"), F.lit(1))
 
 
 def asked_tokens(questions: DataFrame) -> DataFrame:
@@ -45,33 +50,37 @@ def best(scored: DataFrame, k: int, descending: bool = True) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
+def _beside(df: DataFrame) -> DataFrame:
+    """``df``, sent to every task if it is small; else left to a shuffle."""
+    return F.broadcast(df) if df.count() <= SMALL else df
+
+
 def bm25(docs: DataFrame, questions: DataFrame, k: int = LEG, allowed: DataFrame | None = None, okapi: bool = False) -> DataFrame:
     """The k best documents of each question by BM25, in one pass over the texts.
 
     Every text adds a marker token, which carries the number of documents and their mean length. Only asked tokens are
-    shuffled, once, by document; scores are summed where they are and cut to k before they travel. ``allowed``
+    shuffled, once, by document, and written; scores are summed where they are and cut to k before they travel. ``allowed``
     (doc_id) restricts what may be found; the corpus statistics stay those of all documents. ``okapi`` takes the
     Okapi constants and lifts negative weights to a quarter of the mean one.
     """
-    asked = asked_tokens(questions)
-    wanted = asked.select("token").union(docs.sparkSession.createDataFrame([("",)], "token string")).distinct()
+    asked = cut(asked_tokens(questions))
+    wanted = _beside(asked.select("token").union(docs.sparkSession.createDataFrame([("",)], "token string")).distinct())
     marked = docs.select("doc_id", tokens(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("n"), F.explode(F.concat("ts", F.array(F.lit("")))).alias("token"))
-    postings = marked.join(wanted, "token", "left_semi").repartition("doc_id").groupBy("doc_id", "n", "token").agg(F.count("*").alias("tf"))
+    postings = cut(marked.join(wanted, "token", "left_semi").repartition("doc_id").groupBy("doc_id", "n", "token").agg(F.count("*").alias("tf")))
     held = postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("length"))
-    size = held.where("token = ''").select(F.col("df").alias("total"), (F.col("length") / F.col("df")).alias("mean"))
-    raw = F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weighed = held.where("token <> ''").join(F.broadcast(size))  # one row of totals
+    size = held.where("token = ''").first()  # one row of totals
+    total, mean = (size["df"], size["length"] / size["df"]) if size else (0, 0.0)
+    raw = F.log((total - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = cut(asked.join(held.where("token <> ''").withColumn("raw", raw), "token").select("item_id", "token", "raw"))
     if okapi:
-        weighed = weighed.withColumn("raw", raw)
-        mean = weighed.agg(F.avg("raw").alias("typical"))
-        weighed = weighed.join(F.broadcast(mean)).withColumn("idf", F.when(F.col("raw") < 0, OKAPI_FLOOR * F.col("typical")).otherwise(F.col("raw")))
+        typical = weights.select("token", "raw").distinct().agg(F.avg("raw")).first()[0] or 0.0
+        idf, k1 = F.when(F.col("raw") < 0, OKAPI_FLOOR * typical).otherwise(F.col("raw")), OKAPI_K1
     else:
-        weighed = weighed.withColumn("idf", F.greatest(raw, F.lit(FLOOR)))
-    weights = asked.join(weighed.select("token", "idf", "mean"), "token")
-    k1 = OKAPI_K1 if okapi else K1
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - B + B * F.col("n") / F.col("mean")))
-    found = postings if allowed is None else postings.join(allowed.select("doc_id").distinct(), "doc_id", "left_semi")
-    return best(found.join(weights, "token").groupBy("item_id", "doc_id").agg(quantised(F.sum(part)).alias("score")), k)
+        idf, k1 = F.greatest("raw", F.lit(FLOOR)), K1
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - B + B * F.col("n") / F.lit(mean)))
+    found = postings if allowed is None else postings.join(_beside(allowed.select("doc_id").distinct()), "doc_id", "left_semi")
+    scored = found.join(_beside(weights.select("item_id", "token", idf.alias("idf"))), "token").groupBy("item_id", "doc_id").agg(quantised(F.sum(part)).alias("score"))
+    return best(scored, k)
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
