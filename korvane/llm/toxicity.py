@@ -3,23 +3,28 @@
 Two pairs of zstandard dictionaries are trained on labelled texts, in each pair one on toxic and one on ordinary
 text. A window's distance is how many bytes shorter the toxic dictionary makes it than the ordinary one.
 
-* Passage windows are :data:`SPAN` words in a row; their dictionaries are trained on all windows of whole texts.
+* Passage windows are :data:`SPAN` words in a row. The ordinary dictionary is trained on all windows of ordinary texts,
+  the toxic one on those windows of toxic texts that hold a telling part (below; on all of them where no part tells).
 * Word windows are one word with its boundaries, spelled out so that lengths tell its beginning apart. Here the toxic
   dictionary is trained on the parts of words (beginnings and whole words) that occur in more toxic than ordinary
   texts, by a likelihood-ratio test whose cut-off grows with the number of parts tested; the ordinary one on the words
   of ordinary texts. Parts that the trainer leaves out are appended, so that rare kinds (a language with few texts) are
-  held like common ones, and so are beginnings that ordinary words share with a part. The toxic dictionary follows the ordinary one in compression: what it saves is what it adds.
+  held like common ones, and so are beginnings that ordinary words share with a part.
 
-Thresholds on these distances give counts and densities a document, whose weights are calibrated, with equal weight
-for both classes, on texts that the dictionaries were not trained on: halves of the sample take turns. The final
-dictionaries are trained on all of it.
+In both pairs the toxic dictionary follows the ordinary one in compression: what it saves is what it adds.
+
+Thresholds on these distances give counts and densities a document. Each kind of window is calibrated by itself, with
+equal weight for both classes, on texts that the dictionaries were not trained on: halves of the sample take turns. A
+document's evidence is the sum of both log-odds. The score 0.5 is put where these held-out texts are told apart best, an ordinary text marked counting :data:`DEAR` times a toxic one
+missed. The final dictionaries are trained on all of the sample.
 
 Learning takes a bounded sample: ``rows`` labelled documents at most, a quarter of them toxic at most, in hash order,
-none of over ``longest`` characters; a dictionary is trained on ``pieces`` windows of these at most, drawn evenly.
-Scoring covers every whole text, with the same windows at every size of corpus.
+none of over ``longest`` characters, no more in all than ``total`` characters; a dictionary is trained on ``pieces`` windows
+of these at most, drawn evenly. Scoring covers every whole text, with the same windows at every size of corpus.
 
-Defined results: null and empty texts score what no window at all scores; an untrainable sample (no label of
-one kind) gives the constant base rate; labels that are null or of unknown documents are not used; of several texts
+Defined results: null and empty texts score what no window at all scores. A sample that teaches nothing (no label of
+one kind, or so few that the held-out texts are not told apart beyond chance) gives every text the base rate of the
+labels, and ``keep_ordinary`` then keeps every row: without evidence nothing is rejected. Labels that are null or of unknown documents are not used; of several texts
 with one doc_id the alphabetically last is learnt from, and all are scored; repeated rows score alike; an empty table
 gives no rows; other columns are ignored.
 """
@@ -37,7 +42,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -52,9 +57,15 @@ HEAD = bytes(range(1, 13))
 #: Letters (bytes) of a word that word windows tell apart; a longer word counts by its beginning.
 LONGEST = 11
 #: Words of a passage window.
-SPAN = 12
-#: Bytes of the dictionaries: ordinary words, toxic words, passages.
-USUAL, MARKED, PASSAGES = 2048 * SPELL, 4096, 16384
+SPAN = 16
+#: Bytes of the dictionaries: ordinary words, toxic words, ordinary passages, toxic passages.
+USUAL, MARKED, PASSAGES, TOXIC_PASSAGES = 2048 * SPELL, 4096, 24576, 8192
+#: Features of the passages, the last ones of a text.
+WIDE = 3
+#: An ordinary text marked as toxic weighs as many toxic texts missed.
+DEAR = 5
+#: Odds against chance that held-out texts must be told apart by.
+SURE = 1e-3
 #: Bytes saved by which word windows are told apart.
 DEPTHS = np.array([5, 6, 8, 10, 12])
 #: Windows that a dictionary is trained on.
@@ -67,7 +78,7 @@ def words(text: bytes) -> list[bytes]:
 
 
 def passages(ws: list[bytes]) -> list[bytes]:
-    return [b" ".join(ws[i : i + SPAN]) for i in range(0, len(ws), SPAN)]
+    return [b" %b " % b" ".join(ws[i : i + SPAN]) for i in range(0, len(ws), SPAN)]
 
 
 def window(word: bytes, whole: bool = True) -> bytes:
@@ -176,9 +187,9 @@ def _dictionary(size: int, pieces: list[bytes], most: int, k: int = 32) -> bytes
         return b"".join(dict.fromkeys(pieces[:most]))[-size:] or HEAD
 
 
-def _compressor(raw: bytes, strategy: int) -> Callable[[bytes], bytes]:
+def _compressor(raw: bytes, strategy: int, target: int, log: int = 13, least: int = 4) -> Callable[[bytes], bytes]:
     params = zstandard.ZstdCompressionParameters(
-        window_log=15, chain_log=13, hash_log=13, search_log=6, min_match=4, target_length=256, strategy=strategy,
+        window_log=log + 2, chain_log=log, hash_log=log, search_log=6, min_match=least, target_length=target, strategy=strategy,
         write_content_size=False, write_checksum=False, write_dict_id=False, format=zstandard.FORMAT_ZSTD1_MAGICLESS,
     )
     return zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=params).compress
@@ -188,7 +199,7 @@ class Words(dict):
     """Word -> bytes that the toxic dictionary, put behind the ordinary one, saves. Bounded."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.a, self.b = (_compressor(raw + HEAD, zstandard.STRATEGY_BTULTRA2) for raw in (ordinary, ordinary + toxic + HEAD))
+        self.a, self.b = (_compressor(raw + HEAD, zstandard.STRATEGY_BTULTRA2, 256) for raw in (ordinary, ordinary + toxic + HEAD))
 
     def __missing__(self, word: bytes) -> int:
         w = window(word)
@@ -212,16 +223,21 @@ class Windows:
 
     def __init__(self, d: Dictionaries):
         self.word = Words(*d.words)
-        self.a, self.b = (_compressor(raw, zstandard.STRATEGY_FAST) for raw in d.passages)
+        ordinary, toxic = d.passages
+        self.a, self.b = (_compressor(raw, zstandard.STRATEGY_DFAST, 0, 14, 5) for raw in (ordinary, ordinary + toxic))
+
+    def gains(self, ws: list[bytes]) -> np.ndarray:
+        """Bytes that the toxic passages save in each passage window."""
+        a, b = self.a, self.b
+        return np.array([len(a(p)) - len(b(p)) for p in passages(ws)] or [0], float)
 
     def features(self, text: bytes) -> np.ndarray:
         ws, word = words(text), self.word
         saved = np.bincount(np.fromiter([word[w[:LONGEST]] for w in ws], np.int64, len(ws)), minlength=DEPTHS[-1] + 1)
         least = saved[::-1].cumsum()[::-1][DEPTHS]
         density = 200.0 / (len(ws) + 10)
-        a, b = self.a, self.b
-        gain = np.array([len(a(p)) - len(b(p)) for p in passages(ws)] or [0], float)
-        wide = [np.clip(gain.mean() / 8, -1, 1), np.clip(gain.max() / 16, -1, 1), (gain >= 4).mean()]
+        gain = self.gains(ws)
+        wide = [np.clip(gain.mean() / 2, -1, 1), np.clip(gain.max() / 16, -1, 1), (gain >= 4).mean()]
         return np.concatenate([[1.0], np.log1p(density * least), least >= 1, least >= 2, wide])
 
 
@@ -242,7 +258,7 @@ def _curve(z: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Model:
-    """Dictionaries and calibrated weights; without weights every text scores ``base``."""
+    """Dictionaries and calibrated weights; without weights nothing was learnt and every text scores ``base``."""
 
     dictionaries: Dictionaries = field(default_factory=Dictionaries)
     weights: list[float] = field(default_factory=list)
@@ -275,10 +291,32 @@ def train(c: Corpus, pick: np.ndarray, pieces: int = PIECES) -> Dictionaries:
         if n and own[w] < 0:
             often[next((c.words[w][:i] for i in range(LONGEST, 0, -1) if c.words[w][:i] in begun), b"")] += n
     usual += b"".join(window(p, False) for p, n in sorted(often.items()) if p and n >= max(3, len(plain) / 500))
-    wide = tuple(_dictionary(PASSAGES, [p + b" " for i in kind for p in passages(words(c.texts[i]))], pieces, 48) for kind in (plain, toxic))
+    tells = {w for w, p in zip(c.words, own, strict=True) if p >= 0}
+    spread = [[p for i in kind for p in passages(words(c.texts[i]))] for kind in (plain, toxic)]
+    spread[1] = [p for p in spread[1] if not tells.isdisjoint(p.split())] or spread[1]
+    wide = tuple(_dictionary(size, p, pieces, 48) for size, p in zip((PASSAGES, TOXIC_PASSAGES), spread, strict=True))
     return Dictionaries((usual, marked), wide)
 
 
+def threshold(z: np.ndarray, y: np.ndarray) -> float | None:
+    """Where held-out values are told apart best; None if chance alone would often do as well."""
+    order = np.argsort(-z, kind="stable")
+    v, t = z[order], np.cumsum(y[order])
+    f = np.arange(1, len(y) + 1) - t
+    ends = np.append(np.flatnonzero(np.diff(v)), len(v) - 1)  # ties stay together
+    gain = t[ends] / y.sum() - DEAR * f[ends] / (len(y) - y.sum())
+    best = int(gain.argmax())
+    if gain[best] <= 0 or best == len(ends) - 1:
+        return None
+    k = ends[best]
+    # the chance that as many as k + 1 texts drawn blindly hold as many toxic ones, for any of the cuts tried
+    n, drawn, hit, lg = len(y), int(k) + 1, int(t[k]), math.lgamma
+    choose = lambda a, b: lg(a + 1) - lg(b + 1) - lg(a - b + 1)
+    pos = int(y.sum())
+    tail = sum(math.exp(choose(pos, i) + choose(n - pos, drawn - i) - choose(n, drawn)) for i in range(hit, min(pos, drawn) + 1) if drawn - i <= n - pos)
+    return float(v[k] + v[k + 1]) / 2 if tail * math.log2(n + 1) < SURE else None
+
+
 def fit(texts: list[bytes], labels: list[int], pieces: int = PIECES) -> Model:
     """Calibrates on halves in turn, then trains the dictionaries on all texts."""
     y = np.array(labels, float)
@@ -287,26 +325,38 @@ def fit(texts: list[bytes], labels: list[int], pieces: int = PIECES) -> Model:
     half = np.zeros(len(y), bool)
     for v in (0, 1):
         half[np.flatnonzero(y == v)[::2]] = True
+    base, least = float(y.mean()), min(int(y.sum()), int((1 - y).sum()))
+    if least < 2:  # a half would lack a kind
+        return Model(base=base)
     c, x = Corpus(texts, y), np.zeros((len(y), len(Windows(Dictionaries()).features(b""))))
     for learnt in (half, ~half):
         win = Windows(train(c, np.flatnonzero(learnt), pieces))
         for i in np.flatnonzero(~learnt):
             x[i] = win.features(texts[i])
-    return Model(train(c, np.arange(len(y)), pieces), _logistic(x, y).tolist())
+    w = np.zeros(x.shape[1])
+    for own in (np.arange(x.shape[1] - WIDE), np.append(0, np.arange(x.shape[1] - WIDE, x.shape[1]))):
+        w[own] += _logistic(x[:, own], y)  # the constant 1 belongs to both
+    cut = threshold(x @ w, y)
+    if cut is None:
+        return Model(base=base)
+    w[0] -= cut  # the first feature is 1: the score 0.5 lies at the threshold
+    return Model(train(c, np.arange(len(y)), pieces), w.tolist(), base)
 
 
 def fold_of(column: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(5))
 
 
-def learn(docs: DataFrame, labels: DataFrame, rows: int = 3000, longest: int = 200_000, pieces: int = PIECES) -> Model:
-    """Fits on at most ``rows`` labelled documents of the folds 1 to 4 and of ``longest`` characters, in hash order."""
+def learn(docs: DataFrame, labels: DataFrame, rows: int = 3000, longest: int = 200_000, pieces: int = PIECES, total: int = 60_000_000) -> Model:
+    """Fits on at most ``rows`` labelled documents of the folds 1 to 4 and of ``longest`` characters, in hash order, ``total`` characters at most."""
     mine = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = [mine.where(F.col("toxic") == v).orderBy(*order).limit(n) for v, n in ((1, rows // 4), (0, rows - rows // 4))]
     few = picked[0].unionByName(picked[1])
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).where(F.length("text") <= longest)
-    got = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic")).collect()  # ``rows`` at most
+    found = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic"))  # ``rows`` at most
+    so_far = F.sum(F.length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    got = found.withColumn("so_far", so_far).where(F.col("so_far") <= total).collect()
     got.sort(key=lambda r: r["doc_id"])
     return fit([r["text"].encode() for r in got], [int(r["toxic"]) for r in got], pieces)
 
@@ -330,7 +380,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_ordinary(docs: DataFrame, model: Model, threshold: float = 0.5) -> DataFrame:
-    """Rows of ``docs``, all columns, whose whole text scores under the threshold."""
+    """Rows of ``docs``, all columns, whose whole text scores under the threshold; all rows if the model has learnt nothing."""
+    if not model.weights:
+        return docs
     prepare(docs.sparkSession)
     at, names = docs.columns.index("text"), docs.columns
 

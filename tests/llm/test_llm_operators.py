@@ -432,6 +432,70 @@ def test_toxicity_lengths_by_hand():
     assert all(any(x.startswith(p) for p in parts) for x in (b"vermin", b"wretch", b"fiendish", b"zgebmi"))
 
 
+def test_toxicity_passages_carry_weight():
+    """Passage windows: zstd's own lengths by parameters written here, lossless frames, markers saved by the toxic dictionary, weights that count."""
+    import zstandard
+
+    rows, labels = labelled()
+    t, y = [r[1].encode() for r in rows], [r[2] for r in labels]
+    m = toxicity.fit(t, y)
+    w = m.windows()
+    ordinary, toxic = m.dictionaries.passages
+    frames = []
+    for raw in (ordinary, ordinary + toxic):
+        d = zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        params = zstandard.ZstdCompressionParameters(strategy=2, window_log=16, chain_log=14, hash_log=14, search_log=6, min_match=5, target_length=0, write_content_size=False, write_checksum=False, write_dict_id=False, format=1)
+        frames.append((zstandard.ZstdCompressor(dict_data=d, compression_params=params), zstandard.ZstdDecompressor(dict_data=d, format=1)))
+    gains = {0: [], 1: []}
+    for x, v in zip(t[:120], y[:120], strict=True):
+        ws = toxicity.words(x)
+        lengths = []
+        for c, back in frames:
+            out = [c.compress(b" " + b" ".join(ws[i : i + toxicity.SPAN]) + b" ") for i in range(0, len(ws), toxicity.SPAN)]
+            assert b"".join(back.decompressobj().decompress(o)[1:] for o in out).split() == ws
+            lengths.append([len(o) for o in out])
+        own = np.array(lengths[0]) - np.array(lengths[1])
+        assert own.tolist() == w.gains(ws).tolist()
+        gains[v].append(own.mean())
+    assert np.mean(gains[1]) > np.mean(gains[0]) + 0.3
+    assert max(abs(x) for x in m.weights[-toxicity.WIDE :]) > 0.1
+
+
+@pytest.mark.parametrize("n", [20, 60, 150])
+def test_toxicity_few_labels(spark, n):
+    """However few labels there are, ordinary texts stay: what is not told apart beyond chance scores the base rate."""
+    d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    l = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("toxic is not null")
+    some = l.where(toxicity.fold_of() != 0).orderBy("doc_id").limit(n)
+    m = toxicity.learn(d, some)
+    kept = toxicity.keep_ordinary(d.join(l.where("toxic = 0").limit(400), "doc_id", "semi"), m)
+    assert kept.count() > 380
+    if not m.weights:
+        assert 0 < m.base < 0.5 and toxicity.keep_ordinary(d, m).count() == d.count()
+
+
+@pytest.mark.parametrize("v", [0, 1])
+def test_toxicity_one_class(spark, docs, v):
+    rows, labels = labelled()
+    m = toxicity.learn(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, 1, v) for i, _, _ in labels], "doc_id long, quality int, toxic int"))
+    assert m.base == v and not m.weights
+    assert {r["score"] for r in toxicity.score(docs, m).collect()} == {float(v)}
+    assert toxicity.keep_ordinary(docs, m).count() == docs.count()
+
+
+def test_toxicity_threshold():
+    y = np.array([1.0] * 20 + [0.0] * 80)
+    assert 0.5 < toxicity.threshold(np.where(y == 1, 1.0, 0.0) + 0.2 * np.arange(100) / 100, y) < 1.1
+    assert toxicity.threshold(np.zeros(100), y) is None
+    assert all(toxicity.threshold(np.random.default_rng(i).random(100), y) is None for i in range(200))
+
+
+def test_toxicity_sample_is_bounded(spark):
+    rows, labels = labelled()
+    d, l = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    assert toxicity.learn(d, l, total=1).base == 0.0 and toxicity.learn(d, l, total=10**9).weights
+
+
 def test_licenses(spark, empty):
     t = licenses.NOTICES["Apache-2.0-notice"]
     edited = t.replace("may not", "shall not")
@@ -527,14 +591,26 @@ def test_pipeline(spark, docs, empty, tmp_path):
 
     d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     before = d
+    clean = {r["doc_id"] for r in spark.read.parquet("/root/testdata/sf0.001/labels.parquet").where("toxic = 0").collect()}
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, before, "/root/testdata/sf0.001")
         if name != "packing":
             assert out.columns == d.columns
             out.write.parquet(str(tmp_path / name))
-            before = spark.read.parquet(str(tmp_path / name))
+            out = spark.read.parquet(str(tmp_path / name))
+            had, has = before.count(), out.count()
+            if name == "toxicity":  # too few labels to learn from, so all stay
+                assert has == had and clean <= {r["doc_id"] for r in out.collect()}
+            elif name == "simhash_near_dedup":
+                assert 0.6 * had < has <= had and has == out.select("doc_id").distinct().count()
+            else:
+                assert has == had
+                letters = [x.agg(F.sum(F.length(F.coalesce("text", F.lit(""))))).first()[0] for x in (before, out)]
+                assert 0.5 * letters[0] < letters[1] < letters[0]
+            before = out
         else:
-            assert out.agg(F.sum("length")).first()[0] >= before.count()
+            got = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
+            assert got == {r["doc_id"] for r in before.select("doc_id").collect()}
     for df in (docs, empty):
         for name, stage in corpus_pipeline.STAGES:
             stage(spark, df, "/root/testdata/sf0.001").count()
