@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvane.llm import bpe, licenses, lines, media, packing, simhash, suffixes, toxicity, vafile, warc
+from korvane.llm import alignment, bpe, counts, licenses, lines, media, packing, simhash, suffixes, toxicity, vafile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), digest=True)
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = alignment.Alignment(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    return found.documents().drop("groups")
+
+
+def op13_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = counts.prefix_counts(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"))
+    return found.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 1024).alias("over_limit"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_packing": op2_packing,
@@ -79,6 +89,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_lines": op9_lines,
     "op10_bpe": op10_bpe,
+    "op12_alignment": op12_alignment,
+    "op13_counts": op13_counts,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": warc.ORACLE,
