@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvane.llm import alignment, bpe, counts, licenses, lines, media, packing, simhash, suffixes, toxicity, vafile, warc
+from korvane.llm import alignment, bpe, counts, licenses, lines, media, packing, simhash, spelling, suffixes, toxicity, vafile, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode(_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"), digest=True)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.count_words(_table(spark, sf_dir, "documents"), least=6, every=199)
+    return spelling.group_variants(words.where("n >= 5"), ratio=5)
+
+
 def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = alignment.Alignment(_table(spark, sf_dir, "documents"), tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
     return found.documents().drop("groups")
@@ -89,6 +94,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_media": op8_media,
     "op9_lines": op9_lines,
     "op10_bpe": op10_bpe,
+    "op11_spelling": op11_spelling,
     "op12_alignment": op12_alignment,
     "op13_counts": op13_counts,
 }
