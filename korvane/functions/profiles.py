@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_ACRONYM = "\\(([A-Z][A-Z0-9&-]{1,9})\\)"
+#: Words that say nothing about which venue it is, at the beginning of its name.
+NOISE = ("proceedings", "proc.", "in", "of", "the", "annual", "international", "journal:")
+PREPRINTS = {"arxiv": "arXiv", "ssrn": "SSRN"}
+#: Headings of a teaching section.
+HEADINGS = ("Teaching Interests", "Past Courses", "Current Courses")
 
 
 def _squeezed(c: Column) -> Column:
@@ -31,21 +35,32 @@ def citations(pages: DataFrame) -> DataFrame:
     return lines.select("id", "n", F.regexp_replace(F.trim(title), "[,.]+$", "").alias("title"), venue(tail).alias("venue"), year.cast("int").alias("year"))
 
 
+def _bracketed(s: Column) -> Column:
+    """What stands in the first brackets if it has no small letter, else null."""
+    inside = F.regexp_extract(s, "[(]([^()]*)[)]", 1)
+    return F.when((inside != "") & (F.upper(inside) == inside) & (F.length(inside) <= 10), inside)
+
+
 def venue(raw: Column) -> Column:
-    """An acronym in brackets, else the part before the first comma, with the last year named; a preprint is called by its archive."""
+    """A short name of where something came out, and the last year named.
+
+    Servers of preprints go by their own name; else an abbreviation in brackets is the name; else what is left of the first
+    part up to a comma once words that only count or announce (:data:`NOISE`, numbers, ordinals) are gone at its beginning.
+    """
     s = _squeezed(raw)
-    year = F.coalesce(F.try_element_at(F.regexp_extract_all(s, F.lit("\\b((?:19|20)\\d\\d)\\b"), F.lit(1)), F.lit(-1)), F.lit(""))
-    short = F.regexp_extract(s, _ACRONYM, 1)
-    part = F.regexp_replace(F.regexp_extract(s, "^([^,]*)", 1), "\\b\\d{4}\\b|\\d+(st|nd|rd|th) Annual|Proceedings of the", "")
-    name = F.when(F.contains(F.lower(s), F.lit("arxiv")), "arXiv").when(short != "", short).otherwise(F.regexp_replace(_squeezed(part), "^[ .,-]+|[ .,-]+$", ""))
-    return F.trim(F.concat_ws(" ", name, year))
+    years = F.filter(F.split(s, "[^0-9]+"), lambda w: (F.length(w) == 4) & w.between("1900", "2099"))
+    server = F.coalesce(*(F.when(F.contains(F.lower(s), F.lit(k)), v) for k, v in PREPRINTS.items()))
+    words = F.split(F.element_at(F.split(s, ","), 1), " ")
+    weak = lambda w: F.lower(w).isin(*NOISE) | (F.regexp_replace(F.lower(w), "[0-9]+(st|nd|rd|th)?", "") == "")
+    kept = F.aggregate(words, F.lit(""), lambda acc, w: F.when(weak(w) & (acc == ""), acc).otherwise(F.trim(F.concat_ws(" ", acc, w))))
+    return F.trim(F.concat_ws(" ", F.coalesce(server, _bracketed(s), F.trim(kept)), F.try_element_at(years, F.lit(-1))))
 
 
 def office(raw: Column) -> Column:
-    """The room and the building's acronym, where there is one."""
+    """The first word with a digit and the building's abbreviation in brackets, where there are both; else the words as they are."""
     s = _squeezed(raw)
-    short = F.regexp_extract(s, _ACRONYM, 1)
-    return F.when(short != "", F.concat_ws(" ", F.regexp_extract(s, "^(\\S+)", 1), short)).otherwise(s)
+    room = F.try_element_at(F.filter(F.split(s, " "), lambda w: F.translate(w, "0123456789", "") != w), F.lit(1))
+    return F.when(_bracketed(s).isNotNull() & room.isNotNull(), F.concat_ws(" ", room, _bracketed(s))).otherwise(s)
 
 
 def courses(rows: DataFrame) -> DataFrame:
@@ -61,10 +76,18 @@ def courses(rows: DataFrame) -> DataFrame:
     return once.groupBy("id", "title").agg(F.array_join(codes, ", ").alias("codes"))
 
 
+def section(raw: Column, heading: str) -> Column:
+    """What follows a heading, up to the next of :data:`HEADINGS`; null without the heading."""
+    low = F.lower(raw)
+    begin = F.instr(low, heading.lower())
+    rest = F.when(begin > 0, raw.substr(begin + len(heading), F.length(raw)))
+    ends = [F.nullif(F.instr(F.lower(rest), h.lower()), F.lit(0)) for h in HEADINGS if h != heading]
+    return F.when(F.coalesce(*ends).isNull(), rest).otherwise(rest.substr(F.lit(1), F.least(*ends) - 1))
+
+
 def interests(raw: Column) -> Column:
-    """The entries of a ``Teaching Interests`` section, up to ``Past Courses``; none without the section."""
-    body = F.regexp_extract(raw, "(?is)Teaching Interests;?\\s*(.*?)(?:;?\\s*Past Courses\\b|$)", 1)
-    return F.filter(F.transform(F.split(F.regexp_replace(body, "^[; ]+|[; ]+$", ""), ","), lambda x: F.trim(x)), lambda x: x != "")
+    """The entries of the section on teaching interests; none without it."""
+    return F.filter(F.transform(F.split(F.coalesce(section(raw, "Teaching Interests"), F.lit("")), "[,;]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def listing(pages: DataFrame, card: str = '<a [^>]*href="[^"]*/profile/[^"]*"[^>]*>.*?</a>') -> DataFrame:

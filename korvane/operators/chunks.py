@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import bisect
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -17,29 +17,31 @@ ENDS = ".!?"
 CHUNKS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("chunk", T.IntegerType()), T.StructField("text", T.StringType()), T.StructField("n_tokens", T.IntegerType())])
 
 
-def windows(text: str, size: int, overlap: int) -> list[tuple[str, int]]:
-    """Windows of ``size`` tokens that begin ``overlap`` tokens before the last one's end.
+def boundaries(n: int, stops: np.ndarray, size: int, overlap: int) -> Iterator[tuple[int, int]]:
+    """First token and end of each window over ``n`` tokens; ``stops`` are the ends of sentences.
 
-    A window that does not reach the end snaps back to the last token in its last quarter that ends a sentence.
+    Where each possible window would end is laid out for all tokens at once: ``size`` tokens on, or at the last stop
+    before that if the stop lies in the window's last quarter. The windows are then read off.
     """
-    spans = [m.span() for m in TOKEN.finditer(text)]
-    if not spans:
-        return []
-    if len(spans) <= size:
-        return [(text.strip(), len(spans))]
-    ends = [i + 1 for i, (_, b) in enumerate(spans) if text[b - 1] in ENDS]
-    out, start = [], 0
-    while start < len(spans):
-        end = min(start + size, len(spans))
-        if end < len(spans):
-            at = bisect.bisect_right(ends, end) - 1
-            if at >= 0 and ends[at] >= max(start + 1, end - (end - start) // 4):
-                end = ends[at]
-        out.append((text[spans[start][0] : spans[end - 1][1]], end - start))
-        if end >= len(spans):
-            break
-        start = max(end - overlap, start + 1)
-    return out
+    first = np.arange(n)
+    full = np.minimum(first + size, n)
+    stop_before = np.zeros(n + 1, np.int64)
+    stop_before[stops] = stops
+    snapped = np.maximum.accumulate(stop_before)[full]
+    near = (full < n) & (full - snapped <= size // 4) & (snapped > first)
+    end_of = np.where(near, snapped, full)
+    next_of = np.maximum(end_of - overlap, first + 1)
+    at = 0
+    while at < n:
+        yield at, int(end_of[at])
+        at = n if end_of[at] == n else int(next_of[at])
+
+
+def windows(text: str, size: int, overlap: int) -> list[tuple[str, int]]:
+    """Texts and token counts of windows of ``size`` tokens, each beginning ``overlap`` tokens before the end of the one before."""
+    spans = np.array([m.span() for m in TOKEN.finditer(text)], np.int64).reshape(-1, 2)
+    stops = np.array([i for i, (_, b) in enumerate(spans.tolist(), 1) if text[b - 1] in ENDS], np.int64)
+    return [(text[spans[i, 0] : spans[j - 1, 1]], j - i) for i, j in boundaries(len(spans), stops, size, overlap)]
 
 
 def chunks(docs: DataFrame, size: int = 256, overlap: int = 32) -> DataFrame:
