@@ -64,3 +64,18 @@ def calibration(rows: DataFrame, score: str, good: Column) -> DataFrame:
     cuts = rows.where(F.col(score).isNotNull()).groupBy(score).agg(F.count("*").alias("n"), F.count(F.when(good, 1)).alias("g"))
     told = running(cuts, [F.desc(score)], {"covered": F.col("n"), "right": F.col("g")})
     return told.select(score, "covered", quantised(F.col("right") / F.col("covered")).alias("precision_so_far"))
+
+
+def validated(rows: DataFrame, scores: str, criteria: int, low: float, high: float) -> DataFrame:
+    """The rows with ``fault`` (null where scores are usable: one a criterion, each in range) and ``final_score``, their mean.
+
+    Null arrays and null scores are faults; an empty array is one unless no criteria are asked, and then has no mean.
+    """
+    s = F.col(scores)
+    fault = (
+        F.when(s.isNull() | (F.size(s) != criteria), "count")
+        .when(F.exists(s, lambda x: x.isNull()), "missing")
+        .when(F.exists(s, lambda x: (x < low) | (x > high)), "range")
+    )
+    mean = F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(s), F.lit(0))
+    return rows.withColumn("fault", fault).withColumn("final_score", F.when(F.col("fault").isNull(), mean))
