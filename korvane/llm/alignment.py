@@ -42,11 +42,16 @@ Group = tuple[list[int], list[int]]
 Chunk = tuple[int, int, int, bytes, bytes] | None
 
 
-def groups(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> list[Group]:
-    """The two id lists cut where tokens of both end; ``size`` are the bytes of each id."""
+def cuts(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[int], list[int]]:
+    """How many ids of each list lie before each common end, in order; ``size`` are the bytes of each id."""
     index_a, index_b = (dict(zip(accumulate(map(size.__getitem__, ids)), count(1))) for ids, size in ((a, size_a), (b, size_b)))
     both = sorted(index_a.keys() & index_b.keys())
-    to_a, to_b = list(map(index_a.__getitem__, both)), list(map(index_b.__getitem__, both))
+    return list(map(index_a.__getitem__, both)), list(map(index_b.__getitem__, both))
+
+
+def groups(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> list[Group]:
+    """The two id lists cut where tokens of both end."""
+    to_a, to_b = cuts(a, b, size_a, size_b)
     return [(a[i:i2], b[j:j2]) for i, i2, j, j2 in zip([0, *to_a], to_a, [0, *to_b], to_b)]
 
 
@@ -73,7 +78,7 @@ class PieceIds(PieceCache):
 class Aligner:
     """Both tokenizers, and aligned chunks. Bounded: what is full makes way, and what comes again comes back; one a worker."""
 
-    LIMIT = 200_000
+    LIMIT = 300_000
 
     def __init__(self, byte_file: str, piece_file: str):
         import sentencepiece
@@ -108,20 +113,24 @@ class Aligner:
         raw = "".join(chunks).encode()
         if b"".join(map(self.spell_a, a)) != raw or b"".join(map(self.spell_b, b)) != raw:
             return [None] if len(chunks) == 1 else [x for c in chunks for x in self._aligned([c])]
-        size_a, size_b, out, at, cut = self.size_a, self.size_b, [], 0, groups(a, b, self.size_a, self.size_b)
+        size_a, size_b, out, at, i, j = self.size_a, self.size_b, [], 0, 0, 0
+        to_a, to_b = cuts(a, b, size_a, size_b)
+        end_a = end_b = 0
         for x, y in zip(map(len, first), map(len, second), strict=True):
-            begun, said, found, left_a, left_b = at, [], [], x, y
-            while left_a > 0:
-                g = cut[at]
-                i, j = g
-                at, left_a, left_b = at + 1, left_a - len(i), left_b - len(j)
-                if len(i) == len(j) == 1:
-                    said.append(f"{i[0]}|{j[0]}")
-                    found.append(i[0] << 32 | j[0])
+            begun, said, found, end_a, end_b = at, [], [], end_a + x, end_b + y
+            while i < end_a:
+                i2, j2 = to_a[at], to_b[at]
+                at += 1
+                if i2 - i == 1 == j2 - j:
+                    v, w = a[i], b[j]
+                    said.append(f"{v}|{w}")
+                    found.append(v << 32 | w)
                 else:
-                    said.append(f"{','.join(map(str, i))}|{','.join(map(str, j))}")
+                    g = a[i:i2], b[j:j2]
+                    said.append(f"{','.join(map(str, g[0]))}|{','.join(map(str, g[1]))}")
                     found += [v << 32 | w for v, w in links(g, size_a, size_b)]
-            if left_a or left_b:  # a chunk's end is not an end of both
+                i, j = i2, j2
+            if i != end_a or j != end_b:  # a chunk's end is not an end of both
                 return [z for c in chunks for z in self._aligned([c])]
             out.append((x, y, at - begun, ";".join(said).encode(), array("q", found).tobytes()))
         return out
