@@ -14,7 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korvane.operators.scoring import validated
+from korvane.plans import retrieval
 from korvane.store.outbox import Outbox
+from korvane.store.postings import PositionalIndex
 from korvane.store.tables import DELETE, INSERT, UPSERT, Files, KeyedTable, shared_base
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -83,6 +85,26 @@ def outbox(spark: SparkSession, sf_dir: str) -> Outbox:
     return box
 
 
+def index(spark: SparkSession, sf_dir: str) -> PositionalIndex:
+    """All documents, in three steps: without a source, then that source and new texts of a language, then without the long ones of another."""
+    out, docs = PositionalIndex(spark, folder(spark, "index")), read(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    out.update(docs.where("source <> 'src3'"), "base")
+    changed = docs.where("source = 'src3' or lang = 'fr'").withColumn("text", F.when(F.col("lang") == "fr", F.concat(F.lit("again "), F.coalesce("text", F.lit("")))).otherwise(F.col("text")))
+    out.update(changed, "more", docs.where("lang = 'es' and n_chars > 3000 and source <> 'src3'"))
+    return out
+
+
+def whole_index(spark: SparkSession, sf_dir: str) -> PositionalIndex:
+    out = PositionalIndex(spark, folder(spark, "index"))
+    out.update(read(spark, sf_dir, "documents"), "all")
+    return out
+
+
+def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held = index(spark, sf_dir).rows().where("token <> ''").select("token", F.explode("held").alias("x"))
+    return held.groupBy("token").agg(F.count("*").alias("docs"), F.sum(F.size("x.at")).alias("places"))
+
+
 QUERIES: dict[str, Query] = {
     "e16_score_table": lambda s, d: scores(s, d).read(),
     "e16_score_audit": lambda s, d: scores(s, d).audit().drop("batch"),
@@ -90,6 +112,9 @@ QUERIES: dict[str, Query] = {
     "e04_page_table": lambda s, d: pages(s, d).audit().select("url", "page_id", "action", "version"),
     "e05_node_table": lambda s, d: nodes(s, d).read().withColumn("titles", F.array_join("titles", "|")),
     "r09_delivery_table": lambda s, d: outbox(s, d).posts.read().select("key", "content", "status", "sent_at"),
+    "s16_index_upkeep": token_counts,
+    "x09_phrases": lambda s, d: whole_index(s, d).phrases(read(s, d, "benchmark")).select("item_id", "doc_id"),
+    "t04_stored_index": lambda s, d: whole_index(s, d).bm25(read(s, d, "benchmark")),
     "u11_outbox": lambda s, d: outbox(s, d).posts.audit().where(F.col("action") == INSERT).select("key", "content", "version"),
 }
 
@@ -114,5 +139,12 @@ t AS (SELECT l_orderkey, year(l_shipdate) < 1998 AS early, bool_or(l_returnflag
 f AS (SELECT * FROM t QUALIFY row_number() OVER (PARTITION BY l_orderkey ORDER BY early DESC) = 1)
 SELECT 'orders:' || o_orderkey AS key, o_orderstatus AS content, CASE WHEN NOT due THEN 'scheduled' WHEN f.l_orderkey IS NULL THEN 'sending' WHEN ok THEN 'sent' ELSE 'failed' END AS status,
   CASE WHEN due THEN last END AS sent_at FROM o LEFT JOIN f ON l_orderkey = o_orderkey""",
+    "s16_index_upkeep": """WITH d AS (SELECT CASE WHEN lang = 'fr' THEN 'again ' || coalesce(text, '') ELSE text END AS text FROM documents WHERE coalesce(NOT (lang = 'es' AND n_chars > 3000 AND source <> 'src3'), true)),
+t AS (SELECT row_number() OVER () AS i, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9]{2,}') AS ts FROM d), e AS (SELECT i, unnest(ts) AS token FROM t)
+SELECT token, count(DISTINCT i) AS docs, count(*) AS places FROM e GROUP BY token""",
+    "x09_phrases": """WITH p AS (SELECT item_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]{2,}'), ' ') || ' ' AS s FROM benchmark WHERE len(regexp_extract_all(lower(text), '[a-z0-9]{2,}')) > 0),
+d AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[a-z0-9]{2,}'), ' ') || ' ' AS s FROM documents)
+SELECT item_id, doc_id FROM p JOIN d ON contains(d.s, p.s)""",
+    "t04_stored_index": retrieval.ORACLES["t04_bm25"],
     "u11_outbox": "SELECT 'orders:' || o_orderkey AS key, o_orderstatus AS content, CAST(1 AS BIGINT) AS version FROM orders",
 }

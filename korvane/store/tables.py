@@ -98,15 +98,14 @@ REMEMBERED = 1000
 
 
 class KeyedTable:
-    """Rows of a schema under unique keys, in ``buckets`` parts by the hash of the key."""
+    """Rows of a schema under unique keys, in ``buckets`` parts by the hash of the key, or of those of its columns that ``place`` names."""
 
-    def __init__(self, spark: SparkSession, root: str, schema: str | T.StructType, keys: list[str], buckets: int = 16):
-        self.spark, self.root, self.keys, self.buckets = spark, root.rstrip("/"), keys, buckets
+    def __init__(self, spark: SparkSession, root: str, schema: str | T.StructType, keys: list[str], buckets: int = 16, place: list[str] | None = None):
+        self.spark, self.root, self.keys, self.buckets, self.place = spark, root.rstrip("/"), keys, buckets, place or keys
         self.schema = spark.createDataFrame([], schema).schema
         self.values = [c for c in self.schema.names if c not in keys]
         self.files = Files(spark, root)
-        kept = [f for f in self.schema.fields]
-        self.audit_schema = T.StructType([*kept, T.StructField("action", T.StringType()), T.StructField("version", T.LongType()), T.StructField("batch", T.StringType())])
+        self.audit_schema = T.StructType([*self.schema.fields, T.StructField("action", T.StringType()), T.StructField("version", T.LongType()), T.StructField("batch", T.StringType())])
 
     # reading
 
@@ -141,7 +140,7 @@ class KeyedTable:
     # writing
 
     def _place(self) -> Column:
-        return F.pmod(F.hash(*(F.col(k).cast("string") for k in self.keys)), F.lit(self.buckets))
+        return F.pmod(F.hash(*(F.col(k).cast("string") for k in self.place)), F.lit(self.buckets))
 
     def merge(self, batch: DataFrame, name: str, op: Column | str = UPSERT, order: Column | None = None, keep_nulls: bool = False, set_values: dict[str, Column] | None = None) -> Version:
         """Brings a batch in; returns the version that holds it.
