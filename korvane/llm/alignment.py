@@ -23,6 +23,7 @@ from collections.abc import Iterator
 from itertools import accumulate, chain, count, product
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -39,7 +40,7 @@ SPACE = "▁"
 BLOCK = 1 << 23
 
 Group = tuple[list[int], list[int]]
-Chunk = tuple[int, int, int, bytes, bytes] | None
+Chunk = tuple[int, int, int, bytes, bytes] | tuple[()]
 
 
 def cuts(a: list[int], b: list[int], size_a: list[int], size_b: list[int]) -> tuple[list[int], list[int]]:
@@ -112,7 +113,7 @@ class Aligner:
         a, b = list(chain.from_iterable(first)), list(chain.from_iterable(second))
         raw = "".join(chunks).encode()
         if b"".join(map(self.spell_a, a)) != raw or b"".join(map(self.spell_b, b)) != raw:
-            return [None] if len(chunks) == 1 else [x for c in chunks for x in self._aligned([c])]
+            return [()] if len(chunks) == 1 else [x for c in chunks for x in self._aligned([c])]
         size_a, size_b, out, at, i, j = self.size_a, self.size_b, [], 0, 0, 0
         to_a, to_b = cuts(a, b, size_a, size_b)
         end_a = end_b = 0
@@ -136,22 +137,28 @@ class Aligner:
         return out
 
     def look_up(self, chunks: list[str]) -> list[Chunk]:
-        """The aligned form of every chunk: token counts, number and text of groups, links as int64 of first id << 32 | second id; None if the tokens spell something else."""
+        """The aligned form of every chunk: token counts, number and text of groups, links as int64 of first id << 32 | second id; empty if the tokens spell something else."""
         known, older = self.known, self.older
-        new = {c for c in chunks if c not in known}
-        back = {c: older[c] for c in new if c in older}
-        rest = [c for c in new if c not in back]
-        made = dict(zip(rest, self._aligned(rest), strict=True)) | back
-        out = [made[c] if c in made else known[c] for c in chunks]
-        if len(known) + len(made) > self.LIMIT:
-            self.older, self.known = known, {}
-        self.known |= {c: x for c, x in made.items() if len(c) < 64}
+        new = set(chunks).difference(known)
+        if new:
+            made = {c: older[c] for c in new if c in older}
+            rest = list(new.difference(made))
+            made |= zip(rest, self._aligned(rest), strict=True)
+            if len(known) + len(made) > self.LIMIT:
+                made |= {c: known[c] for c in set(chunks).intersection(known)}
+                self.older, self.known = known, {}
+            known = self.known
+            known |= made
+        out = list(map(known.__getitem__, chunks))
+        for c in new:
+            if len(c) >= 64:
+                del known[c]
         return out
 
     def align(self, text: str) -> tuple[int, int, int, bytes, bytes]:
         """Counts, groups as text and links of a whole text."""
         got = self.look_up(self.chunks(" " + text)) if text else []
-        if not got or None in got:
+        if not got or () in got:
             return 0, 0, 0, b"", b""
         a, b, g, said, found = zip(*got, strict=True)
         return sum(a), sum(b), sum(g), b";".join(said), b"".join(found)
@@ -183,8 +190,8 @@ DONE = T.StructType([
 def _make(byte_file: str, piece_file: str, keep: bool, size: int):
     def finish(block: int, rows: list[tuple], found: list[bytes], per_doc: list[int]) -> pa.RecordBatch:
         every = np.frombuffer(b"".join(found), np.int64)
-        pairs, place, times = np.unique(every, return_inverse=True, return_counts=True)
-        place, ends = place.astype("<u4"), np.cumsum(per_doc)
+        place, pairs = pd.factorize(every)
+        times, place, ends = np.bincount(place, minlength=len(pairs)), place.astype("<u4"), np.cumsum(per_doc)
         own = [place[e - n : e].tobytes() for e, n in zip(ends, per_doc, strict=True)]
         full = [(block, False, *r, x, None) for r, x in zip(rows, own, strict=True)]
         full.append((block, True, None, None, None, None, None, None, pairs.astype("<i8").tobytes(), times.astype("<i8").tobytes()))
