@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvane.functions import matching, profiles, scalars, times, urls
+from korvane.functions import matching, phrases, profiles, scalars, times, urls
 from korvane.operators import assembly, bindings, chunks, graph, order, people, records, relational, scoring, slots, trends
 from korvane.operators.retrieval import quantised
 from korvane.plans.sql import oracle, query
@@ -160,6 +160,20 @@ def local_week(s: SparkSession, d: str) -> DataFrame:
     return times.local_days(read(s, d, "events"), F.lit("2024-01-10 03:00:00").cast("timestamp"), 7).select("event_id")
 
 
+def sentences(s: SparkSession, d: str) -> DataFrame:
+    """The sentences of three words and more of all benchmark items, each with the smallest item that has it."""
+    parts = read(s, d, "benchmark").select("item_id", F.explode(F.split("text", "[.!?\n]+")).alias("text")).where("length(text) - length(replace(trim(text), ' ', '')) >= 2")
+    return parts.select(F.col("item_id").alias("phrase_id"), F.trim("text").alias("text"))
+
+
+def masked(s: SparkSession, d: str) -> DataFrame:
+    """Names of regions and nations in the texts of line items' orders are masked by their kind, the longest name first."""
+    names = read(s, d, "nation").select((F.col("n_nationkey") + 100).alias("phrase_id"), F.col("n_name").alias("text"), F.lit("NATION").alias("kind"))
+    names = names.union(read(s, d, "region").select("r_regionkey", "r_name", F.lit("REGION")))
+    told = read(s, d, "supplier").join(read(s, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(read(s, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    return phrases.mask(told.select("s_suppkey", F.concat_ws(" ", "s_name", F.lit("of"), "n_name", F.lit("in"), "r_name", F.lit("not"), F.concat("n_name", F.lit("X"))).alias("text")), names)
+
+
 CUES = [("task", r"\b(tell|make|send) me\b"), ("personal", r"\b(mine|myself)\b"), ("live", r"\b(today|now)\b"), ("empty", "^[^a-z]*$")]
 PROFILE_CARD = '<a [^>]*href="[^"]*"[^>]*>.*?</a>'
 
@@ -204,6 +218,8 @@ QUERIES: dict[str, Query] = {
     "d05_local_week": local_week,
     "d08_local_clock": lambda s, d: read(s, d, "events").select("event_id", times.shown(F.col("ts")).alias("shown"), times.utc(F.col("ts")).cast("string").alias("as_utc")),
     "z12_listing": lambda s, d: profiles.listing(read(s, d, "pages"), PROFILE_CARD).select("page_id", "n", "section", "name"),
+    "t11_longest_phrase": lambda s, d: phrases.longest(read(s, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), sentences(s, d)).select("text_id", "words"),
+    "x31_masked_names": masked,
     "x24_citations": lambda s, d: profiles.citations(read(s, d, "documents").select(F.col("doc_id").alias("id"), "text")),
 }
 
@@ -287,6 +303,11 @@ SELECT * FROM (SELECT k.doc_id, k.chunk, CASE WHEN f.text IS NULL AND h.text IS
 SELECT id, CASE WHEN reason IS NULL THEN 'execute' ELSE 'abstain' END AS verdict, reason FROM (SELECT id, CASE WHEN mode NOT IN ('click', 'purchase', 'view') THEN 'unknown skill'
   WHEN mode IN ('click', 'purchase') AND person IS NULL THEN 'missing person' WHEN mode = 'purchase' AND topic IS NULL THEN 'missing org' WHEN mode = 'view' AND h.area IS NULL THEN 'missing area'
   WHEN mode = 'view' AND coalesce(n, 0) < 20 THEN 'thin area' END AS reason FROM h LEFT JOIN s ON s.area = h.area)"""),
+    "t11_longest_phrase": """WITH w AS (SELECT doc_id, ' ' || array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}\\p{M}]+'), ' ') || ' ' AS s FROM documents),
+p AS (SELECT DISTINCT regexp_extract_all(lower(x), '[\\p{L}\\p{N}\\p{M}]+') AS q FROM (SELECT unnest(regexp_split_to_array(text, '[.!?\n]+')) AS x FROM benchmark) WHERE length(x) - length(replace(trim(x), ' ', '')) >= 2),
+f AS (SELECT len(q) AS n, ' ' || array_to_string(q, ' ') || ' ' AS s FROM p WHERE len(q) > 0)
+SELECT doc_id AS text_id, CAST(max(n) AS BIGINT) AS words FROM w JOIN f ON contains(w.s, f.s) GROUP BY doc_id""",
+    "x31_masked_names": "SELECT s_suppkey, s_name || ' of <NATION> in <REGION> not ' || n_name || 'X' AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
     "d05_local_week": "SELECT event_id FROM events WHERE CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) BETWEEN DATE '2024-01-09' AND DATE '2024-01-16'",
     "d08_local_clock": """SELECT event_id, strftime(timezone('America/New_York', timezone('UTC', ts)), '%b %-d, %-I:%M %p') AS shown,
   rtrim(rtrim(strftime(timezone('UTC', timezone('America/New_York', ts)), '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS as_utc FROM events""",
