@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvane.functions import matching, phrases, profiles, scalars, times, urls
-from korvane.operators import assembly, bindings, chunks, graph, order, people, records, relational, scoring, slots, trends
+from korvane.functions import matching, phrases, profiles, safety, scalars, times, urls
+from korvane.operators import assembly, bindings, chunks, graph, order, people, records, relational, routing, sampling, scoring, slots, trends
 from korvane.operators.retrieval import quantised
 from korvane.plans.sql import oracle, query
 
 Query = Callable[[SparkSession, str], DataFrame]
-_CTE = {n: getattr(bindings, n) for n in ("ORG", "PEOPLE", "AREAS", "Q", "SCORES", "DOCS", "SERIES")}
+_CTE = {n: getattr(bindings, n) for n in ("ORG", "PEOPLE", "AREAS", "Q", "SCORES", "DOCS", "SERIES", "ASK")}
 
 
 def rows(spark: SparkSession, sf_dir: str, cte: str, name: str) -> DataFrame:
@@ -174,6 +174,32 @@ def masked(s: SparkSession, d: str) -> DataFrame:
     return phrases.mask(told.select("s_suppkey", F.concat_ws(" ", "s_name", F.lit("of"), "n_name", F.lit("in"), "r_name", F.lit("not"), F.concat("n_name", F.lit("X"))).alias("text")), names)
 
 
+def routes(s: SparkSession, d: str) -> DataFrame:
+    """Questions that name people in three ways, routed by the rule table."""
+    asked = query(f"WITH {bindings.Q}, {bindings.PEOPLE}, {bindings.ASK} SELECT id, text FROM ask")(s, d)
+    folk = rows(s, d, "PEOPLE", "people").select("id", F.concat_ws(" ", F.lower("given"), F.lower("surname")).alias("name"), F.lower("surname").alias("surname"))
+    told = routing.route(routing.candidates(asked, folk, rows(s, d, "ORG", "org").select("id", "name"), 0))
+    return told.select("id", "rule", "skill", F.col("args")["entity_id"].alias("person"), F.col("args")["candidates"].alias("candidates"))
+
+
+ROBOTS = "User-agent: *\nDisallow: /en/ # all of it\nDisallow: /*?\nAllow: /en/1\n\nUser-agent: mine\nUser-agent: ours\nDisallow: /fr/\nAllow: /fr/*ref=x$\nDisallow:\n"
+
+
+def robots(s: SparkSession, d: str) -> DataFrame:
+    """Pages by the rules of their hosts, for an agent without rules of its own and for one with."""
+    held = read(s, d, "pages").select("page_id", "url")
+    rules = safety.robots_rules(held.select(safety.host_of(F.col("url")).alias("host")).distinct().withColumn("text", F.lit(ROBOTS)))
+    both = safety.robots_allowed(safety.robots_allowed(held, rules, "someone/2.0").withColumnRenamed("allowed", "anyone"), rules, "ours/1.1")
+    return both.select("page_id", safety.safe_url(F.col("url")).alias("safe"), "anyone", F.col("allowed").alias("ours"))
+
+
+def sampled(s: SparkSession, d: str) -> DataFrame:
+    """How many of 500 documents fall to each stratum: labelled ones, and the rest by language."""
+    items = read(s, d, "documents").select(F.col("doc_id").alias("id"), F.col("lang").alias("stratum"))
+    items = items.union(read(s, d, "labels").where("toxic is not null").select("doc_id", F.lit("labelled")).join(read(s, d, "documents").select("doc_id"), "doc_id", "semi"))
+    return sampling.stratified(items, 500, 7, ["labelled"]).groupBy("stratum").agg(F.count("*").alias("drawn"))
+
+
 CUES = [("task", r"\b(tell|make|send) me\b"), ("personal", r"\b(mine|myself)\b"), ("live", r"\b(today|now)\b"), ("empty", "^[^a-z]*$")]
 PROFILE_CARD = '<a [^>]*href="[^"]*"[^>]*>.*?</a>'
 
@@ -220,6 +246,9 @@ QUERIES: dict[str, Query] = {
     "z12_listing": lambda s, d: profiles.listing(read(s, d, "pages"), PROFILE_CARD).select("page_id", "n", "section", "name"),
     "t11_longest_phrase": lambda s, d: phrases.longest(read(s, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), sentences(s, d)).select("text_id", "words"),
     "x31_masked_names": masked,
+    "n08_rule_routes": routes,
+    "s03_robots": robots,
+    "e21_allocation": sampled,
     "x24_citations": lambda s, d: profiles.citations(read(s, d, "documents").select(F.col("doc_id").alias("id"), "text")),
 }
 
@@ -308,6 +337,20 @@ p AS (SELECT DISTINCT regexp_extract_all(lower(x), '[\\p{L}\\p{N}\\p{M}]+') AS q
 f AS (SELECT len(q) AS n, ' ' || array_to_string(q, ' ') || ' ' AS s FROM p WHERE len(q) > 0)
 SELECT doc_id AS text_id, CAST(max(n) AS BIGINT) AS words FROM w JOIN f ON contains(w.s, f.s) GROUP BY doc_id""",
     "x31_masked_names": "SELECT s_suppkey, s_name || ' of <NATION> in <REGION> not ' || n_name || 'X' AS text FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
+    "n08_rule_routes": duck("Q PEOPLE ASK", """, f AS (SELECT lower(given) || ' ' || lower(surname) AS w, count(*) AS n, min(id) AS person FROM people GROUP BY ALL),
+s AS (SELECT lower(surname) AS w, count(*) AS n, min(id) AS person FROM people GROUP BY ALL), a AS (SELECT id, id % 3 AS kind, regexp_replace(text, '^(who is|papers by|what about) ', '') AS w FROM ask),
+t AS (SELECT a.id, kind, coalesce(f.n, s.n) AS n, coalesce(f.person, s.person) AS person, CASE kind WHEN 1 THEN 'papers' ELSE 'a person' END AS rule, CASE kind WHEN 1 THEN 'papers_of_person' ELSE 'entity_card' END AS skill
+  FROM a LEFT JOIN f ON f.w = a.w LEFT JOIN s ON s.w = a.w)
+SELECT id, CASE WHEN n = 1 THEN rule WHEN n > 1 THEN rule || ', several people' END AS rule, CASE WHEN n = 1 THEN skill WHEN n > 1 THEN 'person_disambig' END AS skill,
+  CASE WHEN n = 1 THEN CAST(person AS VARCHAR) END AS person, CASE WHEN n > 1 THEN CAST(n AS VARCHAR) END AS candidates FROM t"""),
+    "s03_robots": """WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1) AS path FROM pages)
+SELECT page_id, coalesce(regexp_matches(host, '^[a-z0-9_-]+([.][a-z0-9_-]+)*[.][a-z][a-z0-9-]*$') AND NOT regexp_matches(host, '[.](local|internal|lan|home|intranet|localdomain)$'), false) AS safe,
+  coalesce(path LIKE '/en/1%' OR NOT (path LIKE '/en/%' OR path LIKE '%?%'), true) AS anyone, coalesce(NOT path LIKE '/fr/%' OR path LIKE '/fr/%ref=x', true) AS ours FROM p""",
+    "e21_allocation": """WITH i AS (SELECT doc_id, CASE WHEN bool_or(l) THEN 'labelled' ELSE min(lang) END AS stratum FROM (SELECT doc_id, lang, false AS l FROM documents WHERE lang IS NOT NULL
+  UNION ALL SELECT doc_id, NULL, true FROM labels WHERE toxic IS NOT NULL AND doc_id IN (SELECT doc_id FROM documents)) GROUP BY doc_id),
+z AS (SELECT stratum, count(*) AS size FROM i GROUP BY stratum), t AS (SELECT sum(size) AS total, least(500, sum(size)) AS n FROM z),
+q AS (SELECT stratum, CAST(n * size // total AS BIGINT) AS low, n * size % total AS rest, n FROM z, t)
+SELECT stratum, low + CAST(row_number() OVER (ORDER BY rest DESC, stratum) <= n - (SELECT sum(low) FROM q) AS BIGINT) AS drawn FROM q QUALIFY drawn > 0""",
     "d05_local_week": "SELECT event_id FROM events WHERE CAST(timezone('America/New_York', timezone('UTC', ts)) AS DATE) BETWEEN DATE '2024-01-09' AND DATE '2024-01-16'",
     "d08_local_clock": """SELECT event_id, strftime(timezone('America/New_York', timezone('UTC', ts)), '%b %-d, %-I:%M %p') AS shown,
   rtrim(rtrim(strftime(timezone('UTC', timezone('America/New_York', ts)), '%Y-%m-%d %H:%M:%S.%f'), '0'), '.') AS as_utc FROM events""",
