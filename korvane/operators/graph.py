@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from korvane.operators.lineage import cut
 from korvane.operators.order import places
-from korvane.operators.retrieval import _blocked, _prepared, _scores
+from korvane.operators.retrieval import _prepared, _scores, _swept
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -36,15 +36,19 @@ def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
     """(a, b): pairs of vectors, a < b, with a cosine of ``least`` or more, exactly."""
     v, q = _prepared(vectors, vectors.withColumnRenamed("vec_id", "item_id"))
 
-    def each(x: pa.Table, y: pa.Table, xm: np.ndarray, ym: np.ndarray) -> pa.Table:
-        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        if x.num_rows and y.num_rows:
-            ids, items = x["doc_id"].to_numpy(), y["item_id"].to_numpy()
-            i, j = np.nonzero((_scores("cosine", xm, ym) >= least) & (items[:, None] < ids[None, :]))
-            a, b = items[i], ids[j]
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def fold(b: pa.Table, y: np.ndarray):
+        items = b["item_id"].to_numpy()
 
-    return _blocked(v, q, each, "a long, b long")
+        def pairs(a: np.ndarray, b: np.ndarray) -> pa.Table:
+            return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+        def step(ids: np.ndarray, x: np.ndarray) -> pa.Table:
+            i, j = np.nonzero((_scores("cosine", x, y) >= least) & (items[:, None] < ids[None, :]))
+            return pairs(items[i], ids[j])
+
+        return step, lambda: pairs(items[:0], items[:0])
+
+    return _swept(v, q, fold, "a long, b long")
 
 
 def keep_first(nodes: DataFrame, pairs: DataFrame) -> DataFrame:

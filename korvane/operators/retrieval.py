@@ -6,7 +6,7 @@ or, for the vector legs, (item_id, embedding). Ranked results are (item_id, doc_
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,7 +23,7 @@ LEG, RERANK, ANSWERS, CAP = 40, 20, 5, 4096
 #: Words that carry no content; a question of nothing else is asked with all its words.
 STOP = ("an", "and", "are", "by", "for", "in", "is", "it", "of", "on", "or", "that", "the", "this", "to", "was", "what", "who", "with")
 #: Vectors and questions that meet in one task's matrix product.
-SLICE, BLOCK = 8192, 256
+SLICE, BLOCK = 1024, 2048
 #: Rows (of a number or a word and a number or two) up to which a table is sent to every task.
 SMALL = 500_000
 
@@ -83,29 +83,61 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int = LEG, allowed: DataFrame
     return best(scored, k)
 
 
-def _matrix(column: pa.ChunkedArray) -> np.ndarray:
-    flat = column.combine_chunks()
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """Lists of one length as rows."""
+    flat = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(flat), -1)
 
 
-def _blocked(vectors: DataFrame, questions: DataFrame, each: Callable[[pa.Table, pa.Table, np.ndarray, np.ndarray], pa.Table], schema: str) -> DataFrame:
-    """``each`` on every block of questions with every slice of vectors; both sides of a meeting have a bounded size."""
-    slices, blocks = vectors.count() // SLICE + 1, questions.count() // BLOCK + 1
-    v = vectors.withColumn("slice", F.pmod(F.xxhash64("doc_id"), F.lit(slices))).withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    q = questions.withColumn("block", F.pmod(F.xxhash64("item_id"), F.lit(blocks)).cast("int")).withColumn("slice", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(slices - 1).cast("long"))))
+#: What a task does with questions: a step for each slice of vectors (ids, rows of numbers), which may hand on rows at once, and a table at its end.
+Fold = Callable[[pa.Table, np.ndarray], tuple[Callable[[np.ndarray, np.ndarray], pa.Table | None], Callable[[], pa.Table]]]
 
-    def meet(x: pa.Table, y: pa.Table) -> pa.Table:
-        if not (x.num_rows and y.num_rows):
-            return each(x.slice(0, 0), y.slice(0, 0), np.zeros((0, 1)), np.zeros((0, 1)))
-        return each(x, y, _matrix(x["v"]), _matrix(y["q"]))
 
-    return v.groupBy("slice", "block").cogroup(q.groupBy("slice", "block")).applyInArrow(meet, schema)
+def _swept(vectors: DataFrame, questions: DataFrame, fold: Fold, schema: str) -> DataFrame:
+    """Questions, :data:`BLOCK` at a time, are sent to the vectors, which stay where they lie; a task hands on what it has folded them to.
+
+    A block is all that the driver and a task hold of the questions. Vectors are compared with questions of their length. With more
+    blocks than one, each block's result is written before the next is sent.
+    """
+    asked = cut(questions.dropDuplicates(["item_id"]).withColumn("_size", F.size("q")))
+    sizes = {r["_size"]: r["n"] for r in asked.groupBy("_size").agg(F.count("*").alias("n")).collect()}  # a row a length
+    parts: list[DataFrame] = []
+    for size, n in sorted(sizes.items()):
+        blocks = -(-n // BLOCK)
+        own = vectors.where(F.size("v") == size).select("doc_id", "v")
+        for i in range(blocks):
+            block = asked.where((F.col("_size") == size) & (F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == i)).drop("_size").toArrow()
+            if block.num_rows:
+                parts.append(own.mapInArrow(_folded(block, fold), schema))
+                if blocks > 1:
+                    parts[-1] = cut(parts[-1])
+    out = parts[0] if parts else vectors.sparkSession.createDataFrame([], schema)
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _folded(block: pa.Table, fold: Fold) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step, done = fold(block, _matrix(block["q"]))
+        for b in it:
+            for i in range(0, b.num_rows, SLICE):
+                part = b.slice(i, SLICE)
+                if (out := step(part.column(0).to_numpy(zero_copy_only=False), _matrix(part.column(1)))) is not None:
+                    yield from out.to_batches()
+        yield from done().to_batches()
+
+    return run
+
+
+def usable(column: str) -> Column:
+    """Whether a vector can be compared: it has numbers, and none is missing or not finite."""
+    return F.coalesce((F.size(column) > 0) & F.forall(column, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))), F.lit(False))
 
 
 def _prepared(vectors: DataFrame, questions: DataFrame) -> tuple[DataFrame, DataFrame]:
-    fine = "embedding is not null"
-    v = vectors.where(fine).select(F.col("vec_id").alias("doc_id"), *[c for c in ("label",) if c in vectors.columns], F.col("embedding").cast("array<double>").alias("v"))
-    return v, questions.where(fine).select("item_id", F.col("embedding").cast("array<double>").alias("q"))
+    v = vectors.where(usable("embedding")).select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
+    return v, questions.where(usable("embedding")).select("item_id", F.col("embedding").cast("array<double>").alias("q"))
 
 
 def _scores(metric: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -123,16 +155,27 @@ def nearest(vectors: DataFrame, questions: DataFrame, k: int = LEG, metric: str
     """The k nearest vectors of each question, exactly; a filter on ``vectors`` comes before the choice."""
     v, q = _prepared(vectors, questions)
 
-    def each(a: pa.Table, b: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
-        ids, items = a["doc_id"].to_numpy(), b["item_id"].to_numpy()
-        out = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        if len(ids) and len(items):
-            s = _scores(metric, x, y)
-            picked = [np.lexsort((ids, row if metric == "l2" else -row))[:k] for row in s]
-            out = [np.repeat(items, [len(p) for p in picked]), np.concatenate([ids[p] for p in picked]), np.concatenate([row[p] for row, p in zip(s, picked, strict=True)])]
-        return pa.table({"item_id": pa.array(out[0], pa.int64()), "doc_id": pa.array(out[1], pa.int64()), "score": pa.array(out[2], pa.float64())})
+    def fold(b: pa.Table, y: np.ndarray):
+        items, held = b["item_id"].to_numpy(), [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]  # question, vector, key
+
+        def step(ids: np.ndarray, x: np.ndarray) -> None:
+            key = _scores(metric, x, y) if metric == "l2" else -_scores(metric, x, y)
+            last = np.partition(key, k - 1, axis=1)[:, k - 1 : k] if k < key.shape[1] else np.full((len(key), 1), np.inf)
+            row, col = np.nonzero(key <= last)
+            own = [np.concatenate(p) for p in zip(held, (row, ids[col], key[row, col]), strict=True)]
+            order = np.lexsort((own[1], own[2], own[0]))
+            own = [p[order] for p in own]
+            first = np.searchsorted(own[0], own[0])  # where each question's results begin
+            keep = np.arange(len(order)) - first < k
+            held[:] = [p[keep] for p in own]
+
+        def done() -> pa.Table:
+            score = held[2] if metric == "l2" else -held[2]
+            return pa.table({"item_id": pa.array(items[held[0]], pa.int64()), "doc_id": pa.array(held[1], pa.int64()), "score": pa.array(score, pa.float64())})
 
-    return best(_blocked(v, q, each, "item_id long, doc_id long, score double"), k, metric != "l2")
+        return step, done
+
+    return best(_swept(v, q, fold, "item_id long, doc_id long, score double"), k, metric != "l2")
 
 
 def similarity(distance: Column) -> Column:
@@ -203,17 +246,25 @@ def expanded(results: DataFrame, profiles: DataFrame) -> DataFrame:
 def best_children(vectors: DataFrame, questions: DataFrame, parents: DataFrame, k: int = ANSWERS, fetch: int = LEG, least: int = ANSWERS, cap: int = CAP) -> DataFrame:
     """(item_id, parent, score, slot, fetched): the best child of each parent (doc_id, parent) among the ``fetched`` nearest children.
 
-    ``fetched`` starts at ``fetch`` and doubles until ``least`` parents are among the children, or ``cap`` is reached. The
-    children are ranked once, to the cap; the number that doubling would stop at follows from the place of the
-    ``least``-th new parent.
+    ``fetched`` starts at ``fetch`` and doubles until ``least`` parents are among the children, or ``cap`` is reached. Only the
+    questions that still lack parents are asked again.
     """
-    ranked = nearest(vectors, questions, cap).join(parents, "doc_id")
-    opens = ranked.groupBy("item_id", "parent").agg(F.min(F.struct("place", "score")).alias("f")).select("item_id", "parent", F.col("f.place").alias("place"), F.col("f.score").alias("score"))
-    nth = opens.withColumn("n", F.row_number().over(Window.partitionBy("item_id").orderBy("place")))
-    enough = nth.groupBy("item_id").agg(F.min(F.when(F.col("n") == least, F.col("place"))).alias("reach"), F.max("place").alias("last"))
-    doublings = F.ceil(F.log2(F.greatest(F.col("reach") / fetch, F.lit(1.0))))
-    fetched = F.when(F.col("reach").isNull(), F.lit(cap)).otherwise(F.least(F.lit(cap), (fetch * F.pow(F.lit(2.0), doublings)).cast("int")))
-    kept = nth.join(enough.select("item_id", fetched.cast("int").alias("fetched")), "item_id").where("place <= fetched")
+    todo, number, told = cut(questions.select("item_id", "embedding").dropDuplicates(["item_id"])), fetch, []
+    while True:
+        ranked = nearest(vectors, todo, number).join(parents, "doc_id")
+        opens = cut(ranked.groupBy("item_id", "parent").agg(F.min("score").alias("score")).withColumn("fetched", F.lit(number)))
+        if number >= cap:
+            told.append(opens)
+            break
+        enough = opens.groupBy("item_id").count().where(F.col("count") >= least).select("item_id")
+        told.append(opens.join(enough, "item_id", "left_semi"))
+        todo = cut(todo.join(enough, "item_id", "left_anti"))
+        if not todo.limit(1).count():
+            break
+        number = min(cap, 2 * number)
+    kept = told[0]
+    for t in told[1:]:
+        kept = kept.unionByName(t)
     w = Window.partitionBy("item_id").orderBy("score", "parent")
     return kept.withColumn("slot", F.row_number().over(w)).where(F.col("slot") <= k).select("item_id", "parent", "score", "slot", "fetched")
 
@@ -248,12 +299,14 @@ def target_rank(vectors: DataFrame, questions: DataFrame, targets: DataFrame) ->
     v, q = _prepared(vectors, questions)
     wanted = targets.join(v.select(F.col("doc_id").alias("target_id"), F.col("v").alias("t")), "target_id").select("item_id", "t")
 
-    def each(a: pa.Table, b: pa.Table, x: np.ndarray, y: np.ndarray) -> pa.Table:
-        nearer = np.zeros(0, np.int64)
-        if a.num_rows and b.num_rows:
-            goal = np.floor((y * _matrix(b["t"])).sum(axis=1) * 1e6 + 0.5) / 1e6
-            nearer = (_scores("ip", x, y) > goal[:, None]).sum(axis=1)
-        return pa.table({"item_id": b["item_id"], "nearer": pa.array(nearer, pa.int64())})
+    def fold(b: pa.Table, y: np.ndarray):
+        goal = np.floor((y * _matrix(b["t"])).sum(axis=1) * 1e6 + 0.5) / 1e6
+        nearer = np.zeros(len(goal), np.int64)
+
+        def step(ids: np.ndarray, x: np.ndarray) -> None:
+            nearer[:] += (_scores("ip", x, y) > goal[:, None]).sum(axis=1)
+
+        return step, lambda: pa.table({"item_id": b["item_id"].cast(pa.int64()), "nearer": pa.array(nearer, pa.int64())})
 
-    counts = _blocked(v, q.join(wanted, "item_id"), each, "item_id long, nearer long")
+    counts = _swept(v, q.join(wanted, "item_id").where(F.size("q") == F.size("t")), fold, "item_id long, nearer long")
     return counts.groupBy("item_id").agg((F.sum("nearer") + 1).alias("target_rank"))

@@ -145,6 +145,17 @@ def test_nearest_over_slices(spark, monkeypatch):
     assert got == {i: sorted(range(200), key=lambda j: np.linalg.norm(v[j] - x))[:7] for i, x in enumerate(q)}  # noqa: B023
 
 
+def test_vectors_that_cannot_be_compared(spark):
+    """Null, empty, short, missing and non-finite numbers take no part; vectors meet questions of their length; repeated questions are one."""
+    rows = [(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, None), (4, []), (5, [1.0]), (6, [1.0, None]), (7, [1.0, float("nan")]), (8, [float("inf"), 0.0]), (9, [1.0, 0.0, 0.0])]
+    vectors = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    asked = vectors.where("vec_id <> 1").selectExpr("vec_id as item_id", "embedding").union(spark.createDataFrame([(2, [0.0, 1.0])], "item_id long, embedding array<double>"))
+    got = {(r["item_id"], r["doc_id"]): (r["score"], r["place"]) for r in retrieval.nearest(vectors, asked, 5).collect()}
+    assert got == {(2, 2): (0.0, 1), (2, 1): (1.414214, 2), (5, 5): (0.0, 1), (9, 9): (0.0, 1)}
+    assert retrieval.nearest(vectors.limit(0), asked, 5).count() == 0 and retrieval.nearest(vectors, asked.limit(0), 5).count() == 0
+    assert retrieval.target_rank(vectors, asked, spark.createDataFrame([(2, 1), (9, 9), (5, 77)], "item_id long, target_id long")).collect()[0]["target_rank"] in (1, 2)
+
+
 def test_slots(spark):
     cases = [("Koutis", "what does kotis teach"), ("is", "what is his position"), ("Smith", "email smithson now"), ("He", "what is the position"), ("Ann Lee", "call lea"), ("", "x"), ("abc", "")]
     got = {r["id"]: r["grounded"] for r in slots.grounded(spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "id long, mention string, message string")).collect()}
