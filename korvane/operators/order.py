@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from korvane.operators.lineage import cut
 
+#: Distinct keys of a group that one task may order.
+SMALL = 1_000_000
+
 
 def running(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
     """``df`` with, for each of ``values``, its sum up to and with the row, in the order of the whole table. Rows equal in ``order`` come in any order."""
@@ -36,17 +39,31 @@ def places(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame
 def ranks(df: DataFrame, key: str, group: str | None = None, descending: bool = True, name: str = "place") -> DataFrame:
     """``df`` with standard competition ranks (1, 1, 3) by ``key``, in the whole table or within ``group``; a null key has none.
 
-    Only distinct keys are ordered, with their counts, so neither ties nor a group that holds most rows fall to one task.
+    Only distinct keys are ordered, with their counts, so ties never fall to one task. Groups of up to :data:`SMALL` distinct keys
+    are ordered each by itself; groups with more, and the whole table, by ranges.
     """
+    way = F.col(key).desc() if descending else F.col(key).asc()
     held = [group] if group else []
     counted = df.where(F.col(key).isNotNull()).groupBy(*held, key).agg(F.count("*").alias("_n"))
-    order = [F.col(g) for g in held] + [F.col(key).desc() if descending else F.col(key).asc()]
-    seen = running(counted, order, {"_upto": F.col("_n")}).withColumn("_before", F.col("_upto") - F.col("_n"))
     if group:
-        seen = seen.join(seen.groupBy(group).agg(F.min("_before").alias("_first")), group).withColumn("_before", F.col("_before") - F.col("_first"))
+        counted = cut(counted)
+        many = counted.groupBy(group).agg(F.count("*").alias("_keys")).where(F.col("_keys") > SMALL).select(group)
+        before = Window.partitionBy(group).orderBy(way).rowsBetween(Window.unboundedPreceding, -1)
+        if not many.limit(1).count():
+            seen = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+        else:
+            few = counted.join(many, F.col(group).eqNullSafe(many[group]), "left_anti").withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+            wide = _ranged(counted.join(many, F.col(group).eqNullSafe(many[group]), "left_semi"), [F.col(group), way])
+            seen = few.unionByName(wide.join(wide.groupBy(group).agg(F.min("_before").alias("_first")), group).withColumn("_before", F.col("_before") - F.col("_first")).drop("_first", "_upto"))
+    else:
+        seen = _ranged(counted, [way])
     return df.join(seen.select(*held, key, (F.col("_before") + 1).alias(name)), [*held, key], "left").select(*df.columns, name)
 
 
+def _ranged(counted: DataFrame, order: list[Column]) -> DataFrame:
+    return running(counted, order, {"_upto": F.col("_n")}).withColumn("_before", F.col("_upto") - F.col("_n"))
+
+
 def top_with_ties(df: DataFrame, key: str, n: int, descending: bool = True, name: str = "place") -> DataFrame:
     """The rows of rank ``n`` or better: the first n, and all that tie with the last of them."""
     order = F.col(key).desc() if descending else F.col(key).asc()

@@ -7,6 +7,7 @@ import random
 import statistics
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from korvane.functions import matching, profiles, times, urls
@@ -25,7 +26,9 @@ def test_leaderboard_ranks_and_coverage(spark):
     assert [got[n]["low_coverage"] for n in (100, 101, 102, 103)] == [False, False, True, True]
 
 
-def test_places_ranks_and_totals(spark):
+@pytest.mark.parametrize("small", [order.SMALL, 1])
+def test_places_ranks_and_totals(spark, monkeypatch, small):
+    monkeypatch.setattr(order, "SMALL", small)  # with 1, groups of several keys go by ranges
     rows = [(i, RND.randrange(12), RND.choice([1.0, 2.0, 2.5, None])) for i in range(300)]
     df = spark.createDataFrame(rows, "id long, g long, x double").repartition(7)
     assert {r["id"]: r["place"] for r in order.places(df, [F.desc("g"), F.col("id")]).collect()} == {r[0]: i + 1 for i, r in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])))}
