@@ -52,8 +52,10 @@ def ranks(df: DataFrame, key: str, group: str | None = None, descending: bool =
         if not many.limit(1).count():
             seen = counted.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
         else:
-            few = counted.join(many, F.col(group).eqNullSafe(many[group]), "left_anti").withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-            wide = _ranged(counted.join(many, F.col(group).eqNullSafe(many[group]), "left_semi"), [F.col(group), way])
+            large = F.col("_large").isNotNull()
+            told = counted.join(many.select(F.col(group).alias("_large")), F.col(group).eqNullSafe(F.col("_large")), "left")
+            few = told.where(~large).drop("_large").withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+            wide = _ranged(told.where(large).drop("_large"), [F.col(group), way])
             seen = few.unionByName(wide.join(wide.groupBy(group).agg(F.min("_before").alias("_first")), group).withColumn("_before", F.col("_before") - F.col("_first")).drop("_first", "_upto"))
     else:
         seen = _ranged(counted, [way])
