@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from korvane.operators.lineage import cut
 from korvane.operators.order import ranks
 
 ORG_TYPES = ("root", "college", "department", "office", "club")
@@ -26,14 +27,18 @@ def resolve_org(orgs: DataFrame, asked: DataFrame, aliases: DataFrame) -> DataFr
     return q.select("id").join(found.select("id", "org"), "id", "left")
 
 
-def descendants(orgs: DataFrame, depth: int = 6) -> DataFrame:
-    """ancestor, id, depth: each organisation and all active ones under it, to ``depth`` levels."""
+def descendants(orgs: DataFrame) -> DataFrame:
+    """ancestor, id, depth: each organisation and all active ones under it, however deep; of a circle each is reached once."""
     live = orgs.where("active").select(F.col("id").alias("child"), F.col("parent_id").alias("up"))
     level = out = orgs.select(F.col("id").alias("ancestor"), "id", F.lit(0).alias("depth"))
-    for i in range(1, depth + 1):  # trees of organisations are shallow
-        level = level.join(live, level["id"] == live["up"]).select("ancestor", F.col("child").alias("id"), F.lit(i).alias("depth"))
+    depth = 0
+    while True:  # a round a level of the deepest tree
+        depth += 1
+        below = level.join(live, level["id"] == live["up"]).select("ancestor", F.col("child").alias("id"), F.lit(depth).alias("depth")).distinct()
+        level = cut(below.join(out.select("ancestor", "id"), ["ancestor", "id"], "left_anti"))
+        if not level.limit(1).count():
+            return out
         out = out.unionByName(level)
-    return out
 
 
 def orgs_by_type(orgs: DataFrame, kind: str, parent: int | None = None) -> DataFrame:

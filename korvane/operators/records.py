@@ -52,7 +52,7 @@ def match_feeds(left: DataFrame, right: DataFrame) -> DataFrame:
     Left rows choose in order of id; ties go to the smaller right id; rows that share no token are no match. The pairs of
     one minute are the work of one task, in order; a right row that is taken is skipped, so the next best free one is found.
     """
-    side = lambda t, n: t.select(F.date_trunc("minute", "ts").alias("minute"), F.col("id").alias(n), F.col("tokens").alias(f"{n}_tokens"))
-    pairs = side(left, "a").join(side(right, "b"), "minute").withColumn("shared", F.size(F.array_intersect("a_tokens", "b_tokens"))).where("shared > 0")
+    side = lambda t, n: t.select(F.date_trunc("minute", "ts").alias("minute"), F.col("id").alias(n), F.explode(F.array_distinct("tokens")).alias("token"))
+    pairs = side(left, "a").join(side(right, "b"), ["minute", "token"]).groupBy("minute", "a", "b").agg(F.count("*").cast("int").alias("shared"))
     dealt = pairs.select("minute", "a", "b", "shared").repartition("minute").sortWithinPartitions("minute", "a", F.desc("shared"), "b")
     return dealt.mapInPandas(_consume, "a long, b long, shared int")

@@ -34,7 +34,8 @@ def grounded(mentions: DataFrame) -> DataFrame:
     pairs = told.where(~F.col("plain")).select("id", F.explode(F.array_distinct("m")).alias("x"), "q").select("id", "x", F.explode(F.array_distinct("q")).alias("y"))
     # two words 0.8 alike differ in length by no more than half of the shorter one
     possible = pairs.where(F.greatest(F.length("x"), F.length("y")) * 2 <= F.least(F.length("x"), F.length("y")) * 3)
-    alike = possible.where(_near("x", "y")).select("id").distinct().withColumn("alike", F.lit(True))
+    known = possible.select("x", "y").distinct().where(_near("x", "y"))  # each pair of words is compared once
+    alike = possible.join(known, ["x", "y"], "left_semi").select("id").distinct().withColumn("alike", F.lit(True))
     return told.join(alike, "id", "left").select("id", (F.col("plain") | F.coalesce("alike", F.lit(False))).alias("grounded"))
 
 

@@ -159,6 +159,13 @@ def test_vectors_that_cannot_be_compared(spark):
     assert retrieval.target_rank(vectors, asked, spark.createDataFrame([(2, 1), (9, 9), (5, 77)], "item_id long, target_id long")).collect()[0]["target_rank"] in (1, 2)
 
 
+def test_descendants_of_any_depth(spark):
+    rows = [(i, i - 1 if i else None, True) for i in range(12)] + [(100, 101, True), (101, 100, True), (50, 3, False), (51, 50, True)]
+    got = {(r["ancestor"], r["id"]): r["depth"] for r in people.descendants(spark.createDataFrame(rows, "id long, parent_id long, active boolean")).collect()}
+    want = {(a, b): b - a for a in range(12) for b in range(a, 12)} | {(100, 100): 0, (101, 101): 0, (100, 101): 1, (101, 100): 1, (50, 50): 0, (51, 51): 0, (50, 51): 1}
+    assert got == want
+
+
 def test_slots(spark):
     cases = [("Koutis", "what does kotis teach"), ("is", "what is his position"), ("Smith", "email smithson now"), ("He", "what is the position"), ("Ann Lee", "call lea"), ("", "x"), ("abc", "")]
     got = {r["id"]: r["grounded"] for r in slots.grounded(spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "id long, mention string, message string")).collect()}
