@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from korvane.functions import matching, phrases, profiles, safety, scalars, times, urls
-from korvane.operators import assembly, bindings, chunks, graph, order, people, records, relational, routing, sampling, scoring, slots, trends
+from korvane.operators import assembly, bindings, chunks, graph, order, people, power, records, relational, routing, sampling, scoring, slots, trends
 from korvane.operators.retrieval import quantised
 from korvane.plans.sql import oracle, query
 
@@ -200,6 +200,13 @@ def sampled(s: SparkSession, d: str) -> DataFrame:
     return sampling.stratified(items, 500, 7, ["labelled"]).groupBy("stratum").agg(F.count("*").alias("drawn"))
 
 
+def stages(s: SparkSession, d: str) -> DataFrame:
+    """Questions with a topic are facts of their users; an unsure one is missed, by the stage of its mode."""
+    q = rows(s, d, "Q", "q").where("topic is not null")
+    told = power.by_stage(q.select(F.col("user_id").alias("question"), F.col("mode").alias("stage"), (F.col("confidence") < 50).alias("missed")))
+    return told.withColumn("share", quantised(F.col("share")))
+
+
 CUES = [("task", r"\b(tell|make|send) me\b"), ("personal", r"\b(mine|myself)\b"), ("live", r"\b(today|now)\b"), ("empty", "^[^a-z]*$")]
 PROFILE_CARD = '<a [^>]*href="[^"]*"[^>]*>.*?</a>'
 
@@ -247,6 +254,7 @@ QUERIES: dict[str, Query] = {
     "t11_longest_phrase": lambda s, d: phrases.longest(read(s, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), sentences(s, d)).select("text_id", "words"),
     "x31_masked_names": masked,
     "n08_rule_routes": routes,
+    "a32_power_by_stage": stages,
     "s03_robots": robots,
     "e21_allocation": sampled,
     "x24_citations": lambda s, d: profiles.citations(read(s, d, "documents").select(F.col("doc_id").alias("id"), "text")),
@@ -343,6 +351,11 @@ t AS (SELECT a.id, kind, coalesce(f.n, s.n) AS n, coalesce(f.person, s.person) A
   FROM a LEFT JOIN f ON f.w = a.w LEFT JOIN s ON s.w = a.w)
 SELECT id, CASE WHEN n = 1 THEN rule WHEN n > 1 THEN rule || ', several people' END AS rule, CASE WHEN n = 1 THEN skill WHEN n > 1 THEN 'person_disambig' END AS skill,
   CASE WHEN n = 1 THEN CAST(person AS VARCHAR) END AS person, CASE WHEN n > 1 THEN CAST(n AS VARCHAR) END AS candidates FROM t"""),
+    "a32_power_by_stage": duck("Q", """, f AS (SELECT user_id, mode, coalesce(confidence < 50, false) AS missed FROM q WHERE topic IS NOT NULL AND user_id IS NOT NULL),
+z AS (SELECT count(*)::DOUBLE / count(DISTINCT user_id) AS per, count(*) FILTER (missed) AS total FROM f)
+SELECT mode AS stage, count(*) AS misses, floor(count(*)::DOUBLE / any_value(total) * 1e6 + 0.5) / 1e6 AS share,
+  CAST(round_even(3.8416::DOUBLE * ((count(*) + 2)::DOUBLE / (any_value(total) + 4)) * (1 - (count(*) + 2)::DOUBLE / (any_value(total) + 4)) / 0.01::DOUBLE / any_value(per), 0) AS BIGINT) AS questions
+FROM f, z WHERE missed GROUP BY mode"""),
     "s03_robots": """WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '^https?://([^/?#:]+)', 1)) AS host, regexp_extract(url, '^https?://[^/?#]+([^#]*)', 1) AS path FROM pages)
 SELECT page_id, coalesce(regexp_matches(host, '^[a-z0-9_-]+([.][a-z0-9_-]+)*[.][a-z][a-z0-9-]*$') AND NOT regexp_matches(host, '[.](local|internal|lan|home|intranet|localdomain)$'), false) AS safe,
   coalesce(path LIKE '/en/1%' OR NOT (path LIKE '/en/%' OR path LIKE '%?%'), true) AS anyone, coalesce(NOT path LIKE '/fr/%' OR path LIKE '/fr/%ref=x', true) AS ours FROM p""",
