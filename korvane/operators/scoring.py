@@ -79,3 +79,65 @@ def validated(rows: DataFrame, scores: str, criteria: int, low: float, high: flo
     )
     mean = F.aggregate(s, F.lit(0.0), lambda a, x: a + x) / F.nullif(F.size(s), F.lit(0))
     return rows.withColumn("fault", fault).withColumn("final_score", F.when(F.col("fault").isNull(), mean))
+
+
+#: Skills that end a conversation with one value, told wrongly at the highest price.
+TERMINAL = ("metric_of_person", "link_of_person")
+
+
+def _pairs(runs: DataFrame, kind: str) -> tuple[Column, Column, Column]:
+    gold, told = F.col("gold_family") == kind, F.coalesce(F.col("told_family") == kind, F.lit(False))
+    return gold, told, F.col("gold_skill").eqNullSafe(F.col("told_skill"))
+
+
+def dispatch(runs: DataFrame, structured: str = "KG", terminal: tuple[str, ...] = TERMINAL) -> DataFrame:
+    """One row of a judged run (gold_family, gold_skill, told_family, told_skill): n, accuracies, and what went wrong.
+
+    skill_accuracy is over questions of the structured family that were told it (null without any).
+    structured_false_negative: structured questions told another family; wrong_confident_exact: told a wrong skill;
+    false_honest_partial: told a terminal skill where none was asked. Rows without a gold family take no part; an empty run has n 0 and family_accuracy 0.
+    """
+    gold, told, same = _pairs(runs, structured)
+    ends = F.coalesce(F.col("told_skill").isin(*terminal), F.lit(False))
+    asked = gold & F.coalesce(F.col("gold_skill").isin(*terminal), F.lit(False))
+    count = lambda c: F.count(F.when(c, 1))
+    sums = runs.where("gold_family is not null").agg(
+        F.count("*").alias("n"), count(F.col("gold_family").eqNullSafe(F.col("told_family"))).alias("_f"), count(gold & told).alias("_k"), count(gold & told & same).alias("_s"),
+        count(gold & ~told).alias("structured_false_negative"), count(ends & ~asked).alias("false_honest_partial"), count(gold & told & ~same).alias("wrong_confident_exact"),
+    )
+    rate = lambda a, b: F.when(F.col(b) > 0, quantised(F.col(a) / F.col(b)))
+    return sums.select("n", F.coalesce(rate("_f", "n"), F.lit(0.0)).alias("family_accuracy"), rate("_s", "_k").alias("skill_accuracy"), "structured_false_negative", "false_honest_partial", "wrong_confident_exact")
+
+
+def dispatch_confusion(runs: DataFrame, structured: str = "KG") -> DataFrame:
+    """gold_skill, told_skill, n of the structured questions that were told the structured family."""
+    gold, told, _ = _pairs(runs, structured)
+    return runs.where(gold & told).groupBy("gold_skill", "told_skill").agg(F.count("*").alias("n"))
+
+
+def slot_scores(asked: DataFrame, gold: DataFrame, told: DataFrame, keys: tuple[str, ...] | None = None) -> DataFrame:
+    """skill (null: all together), n, tp, fp, fn, precision, recall, f1, exact of filled slots.
+
+    asked (id, skill) are the judged questions; gold and told (id, slot, value) their slots, compared as sets of pairs with trimmed,
+    lower-cased values; null and empty values are no slots, and slots out of ``keys`` (where given) are notes. A question told
+    nothing loses recall. Without any pair on either side all rates are 1; without gold ones recall is 1; exact is the share of
+    questions whose sets are equal. Slots of questions not in ``asked`` are left out; ids are distinct, a repeated one counts once.
+    """
+    def pairs(df: DataFrame, side: str) -> DataFrame:
+        value = F.lower(F.trim("value"))
+        held = df.where(F.col("slot").isin(*keys)) if keys else df
+        return held.select("id", "slot", value.alias("value")).where("value <> ''").distinct().withColumn(side, F.lit(1))
+
+    both = pairs(gold, "_g").join(pairs(told, "_t"), ["id", "slot", "value"], "full")
+    count = lambda c: F.count(F.when(c, 1))
+    g, t = F.col("_g").isNotNull(), F.col("_t").isNotNull()
+    each = both.groupBy("id").agg(count(g & t).alias("tp"), count(~g & t).alias("fp"), count(g & ~t).alias("fn"))
+    base = asked.where("id is not null").groupBy("id").agg(F.min("skill").alias("skill")).join(each, "id", "left").fillna(0, ["tp", "fp", "fn"])
+    # one row a skill and one for all: the grouping id tells a null skill from the total
+    summed = base.withColumn("skill", F.coalesce("skill", F.lit(""))).rollup("skill").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("tp", "fp", "fn")), count(F.col("fp") + F.col("fn") == 0).alias("_e"))
+    c = F.col
+    p = F.when(c("tp") + c("fp") > 0, c("tp") / (c("tp") + c("fp"))).when(c("fn") == 0, 1.0).otherwise(0.0)
+    r = F.when(c("tp") + c("fn") > 0, c("tp") / (c("tp") + c("fn"))).otherwise(1.0)
+    rated = summed.withColumn("_p", p).withColumn("_r", r)
+    f1 = F.when(c("_p") + c("_r") > 0, 2 * c("_p") * c("_r") / (c("_p") + c("_r"))).otherwise(0.0)
+    return rated.select("skill", "n", "tp", "fp", "fn", quantised(c("_p")).alias("precision"), quantised(c("_r")).alias("recall"), quantised(f1).alias("f1"), quantised(c("_e") / c("n")).alias("exact"))
