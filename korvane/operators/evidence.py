@@ -1,8 +1,8 @@
 """Whether a fact is held anywhere: evidence of several probes in one union, judged span by span, and bands over the best score.
 
 Facts are (fact_id, text), items (doc_id, text), nodes (node_id, text: names and attributes). Evidence is (fact_id, probe,
-kind, ref): one row for each probe and place. Every probe is a join over an inverted index of the facts' words, so no fact meets
-all texts; a fact's words are few against the texts', and the texts are read once a probe.
+kind, ref): one row for each probe and place, written once in the shared folder. Phrases propose texts by their rarest word and are then held against the
+texts proposed; no fact meets all texts.
 """
 
 from __future__ import annotations
@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from korvane.functions.matching import covering, token_set
+from korvane.functions.matching import token_set
+from korvane.operators.lineage import cut
 from korvane.operators.retrieval import STOP, bm25, nearest, quantised, tokens
 
 #: Runs of two and more capitalised words; runs of 13 and more letters, digits, hyphens and spaces.
@@ -25,12 +26,15 @@ def _found(facts: DataFrame, texts: DataFrame, pattern: str, probe: str, kind: s
     """Texts (ref, text) that hold, word after word, a run of the pattern in a fact; words of one character do not count."""
     runs = facts.where("fact_id is not null").select("fact_id", F.explode(F.array_distinct(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(pattern), F.lit(1)))).alias("run"))
     said = runs.select("fact_id", F.array_join(tokens(F.col("run")), " ").alias("said")).where("said <> ''").distinct()
-    phrases = said.select("said").distinct()
-    asked = phrases.select(F.col("said").alias("item_id"), F.explode(F.array_distinct(F.split("said", " "))).alias("token"))
-    near = covering(asked, texts.select(F.col("ref").alias("doc_id"), "text"), 1.0)
-    flat = texts.select(F.col("ref").alias("doc_id"), F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), " "), F.lit(" ")).alias("flat"))
-    held = near.withColumnRenamed("item_id", "said").join(flat, "doc_id").where(F.contains("flat", F.concat(F.lit(" "), "said", F.lit(" "))))
-    return said.join(held.select("said", F.col("doc_id").alias("ref")).distinct(), "said").select("fact_id", F.lit(probe).alias("probe"), F.lit(kind).alias("kind"), "ref").distinct()
+    words = said.select("said").distinct().select("said", F.explode(F.array_distinct(F.split("said", " "))).alias("token"))
+    postings = texts.select("ref", F.explode(token_set(F.col("text"))).alias("token"))
+    df = postings.join(words.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count("*").alias("df"))
+    # a text that holds the run holds its rarest word; words that no text has leave no candidates
+    rare = words.join(df, "token", "left").groupBy("said").agg(F.min(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "token")).alias("r")).select("said", "r.token")
+    near = cut(postings.join(rare, "token").select("said", "ref").distinct())
+    flat = texts.join(near.select("ref").distinct(), "ref", "left_semi").select("ref", F.concat(F.lit(" "), F.array_join(tokens(F.col("text")), " "), F.lit(" ")).alias("flat"))
+    held = near.join(flat, "ref").where(F.contains("flat", F.concat(F.lit(" "), "said", F.lit(" ")))).select("said", "ref").distinct()
+    return said.join(held, "said").select("fact_id", F.lit(probe).alias("probe"), F.lit(kind).alias("kind"), "ref").distinct()
 
 
 def _ranked(found: DataFrame, probe: str) -> DataFrame:
@@ -50,7 +54,7 @@ def gathered(facts: DataFrame, items: DataFrame, nodes: DataFrame | None = None,
         out = out.unionByName(_found(facts, held, NAMES, "name", "node")).unionByName(_found(facts, held, RUNS, "phrase", "node"))
     if vectors is not None and questions is not None:
         out = out.unionByName(_ranked(nearest(vectors, questions, near), "vector"))
-    return out
+    return cut(out)
 
 
 def support(fact: Column, span: Column) -> Column:
@@ -59,10 +63,10 @@ def support(fact: Column, span: Column) -> Column:
 
 
 def judged(evidence: DataFrame, facts: DataFrame, spans: DataFrame, judge: Callable[[Column, Column], Column] = support) -> DataFrame:
-    """The evidence with a score: the judge's of the fact's content words and the words of the span (kind, ref, text). Places met by several probes are judged once."""
+    """The evidence with a score: the judge's of the fact's content words and the words of the span (kind, ref, text). Places met by several probes are judged once, a place of several texts by each."""
     said = facts.select("fact_id", F.filter(token_set(F.col("text")), lambda t: ~t.isin(*STOP)).alias("_fact")).dropDuplicates(["fact_id"])
     pairs = evidence.groupBy("fact_id", "kind", "ref").agg(F.collect_set("probe").alias("probes"))  # at most one entry a probe
-    held = spans.select("kind", "ref", token_set(F.col("text")).alias("_span")).dropDuplicates(["kind", "ref"])
+    held = spans.join(pairs.select("kind", "ref").distinct(), ["kind", "ref"], "left_semi").select("kind", "ref", token_set(F.col("text")).alias("_span"))
     told = pairs.join(said, "fact_id").join(held, ["kind", "ref"])
     return told.select("fact_id", "kind", "ref", quantised(judge(F.col("_fact"), F.col("_span"))).alias("score"), F.explode("probes").alias("probe"))
 
@@ -74,9 +78,13 @@ def presence(facts: DataFrame, scored: DataFrame, high: float = HIGH, low: float
     kept; under it nothing counts. Facts without evidence are kept with score 0; null scores count as 0; ids are distinct.
     """
     s = F.coalesce("score", F.lit(0.0))
-    best = scored.groupBy("fact_id").agg(F.max(s).alias("max_score"))
-    counts = F.when(F.col("max_score") >= high, s >= high).otherwise(s >= low)
-    kept = scored.join(best, "fact_id").where(counts).groupBy("fact_id").agg(F.array_sort(F.collect_set("probe")).alias("probes"), F.count_distinct("kind", "ref").alias("n_evidence"))
-    out = facts.select("fact_id").where("fact_id is not null").distinct().join(best, "fact_id", "left").join(kept, "fact_id", "left")
+    of = lambda least, x: F.when(s >= least, x)
+    place = F.struct("kind", "ref")
+    told = scored.groupBy("fact_id").agg(
+        F.max(s).alias("max_score"), *(F.array_sort(F.collect_set(of(t, F.col("probe")))).alias(f"_p{i}") for i, t in enumerate((high, low))), *(F.count_distinct(of(t, place)).alias(f"_n{i}") for i, t in enumerate((high, low)))
+    )
+    reached = F.col("max_score") >= high
+    kept = told.select("fact_id", "max_score", F.when(reached, F.col("_p0")).otherwise(F.col("_p1")).alias("probes"), F.when(reached, F.col("_n0")).otherwise(F.col("_n1")).alias("n_evidence"))
+    out = facts.select("fact_id").where("fact_id is not null").distinct().join(kept, "fact_id", "left")
     m = F.coalesce("max_score", F.lit(0.0))
     return out.select("fact_id", (m >= high).alias("present"), ((m >= low) & (m < high)).alias("low_conf"), F.array_join(F.coalesce("probes", F.array()), ",").alias("probes"), F.coalesce("n_evidence", F.lit(0)).alias("n_evidence"), m.alias("max_score"))
