@@ -6,7 +6,7 @@ verified, and the same choice is made from what was found. Both ways give the sa
 
 Defined results: words are runs of letters and digits, compared without regard to case, so a phrase never matches inside a word;
 null and empty texts have no match; phrases without a word are left out; of phrases with the same words the smallest id counts;
-matches don't overlap; repeated rows match each; other columns of the texts are kept by ``mask``.
+matches don't overlap unless that is asked for; repeated rows match each; other columns of the texts are kept by ``mask``.
 """
 
 from __future__ import annotations
@@ -54,15 +54,14 @@ class Trie:
                 best = at[None], i
         return best
 
-    def find(self, text: str | None) -> list[tuple[int, int, int, int]]:
-        """(phrase, start, stop, words) of the matches of a text, in order."""
+    def find(self, text: str | None, overlapping: bool = False) -> list[tuple[int, int, int, int]]:
+        """(phrase, start, stop, words) of the matches of a text, in order; with ``overlapping``, one for each word that a phrase begins at."""
         ws, out, i = spans(text), [], 0
         while i < len(ws):
-            if got := self.longest(ws, i):
+            got = self.longest(ws, i)
+            if got:
                 out.append((got[0], ws[i][1], ws[got[1] - 1][2], got[1] - i))
-                i = got[1]
-            else:
-                i += 1
+            i = got[1] if got and not overlapping else i + 1
         return out
 
 
@@ -88,18 +87,18 @@ def dictionary(phrases: DataFrame) -> list[tuple[int, list[str]]] | None:
     return [(r["own"], list(r["ws"])) for r in ws.collect()] if total <= HELD else None  # HELD words at most
 
 
-def _walked(texts: DataFrame, make: Callable[[], Trie]) -> DataFrame:
+def _walked(texts: DataFrame, make: Callable[[], Trie], overlapping: bool = False) -> DataFrame:
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = make()
         for b in it:
-            out = [(own, *m) for own, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in trie.find(t)]
+            out = [(own, *m) for own, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for m in trie.find(t, overlapping)]
             for i in range(0, len(out), ROWS):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[i : i + ROWS], strict=True)], names=FOUND.names)
 
     return texts.select(F.col("text_id").cast("long"), "text").mapInArrow(run, FOUND)
 
 
-def _met(texts: DataFrame, phrases: DataFrame) -> DataFrame:
+def _met(texts: DataFrame, phrases: DataFrame, overlapping: bool = False) -> DataFrame:
     """The same by a join on first words, for dictionaries of any size."""
     placed = T.StructType([T.StructField("text_id", T.LongType()), T.StructField("row", T.LongType()), T.StructField("ws", T.ArrayType(T.StructType([T.StructField("w", T.StringType()), T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])))])
 
@@ -124,19 +123,24 @@ def _met(texts: DataFrame, phrases: DataFrame) -> DataFrame:
     same = F.transform(F.slice("held", F.col("i") + 1, size), lambda x: x["w"]) == F.col("ws")
     hits = each.join(known, "head").where(same).select("text_id", "row", "i", size.alias("size"), "own", F.col("held")[F.col("i")]["a"].alias("start"), F.col("held")[F.col("i") + size - 1]["b"].alias("stop"))
     longest = hits.groupBy("text_id", "row", "i").agg(F.max(F.struct("size", -F.col("own"), "own", "start", "stop")).alias("m")).select("text_id", "row", "i", "m.size", "m.own", "m.start", "m.stop")
+    if overlapping:
+        return longest.select("text_id", F.col("own").alias("phrase_id"), "start", "stop", F.col("size").cast("long").alias("words"))
     return longest.groupBy("row").applyInArrow(choose, FOUND)
 
 
-def find(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """text_id, phrase_id, start, stop, words: every match in texts (text_id, text) of phrases (phrase_id, text)."""
+def find(texts: DataFrame, phrases: DataFrame, overlapping: bool = False) -> DataFrame:
+    """text_id, phrase_id, start, stop, words: every match in texts (text_id, text) of phrases (phrase_id, text).
+
+    With ``overlapping``, a match takes no word from others: at each word the longest phrase that begins there is a match.
+    """
     held = dictionary(phrases)
-    return _met(texts, phrases) if held is None else _walked(texts, lambda: Trie(held))
+    return _met(texts, phrases, overlapping) if held is None else _walked(texts, lambda: Trie(held), overlapping)
 
 
-def longest(texts: DataFrame, phrases: DataFrame) -> DataFrame:
-    """text_id, phrase_id, words: of a text's matches the one of most words, ties to the smaller id."""
+def longest(texts: DataFrame, phrases: DataFrame, overlapping: bool = False) -> DataFrame:
+    """text_id, phrase_id, words: of a text's matches the one of most words, ties to the smaller id; with ``overlapping``, of all phrases that the text holds."""
     best = F.max(F.struct("words", (-F.col("phrase_id")).alias("less"))).alias("best")
-    return find(texts, phrases).groupBy("text_id").agg(best).select("text_id", (-F.col("best.less")).alias("phrase_id"), "best.words")
+    return find(texts, phrases, overlapping).groupBy("text_id").agg(best).select("text_id", (-F.col("best.less")).alias("phrase_id"), "best.words")
 
 
 def mask(texts: DataFrame, phrases: DataFrame, column: str = "text") -> DataFrame:

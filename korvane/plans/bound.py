@@ -251,7 +251,7 @@ QUERIES: dict[str, Query] = {
     "d05_local_week": local_week,
     "d08_local_clock": lambda s, d: read(s, d, "events").select("event_id", times.shown(F.col("ts")).alias("shown"), times.utc(F.col("ts")).cast("string").alias("as_utc")),
     "z12_listing": lambda s, d: profiles.listing(read(s, d, "pages"), PROFILE_CARD).select("page_id", "n", "section", "name"),
-    "t11_longest_phrase": lambda s, d: phrases.longest(read(s, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), sentences(s, d)).select("text_id", "words"),
+    "t11_longest_phrase": lambda s, d: phrases.longest(read(s, d, "documents").select(F.col("doc_id").alias("text_id"), "text"), sentences(s, d), overlapping=True).select("text_id", "words"),
     "x31_masked_names": masked,
     "n08_rule_routes": routes,
     "a32_power_by_stage": stages,

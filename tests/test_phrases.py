@@ -75,3 +75,13 @@ def test_all_sentences_over_all_conversations(spark):
                 want.append((r["text_id"], words[tuple(w for w, *_ in ws[i : i + n])], ws[i][1], ws[i + n - 1][2], n))
             i += max(n, 1)
     assert got == sorted(want) and len(got) > 100
+
+
+@pytest.mark.parametrize("held", [ph.HELD, 0])
+def test_longest_of_overlapping_phrases(spark, monkeypatch, held):
+    monkeypatch.setattr(ph, "HELD", held)
+    t = spark.createDataFrame([(1, "x a b c d"), (2, "a b"), (3, "b c d a b"), (4, "c")], "text_id long, text string")
+    p = spark.createDataFrame([(5, "a b"), (6, "b c d"), (4, "a b")], "phrase_id long, text string")
+    assert sorted(tuple(r) for r in ph.longest(t, p, overlapping=True).collect()) == [(1, 6, 3), (2, 4, 2), (3, 6, 3)]
+    assert sorted(tuple(r) for r in ph.longest(t, p).collect()) == [(1, 4, 2), (2, 4, 2), (3, 6, 3)]
+    assert sorted((r["text_id"], r["phrase_id"], r["words"]) for r in ph.find(t, p, overlapping=True).collect()) == [(1, 4, 2), (1, 6, 3), (2, 4, 2), (3, 4, 2), (3, 6, 3)]
