@@ -10,10 +10,16 @@ from korvane.operators.retrieval import quantised
 
 
 def averages(presenters: DataFrame, scores: DataFrame, keys: list[str], score: str, least: int) -> DataFrame:
-    """keys, score, n and low_coverage: the mean of each presenter's scores; none without any, and low under ``least``."""
+    """keys, score, n and low_coverage: the mean of each presenter's scores; none without any, and low under ``least``.
+
+    Scores are summed as decimals (to a billionth), so that equal scores give equal means in whatever order they come; presenters
+    with a score that no decimal holds (of 19 digits and more, or not finite) have the mean of doubles.
+    """
     joined = presenters.select(*keys).join(scores.select(keys[-1], F.col(score).alias("_s")), keys[-1], "left")
-    told = joined.groupBy(*keys).agg(F.avg("_s").alias("score"), F.count("_s").alias("n"))
-    return told.withColumn("low_coverage", F.col("n") < least)
+    exact = F.col("_s").try_cast("decimal(28,9)")
+    told = joined.groupBy(*keys).agg(F.avg("_s").alias("_mean"), F.sum(exact).cast("double").alias("_sum"), F.count(exact).alias("_held"), F.count("_s").alias("n"))
+    mean = F.when((F.col("n") > 0) & (F.col("_held") == F.col("n")), F.col("_sum") / F.col("n")).otherwise(F.col("_mean"))
+    return told.select(*keys, mean.alias("score"), "n", (F.col("n") < least).alias("low_coverage"))
 
 
 def leaderboard(presenters: DataFrame, scores: DataFrame, keys: list[str], score: str, least: int) -> DataFrame:

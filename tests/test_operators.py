@@ -26,6 +26,14 @@ def test_leaderboard_ranks_and_coverage(spark):
     assert [got[n]["low_coverage"] for n in (100, 101, 102, 103)] == [False, False, True, True]
 
 
+def test_equal_scores_in_another_order_tie(spark):
+    presenters = spark.createDataFrame([(1, n) for n in (100, 101, 102, 103)], "event long, number long")
+    rows = [(100, 0.1), (100, 0.2), (100, 0.3), (101, 0.3), (101, 0.2), (101, 0.1), (102, float("inf")), (103, None)]  # 0.1 + 0.2 + 0.3 and 0.3 + 0.2 + 0.1 differ as doubles
+    got = {r["number"]: r for r in scoring.leaderboard(presenters, spark.createDataFrame(rows, "number long, points double").coalesce(1), ["event", "number"], "points", 2).collect()}
+    assert [got[n]["place"] for n in (100, 101, 102, 103)] == [2, 2, 1, None]
+    assert [got[n]["score"] for n in (100, 101)] == [0.2, 0.2]
+
+
 @pytest.mark.parametrize("small", [order.SMALL, 1])
 def test_places_ranks_and_totals(spark, monkeypatch, small):
     monkeypatch.setattr(order, "SMALL", small)  # with 1, groups of several keys go by ranges
