@@ -101,8 +101,9 @@ def whole_index(spark: SparkSession, sf_dir: str) -> PositionalIndex:
 
 
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    held = index(spark, sf_dir).rows().where("token <> ''").select("token", F.explode("held").alias("x"))
-    return held.groupBy("token").agg(F.count("*").alias("docs"), F.sum(F.size("x.at")).alias("places"))
+    held = index(spark, sf_dir).rows().where("token <> ''")
+    places = F.aggregate("held", F.lit(0).cast("long"), lambda n, x: n + F.size(x["at"]))
+    return held.groupBy("token").agg(F.sum(F.size("held")).alias("docs"), F.sum(places).alias("places"))
 
 
 QUERIES: dict[str, Query] = {

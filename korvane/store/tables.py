@@ -196,6 +196,28 @@ class KeyedTable:
             raise Conflict(f"version {nxt.number} of {self.root} is already there")
         return nxt
 
+    def replace(self, rows: DataFrame, touched: DataFrame, name: str) -> Version:
+        """Puts ``rows`` (unique keys) in place of all rows whose place columns are among ``touched``; the rest stays. Leaves no audit rows.
+
+        For batches that are whole by their place: rows are written once and meet no stored one by key. ``touched`` is a small table.
+        """
+        at = self.version()
+        if name in at.batches or self._in_log(name, at):
+            return at
+        parts = sorted(r[_BUCKET] for r in touched.select(self._place().alias(_BUCKET)).distinct().collect())  # ``buckets`` rows at most
+        old = [at.buckets[str(b)] for b in parts if str(b) in at.buckets]
+        if old:
+            rows = rows.unionByName(self._load(old, self.schema).join(F.broadcast(touched), self.place, "left_anti"))
+        made = f"{at.number + 1:012d}-{uuid.uuid4().hex}"
+        rows.select(*self.schema.names, self._place().alias(_BUCKET)).write.option("compression", "zstd").partitionBy(_BUCKET).parquet(f"{self.root}/data/{made}")
+        written = set(self.files.names(f"data/{made}"))
+        buckets = {b: f for b, f in at.buckets.items() if int(b) not in parts} | {str(b): f"{made}/{_BUCKET}={b}" for b in parts if f"{_BUCKET}={b}" in written}
+        nxt = Version(at.number + 1, name, buckets, at.audit, 0, [*at.batches, name][-REMEMBERED:])
+        if not self.files.put(f"log/{nxt.number:012d}.json", json.dumps(nxt.__dict__)):
+            self.files.delete(f"data/{made}")
+            raise Conflict(f"version {nxt.number} of {self.root} is already there")
+        return nxt
+
     def _in_log(self, name: str, at: Version) -> bool:
         """Whether an older entry has the batch; asked only where the latest one does not remember all."""
         if len(at.batches) < REMEMBERED:
