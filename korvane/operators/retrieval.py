@@ -10,8 +10,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from korvane.operators.lineage import cut
 
@@ -55,18 +57,71 @@ def _beside(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= SMALL else df
 
 
+#: Pairs of a question and a document that a task sums at once, and what stands for a document without id.
+PAIRS, NONE = 1 << 20, np.iinfo(np.int64).min
+
+
+def _firsts(item: np.ndarray, doc: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each question, ties to the smaller id."""
+    o = np.lexsort((doc, -score, item))
+    own = item[o]
+    o = o[np.arange(len(o)) - np.searchsorted(own, own) < k]
+    return item[o], doc[o], score[o]
+
+
+def _summed(weights: pa.Table, k: int, k1: float, mean: float) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Whole documents (doc_id, held: their tokens with n and tf) to a task's k best of each question of ``weights`` (item_id, token, idf)."""
+    weights = weights.sort_by("token").combine_chunks()
+
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = weights["item_id"].combine_chunks().dictionary_encode()
+        items, whose, idf = coded.dictionary, coded.indices.to_numpy(), weights["idf"].to_numpy()
+        known = weights["token"].combine_chunks().dictionary_encode()
+        size = np.bincount(known.indices.to_numpy(), minlength=len(known.dictionary))
+        start = np.cumsum(size) - size
+        top, least = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), np.full(len(items), -np.inf)
+        for b in it:
+            held = b.column(1)
+            flat, ids = held.flatten(), pc.fill_null(b.column(0).cast(pa.int64()), NONE).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(held)), held.value_lengths().to_numpy(zero_copy_only=False))
+            code = pc.fill_null(pc.index_in(flat.field("token"), value_set=known.dictionary), -1).to_numpy(zero_copy_only=False)
+            keep = code >= 0
+            row, code, tf, n = row[keep], code[keep], flat.field("tf").to_numpy()[keep], flat.field("n").to_numpy()[keep]
+            part = tf * (k1 + 1) / (tf + k1 * (1 - B + B * n / mean))
+            upto = np.cumsum(np.bincount(row, weights=size[code], minlength=len(held)))  # pairs of the documents up to each
+            edges = np.unique(np.concatenate([[0], np.searchsorted(upto, np.arange(PAIRS, upto[-1] if len(upto) else 0, PAIRS)), [len(held)]]))
+            for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+                x, y = np.searchsorted(row, (lo, hi))
+                many = size[code[x:y]]
+                own = np.repeat(np.arange(x, y), many)
+                at = np.repeat(start[code[x:y]] - np.cumsum(many) + many, many) + np.arange(len(own))
+                pair, back = np.unique(row[own] * len(items) + whose[at], return_inverse=True)
+                score = np.floor(np.bincount(back, weights=idf[at] * part[own], minlength=len(pair)) * 1e6 + 0.5) / 1e6
+                item, doc = pair % len(items), ids[pair // len(items)]
+                good = score >= least[item]
+                top = _firsts(*(np.concatenate(p) for p in zip(top, (item[good], doc[good], score[good]), strict=True)), k)
+                full = np.flatnonzero(np.bincount(top[0], minlength=len(items)) >= k)
+                least[full] = top[2][np.searchsorted(top[0], full, side="right") - 1]
+        yield pa.RecordBatch.from_arrays([items.take(pa.array(top[0])), pa.array(top[1], pa.int64(), mask=top[1] == NONE), pa.array(top[2], pa.float64())], names=["item_id", "doc_id", "score"])
+
+    return run
+
+
 def bm25(docs: DataFrame, questions: DataFrame, k: int = LEG, allowed: DataFrame | None = None, okapi: bool = False) -> DataFrame:
     """The k best documents of each question by BM25, in one pass over the texts.
 
     Every text adds a marker token, which carries the number of documents and their mean length. Only asked tokens are
-    shuffled, once, by document, and written; scores are summed where they are and cut to k before they travel. ``allowed``
+    shuffled, once, by document, and written, a row a document. Up to :data:`SMALL` weights go to the documents, and a task sums
+    :data:`PAIRS` pairs at once and hands on k a question; more weights are joined and their pairs shuffled. ``allowed``
     (doc_id) restricts what may be found; the corpus statistics stay those of all documents. ``okapi`` takes the
     Okapi constants and lifts negative weights to a quarter of the mean one.
     """
     asked = cut(asked_tokens(questions))
     wanted = _beside(asked.select("token").union(docs.sparkSession.createDataFrame([("",)], "token string")).distinct())
     marked = docs.select("doc_id", tokens(F.col("text")).alias("ts")).select("doc_id", F.size("ts").alias("n"), F.explode(F.concat("ts", F.array(F.lit("")))).alias("token"))
-    postings = cut(marked.join(wanted, "token", "left_semi").repartition("doc_id").groupBy("doc_id", "n", "token").agg(F.count("*").alias("tf")))
+    counted = marked.join(wanted, "token", "left_semi").repartition("doc_id").groupBy("doc_id", "n", "token").agg(F.count("*").alias("tf"))
+    whole = cut(counted.groupBy("doc_id").agg(F.collect_list(F.struct("n", "token", "tf")).alias("held")))  # an entry for each asked token of a document
+    postings = whole.select("doc_id", F.inline("held"))
     held = postings.groupBy("token").agg(F.count("*").alias("df"), F.sum("n").alias("length"))
     size = held.where("token = ''").first()  # one row of totals
     total, mean = (size["df"], size["length"] / size["df"]) if size else (0, 0.0)
@@ -78,8 +133,12 @@ def bm25(docs: DataFrame, questions: DataFrame, k: int = LEG, allowed: DataFrame
     else:
         idf, k1 = F.greatest("raw", F.lit(FLOOR)), K1
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - B + B * F.col("n") / F.lit(mean)))
-    found = postings if allowed is None else postings.join(_beside(allowed.select("doc_id").distinct()), "doc_id", "left_semi")
-    scored = found.join(_beside(weights.select("item_id", "token", idf.alias("idf"))), "token").groupBy("item_id", "doc_id").agg(quantised(F.sum(part)).alias("score"))
+    found = whole if allowed is None else whole.join(_beside(allowed.select("doc_id").distinct()), "doc_id", "left_semi")
+    told = weights.select("item_id", "token", idf.alias("idf"))
+    if isinstance(docs.schema["doc_id"].dataType, (T.LongType, T.IntegerType)) and told.count() <= SMALL:
+        schema = T.StructType([told.schema["item_id"], docs.schema["doc_id"], T.StructField("score", T.DoubleType())])
+        return best(found.mapInArrow(_summed(told.toArrow(), k, k1, mean or 1.0), schema), k)
+    scored = found.select("doc_id", F.inline("held")).join(told, "token").groupBy("item_id", "doc_id").agg(quantised(F.sum(part)).alias("score"))
     return best(scored, k)
 
 
