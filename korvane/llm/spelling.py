@@ -148,12 +148,17 @@ def near_pairs(words: DataFrame) -> DataFrame:
     marked = words.select("word", "n").mapInArrow(_mark(often), MARKED)
     index = _keyed(marked, "prefix", False)
     asked = _keyed(marked, "pivots", True).select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    found = index.join(asked, "key").where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", EDITS) == EDITS))
+    found = index.join(asked.hint("merge"), "key").where((F.col("word") != F.col("other")) & (F.levenshtein("word", "other", EDITS) == EDITS))
     one, two = F.struct("word", "n"), F.struct(F.col("other").alias("word"), F.col("other_n").alias("n"))
     pairs = found.select(F.least(one, two).alias("x"), F.greatest(one, two).alias("y")).distinct()
     return pairs.select(F.col("x.word").alias("a"), F.col("x.n").alias("a_n"), F.col("y.word").alias("b"), F.col("y.n").alias("b_n"))
 
 
+def _beside(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """A left join that shuffles both sides: the tables grow with the words, and small files unpack to much more in the driver than their size tells."""
+    return left.join(right.hint("merge"), key, "left")
+
+
 def group_variants(words: DataFrame, ratio: int = 5) -> DataFrame:
     """word, form, root, n, n_near, form_n of distinct words with their counts."""
     spark = prepare(words.sparkSession)
@@ -163,7 +168,7 @@ def group_variants(words: DataFrame, ratio: int = 5) -> DataFrame:
     ways = [F.struct(F.col(x).alias("word"), F.col(y).alias("near"), F.col(f"{y}_n").alias("near_n")) for x, y in (("a", "b"), ("b", "a"))]
     near = pairs.select(F.explode(F.array(*ways)).alias("w")).select("w.*")
     best = near.groupBy("word").agg(F.count(F.lit(1)).alias("n_near"), F.min(F.struct((-F.col("near_n")).alias("less"), F.col("near"))).alias("best"))
-    joined = words.join(best, "word", "left").withColumn("form_n", -F.col("best.less"))
+    joined = _beside(words, best, "word").withColumn("form_n", -F.col("best.less"))
     strong = F.col("form_n") >= ratio * F.col("n")
     forms = stages.write(joined.select("word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), F.when(strong, F.col("best.near")).alias("form"), F.when(strong, F.col("form_n")).alias("form_n")))
     most = forms.agg(F.max("form_n")).first()[0] or 1
@@ -171,5 +176,5 @@ def group_variants(words: DataFrame, ratio: int = 5) -> DataFrame:
     hops = forms.where("form IS NOT NULL").select("word", F.col("form").alias("root"))
     for _ in range(steps.bit_length()):
         further = hops.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        hops = stages.write(hops.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root")))
-    return forms.join(hops, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")
+        hops = stages.write(_beside(hops, further, "root").select("word", F.coalesce("next", "root").alias("root")))
+    return _beside(forms, hops, "word").select("word", "form", F.coalesce("root", "word").alias("root"), "n", "n_near", "form_n")

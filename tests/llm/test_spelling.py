@@ -116,3 +116,10 @@ def test_query(spark):
     got = tuples(QUERIES["op11_spelling"](spark, sf))
     want = counted(rows, 6, 199, 5)
     assert got == by_hand(want) and len(got) > 500
+
+
+def test_tables_that_grow_with_the_words_are_not_sent_through_the_driver(spark):
+    words = spark.createDataFrame([("letters", 50), ("lettters", 5), ("lettttters", 5), ("another", 9)], "word string, n long")
+    got = spelling.group_variants(words)
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+    assert {(r["word"], r["form"], r["root"]) for r in got.collect()} == {("letters", None, "letters"), ("lettters", "letters", "letters"), ("lettttters", None, "lettttters"), ("another", None, "another")}
