@@ -39,34 +39,48 @@ def grounded(mentions: DataFrame) -> DataFrame:
     return told.join(alike, "id", "left").select("id", (F.col("plain") | F.coalesce("alike", F.lit(False))).alias("grounded"))
 
 
+def _least(people: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """``keys`` and persons: the ``most`` smallest distinct persons of each key, sorted. Partial limits go before the shuffle, so no key brings all its rows to a task."""
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(F.asc_nulls_last("person")))
+    kept = people.select(*keys, "person").distinct().withColumn("_r", first).where(F.col("_r") <= most)
+    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list("person")).alias("persons"))
+
+
 def person_slots(asked: DataFrame, people: DataFrame, orgs: DataFrame, margin: float = 5.0, most: int = 5, cut: float = CUT) -> DataFrame:
     """(id, status, person, via, candidates) of each asked name (id, name, message) among people (person, name, org).
 
     Tiers: the exact name; for a single word, the surname; then names that are alike. One hit is taken; several are
     ambiguous. A name that is only alike is never taken by itself: it counts within ``margin`` of the best and only if
     the message names the organisation (org, org_name) of exactly one of these; otherwise it is a candidate.
+
+    Rows of one name and message have one answer, which is found once; of the people of a name only the smallest that can
+    be told (``most``, and two to know that there are several) meet it. So work grows with distinct names, not with namesakes.
     """
+    held = max(most, 2)
     q = asked.select("id", F.lower(F.trim("name")).alias("q"), F.concat(F.lit(" "), F.lower("message"), F.lit(" ")).alias("message"))
     p = people.select("person", F.lower("name").alias("known"), "org", F.element_at(F.split(F.lower("name"), " "), -1).alias("surname"))
-    exact = q.join(p, q["q"] == p["known"]).select("id", "person", F.lit(0).alias("tier"), F.lit(100.0).alias("score"), "org", "message")
-    last = q.where(~F.contains("q", F.lit(" "))).join(p, q["q"] == p["surname"]).select("id", "person", F.lit(1).alias("tier"), F.lit(100.0).alias("score"), "org", "message")
-    sure = exact.unionByName(last).distinct()
-    open_ = q.join(sure.select("id").distinct(), "id", "left_anti")
-    alike = fuzzy_names(open_.select(F.col("q").alias("name")), p.select(F.col("known").alias("name")), cut)
-    fuzzy = open_.join(alike, open_["q"] == alike["asked"]).join(p, "known").select("id", "person", F.lit(2).alias("tier"), F.col("ratio").alias("score"), "org", "message")
-    every = sure.unionByName(fuzzy)
-    own = Window.partitionBy("id")
-    kept = every.withColumn("first", F.min("tier").over(own)).where("tier = first").withColumn("top", F.max("score").over(own)).where(F.col("top") - F.col("score") <= margin)
-    named = kept.join(orgs.select("org", F.lower("org_name").alias("org_name")), "org", "left").withColumn("fits", F.coalesce(F.contains("message", F.concat(F.lit(" "), "org_name", F.lit(" "))), F.lit(False)))
-    summed = named.groupBy("id", F.col("first").alias("tier")).agg(
-        F.countDistinct("person").alias("n"),
-        F.min("person").alias("one"),
-        F.countDistinct(F.when(F.col("fits"), F.col("person"))).alias("fitting"),
-        F.min(F.when(F.col("fits"), F.col("person"))).alias("fit"),
-        F.slice(F.array_sort(F.collect_set("person")), 1, most).alias("candidates"),
-    )
-    taken = F.when((F.col("tier") < 2) & (F.col("n") == 1), F.col("one")).when((F.col("tier") == 2) & (F.col("fitting") == 1), F.col("fit"))
-    told = q.select("id").join(summed, "id", "left").withColumn("person", taken)
+    asks = q.select("q", "message").distinct()
+    names, known = asks.select("q").distinct(), p.select("known", "surname").distinct()
+    exact = names.join(known, names["q"] == known["known"]).select("q", "known", F.lit(0).alias("tier"), F.lit(100.0).alias("score"))
+    last = names.where(~F.contains("q", F.lit(" "))).join(known, names["q"] == known["surname"]).select("q", "known", F.lit(1).alias("tier"), F.lit(100.0).alias("score"))
+    sure = exact.unionByName(last)
+    open_ = names.join(sure.select("q").distinct(), "q", "left_anti")
+    alike = fuzzy_names(open_.select(F.col("q").alias("name")), known.select(F.col("known").alias("name")), cut)
+    every = sure.unionByName(alike.select(F.col("asked").alias("q"), "known", F.lit(2).alias("tier"), F.col("ratio").alias("score")))
+    own = Window.partitionBy("q")
+    kept = every.withColumn("first", F.min("tier").over(own)).where("tier = first").withColumn("top", F.max("score").over(own)).where(F.col("top") - F.col("score") <= margin).select("q", "known", "tier")
+    pool = lambda c: F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list(c)))), 1, held)
+    summed = kept.join(_least(p, ["known"], held), "known").groupBy("q", "tier").agg(pool("persons").alias("persons"))
+    # only names that are alike ask for an organisation
+    named = _least(p.join(orgs.select("org", F.lower("org_name").alias("org_name")), "org").where("org_name is not null"), ["known", "org_name"], held)
+    meant = kept.where("tier = 2").join(asks.where("message is not null"), "q").join(named, "known").where(F.contains("message", F.concat(F.lit(" "), "org_name", F.lit(" "))))
+    fits = meant.groupBy("q", "message").agg(pool("persons").alias("fits"))
+    told = asks.join(summed, "q").join(fits, ["q", "message"], "left")
+    one = lambda c: F.when(F.size(c) == 1, F.col(c)[0])
+    told = told.select("q", "message", "tier", "persons", F.when(F.col("tier") < 2, one("persons")).otherwise(one("fits")).alias("person"))
+    # null names and messages meet themselves
+    a, b = q.alias("a"), told.alias("b")
+    told = a.join(b, F.col("a.q").eqNullSafe(F.col("b.q")) & F.col("a.message").eqNullSafe(F.col("b.message")), "left").select("id", "tier", "person", F.slice(F.col("persons"), 1, most).alias("candidates"))
     status = F.when(F.col("tier").isNull(), "none").when(F.col("person").isNotNull(), "ok").otherwise("ambiguous")
     via = F.when(F.col("person").isNotNull(), F.when(F.col("tier") == 2, "fuzzy").otherwise("exact"))
     return told.select("id", status.alias("status"), "person", via.alias("via"), F.when(status == "ambiguous", F.array_join("candidates", ",")).alias("candidates"))
