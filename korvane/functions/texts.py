@@ -1,5 +1,8 @@
 """Text functions: tokens, names, corrections, matching, page parts, typed checks and dates."""
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
 from korvane.operators.bindings import AREAS, ASK, FEEDBACK, PEOPLE, Q, SERIES
 from korvane.operators.relational import ctes, r6
 
@@ -90,3 +93,22 @@ SQL: dict[str, str] = {
     "n21_addendum": ctes(AREAS) + "SELECT person_id, @join(@sort(@list(tag)), '; ') || CASE WHEN max(n) > 3 THEN ' +' || CAST(max(n) - 3 AS STRING) || ' more' ELSE '' END AS line FROM (SELECT person_id, tag, row_number() OVER (PARTITION BY person_id ORDER BY tag) AS r, count(*) OVER (PARTITION BY person_id) AS n FROM (SELECT DISTINCT person_id, tag FROM tagged) a) t WHERE r <= 3 GROUP BY person_id",
     "n22_facts_preserved": f"WITH {TURNS} SELECT conv_id, turn, @size(@filter(@rxall(previous, '([0-9][0-9][0-9]+)', 1), @lx NOT contains(text, x))) = 0 AND @size(@filter(@rxall(previous, '([A-Za-z0-9._]+[@][A-Za-z0-9.-]+)', 1), @lx NOT contains(text, x))) = 0 AS preserved FROM turns WHERE previous IS NOT NULL",
 }
+
+
+def context_words(turns: DataFrame, most: int = 5) -> DataFrame:
+    """conv_id, word, place: the first distinct words of five letters and more in the last two answers of a conversation, the last answer first.
+
+    turns: conv_id, turn, role, text. Words are runs of two and more letters a-z. A text's words are split once and only its first ``most`` leave
+    it, since no later one of a text can be among the first of both.
+    """
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]+)"), F.lit(1)), lambda w: F.length(w) > 1)
+    long = lambda ws: F.slice(F.array_distinct(F.filter(ws, lambda w: F.length(w) >= 5)), 1, most)
+    # an array of one entry holds the words, so that they are split once
+    first = F.transform(F.array(words), lambda ws: F.transform(long(ws), lambda w: F.struct(F.array_position(ws, w).alias("at"), w.alias("word"))))[0]
+    rows = turns.where("role = 'assistant'").select("conv_id", "turn", first.alias("held"))
+    own = Window.partitionBy("conv_id")
+    last = rows.withColumn("r", F.row_number().over(own.orderBy(F.desc("turn")))).where("r <= 2")
+    each = last.select("conv_id", "r", F.explode("held").alias("x"))
+    met = each.groupBy("conv_id", F.col("x.word").alias("word")).agg(F.min(F.col("r") * 1000000 + F.col("x.at")).alias("pos"))
+    placed = met.withColumn("place", F.row_number().over(own.orderBy("pos")).cast("long"))
+    return placed.where(F.col("place") <= most).select("conv_id", "word", "place")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from korvane.functions import matching, phrases, profiles, safety, scalars, times, urls
+from korvane.functions import matching, phrases, profiles, safety, scalars, texts, times, urls
 from korvane.operators import assembly, bindings, chunks, graph, order, people, power, records, relational, routing, sampling, scoring, slots, trends
 from korvane.operators.retrieval import quantised
 from korvane.plans.sql import oracle, query
@@ -245,6 +245,7 @@ QUERIES: dict[str, Query] = {
     "e11_chunk_upkeep": upkeep,
     "s15_copy_faults": copies,
     "j10_match_feeds": feeds,
+    "x14_context": lambda s, d: texts.context_words(read(s, d, "conversations")),
     "n14_grounded": grounded,
     "n16_person_slots": slot_people,
     "n17_plans": plans,
@@ -279,10 +280,10 @@ a1 AS (SELECT item_id, CASE WHEN len(list_filter(ts, lambda t: t NOT IN ({_stop(
 ask AS (SELECT item_id, len(ts) AS n, unnest(ts) AS token FROM a1),
 held AS (SELECT * FROM (SELECT doc_id, unnest({_TS.format('text')}) AS token FROM documents) WHERE token IN (SELECT token FROM ask)),
 hits AS (SELECT item_id, doc_id, count(*) AS shared, max(n) AS n FROM ask JOIN held USING (token) GROUP BY item_id, doc_id)"""
-_FAR = {k: oracle(v) for k, v in (relational.SQL | assembly.SQL | scalars.SQL).items()}
+_FAR = {k: oracle(v) for k, v in (relational.SQL | assembly.SQL | scalars.SQL | texts.SQL).items()}
 
 ORACLES: dict[str, str] = {
-    **{k: _FAR[k] for k in ("w01_leaderboard", "w02_dense_sequence", "w03_sequence", "w04_top_with_ties", "w14_dense_window", "w15_rising", "t05_multi_key_sort", "z20_rank_regressions", "e23_calibration", "a16_metric_ranking")},
+    **{k: _FAR[k] for k in ("w01_leaderboard", "w02_dense_sequence", "w03_sequence", "w04_top_with_ties", "w14_dense_window", "w15_rising", "t05_multi_key_sort", "z20_rank_regressions", "e23_calibration", "a16_metric_ranking", "x14_context")},
     "w16_peak": duck("SERIES", """, top AS (SELECT id, arg_max(y, n * 10000 - y) AS y, max(n) AS n FROM yearly WHERE y >= 1995 GROUP BY id)
 SELECT t.id, t.y, t.n, t.n > coalesce((SELECT max(n) FROM yearly e WHERE e.id = t.id AND e.y < 1995), 0) AS is_all_time FROM top t"""),
     "a16_metric_skill": duck("ORG PEOPLE", f""", {_ORGS}{_REACH}, best AS (SELECT DISTINCT r.ancestor AS org, p.id AS person, p.metric AS value FROM people p JOIN reach r ON r.id = p.org_id WHERE p.metric > 0)
