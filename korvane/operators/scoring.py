@@ -129,15 +129,16 @@ def slot_scores(asked: DataFrame, gold: DataFrame, told: DataFrame, keys: tuple[
     nothing loses recall. Without any pair on either side all rates are 1; without gold ones recall is 1; exact is the share of
     questions whose sets are equal. Slots of questions not in ``asked`` are left out; ids are distinct, a repeated one counts once.
     """
-    def pairs(df: DataFrame, side: str) -> DataFrame:
+    def pairs(df: DataFrame, side: int) -> DataFrame:
         value = F.lower(F.trim("value"))
         held = df.where(F.col("slot").isin(*keys)) if keys else df
-        return held.select("id", "slot", value.alias("value")).where("value <> ''").distinct().withColumn(side, F.lit(1))
+        return held.select("id", F.col("slot").cast("string").alias("slot"), value.alias("value"), F.lit(side).alias("side")).where("value <> ''")
 
-    both = pairs(gold, "_g").join(pairs(told, "_t"), ["id", "slot", "value"], "full")
+    # the sides meet by aggregation, not in a join: 1 is gold only, 2 told only, 3 both; null slots and ids never meet
+    sides = pairs(gold, 1).unionByName(pairs(told, 2)).groupBy("id", "slot", "value").agg(F.bit_or("side").alias("side"))
     count = lambda c: F.count(F.when(c, 1))
-    g, t = F.col("_g").isNotNull(), F.col("_t").isNotNull()
-    each = both.groupBy("id").agg(count(g & t).alias("tp"), count(~g & t).alias("fp"), count(g & ~t).alias("fn"))
+    meets = (F.col("side") == 3) & F.col("slot").isNotNull()
+    each = sides.groupBy("id").agg(count(meets).alias("tp"), count((F.col("side") >= 2) & ~meets).alias("fp"), count(F.col("side").isin(1, 3) & ~meets).alias("fn"))
     base = asked.where("id is not null").groupBy("id").agg(F.min("skill").alias("skill")).join(each, "id", "left").fillna(0, ["tp", "fp", "fn"])
     # one row a skill and one for all: the grouping id tells a null skill from the total
     summed = base.withColumn("skill", F.coalesce("skill", F.lit(""))).rollup("skill").agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in ("tp", "fp", "fn")), count(F.col("fp") + F.col("fn") == 0).alias("_e"))
