@@ -6,9 +6,13 @@ against the table, and the exchange is by key.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from korvane.operators.lineage import cut
+
 
 def highlights(papers: DataFrame, year: int, cited: int = 5, newest: int = 5, current: int = 10) -> DataFrame:
     """person, list, place, paper, title, year, cited: the most cited, the newest, and this year's papers of each person.
@@ -21,18 +25,13 @@ def highlights(papers: DataFrame, year: int, cited: int = 5, newest: int = 5, cu
     rows = papers.where("person is not null").select("person", "paper", "title", "year", F.coalesce("cited", F.lit(0)).alias("cited"))
     key = F.coalesce(F.concat(F.lit("p"), c("paper").cast("string")), F.concat(F.lit("t"), F.coalesce("title", F.lit("")), F.lit("\n"), F.coalesce(c("year").cast("string"), F.lit(""))))
     one = Window.partitionBy("person", key).orderBy(F.desc("cited"), "title", F.desc_nulls_last("year"))
-    kept = rows.withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r")
-    own, tie = Window.partitionBy("person"), (c("title"), c("paper"))
-    most = F.row_number().over(own.orderBy(F.desc("cited"), *tie))
-    new = F.row_number().over(own.orderBy(F.desc_nulls_last("year"), F.desc("cited"), *tie))
-    now = F.row_number().over(own.orderBy(F.when(c("year") == year, 0).otherwise(1), F.desc("cited"), *tie))
-    placed = kept.withColumn("_1", most).withColumn("_2", new).withColumn("_3", now)
-    lists = F.array(
-        F.when(c("_1") <= cited, F.struct(F.lit("top_cited").alias("list"), c("_1").alias("place"))),
-        F.when((c("_2") <= newest) & c("year").isNotNull(), F.struct(F.lit("newest").alias("list"), c("_2").alias("place"))),
-        F.when((c("_3") <= current) & (c("year") == year), F.struct(F.lit("current_year").alias("list"), c("_3").alias("place"))),
-    )
-    return placed.withColumn("_l", F.explode(F.array_compact(lists))).select("person", "_l.list", "_l.place", "paper", "title", "year", "cited")
+    kept = cut(rows.withColumn("_r", F.row_number().over(one)).where("_r = 1").drop("_r"))
+    # each list by itself: what cannot be in it leaves before the shuffle, so a person's papers never lie sorted three times in one task
+    own, rank = Window.partitionBy("person"), (F.desc("cited"), c("title"), c("paper"))
+    dated = kept.where("year is not null")
+    lists = (("top_cited", kept, rank, cited), ("newest", dated, (F.desc("year"), *rank), newest), ("current_year", dated.where(c("year") == year), rank, current))
+    placed = (df.withColumn("place", F.row_number().over(own.orderBy(*order))).where(c("place") <= n).select("person", F.lit(name).alias("list"), "place", "paper", "title", "year", "cited") for name, df, order, n in lists)
+    return reduce(DataFrame.unionByName, placed)
 
 
 def versions(items: DataFrame) -> DataFrame:
