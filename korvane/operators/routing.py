@@ -12,11 +12,13 @@ question's candidates come once, repeated rows are routed each.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from korvane.functions import phrases
+from korvane.operators.lineage import cut
 
 #: Words that show what a question is about; whole words, any case.
 CUES: dict[str, str] = {
@@ -132,17 +134,29 @@ def route(questions: DataFrame, rules: list[Rule] = RULES, cues: dict[str, str]
     return told.select("id", "p.rule", "p.skill", F.map_filter("p.args", lambda _, v: v.isNotNull()).alias("args"))
 
 
-def resolved(questions: DataFrame, entries: DataFrame, own: str, text: str, count: str | None = None, words: str | None = None) -> DataFrame:
-    """The questions with the entry (``own``, ``text``) whose name they hold, the longest one first; ``count`` of entries of that name, ``words`` of the name.
+def _keyed(entries: DataFrame) -> DataFrame:
+    """phrase_id, text, entry, n, label of entries (entry, text, label) by their lower-cased names; several of one name give the smallest."""
+    names = entries.where(F.col("entry").isNotNull() & F.col("text").isNotNull()).groupBy(F.lower("text").alias("text")).agg(F.min("entry").alias("entry"), F.count_distinct("entry").alias("n"), F.min("label").alias("label"))
+    return names.select(F.xxhash64("text").alias("phrase_id"), "text", "entry", "n", "label")
+
 
-    Several entries of one name give the smallest. Questions are told apart by id.
+def resolved(questions: DataFrame, kinds: dict[str, DataFrame]) -> DataFrame:
+    """The questions (id, text) with a struct (entry, label, n, words) for each kind: the entry (entry, text, label) whose name they hold, the longest one.
+
+    ``n`` counts the entries of that name, ``words`` the words of it. Several entries of one name give the smallest. Questions are told apart
+    by id: rows of one id hold what any of them holds. Each distinct text is searched once, for all kinds from the same table of texts.
     """
-    names = entries.where(F.col("entry").isNotNull() & F.col("text").isNotNull()).groupBy(F.lower("text").alias("text")).agg(F.min("entry").alias("entry"), F.count_distinct("entry").alias("n"), F.min("label").alias("label"))
-    keyed = names.select(F.xxhash64("text").alias("phrase_id"), "text", "entry", "n", "label")
-    best = phrases.longest(questions.select(F.col("id").alias("text_id"), "text"), keyed.select("phrase_id", "text"))
-    told = best.join(keyed.select("phrase_id", "entry", "n", "label"), "phrase_id")
-    extra = ([F.col("n").alias(count)] if count else []) + ([F.col("words").alias(words)] if words else [])
-    return questions.join(told.select(F.col("text_id").alias("id"), F.col("entry").alias(own), F.col("label").alias(text), *extra), "id", "left")
+    texts = cut(questions.select("text").where("text is not null").distinct().select(F.monotonically_increasing_id().alias("text_id"), "text"))
+    found = []
+    for kind, entries in kinds.items():
+        keyed = _keyed(entries)
+        best = phrases.longest(texts, keyed.select("phrase_id", "text")).join(keyed.drop("text"), "phrase_id")
+        # of several matches of one id the one of most words counts, ties to the smaller phrase
+        found.append(best.select("text_id", F.lit(kind).alias("kind"), F.struct("words", (-F.col("phrase_id")).alias("less"), "entry", "label", "n").alias("hit")))
+    every = reduce(DataFrame.unionByName, found).groupBy("text_id").agg(*(F.max(F.when(F.col("kind") == k, F.col("hit"))).alias(k) for k in kinds))
+    out = questions.join(every.join(texts, "text_id").drop("text_id"), "text", "left")
+    own = Window.partitionBy("id")
+    return out.select(*questions.columns, *(F.when(F.col("id").isNotNull(), F.max(k).over(own)).alias(k) for k in kinds))
 
 
 def candidates(questions: DataFrame, people: DataFrame, orgs: DataFrame, root: int | None = None) -> DataFrame:
@@ -151,11 +165,10 @@ def candidates(questions: DataFrame, people: DataFrame, orgs: DataFrame, root: i
     people: id, name, surname; orgs: id, name and, if wanted, has_children.
     """
     c = F.col
-    full = resolved(questions, people.select(c("id").alias("entry"), c("name").alias("text"), c("name").alias("label")), "_full", "_full_name", "_n_full", "_w_full")
-    short = resolved(full, people.select(c("id").alias("entry"), c("surname").alias("text"), c("surname").alias("label")), "_short", "_short_name", "_n_short", "_w_short")
-    told = resolved(short, orgs.select(c("id").alias("entry"), c("name").alias("text"), c("name").alias("label")), "org", "org_name")
-    pick = lambda a, b: F.when(c("_full").isNotNull(), c(a)).otherwise(c(b))
-    extra: list[Column] = [pick("_full", "_short").alias("person"), pick("_full_name", "_short_name").alias("person_name"), F.coalesce(pick("_n_full", "_n_short"), F.lit(0)).alias("n_people"), pick("_w_full", "_w_short").alias("name_words")]
+    named = lambda df, text: df.select(c("id").alias("entry"), c(text).alias("text"), c(text).alias("label"))
+    told = resolved(questions.select("id", "text"), {"_full": named(people, "name"), "_short": named(people, "surname"), "_org": named(orgs, "name")}).withColumn("org", c("_org.entry"))
+    pick = lambda x: F.when(c("_full").isNotNull(), c(f"_full.{x}")).otherwise(c(f"_short.{x}"))
+    extra: list[Column] = [pick("entry").alias("person"), pick("label").alias("person_name"), F.coalesce(pick("n"), F.lit(0)).alias("n_people"), pick("words").alias("name_words")]
     out = told.select("id", "text", *extra, "org", F.lit(root).cast("long").alias("root"))
     if "has_children" in orgs.columns:
         out = out.join(orgs.select(c("id").alias("org"), "has_children"), "org", "left")
