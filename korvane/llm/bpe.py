@@ -17,11 +17,12 @@ repeated rows included; an empty table gives no rows; other columns are dropped.
 
 from __future__ import annotations
 
+import gc
 import hashlib
 import json
-from collections.abc import Iterator
+import struct
+from collections.abc import Iterator, Sequence
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -116,21 +117,26 @@ class WordTable:
         self._reset()
 
     def _reset(self) -> None:
+        for row in self.__dict__.get("rows", ()):
+            row.clear()  # rows name each other; the collector may be off
         self.states: list[tuple] = [((0, None),)]
         self.number: dict[tuple, int] = {self.states[0]: 0}
-        self.rows: list[dict[int, tuple[int, int]]] = [{}]
+        #: by state: symbol -> (the next state's row, token that ends here); a row has its state's number under None
+        self.rows: list[dict] = [{None: 0}]
 
-    def _step(self, state: int, symbol: int) -> tuple[int, int]:
-        """The next state and the token that ends here in the encoding of all symbols so far."""
+    def _step(self, state: int, symbol: int) -> tuple[dict, int]:
+        """The next state's row and the token that ends here in the encoding of all symbols so far."""
         open_, found = [], None
+        child, accepts = self.child.get, self.auto.accepts
         for node, before in self.states[state]:
-            nxt = self.child.get((node, symbol))
+            nxt = child((node, symbol))
             if nxt is None:
                 continue
             open_.append((nxt, before))
-            token = self.token_at.get(nxt)
-            if found is None and token is not None and (before is None or self.auto.accepts(before, token)):
-                found = token
+            if found is None:
+                token = self.token_at.get(nxt)
+                if token is not None and (before is None or accepts(before, token)):
+                    found = token
         if found is None:
             raise ValueError("a symbol outside the vocabulary")
         key = (*open_, (0, found))
@@ -138,18 +144,19 @@ class WordTable:
         if n is None:
             n = self.number[key] = len(self.states)
             self.states.append(key)
-            self.rows.append({})
-        return n, found
+            self.rows.append({None: n})
+        return self.rows[n], found
 
-    def encode(self, symbols: list[int]) -> list[int]:
+    def encode(self, symbols: Sequence[int]) -> list[int]:
         if len(self.states) > self.LIMIT:
             self._reset()
-        state, ends, rows = 0, [], self.rows
+        row, ends = self.rows[0], []
         for s in symbols:
-            got = rows[state].get(s)
-            if got is None:
-                got = rows[state][s] = self._step(state, s)
-            state, token = got
+            if s in row:
+                row, token = row[s]
+            else:
+                got = row[s] = self._step(row[None], s)
+                row, token = got
             ends.append(token)
         out, at, size = [], len(ends), self.size
         while at:
@@ -175,6 +182,10 @@ class WordBpe:
     """A tokenizers file of the word-end kind, compiled. Bounded caches; one a worker."""
 
     LIMIT = 200_000
+    #: Chunks encoded at once, and the length from which a chunk or word is not kept.
+    RUN, LONG = 4096, 48
+    #: Separators that Python splits at and the vocabulary's pattern does not.
+    ODD_SPACES = "\x1c\x1d\x1e\x1f"
 
     def __init__(self, json_file: str):
         import regex
@@ -198,24 +209,55 @@ class WordBpe:
         self.split = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")").split if self.special else None
         pattern = next(p["pattern"]["Regex"] for p in spec["pre_tokenizer"]["pretokenizers"] if p["type"] == "Split")
         self.words = regex.compile(pattern).findall
-        self.odd_space = regex.compile("[\x1c-\x1f]").search
-        self.chunks: dict[str, tuple[bytes, bytes]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        #: by what lies between white space: ids and labels; and those of it that have no ids
+        self.ids: dict[str, bytes] = {}
+        self.labels: dict[str, bytes] = {}
+        self.blank: set[str] = set()
+        self.pieces: dict[str, tuple[bytes, bytes]] = {}
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of one pre-split word."""
         raw = word.encode()
         return self.table.encode([*raw[:-1], 256 + raw[-1]])
 
-    def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
+    def _learn(self, chunk: str) -> None:
         """Ids and labels of what lies between white space; words never cross it."""
-        ids = [i for w in self.words(chunk) for i in self.encode_word(w)]
-        got = np.array(ids, "<u4").tobytes(), " ".join(self.label[i] for i in ids).encode()
-        if len(chunk) < 48:
-            if len(self.chunks) >= self.LIMIT:
-                self.chunks.clear()
-            self.chunks[chunk] = got
-        return got
+        words = self.words(chunk)
+        if len(words) == 1:
+            self.ids[chunk], self.labels[chunk] = self._word(words[0])
+            return
+        got = [self.pieces.get(w) or self._word(w) for w in words]
+        self.ids[chunk], self.labels[chunk] = b"".join([a for a, _ in got]), b" ".join([b for _, b in got])
+        for w, x in zip(words, got, strict=True):
+            if len(w) < self.LONG:
+                self.pieces[w] = x
+        if not got:
+            self.blank.add(chunk)
+
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        ids = self.encode_word(word)
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.label[i] for i in ids]).encode()
+
+    def _forget(self) -> None:
+        if len(self.ids) >= self.LIMIT:
+            self.ids.clear()
+            self.labels.clear()
+            self.blank.clear()
+        if len(self.pieces) >= self.LIMIT:
+            self.pieces.clear()
+
+    def _encode_chunks(self, chunks: list[str]) -> tuple[bytes, bytes]:
+        """Ids and labels of a run of chunks; what is not known is learnt first, and long ones are forgotten after."""
+        new = set(chunks).difference(self.ids)
+        for c in new:
+            self._learn(c)
+        held = chunks if self.blank.isdisjoint(chunks) else [c for c in chunks if c not in self.blank]
+        out = b"".join(map(self.ids.__getitem__, held)), b" ".join(map(self.labels.__getitem__, held))
+        for c in new:
+            if len(c) >= self.LONG:
+                del self.ids[c], self.labels[c]
+                self.blank.discard(c)
+        return out
 
     @staticmethod
     def normalise(text: str) -> str:
@@ -231,15 +273,16 @@ class WordBpe:
         parts = self.split(text) if self.split and any(s in text for s in self.special) else (text,)
         ids: list[bytes] = []
         labels: list[bytes] = []
-        get = self.chunks.get
         for p in parts:
             if p in self.special:
-                ids.append(np.array([self.special[p]], "<u4").tobytes())
+                ids.append(struct.pack("<I", self.special[p]))
                 labels.append(p.encode())
                 continue
             low = self.normalise(p)
-            for c in [low] if self.odd_space(low) else low.split():
-                a, b = get(c) or self._chunk(c)
+            chunks = [low] if any(c in low for c in self.ODD_SPACES) else low.split()
+            for i in range(0, len(chunks), self.RUN):
+                self._forget()
+                a, b = self._encode_chunks(chunks[i : i + self.RUN])
                 if a:
                     ids.append(a)
                     labels.append(b)
@@ -268,7 +311,9 @@ def _encode(json_file: str, digest: bool):
     def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = compiled(json_file)
         for b in batches(it):
+            gc.disable()  # caches of many small objects without cycles: walking them again and again costs a sixth of the time
             got = [bpe.encode(t.decode()) for t in text_bytes(b.column(1))]
+            gc.enable()
             if digest:
                 cols = [pa.array([len(a) // 4 for a, _ in got], pa.int64()), pa.array([hashlib.sha256(a).hexdigest() for a, _ in got]), pa.array([hashlib.sha256(d).hexdigest() for _, d in got])]
             else:
