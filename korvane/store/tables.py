@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 UPSERT, INSERT, DELETE = "upsert", "insert", "delete"
-_BUCKET = "_bucket"
+_BUCKET, _KIND, _ROW, _AUDIT = "_bucket", "_kind", "row", "audit"
 
 
 class Conflict(Exception):
@@ -158,13 +158,18 @@ class KeyedTable:
         for w in whole[1:]:
             valid = valid & w
         new = F.struct(*(F.col(c).cast(self.schema[c].dataType).alias(c) for c in self.schema.names))
-        packed = rows.where(valid).select(*(F.col(k).cast(self.schema[k].dataType).alias(k) for k in self.keys), "_order", "_op", new.alias("new"))
-        one = packed.groupBy(*self.keys).agg(F.max(F.struct("_order", "_op", "new")).alias("top")).select(*self.keys, "top._op", "top.new")
+        packed = rows.select(*(F.col(k).cast(self.schema[k].dataType).alias(k) for k in self.keys), F.when(valid, F.struct("_order", "_op", new.alias("new"))).alias("row"), valid.alias("_valid"))
+        # refused rows are counted on the way, so that the batch is computed once
+        one = packed.groupBy(*self.keys, "_valid").agg(F.max("row").alias("top"), F.count("*").alias("_n")).select(*self.keys, "_valid", "_n", "top._op", "top.new")
+        if isinstance(op, str) and op == INSERT and at.buckets:  # what is there already changes nothing and touches no bucket
+            one = one.join(self._load(list(at.buckets.values()), self.schema).select(*self.keys), self.keys, "left_anti")
         step, out = uuid.uuid4().hex, f"{at.number + 1:012d}-"
         staged = f"{out}batch-{step}"
         one.withColumn(_BUCKET, self._place()).write.parquet(f"{self.root}/data/{staged}")
-        coming = self.spark.read.parquet(f"{self.root}/data/{staged}")
-        touched = sorted(r[_BUCKET] for r in coming.select(_BUCKET).distinct().collect())  # ``buckets`` rows at most
+        batch_rows = self.spark.read.parquet(f"{self.root}/data/{staged}")
+        met = batch_rows.groupBy(_BUCKET, "_valid").agg(F.sum("_n").alias("n")).collect()  # two rows a bucket at most
+        touched, refused = sorted(r[_BUCKET] for r in met if r["_valid"]), sum(r["n"] for r in met if not r["_valid"])
+        coming = batch_rows.where("_valid").drop("_valid", "_n")
         held = self._load([at.buckets[str(b)] for b in touched if str(b) in at.buckets], self.schema).select(*self.keys, F.struct(*self.schema.names).alias("old"))
         both = held.join(coming.drop(_BUCKET), self.keys, "full_outer")
         set_values = set_values or {}
@@ -177,22 +182,20 @@ class KeyedTable:
             F.when(F.col("old").isNull() & F.col("row").isNull(), "none").when(F.col("old").isNull(), "insert").when(F.col("row").isNull(), DELETE).when(~F.col("old").eqNullSafe(F.col("row")), "update"),
         )
         made = f"{out}{step}"
-        # both tables come from one written one, so that a late failure repeats no merge
-        changed.where("row is not null or action = 'delete'").select(F.coalesce("row", "old").alias("row"), "action", *self.keys).withColumn(_BUCKET, self._place()).write.parquet(f"{self.root}/data/{made}-all")
-        settled = self.spark.read.parquet(f"{self.root}/data/{made}-all")
-        settled.where(F.col("action").isNull() | (F.col("action") != DELETE)).select("row.*", _BUCKET).write.partitionBy(_BUCKET).parquet(f"{self.root}/data/{made}")
-        audit = settled.where("action is not null").select("row.*", "action", F.lit(at.number + 1).cast("long").alias("version"), F.lit(name).alias("batch"))
-        audit.write.parquet(f"{self.root}/data/{made}-audit")
-        written = set(self.files.names(f"data/{made}"))
+        # rows of the table and of the audit are written in one pass, so that a late failure repeats no merge
+        kinds = F.filter(F.array(F.when((F.col("action") != DELETE) | F.col("action").isNull(), F.lit(_ROW)), F.when(F.col("action").isNotNull(), F.lit(_AUDIT))), lambda k: k.isNotNull())
+        settled = changed.where("row is not null or action = 'delete'").select(F.coalesce("row", "old").alias("row"), "action", *self.keys).withColumn(_BUCKET, self._place()).withColumn(_KIND, F.explode(kinds))
+        extra = [F.when(F.col(_KIND) == _AUDIT, x).alias(n) for x, n in ((F.col("action"), "action"), (F.lit(at.number + 1).cast("long"), "version"), (F.lit(name), "batch"))]
+        place = F.when(F.col(_KIND) == _AUDIT, -1).otherwise(F.col(_BUCKET)).alias(_BUCKET)
+        settled.select("row.*", *extra, _KIND, place).write.partitionBy(_KIND, _BUCKET).parquet(f"{self.root}/data/{made}")
+        written = set(self.files.names(f"data/{made}/{_KIND}={_ROW}"))
         buckets = {b: f for b, f in at.buckets.items() if int(b) not in touched}
-        buckets |= {str(b): f"{made}/{_BUCKET}={b}" for b in touched if f"{_BUCKET}={b}" in written}
-        refused = rows.where(~valid).count()
-        nxt = Version(at.number + 1, name, buckets, [*at.audit, f"{made}-audit"], refused, [*at.batches, name][-REMEMBERED:])
-        for spent in (staged, f"{made}-all"):
-            self.files.delete(f"data/{spent}")
+        buckets |= {str(b): f"{made}/{_KIND}={_ROW}/{_BUCKET}={b}" for b in touched if f"{_BUCKET}={b}" in written}
+        audit = [f"{made}/{_KIND}={_AUDIT}/{_BUCKET}=-1"] if self.files.names(f"data/{made}/{_KIND}={_AUDIT}") else []
+        nxt = Version(at.number + 1, name, buckets, [*at.audit, *audit], refused, [*at.batches, name][-REMEMBERED:])
+        self.files.delete(f"data/{staged}")
         if not self.files.put(f"log/{nxt.number:012d}.json", json.dumps(nxt.__dict__)):
             self.files.delete(f"data/{made}")
-            self.files.delete(f"data/{made}-audit")
             raise Conflict(f"version {nxt.number} of {self.root} is already there")
         return nxt
 
