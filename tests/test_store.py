@@ -93,3 +93,21 @@ def test_only_touched_buckets_are_rewritten(spark, table):
     table.merge(spark.createDataFrame([(i, "a", 1.0, "x") for i in range(50)], SCHEMA), "all")
     a, b = table.version(), table.merge(spark.createDataFrame([(3, "a", 2.0, "y")], SCHEMA), "one")
     assert sum(a.buckets[k] != b.buckets[k] for k in a.buckets) == 1 and len(a.buckets) == 4
+
+
+def test_a_batch_is_computed_once(spark, tmp_path):
+    """Refused rows are counted on the way; inserts of what is there touch no bucket; a merge writes its rows once."""
+    table = KeyedTable(spark, f"file://{tmp_path}/once", "id long, x double", ["id"])
+    met = spark.sparkContext.accumulator(0)
+
+    def told(it):
+        for b in it:
+            met.add(b.num_rows)
+            yield b
+
+    df = spark.createDataFrame([(i, 1.0) for i in range(20)] + [(None, 2.0), (None, 3.0)], "id long, x double").mapInArrow(told, "id long, x double")
+    assert table.merge(df, "a", "insert").refused == 2 and met.value == 22
+    first = table.version()
+    second = table.merge(df, "b", "insert")
+    assert second.refused == 2 and second.buckets == first.buckets and second.audit == first.audit and met.value == 44
+    assert table.read().count() == table.audit().count() == 20
