@@ -43,25 +43,26 @@ class PrefixTable(WordTable):
         """The number of tokens of each prefix, the empty one first."""
         if len(self.states) > self.LIMIT:
             self._reset()
-        state, rows, size, out = 0, self.rows, self.size, [0]
+        row, size, out = self.rows[0], self.size, [0]
         for i, s in enumerate(symbols, 1):
-            got = rows[state].get(s)
-            if got is None:
+            if s in row:
+                row, token = row[s]
+            else:
                 if len(self.states) > 2 * self.LIMIT:
-                    kept = self.states[state]
+                    kept = self.states[row[None]]
                     self._reset()
-                    rows, state = self.rows, self._numbered(kept)
-                got = rows[state][s] = self._step(state, s)
-            state, token = got
+                    row = self._row(kept)
+                got = row[s] = self._step(row[None], s)
+                row, token = got
             out.append(out[i - size[token]] + 1)
         return out
 
-    def _numbered(self, key: tuple) -> int:
+    def _row(self, key: tuple) -> dict:
         if key not in self.number:
-            self.number[key] = len(self.states)
+            n = self.number[key] = len(self.states)
             self.states.append(key)
-            self.rows.append({})
-        return self.number[key]
+            self.rows.append({None: n})
+        return self.rows[self.number[key]]
 
 
 class PrefixCounter(dict):

@@ -48,6 +48,20 @@ def test_prefixes_with_small_tables():
         assert int(c.changes(t).sum()) == len(tok.encode(t, add_special_tokens=False).ids)
 
 
+def test_every_prefix_across_a_reset():
+    """A piece whose states overflow the table more than once: rows that name each other are made anew, and no prefix is counted wrong."""
+    tok, c = Tokenizer.from_file(BYTE), counts.PrefixCounter(BYTE)
+    c.table.LIMIT = 5
+    resets, reset = [], c.table._reset
+    c.table._reset = lambda: (resets.append(1), reset())
+    t = "".join(RND.choice("etaoinshr") for _ in range(80))
+    got = c.table.counts(t.encode())
+    assert got == [len(tok.encode(t[:i], add_special_tokens=False).ids) for i in range(len(t) + 1)]
+    assert len(resets) > 1 and len(c.table.states) <= 2 * c.table.LIMIT + 1
+    assert [row[None] for row in c.table.rows] == list(range(len(c.table.states)))
+    assert c.table.counts(t.encode()) == got
+
+
 def test_counts_and_questions(spark, docs):
     tok = Tokenizer.from_file(BYTE)
     stored = counts.prefix_counts(docs, BYTE)
