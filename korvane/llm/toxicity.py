@@ -347,8 +347,29 @@ def fold_of(column: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(5))
 
 
+MODEL = T.StructType([
+    T.StructField("words", T.ArrayType(T.BinaryType())), T.StructField("passages", T.ArrayType(T.BinaryType())),
+    T.StructField("weights", T.ArrayType(T.DoubleType())), T.StructField("base", T.DoubleType()),
+])
+
+
+def _fitted(pieces: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = sorted((i, t, y) for b in batches(it) for i, t, y in zip(b.column(0).to_pylist(), text_bytes(b.column(1)), b.column(2).to_pylist(), strict=True))
+        m = fit([t for _, t, _ in got], [int(y) for _, _, y in got], pieces)
+        d = m.dictionaries
+        kinds = pa.list_(pa.binary()), pa.list_(pa.binary()), pa.list_(pa.float64()), pa.float64()
+        cols = [pa.array([x], kind) for x, kind in zip((list(d.words), list(d.passages), m.weights, m.base), kinds, strict=True)]
+        yield pa.RecordBatch.from_arrays(cols, names=MODEL.names)
+
+    return run
+
+
 def learn(docs: DataFrame, labels: DataFrame, rows: int = 3000, longest: int = 200_000, pieces: int = PIECES, total: int = 60_000_000) -> Model:
-    """Fits on at most ``rows`` labelled documents of the folds 1 to 4 and of ``longest`` characters, in hash order, ``total`` characters at most."""
+    """Fits on at most ``rows`` labelled documents of the folds 1 to 4 and of ``longest`` characters, in hash order, ``total`` characters at most.
+
+    A task fits the sample; only the model, a row of some kilobytes, comes to the driver, which holds no texts.
+    """
     mine = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & (fold_of() != 0)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = [F.xxhash64("doc_id"), "doc_id"]
     picked = [mine.where(F.col("toxic") == v).orderBy(*order).limit(n) for v, n in ((1, rows // 4), (0, rows - rows // 4))]
@@ -356,9 +377,10 @@ def learn(docs: DataFrame, labels: DataFrame, rows: int = 3000, longest: int = 2
     texts = docs.select(F.col("doc_id").cast("long"), whole_text().alias("text")).where(F.length("text") <= longest)
     found = texts.join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.first("toxic").alias("toxic"))  # ``rows`` at most
     so_far = F.sum(F.length("text")).over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
-    got = found.withColumn("so_far", so_far).where(F.col("so_far") <= total).collect()
-    got.sort(key=lambda r: r["doc_id"])
-    return fit([r["text"].encode() for r in got], [int(r["toxic"]) for r in got], pieces)
+    sample = found.withColumn("so_far", so_far).where(F.col("so_far") <= total).select("doc_id", "text", "toxic")
+    prepare(docs.sparkSession)
+    got = sample.coalesce(1).mapInArrow(_fitted(pieces), MODEL).collect()  # one row; none of an empty sample
+    return Model(Dictionaries(*(tuple(map(bytes, got[0][k])) for k in ("words", "passages"))), got[0]["weights"], got[0]["base"]) if got else Model()
 
 
 SCORES = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("score", T.DoubleType())])

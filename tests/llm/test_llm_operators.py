@@ -418,6 +418,16 @@ def test_toxicity(spark, docs, empty):
     assert toxicity.learn(d, l, longest=10).base == 0.0  # no text is short enough to learn from
 
 
+def test_toxicity_is_fitted_in_a_task(spark, monkeypatch):
+    """The texts of the sample never come to the driver; its model is that of a fit of the same rows."""
+    d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{n}.parquet") for n in ("documents", "labels"))
+    rows = d.join(l.where(toxicity.fold_of() != 0).select("doc_id", "toxic"), "doc_id").orderBy("doc_id").collect()
+    want = toxicity.fit([(r["text"] or "").encode() for r in rows], [r["toxic"] for r in rows])
+    assert want.weights
+    monkeypatch.setattr(toxicity, "train", None)  # here; tasks have their own
+    assert toxicity.learn(d, l) == want
+
+
 def test_toxicity_lengths_by_hand():
     """Distances are differences of zstd's own lengths; a marker's beginning is saved, an ordinary word is not."""
     rows, labels = labelled()
