@@ -111,3 +111,15 @@ def test_evidence(spark):
     out = {r["fact_id"]: tuple(r)[1:] for r in evidence.presence(facts, scored).collect()}
     assert out == {1: (True, False, "keyword,phrase", 1, 1.0), 2: (False, True, "keyword", 1, 0.5), 3: (False, False, "", 0, 0.0), 4: (False, False, "", 0, 0.0), 5: (False, False, "", 0, 0.0)}
     assert evidence.gathered(facts.limit(0), items).count() == 0 and evidence.gathered(facts, items.limit(0)).count() == 0
+
+
+def test_evidence_proposals(spark, monkeypatch):
+    """Texts that hold a run's words apart are not proposed for it; runs of one word, and texts under one id, are found as before."""
+    facts = spark.createDataFrame([(1, "red lamps near water"), (2, "incomprehensible"), (3, None)], "fact_id long, text string")
+    apart = [(i, "water red near lamps") for i in range(100)]
+    items = spark.createDataFrame([*apart, (200, "Old RED lamps near water."), (200, "other words"), (201, "so incomprehensible it is"), (202, "incomprehensibles"), (203, "red"), (204, None), (None, "red lamps near water")], "ref long, text string")
+    seen, cut = [], evidence.cut
+    monkeypatch.setattr(evidence, "cut", lambda df: seen.append(cut(df)) or seen[-1])
+    got = evidence._found(facts, items.where("ref is not null"), evidence.RUNS, "phrase", "item")
+    assert sorted((r["fact_id"], r["ref"]) for r in got.collect()) == [(1, 200), (2, 201)]
+    assert {(r["said"], r["ref"]) for t in seen if t.columns == ["said", "ref"] for r in t.collect()} == {("red lamps near water", 200), ("incomprehensible", 201)}
